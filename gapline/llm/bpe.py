@@ -1 +1,184 @@
-"""To come."""
+"""Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition.
+
+Words are the matches of the public pattern. The words of a block that are new to the worker become rows (word, position,
+token), one for each byte. A recursive query joins neighbours to the merge table (every pair of tokens whose bytes together
+are a token), contracts each word's leftmost pair of least rank and goes on with the words that still had one, until none
+has. Ordered aggregation then gives each word's ids, and its bytes from the ids. A word that is a token as a whole is that
+token, as in the tiktoken library. Words longer than LONG bytes would need one step of the recursion for each merge; for
+them the same contraction runs over a linked list with a heap.
+
+Null text is empty: no ids. Repeated rows and null ids are rows like others. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import heapq
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .pieces import PieceCoder
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Words of one recursive query, and the longest word in bytes that takes part.
+WORDS, LONG = 20_000, 256
+
+_CONTRACT = """
+WITH RECURSIVE step AS (
+  SELECT word, 0 AS turn, pos, tok FROM start
+  UNION ALL
+  SELECT word, turn + 1, pos, CASE WHEN key = best THEN new ELSE tok END
+  FROM (
+    SELECT *, coalesce(lag(key = best) OVER (PARTITION BY word ORDER BY pos), false) AS gone
+    FROM (
+      SELECT *, min(key) OVER (PARTITION BY word) AS best
+      FROM (
+        SELECT s.word, s.turn, s.pos, s.tok, m.id AS new, m.id::BIGINT * 65536 + s.pos AS key
+        FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM step) s
+        LEFT JOIN merges m ON m.a = s.tok AND m.b = s.nxt
+      )
+    )
+  )
+  WHERE best IS NOT NULL AND NOT gone
+), done AS (SELECT *, max(turn) OVER (PARTITION BY word) AS last FROM step)
+SELECT word, list(tok ORDER BY pos) AS ids, string_agg(v.hex, '' ORDER BY pos) AS bytes
+FROM done JOIN vocabulary v ON v.id = tok WHERE turn = last GROUP BY word ORDER BY word
+"""
+
+_DECODE = """
+SELECT text, string_agg(v.hex, '' ORDER BY pos) AS bytes
+FROM tokens JOIN vocabulary v USING (id) GROUP BY text
+"""
+
+
+class Codec:
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
+        import duckdb
+        import regex
+
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.pattern, self.words = regex.compile(pattern), {}
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
+        splits = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        merges = pd.DataFrame(splits, columns=["a", "b", "id"], dtype="int32")  # noqa: F841
+        vocabulary = pd.DataFrame([(r, t.hex()) for t, r in self.ranks.items()], columns=["id", "hex"])  # noqa: F841
+        self.db.execute("CREATE TABLE merges AS SELECT a, b, id FROM merges; CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, hex FROM vocabulary")
+        self.pieces = PieceCoder(self._pieces)
+
+    def _contracted(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        number = np.repeat(np.arange(len(words)), lengths)
+        pos = np.arange(len(number)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        start = pa.table({"word": pa.array(number, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(self.single[np.frombuffer(b"".join(words), dtype=np.uint8)])})  # noqa: F841
+        out = self.db.execute(_CONTRACT).to_arrow_table()
+        ids = out["ids"].combine_chunks()
+        flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+        for a, b, h in zip(ends[:-1].tolist(), ends[1:].tolist(), out["bytes"].to_pylist(), strict=True):
+            yield flat[a:b].tobytes(), bytes.fromhex(h)
+
+    def _long(self, word: bytes) -> tuple[bytes, bytes]:
+        """The contraction of one long word: a heap of (rank, place) over a linked list."""
+        piece = [word[i : i + 1] for i in range(len(word))]
+        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        heap = [(r, i) for i in range(len(word) - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i] if piece[i] is not None else len(word)
+            if j >= len(word) or self.ranks.get(piece[i] + piece[j]) != rank:
+                continue
+            piece[i], piece[j] = piece[i] + piece[j], None
+            after[i] = after[j]
+            if after[i] < len(word):
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < len(word) and (r := self.ranks.get(piece[a] + piece[b])) is not None:
+                    heapq.heappush(heap, (r, a))
+        left = [p for p in piece if p is not None]
+        return np.array([self.ranks[p] for p in left], dtype="<u4").tobytes(), b"".join(left)
+
+    def _pieces(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        split = [[w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(p.decode("utf-8", "surrogatepass"))] for p in pieces]
+        if len(self.words) > self.pieces.remembered:
+            self.words = {}
+        new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.words))
+        whole = [w for w in new if w in self.ranks]
+        self.words.update((w, (np.array([self.ranks[w]], dtype="<u4").tobytes(), w)) for w in whole)
+        rest = [w for w in new if w not in self.ranks]
+        self.words.update((w, self._long(w)) for w in rest if len(w) > LONG)
+        short = [w for w in rest if len(w) <= LONG]
+        for i in range(0, len(short), WORDS):
+            part = short[i : i + WORDS]
+            self.words.update(zip(part, self._contracted(part), strict=True))
+        return [self.words[ws[0]] if len(ws) == 1 else (b"".join(self.words[w][0] for w in ws), b"".join(self.words[w][1] for w in ws)) for ws in split]
+
+    def decode(self, ids: list[list[int] | None]) -> list[bytes]:
+        sizes = [len(x or ()) for x in ids]
+        number = np.repeat(np.arange(len(ids)), sizes)
+        tokens = pa.table({"text": number, "pos": np.arange(len(number)), "id": pa.array([t for x in ids for t in (x or ())], pa.int32())})  # noqa: F841
+        got = dict(self.db.execute(_DECODE).fetchall())
+        return [bytes.fromhex(got.get(i, "")) for i in range(len(ids))]
+
+
+@lru_cache(maxsize=2)
+def _codec(path: str) -> Codec:
+    return Codec(path)
+
+
+def _encode(path: str, with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(path)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+        for x in batches:
+            doc_ids, rows, held = x["doc_id"].to_pylist(), [], 0
+
+            def batch(rows):
+                cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows])]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum([r[1] for r in rows])]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[4] for r in rows]).view(np.int32))))
+                return pa.RecordBatch.from_arrays(cols, names=names)
+
+            for i, ids, back in codec.pieces.encode(x["text"].to_pylist(), decode=True):
+                whole = np.concatenate(ids) if len(ids) > 1 else ids[0]
+                decoded = hashlib.sha256()
+                for part in back:
+                    decoded.update(part)
+                rows.append((doc_ids[i], len(whole), hashlib.sha256(whole.astype("<u4", copy=False).tobytes()).hexdigest(), decoded.hexdigest(), whole if with_ids else None))
+                held += len(whole)
+                if held > 1_000_000:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return run
+
+
+def encoded(docs: DataFrame, ranks: str = RANKS, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, the digests of ids and decoded bytes and, with `with_ids`, the ids of each document."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return text.mapInArrow(_encode(public_tokenizers.path(ranks), with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+
+
+def decoded(tokens: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """`doc_id` and `bytes` for each row of doc_id and ids: what the ids stand for."""
+    path = public_tokenizers.path(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(path)
+        for x in batches:
+            for part in (x.slice(i, 100) for i in range(0, x.num_rows, 100)):
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(codec.decode(part["ids"].to_pylist()), pa.binary())], names=["doc_id", "bytes"])
+
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, bytes binary")

@@ -22,12 +22,31 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfiles import digests, write_tokens
+
+    return digests(write_tokens(table(spark, sf_dir, "documents")))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identified, learned
+
+    docs = table(spark, sf_dir, "documents")
+    return identified(docs, learned(docs.where(~held_out())))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
