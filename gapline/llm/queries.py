@@ -40,6 +40,12 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fuzzy import passages
+
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import without_repeats
 

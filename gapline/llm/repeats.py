@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .pieces import Powers, mixed
+from .words import window_least
 
 LENGTH, GRAM = 400, 100
 FAN = 16
@@ -57,17 +58,6 @@ class _Hashes:
         return mixed(h ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _window_least(x: np.ndarray, w: int) -> np.ndarray:
-    """Least of each w neighbours: block-wise running minima from both sides."""
-    n = len(x) - w + 1
-    padded = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(x)] = x
-    grid = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-
-
 def cells(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors p in order, and the least and greatest offset (p - start) of the strings that each one anchors."""
     out, at = [], 0
@@ -79,7 +69,7 @@ def cells(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = mixed((s[GRAM:] - s[:-GRAM]) * _POWERS.down[: len(part) - GRAM + 1])
         # 40 bits of the hash, then the place, so that the leftmost of equal ones is the least
         ranked = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
-        p = (_window_least(ranked, LENGTH - GRAM + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
+        p = (window_least(ranked, LENGTH - GRAM + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(p) - 1]])
         out.append((p[first] + at, p[first] - last, p[first] - first))

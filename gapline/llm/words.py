@@ -75,3 +75,26 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(k):
         h = h * np.uint64(0x9DDFEA08EB382D69) + words[i : len(words) - k + 1 + i]
     return mixed(h + np.uint64(k * 0xC2B2AE3D27D4EB4F % 2**64))
+
+
+def winnowed(h: np.ndarray, w: int, part: int = 1 << 22) -> np.ndarray:
+    """Places of the least hash of each w neighbours, the leftmost of equal ones; of fewer hashes than w the least."""
+    out = []
+    for at in range(0, max(1, len(h) - w + 1), part):
+        x = h[at : at + part + w - 1]
+        if len(x):
+            ranked = x >> np.uint64(24) << np.uint64(24) | np.arange(len(x), dtype=np.uint64)
+            out.append((window_least(ranked, min(w, len(x))) & np.uint64((1 << 24) - 1)).astype(np.int64) + at)
+    p = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+    return p[np.concatenate([[True], p[1:] != p[:-1]])] if len(p) else p
+
+
+def window_least(x: np.ndarray, w: int) -> np.ndarray:
+    """Least of each w neighbours: block-wise running minima from both sides."""
+    n = len(x) - w + 1
+    padded = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded[: len(x)] = x
+    grid = padded.reshape(-1, w)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
