@@ -1 +1 @@
-
+"""Column expressions: clocks, class strings, safe arithmetic, spectra held as arrays."""
