@@ -30,6 +30,8 @@ from .pieces import PieceCoder
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words of one recursive query, and the longest word in bytes that takes part.
 WORDS, LONG = 20_000, 256
+#: Words remembered by a worker; beyond that it starts anew.
+REMEMBERED = 200_000
 
 _CONTRACT = """
 WITH RECURSIVE step AS (
@@ -109,7 +111,7 @@ class Codec:
 
     def _pieces(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         split = [[w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(p.decode("utf-8", "surrogatepass"))] for p in pieces]
-        if len(self.words) > self.pieces.remembered:
+        if len(self.words) > REMEMBERED:
             self.words = {}
         new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.words))
         whole = [w for w in new if w in self.ranks]

@@ -3,8 +3,8 @@
 A text is cut where every match of the byte-level pre-tokenizer must end: before a single space or line break between two
 known characters, and between letters, digits and punctuation. Known are ASCII and the letters of U+00C0 to U+017F;
 apostrophes (contractions) and all else are never cut at. Whatever lies between two cuts is a piece, coded by itself by the
-caller's tokenizer; a distinct piece is coded once and its ids are gathered for every place it stands at. Pieces found
-by a 64-bit hash within one block of text are looked up by their bytes across blocks.
+caller's tokenizer; a distinct piece is coded once and its ids are gathered for every place it stands at. Pieces are told
+apart by 64 bits of a hash within one block of text, and by 128 bits across blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 #: Texts are handled in blocks of about so many bytes; longer texts are cut at a space between ASCII letters.
 BLOCK = 1 << 20
 #: Distinct pieces remembered by a worker; beyond that it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 1_500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
@@ -102,11 +102,49 @@ def cut_places(buf: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut | before | after) + 1
 
 
+class _Store:
+    """Numbers of known pieces by hash, in sorted arrays, and their values end to end."""
+
+    def __init__(self):
+        self.h1 = self.h2 = np.zeros(0, dtype=np.uint64)
+        self.entry = np.zeros(0, dtype=np.int32)
+        self.begin, self.size, self.flat = {}, {}, {}
+        for kind, dtype in (("ids", np.uint32), ("bytes", np.uint8)):
+            self.begin[kind], self.size[kind], self.flat[kind] = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=dtype)
+        self.used = {"ids": 0, "bytes": 0}
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Numbers of known pieces, -1 for others."""
+        if not len(self.h1):
+            return np.full(len(h1), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), self.entry[at], -1)
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, values: list[tuple[bytes, bytes]]) -> np.ndarray:
+        n = len(self.entry)
+        number = np.arange(n, n + len(h1), dtype=np.int32)
+        order = np.argsort(h1)
+        at = np.searchsorted(self.h1, h1[order])
+        self.h1, self.h2, self.entry = (np.insert(x, at, y[order]) for x, y in ((self.h1, h1), (self.h2, h2), (self.entry, number)))
+        for k, kind in enumerate(("ids", "bytes")):
+            new = np.frombuffer(b"".join(v[k] for v in values), dtype=self.flat[kind].dtype)
+            size = np.array([len(v[k]) for v in values], dtype=np.int32) // new.itemsize
+            used = self.used[kind]
+            if used + len(new) > len(self.flat[kind]):
+                self.flat[kind] = np.concatenate([self.flat[kind][:used], np.zeros(max(used // 2, len(new), 1 << 16), dtype=new.dtype)])
+            self.flat[kind][used : used + len(new)] = new
+            self.begin[kind] = np.concatenate([self.begin[kind], used + np.cumsum(size) - size])
+            self.size[kind] = np.concatenate([self.size[kind], size])
+            self.used[kind] = used + len(new)
+        return number.astype(np.int64)
+
+
 class PieceCoder:
     """encode_pieces: distinct pieces as bytes to (ids as little-endian unsigned 32-bit bytes, decoded bytes)."""
 
     def __init__(self, encode_pieces: Callable[[list[bytes]], list[tuple[bytes, bytes]]], remembered: int = REMEMBERED):
-        self.encode_pieces, self.remembered, self.known, self.powers = encode_pieces, remembered, {}, Powers()
+        self.encode_pieces, self.remembered, self.known = encode_pieces, remembered, _Store()
+        self.powers, self.other = Powers(), Powers(np.uint64(0xD1342543DE82EF95))
 
     def block(self, held: list[bytes], decode: bool = False) -> tuple[list[np.ndarray], list[bytes]]:
         """The ids of each text and, with `decode`, the bytes they stand for."""
@@ -119,28 +157,25 @@ class PieceCoder:
         starts = starts[np.concatenate([[True], starts[1:] != starts[:-1]])] if len(starts) else starts
         text_of = np.searchsorted(first, starts, side="right") - 1
         ends = np.minimum(np.concatenate([starts[1:], [len(buf)]]), (first + lengths)[text_of]) if len(starts) else starts
-        codes, distinct = pd.factorize(run_hashes(buf, starts, ends, self.powers).view(np.int64))
+        h = run_hashes(buf, starts, ends, self.powers)
+        codes, _ = pd.factorize(h.view(np.int64))
         new = np.concatenate([[True], codes[1:] > np.maximum.accumulate(codes)[:-1]]) if len(codes) else np.zeros(0, dtype=bool)
-        keys = [joined[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-        if len(self.known) > self.remembered:
-            self.known = {}
-        missing = [k for k in keys if k not in self.known]
-        if missing:
-            self.known.update(zip(missing, self.encode_pieces(missing), strict=True))
-        got = [self.known[k] for k in keys]
-        out = self._gather([x[0] for x in got], codes, text_of, len(held), 4)
-        ids = [x.view("<u4") for x in out]
-        return ids, [x.tobytes() for x in self._gather([x[1] for x in got], codes, text_of, len(held), 1)] if decode else []
-
-    @staticmethod
-    def _gather(parts_of: list[bytes], codes: np.ndarray, text_of: np.ndarray, n: int, width: int) -> list[np.ndarray]:
-        flat = np.frombuffer(b"".join(parts_of), dtype=np.uint32 if width == 4 else np.uint8)
-        size = np.array([len(x) // width for x in parts_of], dtype=np.int64)
-        begin = np.cumsum(size) - size
-        each = size[codes]
+        h1, h2 = h[new], run_hashes(buf, starts[new], ends[new], self.other)
+        if len(self.known.entry) > self.remembered:
+            self.known = _Store()
+        entry = self.known.find(h1, h2)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            pieces = [joined[s:e] for s, e in zip(starts[new][missing].tolist(), ends[new][missing].tolist(), strict=True)]
+            entry[missing] = self.known.add(h1[missing], h2[missing], self.encode_pieces(pieces))
+        entry = entry[codes]
+        return self._gather("ids", entry, text_of, len(held)), [x.tobytes() for x in self._gather("bytes", entry, text_of, len(held))] if decode else []
+
+    def _gather(self, kind: str, entry: np.ndarray, text_of: np.ndarray, n: int) -> list[np.ndarray]:
+        each = self.known.size[kind][entry].astype(np.int64)
         upto = np.cumsum(each)
-        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[codes] - (upto - each), each)
-        values = flat[at]
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.known.begin[kind][entry] - (upto - each), each)
+        values = self.known.flat[kind][at]
         ends = np.cumsum(np.bincount(text_of, weights=each, minlength=n).astype(np.int64)) if n else np.zeros(0, dtype=np.int64)
         return np.split(values, ends[:-1]) if n else []
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +44,7 @@ def _coder(path: str) -> PieceCoder:
 
     def encode(pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         got = tokenizer.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in pieces], add_special_tokens=False)
-        return [(np.array(x.ids, dtype="<u4").tobytes(), b"") for x in got]
+        return [(array("I", x.ids).tobytes(), b"") for x in got]
 
     return PieceCoder(encode)
 
