@@ -12,7 +12,7 @@ from gapline.sources.tables import table
 #: Seconds of a grid step.
 STEP = 600
 #: Digits to which the queries round, as sums differ in their last bits by order.
-DIGITS = 7
+DIGITS = 9
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def event_slices(spark, sf_dir):
 
 
 @query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.id % 10 = 1 AND e.series = i.series AND e.t BETWEEN i.t - 14400 AND i.t + 7200)
-SELECT event, count(x) AS n, round(quantile_cont(x, 0.5) FILTER (since < 0), 7) + 0.0 AS background, max(x) AS top, max(x) FILTER (since <= 1800) AS top_known, arg_max(since, (x, -since)) AS top_at FROM s GROUP BY event""")
+SELECT event, count(x) AS n, round(quantile_cont(x, 0.5) FILTER (since < 0), 9) + 0.0 AS background, max(x) AS top, max(x) FILTER (since <= 1800) AS top_known, arg_max(since, (x, -since)) AS top_at FROM s GROUP BY event""")
 def flare_records(spark, sf_dir):
     e = samples(spark, sf_dir)
     i = e.where("id % 10 = 1").select("series", F.col("id").alias("event"), F.col("t").alias("start"), F.col("t").alias("stop"))
@@ -133,7 +133,7 @@ def causal_onset(spark, sf_dir):
 @query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.id % 10 = 1 AND e.series = i.series AND e.t BETWEEN i.t - 28800 AND i.t + 7200),
 m AS (SELECT event, count(x) FILTER (since BETWEEN -1800 AND -600) AS n, count(x) FILTER (abs(since) <= 120) AS m, quantile_cont(x, 0.5) FILTER (since BETWEEN -1800 AND -600) AS med, max(x) FILTER (abs(since) <= 120) AS top FROM s GROUP BY event),
 d AS (SELECT event, quantile_cont(abs(x - med), 0.5) AS mad FROM s JOIN m USING (event) WHERE since BETWEEN -1800 AND -600 GROUP BY event)
-SELECT event, round(CASE WHEN n >= 10 AND m >= 3 THEN (top - med) / greatest(1.4826 * mad, sqrt(greatest(med, 1))) END, 7) + 0.0 AS significance FROM m LEFT JOIN d USING (event)""")
+SELECT event, round(CASE WHEN n >= 10 AND m >= 3 THEN (top - med) / greatest(1.4826 * mad, sqrt(greatest(med, 1))) END, 9) + 0.0 AS significance FROM m LEFT JOIN d USING (event)""")
 def hot_excess(spark, sf_dir):
     e = samples(spark, sf_dir)
     i = e.where("id % 10 = 1").select("series", F.col("id").alias("event"), F.col("t").alias("start"), F.col("t").alias("stop"))
@@ -142,7 +142,7 @@ def hot_excess(spark, sf_dir):
 
 @query(f"""WITH {E_SQL}, p AS (SELECT series, floor(x / 5)::BIGINT AS channel, count(*) AS c FROM e GROUP BY ALL), s AS (SELECT g.series, g.channel, coalesce(p.c, 0)::DOUBLE AS counts FROM (SELECT series, unnest(range(min(channel), max(channel) + 1)) AS channel FROM p GROUP BY series) g LEFT JOIN p ON p.series = g.series AND p.channel = g.channel),
 w AS (SELECT *, quantile_cont(counts, 0.5) OVER (PARTITION BY series ORDER BY channel ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS c, lag(counts, 1, '-inf'::DOUBLE) OVER (PARTITION BY series ORDER BY channel) AS p, lead(counts, 1, '-inf'::DOUBLE) OVER (PARTITION BY series ORDER BY channel) AS n FROM s)
-SELECT series, channel, round(counts - c, 7) + 0.0 AS excess FROM w WHERE counts > p AND counts >= n AND counts - c >= 3""")
+SELECT series, channel, round(counts - c, 9) + 0.0 AS excess FROM w WHERE counts > p AND counts >= n AND counts - c >= 3""")
 def line_peaks(spark, sf_dir):
     from gapline.operators.grid import spine
 
@@ -167,7 +167,7 @@ def magnitude_class(spark, sf_dir):
 
 
 @query(f"""WITH {A}, j AS (SELECT h.series, h.k, arg_max({{'e': a.event, 'p': a.peak, 'v': a.peak_value}}, a.event) AS e FROM h JOIN a ON a.series = h.series AND h.k BETWEEN a.start AND a.peak GROUP BY ALL)
-SELECT series, k, e.e AS event, round((e.p - k) * 3600.0 / 3600, 7) + 0.0 AS hours, round(log10(e.v), 7) + 0.0 AS log_peak FROM j""")
+SELECT series, k, e.e AS event, round((e.p - k) * 3600.0 / 3600, 9) + 0.0 AS hours, round(log10(e.v), 9) + 0.0 AS log_peak FROM j""")
 def peak_targets(spark, sf_dir):
     return rounded(labels.peak_targets(binned(spark, sf_dir, 3600), active(spark, sf_dir), 3600.0, 64))
 
@@ -180,7 +180,7 @@ def rise_samples(spark, sf_dir):
 
 
 @query(f"""WITH {b_sql()}, r AS (SELECT series, k, x, row_number() OVER (PARTITION BY series ORDER BY k) AS i, count(*) OVER (PARTITION BY series) AS n, count(x) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS seen FROM b)
-SELECT series, k + 1 AS stop, round(seen / 36, 7) + 0.0 AS observed FROM r WHERE i >= 36 AND (i - 36) % 4 = 0 AND i + 18 <= n AND seen >= 0.3 * 36 AND x IS NOT NULL""")
+SELECT series, k + 1 AS stop, round(seen / 36, 9) + 0.0 AS observed FROM r WHERE i >= 36 AND (i - 36) % 4 = 0 AND i + 18 <= n AND seen >= 0.3 * 36 AND x IS NOT NULL""")
 def enumerate_windows(spark, sf_dir):
     return rounded(labels.enumerate_windows(binned(spark, sf_dir), 36, 4, 18, 0.3))
 
@@ -211,7 +211,7 @@ def thin_quiet(spark, sf_dir):
 
 
 @query(f"""WITH {E_SQL}, v AS (SELECT 'x' AS col, x FROM e UNION ALL SELECT 'user', "user"::DOUBLE FROM e), q AS (SELECT col, quantile_cont(x, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY col)
-SELECT col AS "column", round(q[2], 7) + 0.0 AS centre, round((q[3] - q[1]) / 1.349, 7) + 0.0 AS scale FROM q""")
+SELECT col AS "column", round(q[2], 9) + 0.0 AS centre, round((q[3] - q[1]) / 1.349, 9) + 0.0 AS scale FROM q""")
 def robust_normalizer(spark, sf_dir):
     return rounded(labels.normalizer(samples(spark, sf_dir), ["x", "user"]))
 
@@ -224,7 +224,7 @@ def rolling_folds(spark, sf_dir):
 
 @query(f"""WITH {A}, w AS (SELECT series, event, start, peak, max(peak) OVER (PARTITION BY series ORDER BY peak, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM a),
 s AS (SELECT series, event, greatest(start - 3, coalesce(p + 1, start - 3)) AS start, peak AS stop FROM w), m AS (SELECT series, k FROM h WHERE n > 0)
-SELECT series, event, start, stop, fraction FROM (SELECT *, round((SELECT count(*) FROM m WHERE m.series = s.series AND m.k BETWEEN s.start AND s.stop) / (stop - start + 1), 7) + 0.0 AS fraction FROM s WHERE start <= stop) WHERE fraction >= 0.8""")
+SELECT series, event, start, stop, fraction FROM (SELECT *, round((SELECT count(*) FROM m WHERE m.series = s.series AND m.k BETWEEN s.start AND s.stop) / (stop - start + 1), 9) + 0.0 AS fraction FROM s WHERE start <= stop) WHERE fraction >= 0.8""")
 def alert_windows(spark, sf_dir):
     steps = binned(spark, sf_dir, 3600).where("n > 0").select("series", "k")
     return rounded(alerts.windows_before(active(spark, sf_dir), steps, 3))
@@ -247,7 +247,7 @@ def chance_windows(spark, sf_dir):
 @query(f"""WITH {A}, o AS (SELECT *, k - lag(k) OVER (PARTITION BY series ORDER BY k) AS g FROM h WHERE x >= 60), r AS (SELECT *, sum((g IS NULL OR g > 6)::INT) OVER (PARTITION BY series ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM o),
 p AS (SELECT series, min(k) AS start, max(k) AS stop FROM r GROUP BY series, run), f AS (SELECT p.*, EXISTS (SELECT 1 FROM a WHERE a.series = p.series AND a.start - 30 <= p.stop AND a.stop + 15 >= p.start) AS o FROM p),
 d AS (SELECT series, count(*) / 1440 AS days, avg(coalesce((x >= 60)::INT, 0)) AS duty FROM h GROUP BY 1), c AS (SELECT series, count(*) AS episodes, count(*) FILTER (NOT o) AS false FROM f GROUP BY 1)
-SELECT series, {r_sql('days', 'duty')}, coalesce(episodes, 0) AS episodes, coalesce("false", 0) AS "false", round(coalesce("false", 0) / days, 7) + 0.0 AS false_per_day FROM d LEFT JOIN c USING (series)""")
+SELECT series, {r_sql('days', 'duty')}, coalesce(episodes, 0) AS episodes, coalesce("false", 0) AS "false", round(coalesce("false", 0) / days, 9) + 0.0 AS false_per_day FROM d LEFT JOIN c USING (series)""")
 def false_alarms_per_day(spark, sf_dir):
     return rounded(alerts.false_alarms(binned(spark, sf_dir, 3600), F.col("x") >= 60, active(spark, sf_dir), width=64))
 
@@ -259,8 +259,8 @@ def lead_times(spark, sf_dir):
 
 
 @query(f"""WITH {_SP}, f AS (SELECT sp.*, (SELECT min(k) FROM h WHERE h.series = sp.series AND h.x >= 60 AND h.k BETWEEN sp.start AND sp.stop) AS f FROM sp)
-SELECT series, count(*) AS n, round(avg((f IS NOT NULL)::INT), 7) + 0.0 AS tpr, round(quantile_cont(stop - f, 0.25), 7) + 0.0 AS lead_q25, round(quantile_cont(stop - f, 0.5), 7) + 0.0 AS lead_q50, round(quantile_cont(stop - f, 0.75), 7) + 0.0 AS lead_q75,
-  round(avg(coalesce((stop - f >= 5)::INT, 0)), 7) + 0.0 AS lead_5, round(avg(coalesce((stop - f >= 10)::INT, 0)), 7) + 0.0 AS lead_10 FROM f GROUP BY series""")
+SELECT series, count(*) AS n, round(avg((f IS NOT NULL)::INT), 9) + 0.0 AS tpr, round(quantile_cont(stop - f, 0.25), 9) + 0.0 AS lead_q25, round(quantile_cont(stop - f, 0.5), 9) + 0.0 AS lead_q50, round(quantile_cont(stop - f, 0.75), 9) + 0.0 AS lead_q75,
+  round(avg(coalesce((stop - f >= 5)::INT, 0)), 9) + 0.0 AS lead_5, round(avg(coalesce((stop - f >= 10)::INT, 0)), 9) + 0.0 AS lead_10 FROM f GROUP BY series""")
 def lead_summary(spark, sf_dir):
     return rounded(alerts.lead_summary(alerts.lead_times(binned(spark, sf_dir, 3600), F.col("x") >= 60, _spans(spark, sf_dir), chunk=64)))
 
@@ -270,7 +270,7 @@ r AS (SELECT *, sum((g IS NULL OR g > 6)::INT) OVER (PARTITION BY threshold, ser
 f AS (SELECT threshold, count(*) FILTER (NOT EXISTS (SELECT 1 FROM a WHERE a.series = p.series AND a.start - 30 <= p.stop AND a.stop + 15 >= p.start)) AS f FROM p GROUP BY 1),
 l AS (SELECT threshold, avg((EXISTS (SELECT 1 FROM h WHERE h.series = sp.series AND h.x >= threshold AND h.k BETWEEN sp.start AND sp.stop))::INT) AS tpr FROM sp, th GROUP BY 1),
 z AS (SELECT threshold, coalesce(f, 0) AS "false", tpr, coalesce(f, 0) / (SELECT count(*) / 1440 FROM h) AS fpd FROM th LEFT JOIN f USING (threshold) LEFT JOIN l USING (threshold))
-SELECT threshold, "false", round(tpr, 7) + 0.0 AS tpr, round(fpd, 7) + 0.0 AS false_per_day, coalesce(threshold = (SELECT min(threshold) FROM z WHERE fpd <= 10), false) AS chosen FROM z""")
+SELECT threshold, "false", round(tpr, 9) + 0.0 AS tpr, round(fpd, 9) + 0.0 AS false_per_day, coalesce(threshold = (SELECT min(threshold) FROM z WHERE fpd <= 10), false) AS chosen FROM z""")
 def operating_points(spark, sf_dir):
     return rounded(alerts.operating_points(binned(spark, sf_dir, 3600), "x", [40.0, 60.0, 80.0, 100.0], active(spark, sf_dir), _spans(spark, sf_dir), 10.0))
 
@@ -289,13 +289,13 @@ def event_counts_trailing(spark, sf_dir):
     return activity.event_counts(*_big(spark, sf_dir), (6, 24), 86400)
 
 
-@query(f"WITH {_O} SELECT series, t, round(least(168.0, coalesce((t - (SELECT max(t) FROM v WHERE v.series = o.series AND v.t <= o.t)) / 3600.0, 168.0)), 7) + 0.0 AS hours_since FROM o")
+@query(f"WITH {_O} SELECT series, t, round(least(168.0, coalesce((t - (SELECT max(t) FROM v WHERE v.series = o.series AND v.t <= o.t)) / 3600.0, 168.0)), 9) + 0.0 AS hours_since FROM o")
 def hours_since_last(spark, sf_dir):
     return rounded(activity.hours_since(*_big(spark, sf_dir), chunk=86400))
 
 
 @query(f"""WITH {_O}, m AS (SELECT DISTINCT series, t // 3600 AS k FROM e), z AS (SELECT *, (SELECT count(*) FROM m WHERE m.series = o.series AND m.k BETWEEN o.t // 3600 + 1 AND o.t // 3600 + 24) / 24 AS f, EXISTS (SELECT 1 FROM v WHERE v.series = o.series AND v.t > o.t AND v.t <= o.t + 86400) AS h FROM o)
-SELECT series, t, round(f, 7) + 0.0 AS fraction, CASE WHEN f >= 0.8 THEN h::INT END AS target FROM z""")
+SELECT series, t, round(f, 9) + 0.0 AS fraction, CASE WHEN f >= 0.8 THEN h::INT END AS target FROM z""")
 def dayahead_targets(spark, sf_dir):
     o, v = _big(spark, sf_dir)
     steps = samples(spark, sf_dir).select("series", F.floor(F.col("t") / 3600).alias("k"))
@@ -305,7 +305,7 @@ def dayahead_targets(spark, sf_dir):
 @query(f"""WITH {E_SQL}, g AS (SELECT t // 3600 AS k, avg(x) FILTER (series = 'click') AS x, avg(x) FILTER (series = 'error') AS y, (t // 3600) // 240 AS series FROM e GROUP BY ALL),
 c AS (SELECT a.series, l.lag, corr(a.x, b.y) AS r, count(*) AS n FROM g a, (SELECT unnest(range(-5, 6)) AS lag) l, g b WHERE b.series = a.series AND b.k = a.k + l.lag AND a.x IS NOT NULL AND b.y IS NOT NULL GROUP BY ALL HAVING count(*) >= 5),
 o AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(r, 12) DESC, lag) AS q FROM c WHERE r IS NOT NULL AND NOT isnan(r))
-SELECT series, lag::INT AS lag, round(r, 7) + 0.0 AS r, n FROM o WHERE q = 1""")
+SELECT series, lag::INT AS lag, round(r, 9) + 0.0 AS r, n FROM o WHERE q = 1""")
 def lagged_correlation(spark, sf_dir):
     g = samples(spark, sf_dir).groupBy(F.floor(F.col("t") / 3600).alias("k")).agg(F.avg(F.when(F.col("series") == "click", F.col("x"))).alias("x"), F.avg(F.when(F.col("series") == "error", F.col("x"))).alias("y"))
     return rounded(physics.lagged_correlation(g.withColumn("series", F.floor(F.col("k") / 240)), "x", "y", 5))

@@ -179,7 +179,7 @@ def region_hourly_rollup(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT p_partkey, substr('ABCMX', 1 + p_size % 5, 1) || printf('%.1f', 1 + p_partkey % 90 / 10.0) AS cls FROM part)
-SELECT p_partkey, cls, round(log10([1e-8, 1e-7, 1e-6, 1e-5, 1e-4][1 + instr('ABCMX', substr(cls, 1, 1)) - 1] * substr(cls, 2)::DOUBLE), 7) + 0.0 AS log_flux, cls AS again FROM c""")
+SELECT p_partkey, cls, round(log10([1e-8, 1e-7, 1e-6, 1e-5, 1e-4][1 + instr('ABCMX', substr(cls, 1, 1)) - 1] * substr(cls, 2)::DOUBLE), 9) + 0.0 AS log_flux, cls AS again FROM c""")
 def class_parse_format(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     cls = F.concat(F.substring(F.lit("ABCMX"), F.col("p_size") % 5 + 1, F.lit(1)), F.format_string("%.1f", 1 + F.col("p_partkey") % 90 / 10.0))
@@ -188,7 +188,7 @@ def class_parse_format(spark, sf_dir):
     return rounded(out.select("p_partkey", "cls", F.log10(flux).alias("log_flux"), scalars.flux_class(flux).alias("again")))
 
 
-@query("""SELECT event_id, epoch_us(ts) // 1000000 AS s, strftime(ts, '%Y-%m-%d %H:%M:%S') AS again, round(sin(2 * pi() * (epoch_us(ts) // 1000000 % 86400) / 86400), 7) + 0.0 AS sine FROM events""")
+@query("""SELECT event_id, epoch_us(ts) // 1000000 AS s, strftime(ts, '%Y-%m-%d %H:%M:%S') AS again, round(sin(2 * pi() * (epoch_us(ts) // 1000000 % 86400) / 86400), 9) + 0.0 AS sine FROM events""")
 def clock_conversions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     s = clocks.seconds(F.col("ts"))
@@ -202,7 +202,7 @@ _BREAKS = ((0, 2.0, 0.5), (32, 18.0, 1.0))
 
 
 @query(f"""WITH c AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS c, {_ENERGY} AS en FROM embeddings)
-SELECT vec_id, round(list_sum(list_transform(list_zip(c, en), lambda p: CASE WHEN p[2] >= 5 AND p[2] < 25 THEN p[1] ELSE 0 END)) / (1 + label), 7) + 0.0 AS rate FROM c""")
+SELECT vec_id, round(list_sum(list_transform(list_zip(c, en), lambda p: CASE WHEN p[2] >= 5 AND p[2] < 25 THEN p[1] ELSE 0 END)) / (1 + label), 9) + 0.0 AS rate FROM c""")
 def array_band_rate(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     counts = F.transform("embedding", lambda x: F.abs(x).cast("double"))
@@ -210,7 +210,7 @@ def array_band_rate(spark, sf_dir):
 
 
 @query(f"""WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS c, {_ENERGY} AS en FROM embeddings)
-SELECT vec_id, round(list_sum(list_transform(list_zip(c, en), lambda p: p[1] * p[2])) / list_sum(c), 7) + 0.0 AS energy FROM c""")
+SELECT vec_id, round(list_sum(list_transform(list_zip(c, en), lambda p: p[1] * p[2])) / list_sum(c), 9) + 0.0 AS energy FROM c""")
 def array_mean_energy(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     return rounded(v.select("vec_id", spectra.mean_energy(F.transform("embedding", lambda x: F.abs(x).cast("double")), spectra.channel_energies(64, _BREAKS)).alias("energy")))

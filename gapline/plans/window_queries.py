@@ -85,12 +85,12 @@ def lookahead_occurrence(spark, sf_dir):
     return windows.occurrence(binned(spark, sf_dir), 6, F.col("x") >= 100).select("series", "k", "occurs")
 
 
-@query(f"WITH {B} SELECT series, k, round(lead(x, 1) OVER w, 7) + 0.0 AS lead_1, round(lead(x, 5) OVER w, 7) + 0.0 AS lead_5, round(lead(x, 30) OVER w, 7) + 0.0 AS lead_30 FROM b WINDOW w AS (PARTITION BY series ORDER BY k)")
+@query(f"WITH {B} SELECT series, k, round(lead(x, 1) OVER w, 9) + 0.0 AS lead_1, round(lead(x, 5) OVER w, 9) + 0.0 AS lead_5, round(lead(x, 30) OVER w, 9) + 0.0 AS lead_30 FROM b WINDOW w AS (PARTITION BY series ORDER BY k)")
 def lead_targets(spark, sf_dir):
     return rounded(windows.leads(binned(spark, sf_dir), [1, 5, 30]).select("series", "k", "lead_1", "lead_5", "lead_30"))
 
 
-@query(f"WITH {B} SELECT series, k, round(CASE WHEN count(x) OVER w >= 10 THEN max(x) OVER w END, 7) + 0.0 AS ahead FROM b WINDOW w AS (PARTITION BY series ORDER BY k ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)")
+@query(f"WITH {B} SELECT series, k, round(CASE WHEN count(x) OVER w >= 10 THEN max(x) OVER w END, 9) + 0.0 AS ahead FROM b WINDOW w AS (PARTITION BY series ORDER BY k ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)")
 def lookahead_max30(spark, sf_dir):
     return rounded(windows.lookahead_max(binned(spark, sf_dir), 30, 10).select("series", "k", "ahead"))
 
@@ -118,7 +118,7 @@ def tied_ranks(spark, sf_dir):
     return windows.tied_ranks(samples(spark, sf_dir).withColumn("v", F.floor("x")), "v").select("series", "id", "rank")
 
 
-@query(f"""WITH {b_sql(3600, 'h')} SELECT series, k, round(max(x) OVER (PARTITION BY series ORDER BY k ROWS UNBOUNDED PRECEDING), 7) + 0.0 AS envelope FROM h""")
+@query(f"""WITH {b_sql(3600, 'h')} SELECT series, k, round(max(x) OVER (PARTITION BY series ORDER BY k ROWS UNBOUNDED PRECEDING), 9) + 0.0 AS envelope FROM h""")
 def monotone_envelope(spark, sf_dir):
     return rounded(windows.envelope(binned(spark, sf_dir, 3600), "x", "k").select("series", "k", "envelope"))
 
@@ -140,19 +140,19 @@ def flare_threshold_runs(spark, sf_dir):
 @query(f"""WITH {B}, r AS (SELECT series, k, row_number() OVER (PARTITION BY series ORDER BY k) - 1 AS i, x FROM b), c AS (
   SELECT series, k, x, count(x) OVER w AS n, avg(x) OVER w AS mean_24, avg(x) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS mean_2, avg(x) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mean_6,
     stddev_pop(x) OVER w AS sd, regr_slope(x, k) OVER w AS slope FROM b WINDOW w AS (PARTITION BY series ORDER BY k ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
-SELECT series, k, {r_sql('mean_2', 'mean_6', 'mean_24', 'sd')}, round(n / 24.0, 7) + 0.0 AS available FROM c""")
+SELECT series, k, {r_sql('mean_2', 'mean_6', 'mean_24', 'sd')}, round(n / 24.0, 9) + 0.0 AS available FROM c""")
 def window_summary(spark, sf_dir):
     return rounded(labels.window_summary(binned(spark, sf_dir), 24).select("series", "k", "mean_2", "mean_6", "mean_24", "sd", "available"))
 
 
 @query(f"""WITH {E_SQL}, w AS (SELECT series, t, x, min(x) OVER a AS min_6h, max(x) OVER a AS max_6h, avg(x) OVER a AS mean_6h FROM e WINDOW a AS (PARTITION BY series ORDER BY t RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW)),
 l AS (SELECT *, row_number() OVER (PARTITION BY series, t // 3600 ORDER BY t DESC, x DESC) AS r FROM w)
-SELECT series, t // 3600 AS hour, min_6h, max_6h, round(mean_6h, 7) + 0.0 AS mean_6h FROM l WHERE r = 1""")
+SELECT series, t // 3600 AS hour, min_6h, max_6h, round(mean_6h, 9) + 0.0 AS mean_6h FROM l WHERE r = 1""")
 def hourly_activity(spark, sf_dir):
     return rounded(activity.hourly(samples(spark, sf_dir), 1200, (6,)).select("series", "hour", "min_6h", "max_6h", "mean_6h"), "min_6h", "max_6h")
 
 
-@query(f"""WITH {B} SELECT series, k, round(x + 15.0 / 5 * greatest(x - lag(x, 5) OVER w, 0.0), 7) + 0.0 AS trend FROM b WHERE true WINDOW w AS (PARTITION BY series ORDER BY k)""".replace("greatest(x - lag(x, 5) OVER w, 0.0)", "greatest(coalesce(x - lag(x, 5) OVER w, 0.0), 0.0)"))
+@query(f"""WITH {B} SELECT series, k, round(x + 15.0 / 5 * greatest(x - lag(x, 5) OVER w, 0.0), 9) + 0.0 AS trend FROM b WHERE true WINDOW w AS (PARTITION BY series ORDER BY k)""".replace("greatest(x - lag(x, 5) OVER w, 0.0)", "greatest(coalesce(x - lag(x, 5) OVER w, 0.0), 0.0)"))
 def trend_signal(spark, sf_dir):
     return rounded(alerts.trend(binned(spark, sf_dir)).select("series", "k", "trend"))
 

@@ -45,6 +45,8 @@ def _header(data: bytes, at: int) -> tuple[dict[str, object], int]:
 
 def tables(data: bytes) -> Iterator[tuple[dict[str, object], dict[str, np.ndarray]]]:
     """Header and columns of each binary table of a file."""
+    if len(data) < _BLOCK:
+        raise ValueError("shorter than a header")
     at = 0
     while at + _BLOCK <= len(data):
         h, at = _header(data, at)

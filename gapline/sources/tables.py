@@ -48,3 +48,16 @@ def status(results: DataFrame, sources: DataFrame, key: str = "key") -> DataFram
     """key, status (ok, empty) and rows of each source after a run."""
     n = results.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     return sources.select(key).distinct().join(n, key, "left").select(key, F.when(F.col("rows") > 0, "ok").otherwise("empty").alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def verified(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """path and state of each file of a manifest or a listing (path, size, crc): ok, missing, unknown, size or content differs."""
+    m, f = manifest.select("path", F.col("size").alias("_ms"), F.col("crc").alias("_mc")), files.select("path", F.col("size").alias("_fs"), F.col("crc").alias("_fc"))
+    state = F.when(F.col("_fs").isNull(), "missing").when(F.col("_ms").isNull(), "unknown").when(F.col("_ms") != F.col("_fs"), "size").when(F.col("_mc") != F.col("_fc"), "content").otherwise("ok")
+    return m.join(f, "path", "full_outer").select("path", state.alias("state"))
+
+
+def inventory(sources: DataFrame, done: DataFrame, month: Column) -> DataFrame:
+    """Per month: sources, those done (by key) and those pending."""
+    marked = sources.join(done.select("key").distinct().withColumn("_d", F.lit(1)), "key", "left")
+    return marked.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("sources"), F.count("_d").alias("done"), F.count(F.when(F.col("_d").isNull(), 1)).alias("pending"))
