@@ -117,5 +117,22 @@ FROM d JOIN c ON d.s = c.s LEFT JOIN e2 ON d.s = e2.s
 """
 
 
+_NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS u, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, u, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w
+), x AS (SELECT u, hash(unnest(sh)) AS g FROM s),
+p AS (SELECT a.u AS a, b.u AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.u < b.u GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.u = a JOIN s sb ON sb.u = b WHERE 100 * n >= 80 * (len(sa.sh) + len(sb.sh) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT u AS a, u AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(t.doc_id) AS component_id, s.doc_id = min(t.doc_id) AS kept
+FROM s JOIN r ON r.a = s.u JOIN s t ON t.u = r.b GROUP BY s.u, s.doc_id, s.sh
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": _TOPK_SQL, "op4_source_mixing": _MIX_SQL}
+    return {"op5_minhash_neardup": _NEAR_SQL, "op2_exact_topk": _TOPK_SQL, "op4_source_mixing": _MIX_SQL}
