@@ -66,12 +66,11 @@ def enumerate_windows(grid: DataFrame, length: int, stride: int, horizon: int, l
     return fine.where(on & (F.col("n") >= least * length) & F.col("x").isNotNull()).select(by, "stop", (F.col("n") / length).alias("observed"))
 
 
-def chronological_split(rows: DataFrame, embargo: int, train: float = 0.6, valid: float = 0.2, t: str = "stop", by: str = "series") -> DataFrame:
+def chronological_split(rows: DataFrame, embargo: int, train: float = 0.6, valid: float = 0.2, t: str = "stop", by: str = "series", chunk: int = 4096) -> DataFrame:
     """`rows` with part: the first floor(n * train) of a series' times are train, the next floor(n * valid) valid, the rest test; rows
     within `embargo` after the last row of the part before are left out."""
     counts = rows.groupBy(by, t).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(by)
-    at = counts.withColumn("_u", F.sum("_n").over(w.orderBy(t).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    at = frames.running(counts, [F.col(t)], F.col("_n"), "_u", F.floor(F.col(t) / chunk), by).join(counts.groupBy(by).agg(F.sum("_n").alias("_all")), by)
     a, b = F.floor(F.col("_all") * train), F.floor(F.col("_all") * train) + F.floor(F.col("_all") * valid)
     ends = at.groupBy(by).agg(F.max(F.when(F.col("_u") <= a, F.col(t))).alias("_ta"), F.max(F.when(F.col("_u") <= b, F.col(t))).alias("_tb"))
     ends = ends.select(by, F.coalesce("_ta", F.lit(-(2**62))).alias("_ta"), F.greatest(F.coalesce("_tb", F.lit(-(2**62))), F.coalesce("_ta", F.lit(-(2**62)))).alias("_tb"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import windows
+from . import frames, windows
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -60,10 +60,8 @@ def brier(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
 def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
     """Area under the curve by ranks with ties averaged; null with one class."""
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("int")).alias("_1"), F.count(F.lit(1)).alias("_n"))
-    # values by range bucket first: a running count over buckets, then within each
-    cut = rows.withColumn("series", F.lit(0))
-    upto = F.sum("_n").over(W.partitionBy("series").orderBy("p").rowsBetween(W.unboundedPreceding, 0))
-    ranked = cut.withColumn("_r", upto - (F.col("_n") - 1) / 2.0)
+    upto = frames.running(rows.withColumn("series", F.lit(0)), [F.col("p")], F.col("_n"), "_upto", F.floor(F.col("p") * 1024))
+    ranked = upto.withColumn("_r", F.col("_upto") - (F.col("_n") - 1) / 2.0)
     s = ranked.agg(F.sum(F.col("_r") * F.col("_1")).alias("s"), F.sum("_1").cast("double").alias("a"), F.sum(F.col("_n") - F.col("_1")).cast("double").alias("b"))
     return s.select(F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("s") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b"))).alias("auc"), F.col("a").cast("long").alias("positives"), F.col("b").cast("long").alias("negatives"))
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import frames
 
@@ -147,15 +146,15 @@ def streak(df: DataFrame, on: Column, name: str = "streak", k: str = "k", by: st
     return w.join(first, by).withColumn(name, F.col(k) - F.coalesce("_off", "_a")).drop("_off", "_a")
 
 
-def tied_ranks(df: DataFrame, x: str, name: str = "rank", by: str = "series") -> DataFrame:
-    """Ranks from 1, ties sharing the mean of theirs: counts by value are ranked, not rows."""
+def tied_ranks(df: DataFrame, x: str, name: str = "rank", by: str = "series", chunks: int = 1024) -> DataFrame:
+    """Ranks from 1, ties sharing the mean of theirs. Counts by value are ranked, not rows, in `chunks` ranges of the values."""
     counts = df.where(F.col(x).isNotNull()).groupBy(by, x).agg(F.count(F.lit(1)).alias("_n"))
-    # values go to buckets by range, so that the running count is not one task's work
-    upto = F.sum("_n").over(W.partitionBy(by).orderBy(x).rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumn(name, upto - (F.col("_n") - 1) / 2.0).drop("_n")
-    return df.join(ranked, [by, x])
+    ends = counts.groupBy(by).agg(F.min(x).cast("double").alias("_a"), F.max(x).cast("double").alias("_z"))
+    part = F.when(F.col("_z") > F.col("_a"), F.floor((F.col(x) - F.col("_a")) / (F.col("_z") - F.col("_a")) * chunks)).otherwise(F.lit(0))
+    upto = frames.running(counts.join(ends, by), [F.col(x)], F.col("_n"), "_upto", part, by)
+    return df.join(upto.select(by, x, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name)), [by, x])
 
 
-def envelope(df: DataFrame, y: str, order: str, name: str = "envelope", by: str = "series") -> DataFrame:
-    """Running maximum."""
-    return df.withColumn(name, F.max(y).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+def envelope(df: DataFrame, y: str, order: str, name: str = "envelope", by: str = "series", chunk: int = 4096) -> DataFrame:
+    """Running maximum along a numeric order."""
+    return frames.running(df, [F.col(order)], F.col(y), name, F.floor(F.col(order) / chunk), by, "max")
