@@ -117,3 +117,36 @@ def folds(events: DataFrame, n: int, t: str = "peak", by: str = "series") -> Dat
     w = W.partitionBy(by)
     size = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / (n + 1)))
     return events.withColumn("block", F.least(F.lit(n), F.floor((F.row_number().over(w.orderBy(t, "event")) - 1) / size)))
+
+
+def _portable(key: Column) -> Column:
+    """A number in [0, 1) from a whole number by three steps of a multiplicative generator: the same in any engine."""
+    m = F.lit(2_147_483_647)
+    x = F.pmod(key, m) + 1
+    for _ in range(3):
+        x = F.pmod(x * 48_271, m)
+    return x / 2_147_483_647.0
+
+
+def sample(df: DataFrame, key: str, share: float) -> DataFrame:
+    """About the share `share` of the rows, chosen by their key alone: reruns and other partitionings choose the same."""
+    return df.where(_portable(F.col(key)) < share)
+
+
+def control_times(events: DataFrame, key: str, reach: int, clear: int, width: int, t: str = "t", by: str = "series") -> DataFrame:
+    """For each event a time within `reach` of it, by its key; those closer than `clear` to any event are dropped. Columns: series, key, t."""
+    moved = events.select(by, key, (F.col(t) + F.floor(_portable(F.col(key)) * 2 * reach) - reach).alias(t))
+    near = temporal.nearest(moved, events.select(by, t).distinct().withColumn("_one", F.lit(1)), ["_one"], width, t=t, by=by)
+    return near.where(F.col("distance").isNull() | (F.col("distance") >= clear)).select(by, key, t)
+
+
+def climatology(df: DataFrame, value: str, event: str, cls: str) -> DataFrame:
+    """Per class the mean over events of their own means, so that long events count no more than short ones."""
+    each = df.where(F.col(value).isNotNull()).groupBy(cls, event).agg(F.avg(value).alias("_m"))
+    return each.groupBy(cls).agg(F.avg("_m").alias("mean"), F.count(F.lit(1)).alias("events"))
+
+
+def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str, event: str) -> DataFrame:
+    """Two arms on the same samples: per event the mean of a's value less b's, and the number of pairs."""
+    both = a.select(*keys, F.col(value).alias("_a"), F.col(event).alias("_e")).join(b.select(*keys, F.col(value).alias("_b")), keys)
+    return both.groupBy(F.col("_e").alias(event)).agg(F.avg(F.col("_a") - F.col("_b")).alias("gain"), F.count(F.lit(1)).alias("pairs"))
