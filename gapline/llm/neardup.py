@@ -7,9 +7,9 @@
    A pair at the least similarity of 0.8 shares none of the 32 bands with a probability of 5e-8.
 3. In each band key all members are paired with one centre (a star). A Jaccard estimate from the registers, corrected for
    accidental collisions, drops pairs far below; the rest are confirmed on the full sets of the texts. Links give labels.
-4. Keys whose members still have several labels are dealt into a grid of bounded blocks. A block estimates its pairs of
-   different labels in place (each pair under the first key it shares), and again the full sets decide. So a group of
-   near copies that the star has joined costs nothing more, and no group is ever expanded into all pairs.
+4. Keys whose members still have several labels are dealt into a grid of bounded blocks: members outside the key's main
+   label against all. A block estimates and confirms in place (each pair under the first key it shares) and gives the links
+   that join labels, never the pairs. So a group of near copies that the star has joined costs nothing more.
 
 Null, empty or blank texts have no set, link with nothing and are their own component. Null ids: a document with a null id
 is linked like others but never names a component; a component of null ids alone is null. Repeated rows share a class.
@@ -110,12 +110,6 @@ def _key(band: int) -> Column:
     return F.xxhash64(F.substring("regs", band * 2 * ROWS + 1, 2 * ROWS), F.lit(band))
 
 
-def _grid(rows: DataFrame, count: Column, size: Column) -> DataFrame:
-    """`rows` with _n blocks for their group and their own _block."""
-    n = F.greatest(F.lit(1), F.ceil(count / MEMBERS), F.ceil(size / SHINGLES)).cast("int")
-    return rows.withColumn("_n", n).withColumn("_block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_n")).cast("int"))
-
-
 def _agree(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
     return (estimate((a == b).mean(axis=1), na, nb) >= least - SLACK) & (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-9)
 
@@ -134,34 +128,47 @@ def _estimated(least: float):
     return run
 
 
-_PAIRS = "cell string, a binary, b binary"
-
-
-def _block_pairs(least: float):
-    """Pairs of different labels within a block of a band key whose estimate is high enough; under the first band they share."""
-    schema = pa.schema([("cell", pa.string()), ("a", pa.binary()), ("b", pa.binary())])
+def _block_links(words: int, percent: int):
+    """Links that join different labels within a block of a band key: `left` rows against the others, each pair under the first
+    band it shares; candidates by estimate, links by the full sets."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    least = percent / 100
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("node", "ascending")])
-        key, i, j = t["key"][0].as_py(), t["_i"][0].as_py(), t["_j"][0].as_py()
-        band = t["band"][0].as_py()
-        node, regs = t["node"].to_pylist(), _table(t["regs"])
-        block, n = t["_block"].to_numpy(), t["n_shingles"].to_numpy().astype(float)
+        band, node, regs = t["band"][0].as_py(), t["node"].to_pylist(), _table(t["regs"])
+        left, out = np.flatnonzero(t["left"].to_numpy()), t["out"].to_numpy()
+        right = np.flatnonzero(~t["left"].to_numpy())
+        n = t["n_shingles"].to_numpy().astype(float)
         label = np.unique(np.array([x.hex() for x in t["label"].to_pylist()]), return_inverse=True)[1]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         keys = regs.view(np.uint64).reshape(len(regs), BANDS)
-        out_a, out_b = [], []
+        parent = np.arange(label.max() + 1)
+        a, b, sets = [], [], None
         for p in left:
-            q = right[(right > p) if i == j else slice(None)]
-            q = q[label[q] != label[p]]
-            q = q[np.minimum(n[q], n[p]) >= least * np.maximum(n[q], n[p]) - 1e-9]
-            if band:
+            # of two rows outside the main label the lesser one is the left one
+            q = right[(parent[label[right]] != parent[label[p]]) & (~out[right] | np.array([node[p] < node[k] for k in right], dtype=bool))]
+            if band and len(q):
                 q = q[(keys[q, :band] != keys[p, :band]).all(axis=1)]
             if len(q):
                 q = q[_agree(regs[q], regs[p][None, :], n[q], np.full(len(q), n[p]), least)]
-            out_a += [node[p]] * len(q)
-            out_b += [node[k] for k in q]
-        return pa.table([pa.array([f"{key}:{i}:{j}"] * len(out_a), pa.string()), pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], schema=schema)
+            if not len(q):
+                continue
+            if sets is None:
+                sets = [np.unique(shingles(w, words)) for _, w in word_hashes(t["text"].to_pylist())]
+                flat, codes = np.unique(np.concatenate(sets), return_inverse=True)
+                ends = np.cumsum([len(x) for x in sets])
+                sets = [codes[e - len(x) : e] for e, x in zip(ends, sets, strict=True)]
+            has = np.zeros(len(flat), dtype=bool)
+            has[sets[p]] = True
+            for k in q:
+                if parent[label[k]] == parent[label[p]]:
+                    continue
+                both = int(has[sets[k]].sum())
+                if 100 * both >= percent * (len(sets[p]) + len(sets[k]) - both):
+                    a.append(node[p])
+                    b.append(node[k])
+                    parent[parent == parent[label[k]]] = parent[label[p]]
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
 
     return run
 
@@ -225,17 +232,21 @@ def labelled(docs: DataFrame, words: int = 4, percent: int = 80) -> tuple[DataFr
     first = staged(_confirmed(star_cells, texts, words, percent), "first")
     # what the star has not joined: blocks of keys with several labels
     labels = components(first)
-    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_rows = known.where(F.col("_count") > 2).join(mixed_keys, "key").where(F.col("node") != F.col("centre")).join(classes.select("node", "regs"), "node")
-    dealt = _grid(open_rows, F.col("_count"), F.col("_size"))
-    span = F.sequence(F.lit(0), F.col("_n") - 1)
-    cells = F.concat(F.transform(span, lambda k: F.struct(F.least("_block", k).alias("i"), F.greatest("_block", k).alias("j"))))
-    laid = dealt.withColumn("_c", F.explode(cells)).select("key", "band", F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"), "_block", "node", "n_shingles", "label", "regs")
-    more = staged(laid.groupBy("key", "_i", "_j").applyInArrow(_block_pairs(least), _PAIRS), "more")
-    if more.isEmpty():
+    known = members.where("_count > 2").join(labels, "node", "left").where(F.col("node") != F.col("centre")).select("key", "band", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
+    each = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    total = each.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max(F.struct("n", "label", "size")).alias("m"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("labels"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / MEMBERS), F.ceil(size / SHINGLES)).cast("int")
+    several = total.where("labels > 1").select("key", "main", blocks(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("_ni"), blocks(F.col("n"), F.col("size")).alias("_nj"))
+    rows_of = staged(known.join(several, "key").withColumn("out", F.col("label") != F.col("main")), "several")
+    if rows_of.isEmpty():
         return rows, labels
-    second = staged(_confirmed(more, texts, words, percent), "second")
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = rows_of.where("out").withColumn("left", F.lit(True)).withColumn("_i", block("_ni")).withColumn("_j", every("_nj"))
+    rights = rows_of.withColumn("left", F.lit(False)).withColumn("_j", block("_nj")).withColumn("_i", every("_ni"))
+    laid = lefts.unionByName(rights).select("key", "_i", "_j", "band", "node", "n_shingles", "label", "left", "out")
+    full = laid.join(classes.select("node", "regs").join(texts, "node"), "node")
+    second = staged(full.groupBy("key", "_i", "_j").applyInArrow(_block_links(words, percent), "a binary, b binary"), "second")
     return rows, components(first.union(second))
 
 
