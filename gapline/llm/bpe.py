@@ -29,9 +29,11 @@ from .pieces import PieceCoder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words of one recursive query, and the longest word in bytes that takes part.
-WORDS, LONG = 20_000, 256
-#: Words remembered by a worker; beyond that it starts anew.
-REMEMBERED = 200_000
+WORDS, LONG = 10_000, 256
+#: Words and pieces remembered by a worker (about 60 MB); beyond that it starts anew.
+REMEMBERED, PIECES = 50_000, 700_000
+#: Documents of a batch that are unpacked at once.
+ROWS = 1_000
 
 _CONTRACT = """
 WITH RECURSIVE step AS (
@@ -70,12 +72,12 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern, self.words = regex.compile(pattern), {}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB"})
         splits = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pd.DataFrame(splits, columns=["a", "b", "id"], dtype="int32")  # noqa: F841
         vocabulary = pd.DataFrame([(r, t.hex()) for t, r in self.ranks.items()], columns=["id", "hex"])  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT a, b, id FROM merges; CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, hex FROM vocabulary")
-        self.pieces = PieceCoder(self._pieces)
+        self.pieces = PieceCoder(self._pieces, PIECES)
 
     def _contracted(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         lengths = np.array([len(w) for w in words], dtype=np.int64)
@@ -141,7 +143,7 @@ def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-        for x in batches:
+        for x in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             doc_ids, rows, held = x["doc_id"].to_pylist(), [], 0
 
             def batch(rows):
