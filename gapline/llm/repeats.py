@@ -36,6 +36,7 @@ from .words import window_least
 
 LENGTH, GRAM = 400, 100
 FAN = 16
+ALONE, COMPANY, CLOSED = 0, 1, 2
 _POWERS, _OTHER = Powers(), Powers(np.uint64(0xD1342543DE82EF95))
 #: Bytes of a text handled at once; parts overlap by a string.
 PART = 1 << 22
@@ -47,9 +48,12 @@ class _Hashes:
 
     def __init__(self, buf: np.ndarray):
         v, n = buf.astype(np.uint64) + np.uint64(1), len(buf)
+        self.sums = []
         for p in (_POWERS, _OTHER):
             p.need(n + 1)
-        self.sums = [np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(v * p.up[:n])]) for p in (_POWERS, _OTHER)]
+            s = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(v * p.up[:n], out=s[1:])
+            self.sums.append(s)
 
     def of(self, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
         """64 bits of each stretch, its length included; `second` gives 64 independent ones."""
@@ -58,8 +62,8 @@ class _Hashes:
         return mixed(h ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def cells(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors p in order, and the least and greatest offset (p - start) of the strings that each one anchors."""
+def cells(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors p in order, the least and greatest offset (p - start) of the strings that each one anchors, and its q-gram's identifier."""
     out, at = [], 0
     while at + LENGTH <= len(buf):
         part = buf[at : at + PART + LENGTH - 1]
@@ -72,10 +76,10 @@ def cells(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = (window_least(ranked, LENGTH - GRAM + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(p) - 1]])
-        out.append((p[first] + at, p[first] - last, p[first] - first))
+        out.append((p[first] + at, p[first] - last, p[first] - first, h[p[first]].view(np.int64)))
         at += PART
     if not out:
-        return (np.zeros(0, dtype=np.int64),) * 3
+        return (np.zeros(0, dtype=np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -89,10 +93,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
         held, size = [], 0
         for k, th, text in zip(x["k"].to_pylist(), x["th"].to_pylist(), x["text"].to_pylist(), strict=True):
-            buf = _text(text)
-            p, _, _ = cells(buf)
+            p, _, _, gram = cells(_text(text))
             if len(p):
-                held.append((_Hashes(buf).of(p, p + GRAM), np.full(len(p), k), np.full(len(p), th), p))
+                held.append((gram, np.full(len(p), k), np.full(len(p), th), p))
                 size += len(p)
             if size > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
@@ -104,21 +107,33 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OPEN = "doc_id long, k long, th long, text string, n_bytes long, sha string, p array<long>, low array<int>, high array<int>"
 
 
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), kind) if parts else pa.array([], kind))
+
+
+def _parts(column: pa.ListArray) -> list[np.ndarray]:
+    """Each list of a column as an array; null is empty."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.split(column.flatten().to_numpy(), np.cumsum(lengths)[:-1]) if len(lengths) else []
+
+
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document the cells of anchors whose q-gram is not alone; without any, the digest of the whole text."""
     for x in batches:
         text, sha, n_bytes, ps, lows, highs = [], [], [], [], [], []
-        for t, alone in zip(x["text"].to_pylist(), x["alone"].to_pylist(), strict=True):
+        for t, alone in zip(x["text"].to_pylist(), _parts(x["alone"]), strict=True):
             buf = _text(t)
-            p, low, high = cells(buf)
-            keep = ~np.isin(p, np.array(alone or [], dtype=np.int64))
+            p, low, high, _ = cells(buf)
+            keep = ~np.isin(p, alone)
+            open_ = bool(keep.any())
             n_bytes.append(len(buf))
-            sha.append(None if keep.any() else hashlib.sha256(buf).hexdigest())
-            text.append(t if keep.any() else None)
+            sha.append(None if open_ else hashlib.sha256(buf).hexdigest())
+            text.append(t if open_ else None)
             ps.append(p[keep])
-            lows.append(low[keep].astype(np.int32))
-            highs.append(high[keep].astype(np.int32))
-        lists = [pa.array([v.tolist() for v in c], kind) for c, kind in ((ps, pa.list_(pa.int64())), (lows, pa.list_(pa.int32())), (highs, pa.list_(pa.int32())))]
+            lows.append(low[keep])
+            highs.append(high[keep])
+        lists = [_lists(ps, pa.int64()), _lists([v.astype(np.int32) for v in lows], pa.int32()), _lists([v.astype(np.int32) for v in highs], pa.int32())]
         yield pa.RecordBatch.from_arrays([x["doc_id"], x["k"], x["th"], pa.array(text, pa.string()), pa.array(n_bytes, pa.int64()), pa.array(sha, pa.string()), *lists], names=[f.split()[0] for f in _OPEN.split(", ")])
 
 
@@ -133,21 +148,32 @@ def split(p: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple
 def _refined(width: int):
     """The identifiers of all open cells. `width` of a cell: 0 stands for an anchor's whole range."""
 
+    names = [f.split()[0] for f in _ITEMS.split(", ")]
+
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for k, th, text, p, low, high in zip(*(x[c].to_pylist() for c in ("k", "th", "text", "p", "low", "high")), strict=True):
-                if not p:
+            held, size = [], 0
+            for k, th, text, p, low, high in zip(*(x[c].to_pylist() for c in ("k", "th", "text")), *(_parts(x[c]) for c in ("p", "low", "high")), strict=True):
+                if not len(p):
                     continue
-                buf, p, low, high = _text(text), np.array(p), np.array(low), np.array(high)
+                buf, low, high = _text(text), low.astype(np.int64), high.astype(np.int64)
                 h = _Hashes(buf)
                 # the core is that of the full cell, whatever part of it this anchor has
                 lo, hi = (low // width * width, low // width * width + width - 1) if width else (low, high)
-                core = h.of(np.minimum(p, p - lo), np.maximum(p + GRAM, p - np.minimum(hi, LENGTH - GRAM) + LENGTH)) if width else h.of(p, p + GRAM)
+                core = h.of(p - lo, p - np.minimum(hi, LENGTH - GRAM) + LENGTH) if width else h.of(p, p + GRAM)
                 a, b = p - high, p - low + LENGTH
                 cell = lo // width if width else np.zeros(len(p), dtype=np.int64)
                 n = len(p)
-                cols = [core, h.of(a, b), h.of(a, b, True), cell.astype(np.int32), np.full(n, k), np.full(n, th), p.astype(np.int64), low.astype(np.int32), high.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in _ITEMS.split(", ")])
+                held.append((core, h.of(a, b), h.of(a, b, True), cell.astype(np.int32), np.full(n, k), np.full(n, th), p, low.astype(np.int32), high.astype(np.int32)))
+                size += n
+                if size > 100_000:
+                    yield batch(held)
+                    held, size = [], 0
+            if held:
+                yield batch(held)
 
     return run
 
@@ -158,20 +184,18 @@ def _next(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            out = [[] for _ in names]
-            for k, th, p, low, high, first in zip(*(x[c].to_pylist() for c in ("k", "th", "p", "low", "high", "first")), strict=True):
-                p, low, high = np.array(p, dtype=np.int64), np.array(low, dtype=np.int64), np.array(high, dtype=np.int64)
-                held = {"alone": [], "company": [], "closed": []}
-                for s in first or []:
-                    held[s["what"]].append(s["p"] * 1024 + s["high"])
-                alone, company, closed = (np.isin(p * 1024 + high, np.array(v, dtype=np.int64)) for v in held.values())
+            out = [[] for _ in names[2:]]
+            for p, low, high, first in zip(*(_parts(x[c]) for c in ("p", "low", "high", "first")), strict=True):
+                low, high = low.astype(np.int64), high.astype(np.int64)
+                name, what = p * 1024 + high, first & 3
+                alone, company, closed = (np.isin(name, first[what == c] >> 2) for c in (ALONE, COMPANY, CLOSED))
                 marked = np.stack([p - high, p - low], axis=1)[~alone]
                 still = (alone | company) & ~closed
                 q = split(p[still], low[still], high[still], width) if width else (p[:0], low[:0], high[:0])
-                for c, v in zip(out, (k, th, marked.ravel().tolist(), *(y.tolist() for y in q)), strict=True):
+                for c, v in zip(out, (marked.ravel(), *q), strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=names)
+            lists = [_lists(out[0], pa.int64()), _lists(out[1], pa.int64()), *(_lists([v.astype(np.int32) for v in c], pa.int32()) for c in out[2:])]
+            yield pa.RecordBatch.from_arrays([x["k"], x["th"], *lists], names=names)
 
     return run
 
@@ -199,8 +223,9 @@ def _firsts(items: DataFrame) -> DataFrame:
     me = F.struct("k", "th", "p", "low", "high")
     covers = items.groupBy("core", "cell", "cover", "cover2").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("me"))
     cores = covers.groupBy("core", "cell").agg(F.count(F.lit(1)).alias("covers"), F.min("me").alias("me"))
-    both = covers.select("me", F.when(F.col("n") == 1, "alone").otherwise("company").alias("what")).union(cores.where("covers = 1").select("me", F.lit("closed").alias("what")))
-    return both.groupBy("me.k", "me.th").agg(F.collect_list(F.struct("me.p", "me.high", "what")).alias("first"))
+    both = covers.select("me", F.when(F.col("n") == 1, ALONE).otherwise(COMPANY).alias("what")).union(cores.where("covers = 1").select("me", F.lit(CLOSED).alias("what")))
+    named = (F.col("me.p") * 1024 + F.col("me.high")) * 4 + F.col("what")
+    return both.groupBy("me.k", "me.th").agg(F.collect_list(named).alias("first"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
-import pytest
+import numpy as np
 
 from gapline.llm import repeats
 
@@ -37,9 +37,16 @@ def passages():
     return out + ["a" * 1000, "ab" * 900, "a" * 399, "a" * 400, prose(500) * 3, "xyz" * 500]
 
 
-@pytest.mark.parametrize("part", [1 << 22, 700])
-def test_against_brute_force(spark, monkeypatch, part):
-    monkeypatch.setattr(repeats, "PART", part)
+def test_cells_of_parts_cover_every_start(monkeypatch):
+    buf = np.frombuffer("".join(passages()).encode(), dtype=np.uint8)[:9000]
+    for part in (1 << 22, 700):
+        monkeypatch.setattr(repeats, "PART", part)
+        p, low, high, _ = repeats.cells(buf)
+        starts = np.concatenate([np.arange(a - z, a - y + 1) for a, y, z in zip(p, low, high, strict=True)])
+        assert sorted(starts) == list(range(len(buf) - 399)) and (low >= 0).all() and (high <= 300).all()
+
+
+def test_against_brute_force(spark):
     extra = passages()
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(documents(spark, extra)).collect())
     want = brute([(r[0], r[1]) for r in rows(extra)])
