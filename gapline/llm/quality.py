@@ -8,8 +8,8 @@ at or below it. All that a step gathers is sums of whole numbers, so groups of a
 shuffle and reruns agree bit for bit.
 
 Null or empty text: no words, all counts 0, fails the base rule. Null lang or source: a group of its own. Repeated rows
-are separate documents. An empty table gives an empty result. Groups of fewer than `min_group` documents are judged by
-the base rule alone.
+are separate documents. An empty table gives an empty result. Groups of fewer than `min_group` documents that pass the
+base rule are judged by the estimate of their language, and where that has fewer too by that of all documents.
 """
 
 from __future__ import annotations
@@ -113,15 +113,23 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 
 def mcd_filter(counts: DataFrame, by: tuple[str, ...] = ("lang", "source"), steps: int = 3, min_group: int = 50, cutoff: float = CUTOFF) -> DataFrame:
-    """`counts` (of base_counts) with distance2 (null where a group is too small) and kept."""
-    group = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"g{i}") for i, c in enumerate(by)]))
+    """`counts` (of base_counts) with distance2 (null where no document passes the base rule) and kept."""
+    named = lambda n: F.concat(F.lit(f"{n}"), F.to_json(F.struct(F.lit(0).alias("g"), *[F.col(f"`{c}`").cast("string").alias(f"g{i}") for i, c in enumerate(by[:n])])))
+    levels = [f"_level{n}" for n in range(len(by), -1, -1)]
     base = [c for c in counts.columns if c not in ("distance2", "kept")]
-    stats = staged(counts.select(*[F.col(f"`{c}`") for c in base], group.alias("_group"), *[x.alias(f"x{i}") for i, x in enumerate(features())]), "quality")
-    fit = stats.where(~F.col("base_failed")).select("_group", *[f"x{i}" for i in range(DIMS)])
+    stats = staged(counts.select(*[F.col(f"`{c}`") for c in base], *[named(len(by) - i).alias(c) for i, c in enumerate(levels)], *[x.alias(f"x{i}") for i, x in enumerate(features())]), "quality")
+    # the finest group of each document that is large enough
+    groups = stats.groupBy(*levels).agg(F.sum(F.when(~F.col("base_failed"), 1).otherwise(0)).alias("_n"))
+    for c in levels[1:-1]:
+        groups = groups.join(groups.groupBy(c).agg(F.sum("_n").alias(f"_n{c}")), c)
+    large = [F.when(F.col("_n" if i == 0 else f"_n{c}") >= min_group, F.col(c)) for i, c in enumerate(levels[:-1])]
+    groups = staged(groups.select(levels[0], F.coalesce(*large, F.col(levels[-1])).alias("_group")), "groups")
+    fit = stats.where(~F.col("base_failed")).select(F.explode(F.array(*levels)).alias("_group"), *[f"x{i}" for i in range(DIMS)])
+    fit = fit.join(groups.select("_group").distinct(), "_group", "left_semi")
     # start: medians of the components, and the floors as scales
     long = fit.select("_group", F.posexplode(F.array(*[f"x{i}" for i in range(DIMS)])).alias("_i", "_v"))
     medians = _boundary(long.groupBy("_group", "_i", "_v").agg(F.count(F.lit(1)).alias("_n")), ["_group", "_i"], "_v", 0.5)
-    sizes = fit.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_group)
+    sizes = fit.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
     centre = medians.groupBy("_group").agg(*[F.max(F.when(F.col("_i") == i, F.col("_cut"))).cast("double").alias(f"m{i}") for i in range(DIMS)])
     flat = [F.lit(FLOORS[i] * SCALE if i == j else 0.0).alias(f"l{i}{j}") for i in range(DIMS) for j in range(i + 1)]
     params = staged(sizes.join(centre, "_group").select("_group", "_size", *[f"m{i}" for i in range(DIMS)], *flat), "mcd")
@@ -133,14 +141,14 @@ def mcd_filter(counts: DataFrame, by: tuple[str, ...] = ("lang", "source"), step
     at = _distances(fit, params)
     cut = _boundary(at.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n")), ["_group"], "_bucket", SUPPORT)
     last = staged(params.join(cut, "_group").withColumn("_scale", F.lit(CHI2_SUPPORT) / F.greatest(F.exp((F.col("_cut") + 1) / 32.0), F.lit(CHI2_SUPPORT))), "mcd")
-    # every document, those that fail the base rule or have too small a group included
+    # every document, those that fail the base rule included
     known = last.columns[1:]
-    judged = stats.join(last, "_group", "left")
+    judged = stats.join(groups, levels[0]).join(last, "_group", "left")
     for i in range(DIMS):
         c = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"_y{k}"), range(i), F.col(f"x{i}") - F.col(f"m{i}"))
         judged = judged.withColumn(f"_y{i}", c / F.col(f"l{i}{i}"))
     d2 = reduce(lambda a, i: a + F.col(f"_y{i}") * F.col(f"_y{i}"), range(1, DIMS), F.col("_y0") * F.col("_y0"))
-    judged = judged.withColumn("distance2", F.round(d2 * F.col("_scale"), 6)).drop(*known, *[f"_y{i}" for i in range(DIMS)], *[f"x{i}" for i in range(DIMS)], "_group")
+    judged = judged.withColumn("distance2", F.round(d2 * F.col("_scale"), 6)).drop(*known, *[f"_y{i}" for i in range(DIMS)], *[f"x{i}" for i in range(DIMS)], "_group", *levels)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff))
 
 

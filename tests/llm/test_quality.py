@@ -34,6 +34,17 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert all(kept[i] for i in range(120)) and not any(kept[i] for i in range(120, 126))
 
 
+def test_outliers_of_small_groups_go(spark):
+    """Sources and languages of a few documents are judged by the estimate of the language or of all documents."""
+    rng = random.Random(6)
+    prose = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "in", "the"]) + str(rng.randrange(500)) for _ in range(rng.randrange(60, 400)))
+    junk = lambda: " ".join(w + "#$%&|*" * 3 for w in prose().split())
+    small = [("en", "t"), ("en", None), ("xx", "t"), (None, None)]
+    data = [(i, prose(), "en", "s") for i in range(120)] + [(200 + i, prose(), *g) for i, g in enumerate(small)] + [(300 + i, junk(), *g) for i, g in enumerate(small)]
+    got = quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(data) and {r.doc_id for r in got if not r.kept} == {300, 301, 302, 303}
+
+
 def test_awkward_rows(spark):
     out = quality_rules(documents(spark)).collect()
     assert len(out) == len(rows()) and all(r.kept is not None and not (r.kept and r.base_failed) for r in out)
