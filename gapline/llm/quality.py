@@ -28,8 +28,10 @@ DIMS = 4
 SUPPORT = 0.75
 #: 0.75 quantile of the chi-square distribution with four degrees of freedom.
 CHI2_SUPPORT = 5.385
-#: Squared distances beyond this (chi-square, four degrees, upper tail of about 1e-8) are outliers.
-CUTOFF = 43.0
+#: Squared distances beyond this (0.999 quantile of the chi-square distribution with four degrees of freedom) are outliers.
+CUTOFF = 18.467
+#: The consistency factor's upper end, as the floors lose their meaning where a group has hardly any scatter.
+MOST_SCALE = 2.0
 #: Least standard deviation of each component: mean word length, symbol share, repeated lines, repeated words (logs).
 FLOORS = (0.12, 0.5, 0.7, 0.7)
 #: Features are whole thousandths.
@@ -140,7 +142,7 @@ def mcd_filter(counts: DataFrame, by: tuple[str, ...] = ("lang", "source"), step
         params = staged(_cholesky(_sums(subset), "_h"), "mcd")
     at = _distances(fit, params)
     cut = _boundary(at.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n")), ["_group"], "_bucket", SUPPORT)
-    last = staged(params.join(cut, "_group").withColumn("_scale", F.lit(CHI2_SUPPORT) / F.greatest(F.exp((F.col("_cut") + 1) / 32.0), F.lit(CHI2_SUPPORT))), "mcd")
+    last = staged(params.join(cut, "_group").withColumn("_scale", F.lit(CHI2_SUPPORT) / F.greatest(F.exp((F.col("_cut") + 1) / 32.0), F.lit(CHI2_SUPPORT / MOST_SCALE))), "mcd")
     # every document, those that fail the base rule included
     known = last.columns[1:]
     judged = stats.join(groups, levels[0]).join(last, "_group", "left")

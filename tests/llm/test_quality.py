@@ -45,6 +45,20 @@ def test_outliers_of_small_groups_go(spark):
     assert len(got) == len(data) and {r.doc_id for r in got if not r.kept} == {300, 301, 302, 303}
 
 
+def test_moderately_bad_documents_go(spark):
+    """10 to 20% symbols, or half of the lines repeated, beside clean documents with a few of both."""
+    rng = random.Random(7)
+    line = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "in", "the"]) + str(rng.randrange(500)) for _ in range(8))
+    prose = lambda: [line() for _ in range(rng.randrange(20, 60))]
+    symbols = lambda t, share: re.sub(r"\S+", lambda m: m[0] + "#" * (int(share / (1 - share) * len(m[0]) + rng.random())), t)
+    clean = ["\n".join(prose()) + (" & #" if i % 4 == 0 else "") for i in range(120)]
+    bad = [symbols("\n".join(prose()), share) for share in (0.1, 0.15, 0.2)]
+    bad += ["\n".join([x for y in prose() for x in (y + " " + line(), line(), "end", "end")]) for _ in range(2)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + bad)], "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(not got[i].kept for i in range(120)) <= 1
+    assert not any(got[i].base_failed or got[i].kept for i in range(120, 125))
+
+
 def test_awkward_rows(spark):
     out = quality_rules(documents(spark)).collect()
     assert len(out) == len(rows()) and all(r.kept is not None and not (r.kept and r.base_failed) for r in out)
