@@ -1,20 +1,22 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition.
 
-Words are the matches of the public pattern. The words of a block that are new to the worker become rows (word, position,
-token), one for each byte. A recursive query joins neighbours to the merge table (every pair of tokens whose bytes together
-are a token), contracts each word's leftmost pair of least rank and goes on with the words that still had one, until none
-has. Ordered aggregation then gives each word's ids, and its bytes from the ids. A word that is a token as a whole is that
-token, as in the tiktoken library. Words longer than LONG bytes would need one step of the recursion for each merge; for
-them the same contraction runs over a linked list with a heap.
-
-Null text is empty: no ids. Repeated rows and null ids are rows like others. An empty table gives an empty result.
+Words are the matches of the public pattern. The words of a block that are new to the worker become rows of a word and its
+tokens, one for each byte at first. A turn of the recursion joins the token positions to the merge table (every pair of tokens
+whose bytes together are a token), contracts each word's leftmost pair of least rank, and goes on with the words that had
+one, until none has. Where that rank stands at several places of a word and its token is in no pair of lower rank (so that no
+lower rank can appear in between), the turn contracts all of them, from the left; long words thus take a turn for each rank
+they meet instead of one for each merge. A word that is a token as a whole is that token, as in the tiktoken library.
+Decoding joins the ids to the vocabulary and aggregates the bytes in order; nothing of the text goes into it.
+
+Null text is empty: no ids. Very long texts are coded in parts of about a megabyte, cut where a match ends for certain; a
+single word may be of any length. Repeated rows and null ids are rows like others. An empty table gives an empty result.
+Columns other than doc_id and text are not read, so none can clash.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,36 +27,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .pieces import PieceCoder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Words of one recursive query, and the longest word in bytes that takes part.
-WORDS, LONG = 10_000, 256
-#: Words and pieces remembered by a worker (about 60 MB); beyond that it starts anew.
-REMEMBERED, PIECES = 50_000, 700_000
+#: Words of one recursive query.
+WORDS = 5_000
+#: Pieces remembered by a worker (about 30 MB); beyond that it starts anew.
+PIECES = 400_000
 #: Documents of a batch that are unpacked at once.
 ROWS = 1_000
 
 _CONTRACT = """
-WITH RECURSIVE step AS (
-  SELECT word, 0 AS turn, pos, tok FROM start
-  UNION ALL
-  SELECT word, turn + 1, pos, CASE WHEN key = best THEN new ELSE tok END
-  FROM (
-    SELECT *, coalesce(lag(key = best) OVER (PARTITION BY word ORDER BY pos), false) AS gone
-    FROM (
-      SELECT *, min(key) OVER (PARTITION BY word) AS best
-      FROM (
-        SELECT s.word, s.turn, s.pos, s.tok, m.id AS new, m.id::BIGINT * 65536 + s.pos AS key
-        FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM step) s
-        LEFT JOIN merges m ON m.a = s.tok AND m.b = s.nxt
-      )
-    )
-  )
-  WHERE best IS NOT NULL AND NOT gone
-), done AS (SELECT *, max(turn) OVER (PARTITION BY word) AS last FROM step)
-SELECT word, list(tok ORDER BY pos) AS ids, string_agg(v.hex, '' ORDER BY pos) AS bytes
-FROM done JOIN vocabulary v ON v.id = tok WHERE turn = last GROUP BY word ORDER BY word
+WITH RECURSIVE step(word, toks) USING KEY (word) AS (
+  SELECT word, toks FROM start
+  UNION
+  (WITH best AS (
+     SELECT word, min(m.id * 4294967296 + idx * 2 + m.lower::INTEGER, 2) AS k
+     FROM (SELECT word, unnest(toks[:-2]) AS a, unnest(toks[2:]) AS b, unnest(range(1, len(toks))) AS idx FROM step) JOIN merges m USING (a, b)
+     GROUP BY word
+   ), next AS (
+     SELECT s.word, toks, (k[1] // 4294967296)::INTEGER AS id, (k[1] % 4294967296 // 2)::INTEGER AS i,
+       coalesce(k[1] // 4294967296 = k[2] // 4294967296 AND k[1] % 2 = 0, false) AS more
+     FROM step s JOIN best USING (word)
+   )
+   SELECT word, toks[:i-1] || [id] || toks[i+2:] AS toks FROM next WHERE NOT more
+   UNION ALL
+   SELECT word, list(CASE WHEN take THEN id ELSE tok END ORDER BY idx) AS toks FROM (
+     SELECT *, lag(take, 1, false) OVER w AS gone FROM (
+       SELECT *, hit AND (idx - max(CASE WHEN NOT hit THEN idx ELSE 0 END) OVER w) % 2 = 1 AS take FROM (
+         SELECT p.*, coalesce(m.id = p.id, false) AS hit FROM (
+           SELECT word, id, unnest(toks) AS tok, unnest(toks[2:] || [NULL]) AS b, unnest(range(1, len(toks) + 1)) AS idx FROM next WHERE more) p
+         LEFT JOIN merges m ON m.a = p.tok AND m.b = p.b)
+       WINDOW w AS (PARTITION BY word ORDER BY idx))
+     WINDOW w AS (PARTITION BY word ORDER BY idx))
+   WHERE NOT gone GROUP BY word)
+)
+SELECT word, toks AS ids FROM step ORDER BY word
 """
 
 _DECODE = """
@@ -70,68 +79,55 @@ class Codec:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pattern, self.words = regex.compile(pattern), {}
+        self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "120MB"})
         splits = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        merges = pd.DataFrame(splits, columns=["a", "b", "id"], dtype="int32")  # noqa: F841
+        splits = pd.DataFrame(splits, columns=["a", "b", "id"], dtype="int32")  # noqa: F841
         vocabulary = pd.DataFrame([(r, t.hex()) for t, r in self.ranks.items()], columns=["id", "hex"])  # noqa: F841
-        self.db.execute("CREATE TABLE merges AS SELECT a, b, id FROM merges; CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, hex FROM vocabulary")
+        # lower: a token that is in a pair of lower rank
+        self.db.execute("""
+            CREATE TABLE merges AS SELECT a, b, id, id IN (SELECT t FROM (SELECT a AS t, id FROM splits UNION ALL SELECT b, id FROM splits) WHERE id < t) AS lower FROM splits;
+            CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, hex FROM vocabulary""")
         self.pieces = PieceCoder(self._pieces, PIECES)
 
-    def _contracted(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
-        number = np.repeat(np.arange(len(words)), lengths)
-        pos = np.arange(len(number)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        start = pa.table({"word": pa.array(number, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(self.single[np.frombuffer(b"".join(words), dtype=np.uint8)])})  # noqa: F841
-        out = self.db.execute(_CONTRACT).to_arrow_table()
-        ids = out["ids"].combine_chunks()
-        flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        for a, b, h in zip(ends[:-1].tolist(), ends[1:].tolist(), out["bytes"].to_pylist(), strict=True):
-            yield flat[a:b].tobytes(), bytes.fromhex(h)
-
-    def _long(self, word: bytes) -> tuple[bytes, bytes]:
-        """The contraction of one long word: a heap of (rank, place) over a linked list."""
-        piece = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap = [(r, i) for i in range(len(word) - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i] if piece[i] is not None else len(word)
-            if j >= len(word) or self.ranks.get(piece[i] + piece[j]) != rank:
-                continue
-            piece[i], piece[j] = piece[i] + piece[j], None
-            after[i] = after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(word) and (r := self.ranks.get(piece[a] + piece[b])) is not None:
-                    heapq.heappush(heap, (r, a))
-        left = [p for p in piece if p is not None]
-        return np.array([self.ranks[p] for p in left], dtype="<u4").tobytes(), b"".join(left)
+    def _contracted(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word."""
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
+        toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]))
+        start = pa.table({"word": pa.array(np.arange(len(words), dtype=np.int32)), "toks": toks})  # noqa: F841
+        ids = self.db.sql(_CONTRACT).to_arrow_table()["ids"].combine_chunks()
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        return np.split(flat, ends[1:-1])
 
     def _pieces(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         split = [[w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(p.decode("utf-8", "surrogatepass"))] for p in pieces]
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.words))
-        whole = [w for w in new if w in self.ranks]
-        self.words.update((w, (np.array([self.ranks[w]], dtype="<u4").tobytes(), w)) for w in whole)
-        rest = [w for w in new if w not in self.ranks]
-        self.words.update((w, self._long(w)) for w in rest if len(w) > LONG)
-        short = [w for w in rest if len(w) <= LONG]
-        for i in range(0, len(short), WORDS):
-            part = short[i : i + WORDS]
-            self.words.update(zip(part, self._contracted(part), strict=True))
-        return [self.words[ws[0]] if len(ws) == 1 else (b"".join(self.words[w][0] for w in ws), b"".join(self.words[w][1] for w in ws)) for ws in split]
-
-    def decode(self, ids: list[list[int] | None]) -> list[bytes]:
-        sizes = [len(x or ()) for x in ids]
-        number = np.repeat(np.arange(len(ids)), sizes)
-        tokens = pa.table({"text": number, "pos": np.arange(len(number)), "id": pa.array([t for x in ids for t in (x or ())], pa.int32())})  # noqa: F841
-        got = dict(self.db.execute(_DECODE).fetchall())
-        return [bytes.fromhex(got.get(i, "")) for i in range(len(ids))]
+        words = dict.fromkeys(w for ws in split for w in ws)
+        ids = {w: np.array([self.ranks[w]], dtype=np.int32) for w in words if w in self.ranks}
+        rest = [w for w in words if w not in ids]
+        for i in range(0, len(rest), WORDS):
+            part = rest[i : i + WORDS]
+            ids.update(zip(part, self._contracted(part), strict=True))
+        coded = [ids[ws[0]] if len(ws) == 1 else np.concatenate([ids[w] for w in ws]) for ws in split]
+        return [(c.astype("<u4").tobytes(), b) for c, b in zip(coded, self.decode(coded), strict=True)]
+
+    def decode(self, ids: list) -> list[bytes]:
+        """The bytes that each list of ids stands for; null is empty."""
+        sizes = [0 if x is None else len(x) for x in ids]
+        out = [b""] * len(ids)
+        at = 0
+        while at < len(ids):  # about WORDS lists or tokens at a time
+            to, n = at, 0
+            while to < len(ids) and n < 4 * WORDS:
+                n += sizes[to]
+                to += 1
+            flat = [np.asarray(x, dtype=np.int32) for x in ids[at:to] if x is not None]
+            number = np.repeat(np.arange(at, to), sizes[at:to])
+            tokens = pa.table({"text": number, "pos": np.arange(len(number)), "id": np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)})  # noqa: F841
+            for i, h in self.db.sql(_DECODE).fetchall():
+                out[i] = bytes.fromhex(h)
+            at = to
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -171,6 +167,7 @@ def _encode(path: str, with_ids: bool):
 
 def encoded(docs: DataFrame, ranks: str = RANKS, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, the digests of ids and decoded bytes and, with `with_ids`, the ids of each document."""
+    bounded_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return text.mapInArrow(_encode(public_tokenizers.path(ranks), with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
@@ -178,6 +175,7 @@ def encoded(docs: DataFrame, ranks: str = RANKS, with_ids: bool = True) -> DataF
 def decoded(tokens: DataFrame, ranks: str = RANKS) -> DataFrame:
     """`doc_id` and `bytes` for each row of doc_id and ids: what the ids stand for."""
     path = public_tokenizers.path(ranks)
+    bounded_batches(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +12,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gapline-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or one in the warehouse where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/gapline-shared"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -> None:
+    """Arrow batches of this session get at most so many rows and about so many bytes; smaller settings stay.
+
+    What a Python worker holds then does not depend on the lengths of texts, but for a single longer one.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key) or ""
+        now = int(now.rstrip("b")) if now.rstrip("b").lstrip("-").isdigit() else 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import bounded_batches
+
 TOP = 300
 MOST_LABELS = 2_000
 #: Documents that score less fit no learned language.
@@ -104,6 +106,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def profiles(labelled: DataFrame, top: int = TOP) -> DataFrame:
     """lang, gram and rank (from 0) of each language's profile, from rows of text and lang."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
@@ -143,6 +146,7 @@ def learned(labelled: DataFrame, top: int = TOP) -> Model:
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document, from its text alone."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +160,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """`docs` without documents that fit no language learned from the others; a null lang becomes the prediction."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(learned(docs.where(~held_out())))
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
 

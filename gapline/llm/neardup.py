@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, staged
 from .components import components
 from .words import shingles, word_hashes
 
@@ -103,6 +103,7 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, node (the set's fingerprint) and regs of each document; staged."""
+    bounded_batches(docs.sparkSession)
     return staged(_slim(docs).mapInArrow(_sign(words), _SIGNED), "signatures")
 
 
@@ -225,7 +226,8 @@ def labelled(docs: DataFrame, words: int = 4, percent: int = 80) -> tuple[DataFr
     # texts of classes that share a key with another
     wanted = members.select("node").distinct().join(classes.select("node", "rep.k", "rep.th"), "node")
     keyed_docs = _slim(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("k"), "th", "text").where(F.col("text").isNotNull())
-    texts = staged(keyed_docs.join(wanted, ["k", "th"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # grouped by the join's keys too, so that texts are dealt once
+    texts = staged(keyed_docs.join(wanted, ["k", "th"]).groupBy("k", "th", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts", compression="zstd")
     size = near.groupBy("a").agg(F.count(F.lit(1)).alias("_count"), F.sum("nb").alias("_size"))
     spread = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("_count") / MEMBERS), F.ceil(F.col("_size") / SHINGLES)))
     star_cells = near.join(size, "a").select(F.concat_ws(":", F.hex("a"), spread.cast("string")).alias("cell"), "a", "b")

@@ -60,8 +60,21 @@ def test_decoding_gives_the_text_back(spark):
     assert back == {r.doc_id: (r.text or "").encode() for r in docs.collect()}
 
 
-def test_recursion_and_heap_agree():
+def test_long_words(tiktoken_ids):
+    """Words of thousands of bytes, runs of one letter among them, by the same recursion."""
     codec = bpe.Codec(public_tokenizers.path(bpe.RANKS))
     rng = random.Random(2)
-    words = ["".join(rng.choice("abeinrst") for _ in range(rng.randrange(2, 40))).encode() for _ in range(200)]
-    assert list(codec._contracted(words)) == [codec._long(w) for w in words]
+    words = ["".join(rng.choice("abeinrst") for _ in range(rng.randrange(2, 40))) for _ in range(200)]
+    words += ["a" * n for n in (3, 4, 5, 6, 7, 257, 5000)] + ["ab" * 700, "日本語" * 400, "".join(rng.choice("abcdefgh") for _ in range(2000))]
+    assert [x.tolist() for x in codec._contracted([w.encode() for w in words])] == [tiktoken_ids(w) for w in words]
+
+
+def test_a_wrong_id_shows_in_the_decoded_bytes():
+    """Decoding rests on the ids alone, for words that are tokens as a whole as well."""
+    codec = bpe.Codec(public_tokenizers.path(bpe.RANKS))
+    right = next(codec.pieces.encode(["the rest is unwordedly"], decode=True))
+    assert b"".join(right[2]) == b"the rest is unwordedly"
+    codec = bpe.Codec(public_tokenizers.path(bpe.RANKS))
+    codec.ranks[b" rest"], codec.ranks[b" is"] = codec.ranks[b" is"], codec.ranks[b" rest"]
+    wrong = next(codec.pieces.encode(["the rest is unwordedly"], decode=True))
+    assert b"".join(wrong[2]) == b"the is rest unwordedly"
