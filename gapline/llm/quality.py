@@ -1,20 +1,33 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Counts come from whole texts in one pass without a shuffle: words, symbols, repeated lines and repeated five-word windows.
-Per language and source a minimum-covariance-determinant estimate is then fitted to a transformed vector of the counts by
-concentration steps: the distances to the present centre and scatter are put in a histogram of fixed logarithmic buckets,
-the bucket that completes three quarters of the group is found, and centre and scatter are taken anew from the documents
-at or below it. All that a step gathers is sums of whole numbers, so groups of any size are pre-aggregated before the
-shuffle and reruns agree bit for bit.
-
-Null or empty text: no words, all counts 0, fails the base rule. Null lang or source: a group of its own. Repeated rows
-are separate documents. An empty table gives an empty result. Groups of fewer than `min_group` documents that pass the
-base rule are judged by the estimate of their language, and where that has fewer too by that of all documents.
+Per language and source a minimum-covariance-determinant estimate is then fitted to a transformed vector of the counts. The
+counts of repeats are 0 in most documents, which would make any such determinant 0; so a fixed diagonal (the squares of
+FLOORS, about one repeated line or symbol more or less) is added to every scatter, and the determinant of the sum is what is
+minimised (a regularised minimum determinant, for which concentration steps never raise it either).
+
+1. Equal vectors of a group become one row with their number, so a step reads no more rows than there are different vectors.
+2. Three starts: the medians with the floors as scales; mean and covariance of all; the medians with the covariance of the
+   directions seen from them (spatial signs).
+3. A concentration step ranks a group's vectors by their distance under the present estimate and takes mean and scatter of
+   the nearest three quarters. Ranks come from a histogram of fixed logarithmic buckets that holds the sums too; the bucket
+   at the boundary counts with the share that is still to be filled. Steps go on as long as they lower the determinant, for
+   each group and start by itself; of a group's starts the one of the least determinant is kept.
+4. Distances are scaled so that the three-quarters quantile of a group is that of the chi-square distribution. Documents
+   beyond its 0.999 quantile are outliers.
+
+What a step gathers is sums of whole numbers, pre-aggregated before the shuffle, so no group meets in one task and reruns
+agree. Null or empty text: no words, all counts 0, fails the base rule. Null lang or source: a group of its own. Repeated
+rows are separate documents, and ties share a bucket. Very long texts are counted whole. An empty table gives an empty
+result. Groups of fewer than `min_group` documents that pass the base rule are judged by the estimate of their language,
+and where that has fewer too by that of all documents. Extra columns stay, but those named like a count, distance2 or kept
+are replaced; names with a leading underscore are for the steps' own columns.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +39,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIMS = 4
 #: Share of a group that the estimate rests on.
 SUPPORT = 0.75
-#: 0.75 quantile of the chi-square distribution with four degrees of freedom.
+# Quantiles of the chi-square distribution with four degrees of freedom, 0.75 and 0.999.
 CHI2_SUPPORT = 5.385
-#: Squared distances beyond this (0.999 quantile of the chi-square distribution with four degrees of freedom) are outliers.
 CUTOFF = 18.467
 #: The consistency factor's upper end, as the floors lose their meaning where a group has hardly any scatter.
 MOST_SCALE = 2.0
@@ -36,6 +48,12 @@ MOST_SCALE = 2.0
 FLOORS = (0.12, 0.5, 0.7, 0.7)
 #: Features are whole thousandths.
 SCALE = 1000
+#: Buckets of squared distance for each natural logarithm.
+FINE = 64
+#: A step that lowers the logarithm of the determinant by less than this is the last.
+LEAST_FALL = 1e-6
+#: Estimates are broadcast while there are no more of them than this (about 200 bytes each).
+BROADCAST_GROUPS = 20_000
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -75,46 +93,96 @@ def features() -> list[Column]:
     return [F.round(x * SCALE).cast("long") for x in raw]
 
 
-def _cholesky(params: DataFrame, n: str) -> DataFrame:
-    """Columns m0.. (centre) and l00.. (lower factor of scatter plus floors) from the sums s0.., q00.. over n rows."""
-    cols = [(F.col(f"s{i}") / F.col(n)).alias(f"m{i}") for i in range(DIMS)]
-    cov = {}
-    for i in range(DIMS):
-        for j in range(i + 1):
-            c = (F.col(f"q{i}{j}") - F.col(f"s{i}").cast("double") * F.col(f"s{j}") / F.col(n)) / F.greatest(F.col(n) - 1, F.lit(1))
-            cov[i, j] = c + (FLOORS[i] * SCALE) ** 2 * (i == j)
-    out = params.select("_group", "_size", *cols, *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
-    for i in range(DIMS):
-        for j in range(i + 1):
-            c = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-6))) if i == j else c / F.col(f"l{j}{j}"))
-    return out.select("_group", "_size", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
-
-
-def _distances(stats: DataFrame, params: DataFrame) -> DataFrame:
-    """`stats` with _d2, the squared Mahalanobis distance under its group's parameters."""
-    out = stats.join(params, "_group")
-    for i in range(DIMS):
-        c = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"_y{k}"), range(i), F.col(f"x{i}") - F.col(f"m{i}"))
-        out = out.withColumn(f"_y{i}", c / F.col(f"l{i}{i}"))
-    d2 = reduce(lambda a, i: a + F.col(f"_y{i}") * F.col(f"_y{i}"), range(1, DIMS), F.col("_y0") * F.col("_y0"))
-    return out.withColumn("_d2", d2).withColumn("_bucket", F.floor(F.log(F.greatest("_d2", F.lit(1e-9))) * 32).cast("int")).drop(*[f"_y{i}" for i in range(DIMS)])
-
-
-def _boundary(counted: DataFrame, key: list[str], value: str, share: float) -> DataFrame:
-    """Per key the least value at which the running count reaches `share` of the group: `_cut`."""
-    w = W.partitionBy(*key)
-    run = counted.withColumn("_run", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
-    return run.where(F.col("_run") >= F.ceil(F.col("_all") * share)).groupBy(*key).agg(F.min(value).alias("_cut"))
-
-
-def _sums(rows: DataFrame) -> DataFrame:
-    s = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)]
-    q = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    return rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_h"), F.first("_size").alias("_size"), *s, *q)
-
-
-def mcd_filter(counts: DataFrame, by: tuple[str, ...] = ("lang", "source"), steps: int = 3, min_group: int = 50, cutoff: float = CUTOFF) -> DataFrame:
+_PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+_ESTIMATE = ["_group", "_start", *[f"m{i}" for i in range(DIMS)], *[f"p{i}{j}" for i, j in _PAIRS], "_det"]
+
+
+def _estimates(moments: DataFrame) -> DataFrame:
+    """Centre m0.., inverse scatter p00.. and logarithm of its determinant from the centre and the covariances c00.. ."""
+    out = moments.select("_group", "_start", *[f"m{i}" for i in range(DIMS)], *[(F.col(f"c{i}{j}") + F.lit((FLOORS[i] * SCALE) ** 2 * (i == j))).alias(f"c{i}{j}") for i, j in _PAIRS])
+    for i, j in _PAIRS:  # lower factor
+        c = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}{j}"))
+    for i, j in sorted(_PAIRS, key=lambda x: x[0] - x[1]):  # its inverse
+        c = reduce(add, [F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)], F.lit(0.0))
+        out = out.withColumn(f"v{i}{j}", 1 / F.col(f"l{i}{i}") if i == j else -c / F.col(f"l{i}{i}"))
+    inverse = [reduce(add, [F.col(f"v{k}{i}") * F.col(f"v{k}{j}") for k in range(i, DIMS)]).alias(f"p{i}{j}") for i, j in _PAIRS]
+    return out.select("_group", "_start", *[f"m{i}" for i in range(DIMS)], *inverse, (2 * reduce(add, [F.log(f"l{i}{i}") for i in range(DIMS)])).alias("_det"))
+
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance of x0.. under m0.., p00.. ."""
+    away = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIMS)]
+    return reduce(add, [F.col(f"p{i}{j}") * away[i] * away[j] * (1 if i == j else 2) for i, j in _PAIRS])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """`df`, a written table of groups, broadcast while it is small; beyond that a plain join, of which skewed parts are split."""
+    return F.broadcast(df) if df.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else df
+
+
+def _histogram(fit: DataFrame, params: DataFrame) -> DataFrame:
+    """Number and sums of the vectors in each bucket of distance, with the share of the bucket that is among the nearest."""
+    bucket = F.floor(F.log(F.greatest(_distance(), F.lit(1e-9))) * FINE).cast("int")
+    s = [F.sum(F.col("_w") * F.col(f"x{i}")).alias(f"s{i}") for i in range(DIMS)]
+    q = [F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]
+    at = fit.join(_small(params), "_group").withColumn("_bucket", bucket).groupBy("_group", "_start", "_bucket").agg(F.sum("_w").alias("_n"), *s, *q)
+    w = W.partitionBy("_group", "_start")
+    run = at.withColumn("_before", F.sum("_n").over(w.orderBy("_bucket")) - F.col("_n")).withColumn("_half", F.ceil(F.sum("_n").over(w) * SUPPORT))
+    return run.withColumn("_share", F.least(F.greatest((F.col("_half") - F.col("_before")) / F.col("_n"), F.lit(0.0)), F.lit(1.0)))
+
+
+def _step(fit: DataFrame, params: DataFrame) -> DataFrame:
+    """The estimates from the nearest vectors under `params`."""
+    part = (F.col("_share") > 0) & (F.col("_share") < 1)
+    # whole buckets as whole numbers and the one at the boundary by itself: the order of summation does not matter
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("_share") == 1, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(part, F.col("_share") * F.col(c))), F.lit(0.0))
+    names = [*[f"s{i}" for i in range(DIMS)], *[f"q{i}{j}" for i, j in _PAIRS]]
+    sums = _histogram(fit, params).groupBy("_group", "_start").agg(F.max("_half").alias("_half"), *[total(c).alias(c) for c in names])
+    return _estimates(_moments(sums, "_half"))
+
+
+def _moments(sums: DataFrame, n: str) -> DataFrame:
+    mean = [F.col(f"s{i}") / F.col(n) for i in range(DIMS)]
+    return sums.select("_group", "_start", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(F.col(f"q{i}{j}") / F.col(n) - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in _PAIRS])
+
+
+def _starts(fit: DataFrame) -> DataFrame:
+    """The three first estimates of each group."""
+    long = fit.select("_group", "_w", F.posexplode(F.array(*[f"x{i}" for i in range(DIMS)])).alias("_i", "_v")).groupBy("_group", "_i", "_v").agg(F.sum("_w").alias("_n"))
+    w = W.partitionBy("_group", "_i")
+    run = long.withColumn("_run", F.sum("_n").over(w.orderBy("_v"))).withColumn("_all", F.sum("_n").over(w))
+    medians = run.where(2 * F.col("_run") >= F.col("_all")).groupBy("_group").agg(*[F.min(F.when(F.col("_i") == i, F.col("_v"))).cast("double").alias(f"m{i}") for i in range(DIMS)])
+    medians = staged(medians, "medians")
+    zero = [F.lit(0.0).alias(f"c{i}{j}") for i, j in _PAIRS]
+    first = medians.select("_group", F.lit(0).alias("_start"), *[f"m{i}" for i in range(DIMS)], *zero)
+    whole = fit.groupBy("_group").agg(F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * F.col(f"x{i}")).alias(f"s{i}") for i in range(DIMS)], *[F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
+    second = _moments(whole.withColumn("_start", F.lit(1)), "_n")
+    away = [(F.col(f"x{i}") - F.col(f"m{i}")) / (FLOORS[i] * SCALE) for i in range(DIMS)]
+    square = F.greatest(reduce(add, [x * x for x in away]), F.lit(1e-9))
+    signs = fit.join(_small(medians), "_group").groupBy("_group").agg(F.sum("_w").alias("_n"), *[F.max(f"m{i}").alias(f"m{i}") for i in range(DIMS)], *[F.sum(F.col("_w") * F.round(1e6 * away[i] * away[j] / square).cast("long")).alias(f"q{i}{j}") for i, j in _PAIRS])
+    third = signs.select("_group", F.lit(2).alias("_start"), *[f"m{i}" for i in range(DIMS)], *[(F.col(f"q{i}{j}") / F.col("_n") * (DIMS * 1e-6 * FLOORS[i] * FLOORS[j] * SCALE**2)).alias(f"c{i}{j}") for i, j in _PAIRS])
+    return _estimates(first.unionByName(second).unionByName(third)).withColumn("_det", F.lit(1e300))
+
+
+def estimates(fit: DataFrame) -> DataFrame:
+    """The estimate of least determinant of each group, from rows of _group, x0.. and their number _w; staged."""
+    now, ended = staged(_starts(fit), "mcd"), None
+    while True:
+        new = _step(fit, now).select("_group", "_start", *[F.col(c).alias(f"_new_{c}") for c in _ESTIMATE[2:]])
+        both = now.join(new, ["_group", "_start"])
+        falls = F.col("_new__det") < F.col("_det") - LEAST_FALL
+        both = staged(both.select("_group", "_start", *[F.when(falls, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in _ESTIMATE[2:]], falls.alias("_falls")), "mcd")
+        over = both.where("NOT _falls").select(*_ESTIMATE)
+        ended = over if ended is None else ended.union(over)
+        now = both.where("_falls").select(*_ESTIMATE)
+        if now.isEmpty():
+            break
+    best = ended.groupBy("_group").agg(F.min(F.struct("_det", "_start", *_ESTIMATE[2:-1])).alias("e"))
+    return staged(best.select("_group", *[F.col(f"e.{c}").alias(c) for c in _ESTIMATE[1:]]), "mcd")
+
+
+def mcd_filter(counts: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_group: int = 50, cutoff: float = CUTOFF) -> DataFrame:
     """`counts` (of base_counts) with distance2 (null where no document passes the base rule) and kept."""
     named = lambda n: F.concat(F.lit(f"{n}"), F.to_json(F.struct(F.lit(0).alias("g"), *[F.col(f"`{c}`").cast("string").alias(f"g{i}") for i, c in enumerate(by[:n])])))
     levels = [f"_level{n}" for n in range(len(by), -1, -1)]
@@ -126,31 +194,17 @@ def mcd_filter(counts: DataFrame, by: tuple[str, ...] = ("lang", "source"), step
         groups = groups.join(groups.groupBy(c).agg(F.sum("_n").alias(f"_n{c}")), c)
     large = [F.when(F.col("_n" if i == 0 else f"_n{c}") >= min_group, F.col(c)) for i, c in enumerate(levels[:-1])]
     groups = staged(groups.select(levels[0], F.coalesce(*large, F.col(levels[-1])).alias("_group")), "groups")
-    fit = stats.where(~F.col("base_failed")).select(F.explode(F.array(*levels)).alias("_group"), *[f"x{i}" for i in range(DIMS)])
-    fit = fit.join(groups.select("_group").distinct(), "_group", "left_semi")
-    # start: medians of the components, and the floors as scales
-    long = fit.select("_group", F.posexplode(F.array(*[f"x{i}" for i in range(DIMS)])).alias("_i", "_v"))
-    medians = _boundary(long.groupBy("_group", "_i", "_v").agg(F.count(F.lit(1)).alias("_n")), ["_group", "_i"], "_v", 0.5)
-    sizes = fit.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
-    centre = medians.groupBy("_group").agg(*[F.max(F.when(F.col("_i") == i, F.col("_cut"))).cast("double").alias(f"m{i}") for i in range(DIMS)])
-    flat = [F.lit(FLOORS[i] * SCALE if i == j else 0.0).alias(f"l{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    params = staged(sizes.join(centre, "_group").select("_group", "_size", *[f"m{i}" for i in range(DIMS)], *flat), "mcd")
-    for _ in range(steps):
-        at = _distances(fit, params)
-        cut = _boundary(at.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n")), ["_group"], "_bucket", SUPPORT)
-        subset = at.join(cut, "_group").where(F.col("_bucket") <= F.col("_cut"))
-        params = staged(_cholesky(_sums(subset), "_h"), "mcd")
-    at = _distances(fit, params)
-    cut = _boundary(at.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n")), ["_group"], "_bucket", SUPPORT)
-    last = staged(params.join(cut, "_group").withColumn("_scale", F.lit(CHI2_SUPPORT) / F.greatest(F.exp((F.col("_cut") + 1) / 32.0), F.lit(CHI2_SUPPORT / MOST_SCALE))), "mcd")
+    xs = [f"x{i}" for i in range(DIMS)]
+    once = stats.where(~F.col("base_failed")).groupBy(*levels, *xs).agg(F.count(F.lit(1)).alias("_w"))
+    fit = once.select(F.explode(F.array(*levels)).alias("_group"), *xs, "_w").groupBy("_group", *xs).agg(F.sum("_w").alias("_w"))
+    fit = staged(fit.join(_small(staged(groups.select("_group").distinct(), "groups")), "_group", "left_semi"), "vectors")
+    best = estimates(fit)
+    cut = _histogram(fit, best).where("_share > 0").groupBy("_group").agg(F.max("_bucket").alias("_cut"))
+    scale = F.lit(CHI2_SUPPORT) / F.greatest(F.exp((F.col("_cut") + 1) / float(FINE)), F.lit(CHI2_SUPPORT / MOST_SCALE))
+    last = staged(best.join(cut, "_group").withColumn("_scale", scale), "mcd")
     # every document, those that fail the base rule included
-    known = last.columns[1:]
-    judged = stats.join(groups, levels[0]).join(last, "_group", "left")
-    for i in range(DIMS):
-        c = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"_y{k}"), range(i), F.col(f"x{i}") - F.col(f"m{i}"))
-        judged = judged.withColumn(f"_y{i}", c / F.col(f"l{i}{i}"))
-    d2 = reduce(lambda a, i: a + F.col(f"_y{i}") * F.col(f"_y{i}"), range(1, DIMS), F.col("_y0") * F.col("_y0"))
-    judged = judged.withColumn("distance2", F.round(d2 * F.col("_scale"), 6)).drop(*known, *[f"_y{i}" for i in range(DIMS)], *[f"x{i}" for i in range(DIMS)], "_group", *levels)
+    judged = stats.join(_small(groups), levels[0]).join(_small(last), "_group", "left")
+    judged = judged.withColumn("distance2", F.round(_distance() * F.col("_scale"), 6)).drop(*last.columns, *xs, *levels)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff))
 
 

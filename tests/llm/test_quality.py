@@ -2,6 +2,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from gapline.llm import quality
 from gapline.llm.quality import base_counts, quality_rules
 
 from .data import documents, rows
@@ -59,6 +63,73 @@ def test_moderately_bad_documents_go(spark):
     assert not any(got[i].base_failed or got[i].kept for i in range(120, 125))
 
 
+def plain_mcd(x, starts=60, support=0.75):
+    """The least determinant of scatter plus floors by exact concentration steps from many random starts."""
+    rng = np.random.default_rng(1)
+    h, floors = int(np.ceil(support * len(x))), np.diag((np.array(quality.FLOORS) * quality.SCALE) ** 2)
+    best = (np.inf, None, None)
+    for k in range(starts):
+        sub = x[rng.choice(len(x), 5 if k else len(x), replace=False)]
+        before = np.inf
+        while True:
+            m, c = sub.mean(axis=0), np.cov(sub.T, bias=True) + floors
+            det = np.linalg.slogdet(c)[1]
+            if len(sub) == h and det > before - 1e-9:
+                break
+            before = det if len(sub) == h else np.inf
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            sub = x[np.argsort(d2, kind="stable")[:h]]
+        if det < best[0]:
+            best = (det, m, c)
+    return best
+
+
+def test_estimates_against_a_plain_version(spark):
+    """Determinants no larger than exact steps from 60 starts reach, and distances that agree, with a third of bad vectors aside."""
+    rng = np.random.default_rng(4)
+    groups = {}
+    for g in range(4):
+        n = 400
+        x = rng.multivariate_normal([1700, 300, 200, 100], np.diag([150, 400, 500, 300]) @ (np.eye(4) * (1 - g / 5) + g / 5) @ np.diag([150, 400, 500, 300]), n)
+        x[: 30 * g] = rng.multivariate_normal([2600, 3500, 3000, 100 + 900 * g], np.eye(4) * 9000, 30 * g)
+        groups[f"g{g}"] = np.maximum(np.round(x), 0).astype(int)
+    rows = [(g, *map(int, v), 1) for g, x in groups.items() for v in x]
+    fit = spark.createDataFrame(rows, "_group string, x0 long, x1 long, x2 long, x3 long, _w long")
+    got = {r["_group"]: r.asDict() for r in quality.estimates(fit).collect()}
+    for g, x in groups.items():
+        det, m, c = plain_mcd(x.astype(float))
+        e = got[g]
+        assert e["_det"] <= det + 0.02, (g, e["_det"], det)
+        p = np.array([[e[f"p{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+        d = x - np.array([e[f"m{i}"] for i in range(4)])
+        mine, plain = np.einsum("ij,jk,ik->i", d, p, d), np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        assert np.corrcoef(mine, plain)[0, 1] > 0.99 and np.median(np.abs(mine / plain - 1)) < 0.1
+
+
+def test_verdict_against_a_plain_version(spark):
+    """distance2 and kept of whole documents, one group, against exact steps and the same scaling."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["alpha", "beta", "gammas", "delta", "of", "in", "the"]) + str(rng.randrange(500))
+    texts = ["\n".join(" ".join(word() + ("#" if rng.random() < i % 7 / 60 else "") for _ in range(8)) for _ in range(rng.randrange(5, 40))) for i in range(150)]
+    texts += [t + "\n" + "\n".join([t.split("\n")[0]] * (3 + i % 9)) for i, t in enumerate(texts[:20])] + [t.replace(" ", " $%&") for t in texts[20:35]]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    out = quality_rules(docs)
+    vectors = {r.doc_id: r for r in base_counts(docs).select("doc_id", "base_failed", F.array(*quality.features()).alias("x")).collect()}
+    x = np.array([r.x for r in vectors.values() if not r.base_failed], dtype=float)
+    _, m, c = plain_mcd(x)
+    d2 = np.sort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m))
+    scale = quality.CHI2_SUPPORT / max(d2[int(np.ceil(0.75 * len(x))) - 1], quality.CHI2_SUPPORT / quality.MOST_SCALE)
+    n = 0
+    for r in out.collect():
+        v = np.array(vectors[r.doc_id].x) - m
+        want = v @ np.linalg.inv(c) @ v * scale
+        assert abs(r.distance2 - want) <= 0.1 * want + 0.3, (r.doc_id, r.distance2, want)
+        if abs(want - quality.CUTOFF) > 2:
+            assert r.kept == (want <= quality.CUTOFF and not r.base_failed)
+            n += 1
+    assert n > 150
+
+
 def test_awkward_rows(spark):
     out = quality_rules(documents(spark)).collect()
     assert len(out) == len(rows()) and all(r.kept is not None and not (r.kept and r.base_failed) for r in out)
