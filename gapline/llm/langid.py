@@ -4,10 +4,13 @@ A profile is the `TOP` most frequent character n-grams (one to three characters
 order of frequency. A language's profile comes from all labelled documents but the held-out ones: each task counts its
 part by language, the counts are summed by language and n-gram, and the top of each language is kept. A document goes to
 the language whose profile has the least out-of-place distance from its own; an n-gram that a profile lacks counts `TOP`.
+The profiles of LABELS languages at a time are broadcast (TOP n-grams each); of more, documents pass one block of languages
+after the other and keep the best.
 
 Null text, or text without a letter: `und`, score 0. Ties go to the language first in code-point order. Null lang: not
 learned from. Null doc_id: not held out. Without any labelled document all are `und`. Repeated rows count as often as they
-stand. An empty table gives an empty result. What is broadcast is TOP n-grams for each label, refused beyond MOST_LABELS.
+stand. An empty table gives an empty result. Very long texts are counted whole, in parts cut between words. Columns other
+than doc_id, text and lang are not read by the prediction; `accepted` carries all columns along as they are.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches
+from .common import bounded_batches, staged
 
 TOP = 300
-MOST_LABELS = 2_000
+LABELS = 2_000
 #: Documents that score less fit no learned language.
 LEAST_SCORE = 0.1
 _EDGE = 1  # stands for the end of a word
@@ -123,35 +126,46 @@ class Model:
         column = {x: i for i, x in enumerate(self.langs)}
         self.ranks[np.searchsorted(self.codes, rows["gram"]), [column[x] for x in rows["lang"]]] = rows["rank"]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def away(self, text: str | None) -> tuple[float, str] | None:
+        """Least distance as a share of the greatest one, and its language; none without letters or languages."""
         codes, n = counted(text or "")
         if not len(codes) or not self.langs:
-            return "und", 0.0
+            return None
         own = codes[np.argsort(-n, kind="stable")[: self.top]]
         at = np.searchsorted(self.codes, own)
         at[at < len(self.codes)] = np.where(self.codes[at[at < len(self.codes)]] == own[at < len(self.codes)], at[at < len(self.codes)], len(self.codes))
         ranks = self.ranks[at]
         away = np.where(ranks < 0, self.top, np.abs(ranks - np.arange(len(own))[:, None])).sum(axis=0)
         best = int(np.argmin(away))
-        return self.langs[best], float(1 - away[best] / (self.top * len(own)))
+        return float(away[best] / (self.top * len(own))), self.langs[best]
 
 
-def learned(labelled: DataFrame, top: int = TOP) -> Model:
-    """The model of all labelled rows; at most `top` n-grams for each label come to the driver."""
-    labels = labelled.where(F.col("lang").isNotNull()).select("lang").distinct().limit(MOST_LABELS + 1).count()
-    if labels > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels: these are no languages")
-    return Model(profiles(labelled, top).toPandas(), top)
+def learned(labelled: DataFrame, top: int = TOP, labels: int = LABELS) -> list[Model]:
+    """The models of all labelled rows, a block of at most about `labels` languages each."""
+    rows = labelled.where(F.col("lang").isNotNull())
+    n = -(-rows.select("lang").distinct().count() // labels)
+    if n <= 1:
+        return [Model(profiles(rows, top).toPandas(), top)]
+    every = staged(profiles(rows, top), "profiles")
+    return [Model(every.where(F.pmod(F.xxhash64("lang"), F.lit(n)) == k).toPandas(), top) for k in range(n)]
 
 
-def identified(docs: DataFrame, model: Model) -> DataFrame:
+def _predicted(models: list, texts: list[str | None]) -> list[tuple[str, float]]:
+    out = []
+    for t in texts:
+        found = [x for m in models if (x := m.value.away(t)) is not None]
+        out.append((min(found)[1], 1 - min(found)[0]) if found else ("und", 0.0))
+    return out
+
+
+def identified(docs: DataFrame, models: list[Model]) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document, from its text alone."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in models]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            got = [shared.value.predict(t) for t in x["text"].to_pylist()]
+            got = _predicted(shared, x["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([x["doc_id"], x["held_out"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -161,12 +175,12 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """`docs` without documents that fit no language learned from the others; a null lang becomes the prediction."""
     bounded_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(learned(docs.where(~held_out())))
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in learned(docs.where(~held_out()))]
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            got = [model.value.predict(t) for t in x.column(at_text).to_pylist()]
+            got = _predicted(shared, x.column(at_text).to_pylist())
             langs = [old if old is not None else new for old, (new, _) in zip(x.column(at_lang).to_pylist(), got, strict=True)]
             fine = pa.array([lang != "und" and score >= least_score for lang, score in got], pa.bool_())
             columns = [pa.array(langs, x.column(i).type) if i == at_lang else x.column(i) for i in range(x.num_columns)]

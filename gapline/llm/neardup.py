@@ -13,7 +13,8 @@
 
 Null, empty or blank texts have no set, link with nothing and are their own component. Null ids: a document with a null id
 is linked like others but never names a component; a component of null ids alone is null. Repeated rows share a class.
-An empty table gives an empty result. Columns other than the id and the text are not read.
+An empty table gives an empty result. Very long texts are hashed whole, in parts cut at white space. Columns other than the
+id and the text are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 _SHIFT = np.uint64(57)
 MANTISSA = 10
-#: Estimates this far below the least similarity (4.5 standard deviations of 128 registers) are not confirmed.
-SLACK = 0.16
+#: Estimates this far below the least similarity (over eight standard deviations of 128 registers) are not confirmed, and
+#: those of sets of fewer shingles than SMALL, whose registers repeat each other, drop nothing.
+SLACK, SMALL = 0.3, 128
 #: Members and shingles of a block.
 MEMBERS, SHINGLES = 512, 1 << 21
 
@@ -112,7 +114,8 @@ def _key(band: int) -> Column:
 
 
 def _agree(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
-    return (estimate((a == b).mean(axis=1), na, nb) >= least - SLACK) & (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-9)
+    near = (estimate((a == b).mean(axis=1), na, nb) >= least - SLACK) | (np.minimum(na, nb) < SMALL)
+    return near & (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-9)
 
 
 def _table(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -216,7 +219,8 @@ def labelled(docs: DataFrame, words: int = 4, percent: int = 80) -> tuple[DataFr
     of_class = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("k"), "th")).alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("regs").alias("regs"))
     classes = staged(of_class, "classes")
     keyed = classes.select("node", "n_shingles", F.posexplode(F.array(*[_key(b) for b in range(BANDS)])).alias("band", "key"))
-    stars = keyed.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("_count"), F.sum("n_shingles").alias("_size")).where(F.col("_count") > 1)
+    # written, so that the join below stands alone and its hot keys can be split
+    stars = staged(keyed.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("_count"), F.sum("n_shingles").alias("_size")).where(F.col("_count") > 1), "stars")
     members = staged(keyed.join(stars, "key").select("key", "band", "node", "n_shingles", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("nc"), "_count", "_size"), "members")
     # the star: one centre a key
     pairs = members.where((F.col("node") != F.col("centre")) & (F.least("n_shingles", "nc") >= least * F.greatest("n_shingles", "nc") - 1e-9))
@@ -238,7 +242,7 @@ def labelled(docs: DataFrame, words: int = 4, percent: int = 80) -> tuple[DataFr
     each = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
     total = each.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max(F.struct("n", "label", "size")).alias("m"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("labels"))
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / MEMBERS), F.ceil(size / SHINGLES)).cast("int")
-    several = total.where("labels > 1").select("key", "main", blocks(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("_ni"), blocks(F.col("n"), F.col("size")).alias("_nj"))
+    several = staged(total.where("labels > 1").select("key", "main", blocks(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("_ni"), blocks(F.col("n"), F.col("size")).alias("_nj")), "keys")
     rows_of = staged(known.join(several, "key").withColumn("out", F.col("label") != F.col("main")), "several")
     if rows_of.isEmpty():
         return rows, labels

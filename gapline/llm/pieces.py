@@ -142,8 +142,9 @@ class _Store:
 class PieceCoder:
     """encode_pieces: distinct pieces as bytes to (ids as little-endian unsigned 32-bit bytes, decoded bytes)."""
 
-    def __init__(self, encode_pieces: Callable[[list[bytes]], list[tuple[bytes, bytes]]], remembered: int = REMEMBERED):
-        self.encode_pieces, self.remembered, self.known = encode_pieces, remembered, _Store()
+    def __init__(self, encode_pieces: Callable[[list[bytes]], list[tuple[bytes, bytes]]], remembered: int = REMEMBERED, whole: Iterable[bytes] = ()):
+        """`whole`: literals that are never cut."""
+        self.encode_pieces, self.remembered, self.known, self.whole = encode_pieces, remembered, _Store(), tuple(whole)
         self.powers, self.other = Powers(), Powers(np.uint64(0xD1342543DE82EF95))
 
     def block(self, held: list[bytes], decode: bool = False) -> tuple[list[np.ndarray], list[bytes]]:
@@ -152,7 +153,14 @@ class PieceCoder:
         buf = np.frombuffer(joined, dtype=np.uint8)
         lengths = np.array([len(x) for x in held], dtype=np.int64)
         first = np.cumsum(lengths + 1) - lengths  # places where texts start
-        starts = np.concatenate([first[lengths > 0], cut_places(buf)])
+        cuts = cut_places(buf)
+        for literal in self.whole:
+            at = joined.find(literal)
+            while at >= 0:
+                a, b = np.searchsorted(cuts, [at + 1, at + len(literal)])
+                cuts = np.delete(cuts, slice(a, b))
+                at = joined.find(literal, at + len(literal))
+        starts = np.concatenate([first[lengths > 0], cuts])
         starts.sort()
         starts = starts[np.concatenate([[True], starts[1:] != starts[:-1]])] if len(starts) else starts
         text_of = np.searchsorted(first, starts, side="right") - 1

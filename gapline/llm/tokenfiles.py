@@ -5,7 +5,9 @@ file a range. Beside the ids a file holds doc_id, the number of tokens and the p
 lengths and places can be read without the ids, and single documents by row group and page.
 
 Null text is empty: the end id alone. Null ids come first; rows with equal ids are ordered by text, and repeated rows are
-written as often as they stand. An empty table gives an empty result.
+written as often as they stand. Very long texts are coded in parts of about a megabyte, cut where the tokenizer cuts for
+certain. A special token's literal in a text becomes that token, as the library does by itself, and is never cut. An empty
+table gives an empty result. Columns other than doc_id and text are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import staged
+from .common import bounded_batches, staged
 from .pieces import PieceCoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,13 +42,13 @@ def _coder(path: str) -> PieceCoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    literals = [str(t.content).encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         got = tokenizer.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in pieces], add_special_tokens=False)
         return [(array("I", x.ids).tobytes(), b"") for x in got]
 
-    return PieceCoder(encode)
+    return PieceCoder(encode, whole=literals)
 
 
 def _encode(path: str, end: int):
@@ -81,6 +83,7 @@ def _encode(path: str, end: int):
 
 def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """The token files of `docs`, read back."""
+    bounded_batches(docs.sparkSession)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return staged(dealt.mapInArrow(_encode(public_tokenizers.path(tokenizer), end), SCHEMA), "tokens", **LAYOUT)
 

@@ -7,8 +7,10 @@ with ties to the smaller id, and the selections are merged by query. The grid's
 
 Vectors that are null or hold null or non-finite components take no part. A vector of zeros or of no components scores 0
 with all. Vectors of different lengths: missing components count as 0. Null ids: no query; as candidates last among ties.
-Repeated rows are separate candidates (a row never meets itself) and separate queries. Components beyond +-2^31 are taken
-as that bound; sums are exact while they fit into 64 bits. An empty table, or one without queries: empty result.
+Repeated rows are separate candidates (a row never meets itself) and separate queries. Scores are exact: where a block's sums
+might pass 64 bits they are taken in whole numbers of any size, and a best score that no long can hold is an error, as is a
+component. Vectors of any length are taken whole. An empty table, or one without queries: empty result. Columns other than
+the id and the vector are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -21,15 +23,14 @@ from pyspark.sql import Window as W
 
 from .common import staged
 
-CANDIDATES, QUERIES = 4096, 1024
+CANDIDATES, QUERIES = 4096, 4096
 
 
 def quantised(vectors: DataFrame, scale: float = 1024.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, v (array of whole numbers) and uid for each vector that takes part; staged."""
     x = F.col(vector).cast("array<double>")
     fine = F.col(vector).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    bound = float(2**31)
-    whole = F.transform(x, lambda c: F.floor(F.greatest(F.least(F.lit(scale) * c, F.lit(bound)), F.lit(-bound))))
+    whole = F.transform(x, lambda c: F.when(F.abs(F.lit(scale) * c) < float(2**63), F.floor(F.lit(scale) * c)).otherwise(F.raise_error(F.lit("a component does not fit into 64 bits")).cast("long")))
     return staged(vectors.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v"), F.monotonically_increasing_id().alias("uid")), "vectors")
 
 
@@ -58,6 +59,8 @@ def _cell(k: int):
         ids, last, uids = ids[order], last[order], uids[order]
         dims = max(int(np.diff(np.asarray(t["v"].combine_chunks().offsets)).max(initial=0)) for t in (queries, candidates))
         c, q = _dense(candidates["v"], dims)[order], _dense(queries["v"], dims)
+        if dims * int(np.abs(c.astype(float)).max(initial=0)) * int(np.abs(q.astype(float)).max(initial=0)) >= 2**62:
+            c, q = c.astype(object), q.astype(object)
         postings = []
         for d in range(dims):
             at = np.flatnonzero(c[:, d])
@@ -65,7 +68,7 @@ def _cell(k: int):
         place = {u: i for i, u in enumerate(uids.tolist())}
         out = []
         for uid, qid, terms in zip(queries["uid"].to_pylist(), queries["vec_id"].to_pylist(), q, strict=True):
-            score = np.zeros(len(c), dtype=np.int64)
+            score = np.zeros(len(c), dtype=c.dtype)
             for d in np.flatnonzero(terms):
                 at, weights = postings[d]
                 score[at] += terms[d] * weights
@@ -74,7 +77,7 @@ def _cell(k: int):
                 alive[place[uid]] = False
             at = np.flatnonzero(alive)
             if len(at) > k:
-                bar = np.partition(score[at], len(at) - k)[len(at) - k]
+                bar = (np.sort if score.dtype == object else lambda v: np.partition(v, len(at) - k))(score[at])[len(at) - k]
                 over = at[score[at] > bar]
                 at = np.concatenate([over, at[score[at] == bar][: k - len(over)]])
             out += [(uid, qid, None if last[i] else int(ids[i]), int(score[i])) for i in at]

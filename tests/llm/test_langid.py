@@ -30,7 +30,8 @@ def profile(counts):
 
 def test_against_brute_force(spark):
     docs = documents(spark)
-    got = sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9)) for r in identified(docs, learned(docs.where(~held_out()))).collect())
+    got, blocks = (sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9)) for r in identified(docs, learned(docs.where(~held_out()), labels=n)).collect()) for n in (2000, 1))
+    assert got == blocks
     total = {}
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
     for i, text, lang, *_ in rows():

@@ -15,14 +15,13 @@ from .data import documents, rows
 def awkward(n=300):
     rng = random.Random(5)
     alphabet = "ab c'd.\n\t  é😀ñ1 2ſ 　·×÷œ\r\x1c-_"
-    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 200))) for _ in range(n)] + ["a" * 3000, "ab " * 5000, "<|endoftext|> x"]
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 200))) for _ in range(n)] + ["a" * 3000, "ab " * 5000, "<|endoftext|> x", "a<|endoftext|>b <|endoftext|>\n<|endoftext|><|endof text|> c", "it's<|endoftext|>'s  <|endoftext|>  x"]
 
 
 def test_token_files_against_the_library(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs = documents(spark, awkward())
     start, want = 0, []
     for r in sorted(rows(awkward()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

@@ -28,3 +28,19 @@ def test_against_brute_force(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert topk.top_k(topk.quantised(df), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_large_components_are_exact_or_an_error(spark):
+    import pytest
+
+    big = [float(2**40), float(2**41) + 1024, 3.0, -float(2**45)]
+    data = [(i, [big[i % 4], float(i)]) for i in range(8)] + [(8, [2.0**-9, 0.0])]
+    df = topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in data}
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 8, 3).collect()]
+    best = sorted((-sum(a * b for a, b in zip(whole[8], w)), i) for i, w in whole.items() if i != 8)[:3]
+    assert sorted(got) == [(8, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    with pytest.raises(Exception, match="int|long|Overflow|large"):
+        topk.top_k(df, F.col("vec_id") == 1, 3).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        topk.quantised(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>")).count()
