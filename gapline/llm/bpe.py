@@ -33,8 +33,8 @@ from .pieces import PieceCoder
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words of one recursive query.
 WORDS = 5_000
-#: Pieces remembered by a worker (about 30 MB); beyond that it starts anew.
-PIECES = 400_000
+#: Pieces remembered by a worker (about 15 MB), beyond which it starts anew, and bytes of text handled at once.
+PIECES, BLOCK = 200_000, 1 << 19
 #: Documents of a batch that are unpacked at once.
 ROWS = 1_000
 
@@ -81,7 +81,7 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "120MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "80MB"})
         splits = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         splits = pd.DataFrame(splits, columns=["a", "b", "id"], dtype="int32")  # noqa: F841
         vocabulary = pd.DataFrame([(r, t.hex()) for t, r in self.ranks.items()], columns=["id", "hex"])  # noqa: F841
@@ -89,7 +89,7 @@ class Codec:
         self.db.execute("""
             CREATE TABLE merges AS SELECT a, b, id, id IN (SELECT t FROM (SELECT a AS t, id FROM splits UNION ALL SELECT b, id FROM splits) WHERE id < t) AS lower FROM splits;
             CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, hex FROM vocabulary""")
-        self.pieces = PieceCoder(self._pieces, PIECES)
+        self.pieces = PieceCoder(self._pieces, PIECES, most=BLOCK)
 
     def _contracted(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word."""

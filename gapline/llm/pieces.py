@@ -142,8 +142,9 @@ class _Store:
 class PieceCoder:
     """encode_pieces: distinct pieces as bytes to (ids as little-endian unsigned 32-bit bytes, decoded bytes)."""
 
-    def __init__(self, encode_pieces: Callable[[list[bytes]], list[tuple[bytes, bytes]]], remembered: int = REMEMBERED, whole: Iterable[bytes] = ()):
-        """`whole`: literals that are never cut."""
+    def __init__(self, encode_pieces: Callable[[list[bytes]], list[tuple[bytes, bytes]]], remembered: int = REMEMBERED, whole: Iterable[bytes] = (), most: int = BLOCK):
+        """`whole`: literals that are never cut; `most`: bytes of text at once."""
+        self.most = most
         self.encode_pieces, self.remembered, self.known, self.whole = encode_pieces, remembered, _Store(), tuple(whole)
         self.powers, self.other = Powers(), Powers(np.uint64(0xD1342543DE82EF95))
 
@@ -190,7 +191,7 @@ class PieceCoder:
     def encode(self, texts: list[str | None], decode: bool = False) -> Iterator[tuple[int, list[np.ndarray], list[bytes]]]:
         """(number, ids, decoded bytes) of each text in order, in parts for long texts joined again."""
         at, ids, back = -1, [], []
-        for numbers, held in blocks(texts):
+        for numbers, held in blocks(texts, self.most):
             got, decoded = self.block(held, decode)
             for k, i in enumerate(numbers):
                 if i != at and at >= 0:
