@@ -30,9 +30,9 @@ def log10_floor(x: Column, least: float = 1e-9) -> Column:
 
 
 def class_flux(text: Column) -> Column:
-    """Flux of a class such as M2.5; a bare letter is magnitude 1; null where it is none."""
-    letter = F.upper(F.regexp_extract(text, r"^\s*([ABCMXabcmx])\s*([0-9.]*)\s*$", 1))
-    size = F.regexp_extract(text, r"^\s*([ABCMXabcmx])\s*([0-9.]*)\s*$", 2)
+    """Flux of the class a text starts with, such as M2.5 or M2.5/1N; a bare letter is magnitude 1; null where it is none."""
+    pattern = r"^\s*([ABCMXabcmx])\s*([0-9.]+)?"
+    letter, size = F.upper(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2)
     scale = F.coalesce(*[F.when(letter == c, F.lit(f)) for c, f in CLASSES])
     return scale * F.when(size == "", F.lit(1.0)).otherwise(size.try_cast("double"))
 

@@ -45,98 +45,106 @@ def asof_nearest(spark, sf_dir):
     return temporal.nearest(a, b, ["x"], 86_400_000_000, t="us").select("id", "nearest_x", "distance")
 
 
-_I = f"{E_SQL}, i AS (SELECT series, id, t AS start, t + 900 + x::BIGINT AS stop FROM e WHERE id % 10 = 1), v AS (SELECT series, t AS start, t + 1200 AS stop FROM e WHERE id % 10 = 2)"
+# Roles are whole event types, and a user's events are a series of their own.
+_I = f"""{E_SQL}, i AS (SELECT "user" AS series, id, t AS start, t + 40000 + 100 * round_even(x, 0)::BIGINT AS stop FROM e WHERE series = 'click'),
+v AS (SELECT "user" AS series, t AS start, t + 30000 AS stop FROM e WHERE series = 'view'), bp AS (SELECT "user" AS series, id, t, x FROM e WHERE series = 'error')"""
 
 
-def _intervals(spark, sf_dir):
+def _roles(spark, sf_dir):
+    """Clicks as intervals, views as intervals, errors as points, of each user."""
     e = samples(spark, sf_dir)
-    i = e.where("id % 10 = 1").select("series", "id", F.col("t").alias("start"), (F.col("t") + 900 + F.rint("x").cast("long")).alias("stop"))
-    return i, e.where("id % 10 = 2").select("series", F.col("t").alias("start"), (F.col("t") + 1200).alias("stop"))
+    role = lambda kind: e.where(F.col("series") == kind).withColumn("series", F.col("user"))
+    i = role("click").select("series", "id", F.col("t").alias("start"), (F.col("t") + 40000 + 100 * F.rint("x").cast("long")).alias("stop"))
+    return i, role("view").select("series", F.col("t").alias("start"), (F.col("t") + 30000).alias("stop")), role("error").select("series", "id", "t", "x")
+
+
+def _purchases(spark, sf_dir):
+    """Every purchase as an event, and all events as the one series it stands in."""
+    e = samples(spark, sf_dir).withColumn("series", F.when(F.col("series") == "purchase", 1).otherwise(0).alias("series"))
+    one = e.select(F.lit(0).alias("series"), "t", "x", "id", F.col("series").alias("role"))
+    return one.where("role = 1").select("series", F.col("id").alias("event"), F.col("t").alias("start"), F.col("t").alias("stop")), one.drop("role")
 
 
 @query(f"WITH {_I} SELECT series, id, start, stop FROM i WHERE EXISTS (SELECT 1 FROM v WHERE v.series = i.series AND v.start <= i.stop AND v.stop >= i.start)")
 def interval_overlap_semi(spark, sf_dir):
-    i, v = _intervals(spark, sf_dir)
+    i, v, _ = _roles(spark, sf_dir)
     return temporal.overlapping(i, v, DAY).where("overlaps").drop("overlaps")
 
 
 @query(f"WITH {_I} SELECT series, id, start, stop FROM i WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.series = i.series AND v.start <= i.stop AND v.stop >= i.start)")
 def interval_overlap_anti(spark, sf_dir):
-    i, v = _intervals(spark, sf_dir)
+    i, v, _ = _roles(spark, sf_dir)
     return temporal.overlapping(i, v, DAY).where("NOT overlaps").drop("overlaps")
 
 
-@query(f"""WITH {_I}, m AS (SELECT DISTINCT series, t // 60 AS k FROM e)
-SELECT i.series, i.id, round((SELECT count(*) FROM m WHERE m.series = i.series AND m.k BETWEEN i.start // 60 AND i.stop // 60) / (i.stop // 60 - i.start // 60 + 1), {DIGITS}) + 0.0 AS fraction FROM i""")
+@query(f"""WITH {_I}, m AS (SELECT DISTINCT "user" AS series, t // 3600 AS k FROM e)
+SELECT i.series, i.id, round((SELECT count(*) FROM m WHERE m.series = i.series AND m.k BETWEEN i.start // 3600 AND i.stop // 3600) / (i.stop // 3600 - i.start // 3600 + 1), {DIGITS}) + 0.0 AS fraction FROM i""")
 def coverage_fraction(spark, sf_dir):
-    i, _ = _intervals(spark, sf_dir)
-    steps = samples(spark, sf_dir).select("series", F.floor(F.col("t") / 60).alias("k"))
-    return rounded(temporal.coverage(i, steps, 60).select("series", "id", "fraction"))
+    i, _, _ = _roles(spark, sf_dir)
+    steps = samples(spark, sf_dir).select(F.col("user").alias("series"), F.floor(F.col("t") / 3600).alias("k"))
+    return rounded(temporal.coverage(i, steps, 3600).select("series", "id", "fraction"))
 
 
-@query(f"""WITH {_I}, p AS (SELECT series, id AS burst, t FROM e WHERE id % 10 = 3), j AS (
+@query(f"""WITH {_I}, p AS (SELECT series, id AS burst, t FROM bp), j AS (
   SELECT p.series, p.burst, i.id AS event, row_number() OVER (PARTITION BY p.series, p.burst ORDER BY i.start DESC, i.id DESC) AS r FROM p JOIN i ON p.series = i.series AND p.t BETWEEN i.start - 300 AND i.stop)
 SELECT p.series, p.burst, j.event FROM p LEFT JOIN j ON p.series = j.series AND p.burst = j.burst AND r = 1""")
 def attach_latest_start(spark, sf_dir):
-    i, _ = _intervals(spark, sf_dir)
-    p = samples(spark, sf_dir).where("id % 10 = 3").select("series", F.col("id").alias("burst"), "t")
+    i, _, points = _roles(spark, sf_dir)
+    p = points.select("series", F.col("id").alias("burst"), "t")
     return temporal.attach_latest(p, i.withColumnRenamed("id", "event"), 1 << 14).select("series", "burst", "event")
 
 
-@query(f"""WITH {_I}, s AS (SELECT series, id AS soft, start, start + 300 AS peak, stop FROM i), h AS (SELECT series, id AS hard, t AS start, t + 60 AS peak, x AS sigma FROM e WHERE id % 10 = 3),
+@query(f"""WITH {_I}, s AS (SELECT series, id AS soft, start, start + 300 AS peak, stop FROM i), h AS (SELECT series, id AS hard, t AS start, t + 60 AS peak, x AS sigma FROM bp),
 j AS (SELECT h.*, s.soft, row_number() OVER (PARTITION BY hard ORDER BY s.start, s.soft) AS r FROM h JOIN s ON h.series = s.series AND h.peak BETWEEN s.start - 300 AND s.stop),
 u AS (SELECT soft, hard, row_number() OVER (PARTITION BY soft ORDER BY sigma DESC, peak, hard) AS r, count(*) OVER (PARTITION BY soft) AS n FROM j WHERE r = 1)
 SELECT s.series, CASE WHEN u.hard IS NULL THEN 'soft' ELSE 'soft+hard' END AS origin, s.soft, u.hard, coalesce(n, 0) AS n_hard, start, peak FROM s LEFT JOIN u ON s.soft = u.soft AND u.r = 1
 UNION ALL SELECT series, 'hard', NULL, hard, 1, start, peak FROM h WHERE hard NOT IN (SELECT hard FROM j)""")
 def merge_catalogue(spark, sf_dir):
-    i, _ = _intervals(spark, sf_dir)
+    i, _, points = _roles(spark, sf_dir)
     soft = i.select("series", F.col("id").alias("soft"), "start", (F.col("start") + 300).alias("peak"), "stop")
-    hard = samples(spark, sf_dir).where("id % 10 = 3").select("series", F.col("id").alias("hard"), F.col("t").alias("start"), (F.col("t") + 60).alias("peak"), (F.col("t") + 120).alias("stop"), F.col("x").alias("sigma"))
+    hard = points.select("series", F.col("id").alias("hard"), F.col("t").alias("start"), (F.col("t") + 60).alias("peak"), (F.col("t") + 120).alias("stop"), F.col("x").alias("sigma"))
     return temporal.merge_catalogues(soft, hard, 1 << 14)
 
 
-@query(f"WITH {_I} SELECT i.id AS event, e.id, e.t - i.start AS since FROM i JOIN e ON e.series = i.series AND e.t BETWEEN i.start - 1500 AND i.stop + 900")
+@query(f"""WITH {_I} SELECT i.id AS event, e.id, e.t - i.start AS since FROM i JOIN e ON e."user" = i.series AND e.t BETWEEN i.start - 1500 AND i.stop + 900""")
 def event_slices(spark, sf_dir):
-    i, _ = _intervals(spark, sf_dir)
-    return temporal.slices(i.withColumnRenamed("id", "event"), samples(spark, sf_dir), 1500, 900, 1 << 14).select("event", "id", "since")
+    i, _, _ = _roles(spark, sf_dir)
+    e = samples(spark, sf_dir).withColumn("series", F.col("user"))
+    return temporal.slices(i.withColumnRenamed("id", "event"), e, 1500, 900, 1 << 14).select("event", "id", "since")
 
 
-@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.id % 10 = 1 AND e.series = i.series AND e.t BETWEEN i.t - 14400 AND i.t + 7200)
+@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t - 14400 AND i.t + 7200)
 SELECT event, count(x) AS n, round(quantile_cont(x, 0.5) FILTER (since < 0), 9) + 0.0 AS background, max(x) AS top, max(x) FILTER (since <= 1800) AS top_known, arg_max(since, (x, -since)) AS top_at FROM s GROUP BY event""")
 def flare_records(spark, sf_dir):
-    e = samples(spark, sf_dir)
-    i = e.where("id % 10 = 1").select("series", F.col("id").alias("event"), F.col("t").alias("start"), F.col("t").alias("stop"))
+    i, e = _purchases(spark, sf_dir)
     return rounded(physics.flare_record(i, e, 14400, 7200, 1800, 1 << 15).select("event", "n", "background", "top", "top_known", "top_at"), "top", "top_known")
 
 
-@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.id % 10 = 1 AND e.series = i.series AND e.t BETWEEN i.t - 28800 AND i.t + 7200),
+@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t - 28800 AND i.t + 7200),
 p AS (SELECT event, count(*) AS n, coalesce(regr_slope(x, since), 0) AS s FROM s WHERE since < 0 GROUP BY 1), q AS (SELECT event, n, CASE WHEN n >= 16 THEN least(s, 0) ELSE 0 END AS slope FROM p),
 r AS (SELECT s.event, q.n, q.slope, x - slope * since AS r FROM s JOIN q USING (event) WHERE since < 0), l AS (SELECT event, n, slope, quantile_cont(r, 0.5) AS level FROM r GROUP BY ALL)
 SELECT event, l.n, round(CASE WHEN l.n >= 8 THEN l.slope END, 6) + 0.0 AS slope, round(CASE WHEN l.n >= 8 THEN level END, 3) + 0.0 AS level, round(CASE WHEN l.n >= 8 THEN (SELECT quantile_cont(abs(r.r - level), 0.5) FROM r WHERE r.event = l.event) * 1.4826 END, 3) + 0.0 AS scatter FROM l""")
 def linear_background(spark, sf_dir):
-    e = samples(spark, sf_dir)
-    i = e.where("id % 10 = 1").select("series", F.col("id").alias("event"), F.col("t").alias("start"), F.col("t").alias("stop"))
+    i, e = _purchases(spark, sf_dir)
     out = detect.linear_background(temporal.slices(i, e, 28800, 7200, 1 << 16))
     return out.select("event", "n", (F.round("slope", 6) + 0.0).alias("slope"), (F.round("level", 3) + 0.0).alias("level"), (F.round("scatter", 3) + 0.0).alias("scatter"))
 
 
-@query(f"""WITH {E_SQL}, g AS (SELECT i.id AS event, (e.t - i.t) // 600 AS k, avg(e.x) AS x FROM e i JOIN e ON i.id % 10 = 1 AND e.series = i.series AND e.t BETWEEN i.t AND i.t + 21600 GROUP BY ALL),
+@query(f"""WITH {E_SQL}, g AS (SELECT i.id AS event, ((e.t - i.t) // 600)::BIGINT AS k, avg(e.x) AS x FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t AND i.t + 21600 GROUP BY ALL),
 h AS (SELECT event, k, k - row_number() OVER (PARTITION BY event ORDER BY k) AS run FROM g WHERE x / 20 > 1), r AS (SELECT event, min(k) AS onset FROM h GROUP BY event, run HAVING count(*) >= 3)
 SELECT event, min(onset) AS onset, min(onset) + 2 AS known FROM r GROUP BY event""")
 def causal_onset(spark, sf_dir):
-    e = samples(spark, sf_dir)
-    i = e.where("id % 10 = 1").select("series", F.col("id").alias("event"), F.col("t").alias("start"), F.col("t").alias("stop"))
+    i, e = _purchases(spark, sf_dir)
     g = temporal.slices(i, e, 0, 21600, 1 << 15).groupBy("event", F.floor(F.col("since") / 600).alias("k")).agg(F.avg("x").alias("x"))
     return detect.causal_onset(g, F.col("x") / 20, least=1.0)
 
 
-@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.id % 10 = 1 AND e.series = i.series AND e.t BETWEEN i.t - 28800 AND i.t + 7200),
+@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t - 28800 AND i.t + 7200),
 m AS (SELECT event, count(x) FILTER (since BETWEEN -1800 AND -600) AS n, count(x) FILTER (abs(since) <= 120) AS m, quantile_cont(x, 0.5) FILTER (since BETWEEN -1800 AND -600) AS med, max(x) FILTER (abs(since) <= 120) AS top FROM s GROUP BY event),
 d AS (SELECT event, quantile_cont(abs(x - med), 0.5) AS mad FROM s JOIN m USING (event) WHERE since BETWEEN -1800 AND -600 GROUP BY event)
 SELECT event, round(CASE WHEN n >= 10 AND m >= 3 THEN (top - med) / greatest(1.4826 * mad, sqrt(greatest(med, 1))) END, 9) + 0.0 AS significance FROM m LEFT JOIN d USING (event)""")
 def hot_excess(spark, sf_dir):
-    e = samples(spark, sf_dir)
-    i = e.where("id % 10 = 1").select("series", F.col("id").alias("event"), F.col("t").alias("start"), F.col("t").alias("stop"))
+    i, e = _purchases(spark, sf_dir)
     return rounded(detect.hot_excess(temporal.slices(i, e, 28800, 7200, 1 << 16)))
 
 

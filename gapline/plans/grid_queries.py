@@ -54,12 +54,12 @@ def uncovered_runs(spark, sf_dir):
     return grid.uncovered(binned(spark, sf_dir), F.col("n") > 0, 6)
 
 
-@query(f"""WITH {E_SQL}, f AS (SELECT series, "user" AS file, min(t) AS start, min(t) + 20000 + "user" * 100 AS stop FROM e WHERE id % 20 = 0 GROUP BY series, "user"),
+@query(f"""WITH {E_SQL}, f AS (SELECT series, "user" * 1000 + t // 432000 % 1000 AS file, min(t) AS start, min(t) + 20 * "user" AS stop FROM e GROUP BY series, "user", t // 432000),
 o AS (SELECT *, max(stop) OVER (PARTITION BY series ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM f)
 SELECT series, file, start, stop, sum((far IS NULL OR start > far + 3600)::INT) OVER (PARTITION BY series ORDER BY start, stop ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM o""")
 def stitch_sessions(spark, sf_dir):
-    f = samples(spark, sf_dir).where("id % 20 = 0").groupBy("series", F.col("user").alias("file")).agg(F.min("t").alias("start"))
-    return grid.sessions(f.withColumn("stop", F.col("start") + 20000 + F.col("file") * 100), 3600)
+    f = samples(spark, sf_dir).groupBy("series", "user", F.floor(F.col("t") / 432000).alias("part")).agg(F.min("t").alias("start"))
+    return grid.sessions(f.select("series", (F.col("user") * 1000 + F.col("part") % 1000).alias("file"), "start", (F.col("start") + 20 * F.col("user")).alias("stop")), 3600)
 
 
 @query(f"""WITH {E_SQL}, v AS (SELECT series, t // 3600 AS k, "user" % 5 AS file, ("user" % 3)::DOUBLE AS priority, avg(x) AS x, least(1.0, count(x) / 3.0) AS coverage FROM e GROUP BY ALL),
@@ -87,10 +87,10 @@ def block_sums(spark, sf_dir):
     return grid.blocks(binned(spark, sf_dir), 6, "n")
 
 
-@query(f"""WITH {E_SQL}, i AS (SELECT series, t AS start, t + 1500 AS stop FROM e WHERE id % 10 = 0)
+@query(f"""WITH {E_SQL}, i AS (SELECT "user" AS series, t AS start, t + 1500 AS stop FROM e)
 SELECT DISTINCT series, unnest(range(CAST(ceil(start / 600.0) AS BIGINT), stop // 600 + 1)) AS k FROM i""")
 def marked_steps(spark, sf_dir):
-    i = samples(spark, sf_dir).where("id % 10 = 0").select("series", F.col("t").alias("start"), (F.col("t") + 1500).alias("stop"))
+    i = samples(spark, sf_dir).select(F.col("user").alias("series"), F.col("t").alias("start"), (F.col("t") + 1500).alias("stop"))
     return grid.marked(i, 600)
 
 
@@ -99,20 +99,24 @@ def observed_time(spark, sf_dir):
     return grid.observed_time(samples(spark, sf_dir), 20)
 
 
-@query(f"""WITH {E_SQL}, i AS (SELECT series, t AS start, t + 3000 AS stop FROM e WHERE id % 50 = 0)
-SELECT e.series, e.id, CASE WHEN NOT m THEN x END AS x, m AS masked FROM (
-  SELECT e.*, EXISTS (SELECT 1 FROM i WHERE i.series = e.series AND e.t >= i.start AND e.t < i.stop) AS m FROM e) e""")
+def _spans(spark, sf_dir):
+    """A user's other events, and the intervals after their errors."""
+    e = samples(spark, sf_dir).withColumn("kind", F.col("series")).withColumn("series", F.col("user"))
+    return e.where("kind <> 'error'"), e.where("kind = 'error'").select("series", F.col("t").alias("start"), (F.col("t") + 30000).alias("stop"))
+
+
+@query(f"""WITH {E_SQL}, i AS (SELECT "user" AS series, t AS start, t + 30000 AS stop FROM e WHERE series = 'error')
+SELECT e."user" AS series, e.id, CASE WHEN NOT m THEN x END AS x, m AS masked FROM (
+  SELECT e.*, EXISTS (SELECT 1 FROM i WHERE i.series = e."user" AND e.t >= i.start AND e.t < i.stop) AS m FROM e WHERE series <> 'error') e""")
 def interval_mask(spark, sf_dir):
-    e = samples(spark, sf_dir)
-    i = e.where("id % 50 = 0").select("series", F.col("t").alias("start"), (F.col("t") + 3000).alias("stop"))
+    e, i = _spans(spark, sf_dir)
     return masks.mask_intervals(e, i, ["x"], 1 << 16).select("series", "id", "x", "masked")
 
 
-@query(f"""WITH {E_SQL}, i AS (SELECT series, t AS start, t + 3000 AS stop FROM e WHERE id % 50 = 0)
-SELECT series, id, x FROM e WHERE EXISTS (SELECT 1 FROM i WHERE i.series = e.series AND e.t BETWEEN i.start AND i.stop)""")
+@query(f"""WITH {E_SQL}, i AS (SELECT "user" AS series, t AS start, t + 30000 AS stop FROM e WHERE series = 'error')
+SELECT "user" AS series, id, x FROM e WHERE series <> 'error' AND EXISTS (SELECT 1 FROM i WHERE i.series = e."user" AND e.t BETWEEN i.start AND i.stop)""")
 def good_time(spark, sf_dir):
-    e = samples(spark, sf_dir)
-    i = e.where("id % 50 = 0").select("series", F.col("t").alias("start"), (F.col("t") + 3000).alias("stop"))
+    e, i = _spans(spark, sf_dir)
     return masks.good_time(e, i, 1 << 16).select("series", "id", "x")
 
 
@@ -142,15 +146,15 @@ def newest_version(spark, sf_dir):
     return resolve.newest(li.withColumn("path", path), ["l_orderkey"], version, (F.col("l_returnflag") == "N").cast("int")).select("l_orderkey", "l_partkey", "l_linenumber")
 
 
-@query(f"""WITH {E_SQL}, s AS (SELECT series, id, t AS start, t + 7200 AS stop FROM e WHERE id % 40 = 0), p AS (SELECT series, id AS path, "user" % 3 AS version, t AS start, t + 5000 AS stop FROM e WHERE id % 7 = 0),
+@query(f"""WITH {E_SQL}, s AS (SELECT "user" AS series, id, t AS start, t + 72000 AS stop FROM e WHERE series = 'click'), p AS (SELECT "user" AS series, id AS path, t % 3 AS version, t AS start, t + 50000 AS stop FROM e WHERE series <> 'click'),
 o AS (SELECT s.series, s.id, p.path, least(s.stop, p.stop) - greatest(s.start, p.start) AS overlap, row_number() OVER (PARTITION BY s.series, s.id ORDER BY least(s.stop, p.stop) - greatest(s.start, p.start) DESC, version DESC, path DESC) AS r
   FROM s JOIN p ON s.series = p.series AND s.start < p.stop AND p.start < s.stop)
 SELECT series, id, path, overlap::DOUBLE AS overlap FROM o WHERE r = 1""")
 def product_best_overlap(spark, sf_dir):
-    e = samples(spark, sf_dir)
-    s = e.where("id % 40 = 0").select("series", "id", F.col("t").alias("start"), (F.col("t") + 7200).alias("stop"))
-    p = e.where("id % 7 = 0").select("series", F.col("id").alias("path"), (F.col("user") % 3).alias("version"), F.col("t").alias("start"), (F.col("t") + 5000).alias("stop"))
-    return resolve.best_overlap(s, p, 1 << 14)
+    e = samples(spark, sf_dir).withColumn("kind", F.col("series")).withColumn("series", F.col("user"))
+    s = e.where("kind = 'click'").select("series", "id", F.col("t").alias("start"), (F.col("t") + 72000).alias("stop"))
+    p = e.where("kind <> 'click'").select("series", F.col("id").alias("path"), (F.col("t") % 3).alias("version"), F.col("t").alias("start"), (F.col("t") + 50000).alias("stop"))
+    return resolve.best_overlap(s, p, 1 << 16)
 
 
 @query(f"""WITH {E_SQL}, r AS (SELECT series, t // 14400 AS flare, ['START', 'PEAK', 'END', 'POST'][1 + id % 4] AS status, t, x AS value, id AS row FROM e),
@@ -179,11 +183,11 @@ def region_hourly_rollup(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT p_partkey, substr('ABCMX', 1 + p_size % 5, 1) || printf('%.1f', 1 + p_partkey % 90 / 10.0) AS cls FROM part)
-SELECT p_partkey, cls, round(log10([1e-8, 1e-7, 1e-6, 1e-5, 1e-4][1 + instr('ABCMX', substr(cls, 1, 1)) - 1] * substr(cls, 2)::DOUBLE), 9) + 0.0 AS log_flux, cls AS again FROM c""")
+SELECT p_partkey, cls || '/1N' AS cls, round(log10([1e-8, 1e-7, 1e-6, 1e-5, 1e-4][1 + instr('ABCMX', substr(cls, 1, 1)) - 1] * substr(cls, 2)::DOUBLE), 9) + 0.0 AS log_flux, cls AS again FROM c""")
 def class_parse_format(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     cls = F.concat(F.substring(F.lit("ABCMX"), F.col("p_size") % 5 + 1, F.lit(1)), F.format_string("%.1f", 1 + F.col("p_partkey") % 90 / 10.0))
-    out = p.select("p_partkey", cls.alias("cls"))
+    out = p.select("p_partkey", F.concat(cls, F.lit("/1N")).alias("cls"))  # what follows the class is left aside
     flux = scalars.class_flux(F.col("cls"))
     return rounded(out.select("p_partkey", "cls", F.log10(flux).alias("log_flux"), scalars.flux_class(flux).alias("again")))
 

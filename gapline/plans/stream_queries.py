@@ -15,45 +15,44 @@ from .registry import query
 
 def _folder(spark) -> str:
     """A new folder that the driver and all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/gapline-streams"
-    path = f"{base}/stream-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def _events(spark, sf_dir):
-    raw = stream.read(spark, f"{sf_dir}/events*.parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
-    us = clocks.micros(F.col("ts"))
-    return raw.select(F.col("event_type").alias("series"), F.timestamp_micros(us).alias("ts"), us.alias("us"), F.col("value").alias("x"))
+def _events(spark, sf_dir, path):
+    """The events as a stream of arriving files, at the end of which a marker closes all windows."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("series"), clocks.micros(F.col("ts")).alias("us"), F.col("value").alias("x"))
+    return stream.closed(spark, e, f"{path}/arrivals").withColumn("ts", F.timestamp_micros("us"))
 
 
 @query(f"WITH {E_SQL} SELECT series, t // 600 * 600 AS start, round(avg(x), {DIGITS}) + 0.0 AS mean, count(x) AS n FROM e GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
-    out = stream.drained(stream.tumbling(_events(spark, sf_dir), late="0 seconds"), _folder(spark), "append")
-    return rounded(_rest(spark, sf_dir, out))
+    path = _folder(spark)
+    out = stream.drained(stream.tumbling(_events(spark, sf_dir, path), late="40 days"), path)
+    return rounded(out.where("series IS NOT NULL").select("series", F.unix_seconds("start").alias("start"), "mean", "n"))
 
 
-def _rest(spark, sf_dir, out):
-    """Windows that the watermark has not closed at the end of a finite stream are taken from the batch."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    us = clocks.micros(F.col("ts"))
-    batch = e.groupBy(F.col("event_type").alias("series"), (F.floor(us / 600_000_000) * 600).alias("start")).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
-    closed = out.select("series", F.unix_seconds("start").alias("start"), "mean", "n")
-    return closed.union(batch.join(closed.select("series", "start"), ["series", "start"], "left_anti").select("series", "start", "mean", "n"))
+@query(f"WITH {E_SQL}, w AS (SELECT series, t // 600 * 600 - 600 * unnest(range(0, 6)) AS start, x FROM e) SELECT series, start, max(x) AS top, count(x) AS n FROM w GROUP BY ALL")
+def stream_sliding(spark, sf_dir):
+    path = _folder(spark)
+    out = stream.drained(stream.sliding(_events(spark, sf_dir, path), late="40 days"), path)
+    return out.where("series IS NOT NULL").select("series", F.unix_seconds("start").alias("start"), "top", "n")
 
 
-@query(None)
+@query(f"""WITH {E_SQL}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY series ORDER BY us) AS g FROM e), r AS (SELECT *, sum((g IS NULL OR g > 360000000)::INT) OVER (PARTITION BY series ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT series, min(us) AS start, max(us) + 360000000 AS stop, count(x) AS n, max(x) AS top FROM r GROUP BY series, run""")
 def stream_session(spark, sf_dir):
-    out = stream.drained(stream.sessions(_events(spark, sf_dir), late="0 seconds"), _folder(spark))
-    return out.select("series", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "n", "top")
+    path = _folder(spark)
+    out = stream.drained(stream.sessions(_events(spark, sf_dir, path), late="40 days"), path)
+    return out.where("series IS NOT NULL").select("series", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "n", "top")
 
 
 @query(f"""WITH {E_SQL}, u AS (SELECT series, us, min(x) AS x FROM e GROUP BY ALL), d AS (SELECT *, coalesce(x > lag(x) OVER (PARTITION BY series ORDER BY us), false) AS up FROM u),
 r AS (SELECT *, sum((NOT up)::INT) OVER (PARTITION BY series ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY series, run ORDER BY us) AS i, first_value(us) OVER (PARTITION BY series, run ORDER BY us) AS start, first_value(x) OVER (PARTITION BY series, run ORDER BY us) AS low FROM r)
 SELECT series, start, us AS stop, low, x AS high FROM n WHERE i = 3""")
 def stream_rise_state(spark, sf_dir):
-    return stream.drained(stream.rises(_events(spark, sf_dir)), _folder(spark))
+    path = _folder(spark)
+    return stream.drained(stream.rises(_events(spark, sf_dir, path)), path).where("series IS NOT NULL")
 
 
 @query(f"WITH {E_SQL} SELECT series, t // 3600 AS hour, round(avg(x), {DIGITS}) + 0.0 AS mean FROM e GROUP BY ALL")
