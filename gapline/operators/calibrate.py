@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import frames
+
 
 def piecewise_fit(df: DataFrame, x: str, y: str, width: float, least: int) -> DataFrame:
     """Knots (x, y): medians in bins of x aligned to multiples of `width` with `least` rows or more; y never falls."""
@@ -15,23 +19,41 @@ def piecewise_fit(df: DataFrame, x: str, y: str, width: float, least: int) -> Da
     return fine.select(F.col("kx").alias("x"), F.max("ky").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)).alias("y"), "n")  # one row a bin
 
 
-def interpolated(x: Column, knots: list[tuple[float, float]]) -> Column:
-    """Piecewise-linear map through `knots` (ascending x), end slopes going on; null for a null x or fewer than 2 knots."""
-    if len(knots) < 2:
-        return F.lit(None).cast("double")
-    out = None
-    for (x0, y0), (x1, y1) in zip(knots, knots[1:], strict=False):
-        line = y0 + (x - x0) * ((y1 - y0) / (x1 - x0)) if x1 > x0 else F.lit(y1)
-        out = F.when(x < x1, line) if out is None else out.when(x < x1, line)
-    return F.when(x.isNotNull(), out.otherwise(line))
+def piecewise_apply(df: DataFrame, knots: DataFrame, x: str, name: str = "calibrated", flat: bool = False) -> DataFrame:
+    """`df` with the piecewise-linear map through `knots` (x, y), end slopes going on; null for a null x or fewer than 2 knots.
+    `flat`: level beyond the end knots instead.
+
+    A knot carries its segment's line; each row takes that of the last knot at or before it by an as-of join, so any number of
+    knots will do. Of knots with equal x the last line counts.
+    """
+    w = W.orderBy("x", "y")  # one row a bin
+    line = knots.select("x", "y", F.lead("x").over(w).alias("_x1"), F.lead("y").over(w).alias("_y1"), F.row_number().over(w).alias("_n"))
+    slope = F.when(F.col("_x1") > F.col("x"), (F.col("_y1") - F.col("y")) / (F.col("_x1") - F.col("x"))).otherwise(0.0)
+    seg = lambda t, s: (F.lit(0).alias("_by"), t.alias("_t"), F.struct("_n", F.col("x").alias("x0"), F.col("y").alias("y0"), s.alias("s")).alias("_seg"))
+    low = F.lit(float("-inf"))
+    if flat:
+        segs = line.select(*seg(F.col("x"), slope)).union(line.where("_n = 1").select(*seg(low, F.lit(0.0))))
+    else:
+        segs = line.where(F.col("_x1").isNotNull()).select(*seg(F.when(F.col("_n") == 1, low).otherwise(F.col("x")), slope))
+    segs = segs.groupBy("_by", "_t").agg(F.max("_seg").alias("_seg"))
+    rows = df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns])).select("_row", F.lit(0).alias("_by"), F.col(x).cast("double").alias("_t"))
+    # the order of magnitude deals out rows and knots; a chunk has a part of them
+    chunk = F.coalesce(F.floor(F.signum("_t") * F.log1p(F.abs("_t")) * 64).cast("long"), F.lit(-(2**62)))
+    both = rows.select("_by", "_t", F.lit(1).alias("_side"), F.lit(None).cast(segs.schema["_seg"].dataType).alias("_seg"), "_row").unionByName(segs.select("_by", "_t", F.lit(0).alias("_side"), "_seg", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")))
+    chunk = F.when(F.col("_t") == float("-inf"), F.lit(-(2**61))).otherwise(chunk)
+    got = frames.carried(both, [F.col("_t"), F.col("_side")], F.col("_seg"), "_got", chunk, "_by").where("_side = 1")
+    return got.select("_row.*", F.when(F.col("_t").isNotNull(), F.col("_got.y0") + (F.col("_t") - F.col("_got.x0")) * F.col("_got.s")).alias(name))
 
 
-def piecewise_apply(df: DataFrame, knots: DataFrame, x: str, name: str = "calibrated", most: int = 10_000) -> DataFrame:
-    """`df` with the calibrated value. Knots are one row a bin; more than `most` of them are refused."""
-    rows = knots.orderBy("x").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} knots")
-    return df.withColumn(name, interpolated(F.col(x), [(r["x"], r["y"]) for r in rows]))
+def peak_correction(events: DataFrame, truth: DataFrame, width: int, most: int = 300, bins: float = 0.2, least: int = 20, train: Column | None = None, by: str = "series") -> DataFrame:
+    """Knots that map log10 of an event's peak value to that of the peak of `truth` nearest in time (at most `most` seconds away),
+    fitted on the events where `train` holds. Both have t and value."""
+    from .temporal import nearest
+
+    rows = events if train is None else events.where(train)
+    pairs = nearest(rows.where("value > 0"), truth.where("value > 0").select(by, "t", F.col("value").alias("v")), ["v"], width, by=by, most=most)
+    logs = pairs.where(F.col("nearest_v").isNotNull()).select(F.log10("value").alias("x"), F.log10("nearest_v").alias("y"))
+    return piecewise_fit(logs, "x", "y", bins, least)
 
 
 def anchor(df: DataFrame, x: str, y: str, least: int = 1000) -> DataFrame:
@@ -43,24 +65,36 @@ def anchor(df: DataFrame, x: str, y: str, least: int = 1000) -> DataFrame:
     return fit.select("n", *[F.when(ok, c).alias(a) for a, c in (("slope", F.col("slope")), ("intercept", F.col("intercept")), ("scatter", scatter))])
 
 
-def isotonic(df: DataFrame, p: str, y: str, least: int = 50) -> list[tuple[float, float]]:
-    """Knots of the isotonic fit of outcomes on scores, rounded to 6 places; the identity below `least` rows or with one class."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
+def isotonic(df: DataFrame, p: str, y: str, least: int = 50, digits: int = 4) -> DataFrame:
+    """Knots (x, y) of the isotonic fit of outcomes on scores (rounded to `digits` places), values to 6 places; the identity
+    below `least` rows or with one class. One row a distinct score at most, and none of them pass through the driver."""
+    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(F.round(F.col(p).cast("double"), digits).alias("x"), F.col(y).cast("double").alias("v"))
+    pooled = rows.groupBy("x").agg(F.sum("v").alias("s"), F.count(F.lit(1)).cast("double").alias("w"), F.min("v").alias("a"), F.max("v").alias("z"))
+    # the fit at a score is the greatest of the least means over intervals that hold it: slopes of the greatest convex minorant
+    w = W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)  # bounded by the number of rounded scores
+    points = pooled.select("x", "a", "z", F.sum("s").over(w).alias("cs"), F.sum("w").over(w).alias("cw"))
+    hull = points.groupBy().agg(F.sort_array(F.collect_list(F.struct("cw", "cs", "x"))).alias("pts"), F.min("a").alias("a"), F.max("z").alias("z"))
+
+    def minorant(t: pd.DataFrame) -> pd.DataFrame:
+        pts = t["pts"].iloc[0]
+        if not len(pts) or pts[-1]["cw"] < least or t["a"].iloc[0] == t["z"].iloc[0]:
+            return pd.DataFrame({"x": [0.0, 1.0], "y": [0.0, 1.0]})
+        stack = [(0.0, 0.0)]
+        for q in pts:
+            c = (q["cw"], q["cs"])
+            while len(stack) > 1 and (stack[-1][1] - stack[-2][1]) * (c[0] - stack[-1][0]) >= (c[1] - stack[-1][1]) * (stack[-1][0] - stack[-2][0]):
+                stack.pop()
+            stack.append(c)
+        edges = np.array([c[0] for c in stack])
+        slopes = np.diff([c[1] for c in stack]) / np.diff(edges)
+        block = np.searchsorted(edges, [q["cw"] for q in pts]) - 1
+        out = pd.DataFrame({"x": [q["x"] for q in pts], "y": [round(float(slopes[i]), 6) for i in block], "block": block})
+        return out[(out["block"] != out["block"].shift()) | (out["block"] != out["block"].shift(-1))][["x", "y"]]
 
-    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(F.col(p).cast("double").alias("p"), F.col(y).cast("double").alias("y"))
-    # equal scores become one row with their mean and weight, which the fit does not change
-    pooled = rows.groupBy("p").agg(F.avg("y").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("a"), F.max("y").alias("z")).first()
-    if seen["n"] < least or seen["a"] == seen["z"]:
-        return [(0.0, 0.0), (1.0, 1.0)]
-    model = IsotonicRegression(weightCol="weight", featuresCol="f").fit(VectorAssembler(inputCols=["p"], outputCol="f").transform(pooled))
-    return [(round(float(a), 6), round(float(b), 6)) for a, b in zip(model.boundaries, model.predictions, strict=True)]
+    return hull.mapInPandas(lambda batches: (minorant(t) for t in batches if len(t)), "x double, y double")
 
 
-def probability(df: DataFrame, knots: list[tuple[float, float]], p: str, name: str = "calibrated") -> DataFrame:
-    """`df` with the calibrated probability, flat beyond the end knots and within [0, 1]."""
-    low, high = knots[0], knots[-1]
-    line = interpolated(F.col(p), knots) if len(knots) > 1 else F.lit(low[1])
-    held = F.when(F.col(p) <= low[0], F.lit(low[1])).when(F.col(p) >= high[0], F.lit(high[1])).otherwise(line)
-    return df.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.greatest(held, F.lit(0.0)), F.lit(1.0))))
+def probability(df: DataFrame, knots: DataFrame, p: str, name: str = "calibrated") -> DataFrame:
+    """`df` with the calibrated probability, linear between knots, flat beyond the end ones and within [0, 1]."""
+    out = piecewise_apply(df, knots, p, name, flat=True)
+    return out.withColumn(name, F.when(F.col(name).isNotNull(), F.least(F.greatest(F.col(name), F.lit(0.0)), F.lit(1.0))))

@@ -81,62 +81,77 @@ def line_centroid(spectrum: DataFrame, low: float, high: float, by: str = "serie
     return out.select(by, F.when(F.col("_n") > 0, F.col("_e") / F.col("_n")).alias("centroid"), F.col("_n").alias("excess"))
 
 
-def power_law(bins: DataFrame, by: str = "series", low: float = 1.01, high: float = 12.0) -> DataFrame:
-    """Poisson likelihood fit of counts = A * integral of E^-index per bin: index, error (where the likelihood falls by 1/2) and n.
-
-    The amplitude has a closed form for each index, so the search is one golden section. `bins` has bin_lo, bin_hi and n; all
-    bins of a group are given, empty ones included. Fewer than 3 bins, or no counts: null.
-    """
+def _amplitude(shape: np.ndarray, background: np.ndarray, n: np.ndarray) -> float:
+    """The amplitude of greatest Poisson likelihood of n = background + A * shape; a closed form without background."""
+    total = float(shape.sum())
+    if not background.any():
+        return float(n.sum()) / total
+    high = max(float(n.sum()) / total, 1e-12)
+    low = high * 1e-12
+    for _ in range(100):  # the derivative falls in A
+        mid = (low * high) ** 0.5
+        low, high = (mid, high) if (n * shape / (background + mid * shape)).sum() > total else (low, mid)
+    return (low * high) ** 0.5
+
+
+def _searched(loss, a: float, z: float) -> float:
+    """Golden section of a function with one valley."""
+    r = (5**0.5 - 1) / 2
+    for _ in range(80):
+        c, d = z - r * (z - a), a + r * (z - a)
+        a, z = (a, d) if loss(c) < loss(d) else (c, z)
+    return (a + z) / 2
+
+
+def _fitted(bins: DataFrame, name: str, by: str, shape, low: float, high: float, log: bool) -> DataFrame:
+    """One-parameter Poisson fits per group, amplitude profiled out; the error is the half width where the likelihood falls by 1/2,
+    from its curvature."""
+    kind = dict(bins.dtypes)[by]
+    extra = [c for c in ("bkg", "eff") if c in bins.columns]
 
     def fit(key, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("bin_lo")
         lo, hi, n = (t[c].to_numpy(dtype=float) for c in ("bin_lo", "bin_hi", "n"))
-        total = n.sum()
+        b = t["bkg"].to_numpy(dtype=float) if "bkg" in extra else np.zeros(len(n))
+        e = t["eff"].to_numpy(dtype=float) if "eff" in extra else np.ones(len(n))
+        net = float((n - b).sum())
 
-        def loss(g):
-            m = (hi ** (1 - g) - lo ** (1 - g)) / (1 - g)
-            m = m / m.sum() * total
+        def loss(v):
+            s = np.maximum(shape(np.exp(v) if log else v, lo, hi) * e, 1e-300)
+            m = np.maximum(b + _amplitude(s, b, n) * s, 1e-300)
             return float((m - n * np.log(m)).sum())
 
-        if len(n) < 3 or total <= 0:
-            return pd.DataFrame({by: [key[0]], "index": [None], "error": [None], "n": [float(total)]})
-        a, z, r = low, high, (5**0.5 - 1) / 2
-        for _ in range(80):
-            c, d = z - r * (z - a), a + r * (z - a)
-            a, z = (a, d) if loss(c) < loss(d) else (c, z)
-        g = (a + z) / 2
+        if len(n) < 3 or net <= 0:
+            return pd.DataFrame({by: [key[0]], name: [None], "error": [None], "n": [float(n.sum())], "net": [net]})
+        v = _searched(loss, np.log(low) if log else low, np.log(high) if log else high)
         h = 1e-3
-        bend = (loss(g + h) - 2 * loss(g) + loss(g - h)) / h**2
-        return pd.DataFrame({by: [key[0]], "index": [g], "error": [bend**-0.5 if bend > 0 else None], "n": [float(total)]})
+        bend = (loss(v + h) - 2 * loss(v) + loss(v - h)) / h**2
+        value = float(np.exp(v)) if log else float(v)
+        return pd.DataFrame({by: [key[0]], name: [value], "error": [bend**-0.5 * (value if log else 1.0) if bend > 0 else None], "n": [float(n.sum())], "net": [net]})
 
-    kind = dict(bins.dtypes)[by]
-    return bins.groupBy(by).applyInPandas(fit, f"{by} {kind}, index double, error double, n double")
+    return bins.groupBy(by).applyInPandas(fit, f"{by} {kind}, {name} double, error double, n double, net double")
 
 
-def temperature(bins: DataFrame, by: str = "series", low: float = 2.0, high: float = 60.0) -> DataFrame:
-    """Poisson fit of a thermal continuum A * exp(-E / kT) / E per bin at its middle: kT (unit of E), error, n. As power_law."""
+def power_law(bins: DataFrame, by: str = "series", low: float = 1.01, high: float = 12.0) -> DataFrame:
+    """Poisson likelihood fit of counts = background + A * integral of E^-index per bin: index, error, n and net counts.
 
-    def fit(key, t: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, n = (t[c].to_numpy(dtype=float) for c in ("bin_lo", "bin_hi", "n"))
-        e, total = (lo + hi) / 2, n.sum()
-
-        def loss(kt):
-            m = np.exp(-e / kt) / e * (hi - lo)
-            m = m / m.sum() * total
-            return float((m - n * np.log(np.maximum(m, 1e-300))).sum())
-
-        if len(n) < 3 or total <= 0:
-            return pd.DataFrame({by: [key[0]], "kt": [None], "error": [None], "n": [float(total)]})
-        a, z, r = np.log(low), np.log(high), (5**0.5 - 1) / 2
-        for _ in range(80):
-            c, d = z - r * (z - a), a + r * (z - a)
-            a, z = (a, d) if loss(np.exp(c)) < loss(np.exp(d)) else (c, z)
-        kt = float(np.exp((a + z) / 2))
-        h = 1e-3 * kt
-        bend = (loss(kt + h) - 2 * loss(kt) + loss(kt - h)) / h**2
-        return pd.DataFrame({by: [key[0]], "kt": [kt], "error": [bend**-0.5 if bend > 0 else None], "n": [float(total)]})
+    `bins` has bin_lo, bin_hi, n and, where there is a background, its scaled counts `bkg`; all bins of a group are given, empty
+    ones included. Fewer than 3 bins, or no net counts: null.
+    """
+    return _fitted(bins, "index", by, lambda g, lo, hi: (hi ** (1 - g) - lo ** (1 - g)) / (1 - g), low, high, False)
 
-    kind = dict(bins.dtypes)[by]
-    return bins.groupBy(by).applyInPandas(fit, f"{by} {kind}, kt double, error double, n double")
+
+def temperature(bins: DataFrame, by: str = "series", low: float = 2.0, high: float = 60.0, slope: float = 1.0) -> DataFrame:
+    """Poisson fit of background + A * E^-slope * exp(-E / kT) * efficiency per bin at its middle: kT (unit of E), error, n, net.
+
+    `bins` as for power_law, with an efficiency `eff` for each bin where the detector has one.
+    """
+    return _fitted(bins, "kt", by, lambda kt, lo, hi: ((lo + hi) / 2) ** -slope * np.exp(-(lo + hi) / 2 / kt) * (hi - lo), low, high, True)
+
+
+def silicon_efficiency(e, thickness_um: float = 450.0):
+    """Share of photons of energy e (keV) that silicon of that thickness stops."""
+    return 1 - F.exp(-33.9 * F.pow(e / 10.0, F.lit(-2.9)) * 2.33 * thickness_um * 1e-4)
 
 
 def adaptive_bins(counts: DataFrame, least: float = 300.0, shortest: int = 4, grow: int = 2, by: str = "event", k: str = "k") -> DataFrame:

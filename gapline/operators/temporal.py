@@ -30,14 +30,17 @@ def asof(left: DataFrame, right: DataFrame, values: list[str], width: int, most:
     return out.select(*left.columns, *[F.when(fine, F.col(f"_got.{v}")).alias(f"{names}{v}") for v in (t, *values)])
 
 
-def nearest(left: DataFrame, right: DataFrame, values: list[str], width: int, t: str = "t", by: str = "series") -> DataFrame:
-    """`left` with nearest_t, `values` of the row of `right` nearest in time (ties to the earlier) and its distance."""
+def nearest(left: DataFrame, right: DataFrame, values: list[str], width: int, t: str = "t", by: str = "series", most: int | None = None) -> DataFrame:
+    """`left` with nearest_t, `values` of the row of `right` nearest in time (ties to the earlier) and its distance; nulls where
+    that is more than `most`."""
     back = asof(left, right, values, width, t=t, by=by, names="_b_")
     both = asof(back, right, values, width, t=t, by=by, names="_f_", forward=True)
     a, b = F.col(t) - F.col(f"_b_{t}"), F.col(f"_f_{t}") - F.col(t)
     first = b.isNull() | (a <= b)
-    pick = lambda v: F.when(first, F.col(f"_b_{v}")).otherwise(F.col(f"_f_{v}"))
-    return both.select(*left.columns, *[pick(v).alias(f"nearest_{v}") for v in (t, *values)], F.when(first, a).otherwise(b).alias("distance"))
+    away = F.when(first, a).otherwise(b)
+    fine = F.lit(True) if most is None else away <= most
+    pick = lambda v: F.when(fine, F.when(first, F.col(f"_b_{v}")).otherwise(F.col(f"_f_{v}")))
+    return both.select(*left.columns, *[pick(v).alias(f"nearest_{v}") for v in (t, *values)], F.when(fine, away).alias("distance"))
 
 
 def _bucketed(intervals: DataFrame, width: int, start: Column, stop: Column) -> DataFrame:
@@ -109,6 +112,41 @@ def merge_catalogues(soft: DataFrame, hard: DataFrame, width: int, early: int =
     return left.union(alone)
 
 
+def exact(left: DataFrame, right: DataFrame, t: str = "t", by: str = "series", how: str = "inner") -> DataFrame:
+    """Rows of both at the same time to the microsecond; times are seconds, whole or not."""
+    us = F.rint(F.col(t) * 1_000_000).cast("long")
+    return left.withColumn("_us", us).join(right.withColumn("_us", us).drop(t), [by, "_us"], how).drop("_us")
+
+
+def on_days(flares: DataFrame, days: DataFrame, t: str = "t", by: str = "series") -> DataFrame:
+    """`flares` whose day (t in seconds) is one of `days` (series, day number)."""
+    return flares.withColumn("_day", F.floor(F.col(t) / 86400)).join(days.select(by, F.col("day").alias("_day")), [by, "_day"], "left_semi").drop("_day")
+
+
+def settled_steps(predictions: DataFrame, steps: DataFrame, dt: float, settle: int, origin: str = "origin", by: str = "series") -> DataFrame:
+    """`predictions` with the columns of the step (k) at the nearest multiple of dt, and pending: no such step yet, or the series
+    ends before origin + settle."""
+    k = F.rint(F.col(origin) / dt).cast("long")
+    last = steps.groupBy(by).agg(F.max("k").alias("_last"))
+    out = predictions.withColumn("k", k).join(steps.withColumn("_hit", F.lit(True)), [by, "k"], "left").join(last, by, "left")
+    return out.withColumn("pending", F.col("_hit").isNull() | (F.col(origin) + settle > F.col("_last") * dt)).drop("_hit", "_last")
+
+
+def hard_for(truth: DataFrame, hard: DataFrame, width: int, mode: str = "rise", early: int = 300, late: int = 300, shifts: tuple[int, ...] = (0,), by: str = "series") -> DataFrame:
+    """`truth` (event, start, peak, stop) for each shift of `hard` (hard, start, peak) in time, with the hard event that peaks in
+    [start - early, peak + late] (`mode` end: to the stop) and, for rise, starts in [start - early, peak]; of several the one
+    whose peak is nearest (ties to the earlier). Shifts other than 0 are the control of what chance would match."""
+    each = F.explode(F.array(*map(F.lit, shifts)))
+    moved = hard.withColumn("shift", each).select(F.struct(by, "shift").alias("_s"), "hard", (F.col("start") + F.col("shift")).alias("hard_start"), (F.col("peak") + F.col("shift")).alias("t"))
+    asked = truth.withColumn("shift", each)
+    spans = asked.select(F.struct(by, "shift").alias("_s"), "event", (F.col("start") - early).alias("start"), (F.col("stop") if mode == "end" else F.col("peak") + late).alias("stop"), F.col("peak").alias("_peak"))
+    pairs = within(moved, spans, width, by="_s")
+    if mode == "rise":
+        pairs = pairs.where(F.col("p.hard_start").between(F.col("i.start"), F.col("i._peak")))
+    best = pairs.groupBy(F.col("i._s").alias("_s"), F.col("i.event").alias("event")).agg(F.min_by("p.hard", F.struct(F.abs(F.col("p.t") - F.col("i._peak")), F.col("p.t"), F.col("p.hard"))).alias("hard"))
+    return asked.join(best.select(F.col(f"_s.{by}").alias(by), F.col("_s.shift").alias("shift"), "event", "hard"), [by, "shift", "event"], "left")
+
+
 def slices(events: DataFrame, samples: DataFrame, before: int, after: int, width: int, t: str = "t", by: str = "series") -> DataFrame:
     """Samples in [start - before, stop + after] of each event: the event's id and the sample, with its time from the start."""
     wide = events.select(by, "event", F.col("start").alias("_s"), (F.col("start") - before).alias("start"), (F.col("stop") + after).alias("stop"))
@@ -116,14 +154,14 @@ def slices(events: DataFrame, samples: DataFrame, before: int, after: int, width
 
 
 def trailing_counts(origins: DataFrame, events: DataFrame, spans: list[int], chunk: int, t: str = "t", by: str = "series") -> DataFrame:
-    """`origins` with n_<span>: events in (t - span, t], from running counts taken as-of at both ends."""
-    numbered = frames.running(events.select(by, t).withColumn("_u", F.monotonically_increasing_id()), [F.col(t), F.col("_u")], F.lit(1), "upto", F.floor(F.col(t) / chunk), by)
-    ends = numbered.groupBy(by, t).agg(F.max("upto").alias("upto"))
-    out = asof(origins, ends, ["upto"], chunk, t=t, by=by, names="_now_")
-    for s in spans:
-        early = asof(out.withColumn("_t0", F.col(t) - s), ends.withColumnRenamed(t, "_t0"), ["upto"], chunk, t="_t0", by=by, names="_then_")
-        out = early.withColumn(f"n_{s}", F.coalesce("_now_upto", F.lit(0)) - F.coalesce("_then_upto", F.lit(0))).drop("_t0", "_then__t0", "_then_upto")
-    return out.drop(f"_now_{t}", "_now_upto")
+    """`origins` with n_<span>: events in (t - span, t], from running counts taken as-of at both ends, all in one pass."""
+    times = events.groupBy(by, t).agg(F.count(F.lit(1)).alias("_n"))
+    ends = frames.running(times, [F.col(t)], F.col("_n"), "upto", F.floor(F.col(t) / chunk), by).select(by, t, "upto")
+    rows = origins.withColumn("_row", F.struct(*origins.columns)).groupBy(by, t, "_row").agg(F.count(F.lit(1)).alias("_copies"))
+    asked = rows.withColumn("_span", F.explode(F.array(*map(F.lit, [0, *spans])))).withColumn("_at", F.col(t)).withColumn(t, F.col(t) - F.col("_span"))
+    got = asof(asked, ends, ["upto"], chunk, t=t, by=by, names="_").groupBy(by, "_at", "_row").agg(F.max("_copies").alias("_copies"), *[F.coalesce(F.max(F.when(F.col("_span") == s, F.col("_upto"))), F.lit(0)).alias(f"_u{s}") for s in [0, *spans]])
+    out = got.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return out.select("_row.*", *[(F.col("_u0") - F.col(f"_u{s}")).alias(f"n_{s}") for s in spans])
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import frames
 
@@ -158,3 +159,8 @@ def tied_ranks(df: DataFrame, x: str, name: str = "rank", by: str = "series", ch
 def envelope(df: DataFrame, y: str, order: str, name: str = "envelope", by: str = "series", chunk: int = 4096) -> DataFrame:
     """Running maximum along a numeric order."""
     return frames.running(df, [F.col(order)], F.col(y), name, F.floor(F.col(order) / chunk), by, "max")
+
+
+def smoothed_score(history: DataFrame, k: int, x: str = "score", order: str = "epoch", by: str = "run", name: str = "smoothed") -> DataFrame:
+    """Mean of each epoch's score and the k - 1 before it, fewer at the start. A run has few epochs."""
+    return history.withColumn(name, F.avg(x).over(W.partitionBy(by).orderBy(order).rowsBetween(-(max(k, 1) - 1), 0)))

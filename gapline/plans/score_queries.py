@@ -142,10 +142,13 @@ def flux_anchor_ols(spark, sf_dir):
     return rounded(calibrate.anchor(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 100))
 
 
-@query(None)
+@query(f"""WITH {S_SQL}, g AS (SELECT round(p, 2) AS x, sum(y) AS s, count(*) AS w FROM s WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY 1), c AS (SELECT x, sum(s) OVER (ORDER BY x) AS cs, sum(s) OVER (ORDER BY x) - s AS bs, sum(w) OVER (ORDER BY x) AS cw, sum(w) OVER (ORDER BY x) - w AS bw FROM g),
+m AS (SELECT a.x AS lo, b.x AS hi, (b.cs - a.bs) / (b.cw - a.bw) AS mean FROM c a JOIN c b ON a.x <= b.x), i AS (SELECT x, (SELECT max(v) FROM (SELECT min(mean) AS v FROM m WHERE lo <= c.x AND hi >= c.x GROUP BY lo)) AS v FROM c)
+SELECT doc_id, round(p, 2) AS p, round(least(greatest(round(v, 6), 0), 1), 6) + 0.0 AS calibrated FROM s JOIN i ON i.x = round(s.p, 2)""")
 def isotonic_calibration(spark, sf_dir):
-    s = scores(spark, sf_dir)
-    return rounded(calibrate.probability(s, calibrate.isotonic(s, "p", "y"), "p").select("doc_id", "p", "calibrated"), "p")
+    s = scores(spark, sf_dir).withColumn("p", F.round("p", 2))
+    out = calibrate.probability(s, calibrate.isotonic(s, "p", "y", digits=2), "p")
+    return out.select("doc_id", "p", (F.round("calibrated", 6) + 0.0).alias("calibrated"))
 
 
 @query(None)

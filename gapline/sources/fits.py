@@ -85,6 +85,21 @@ def _members(path: str, content: bytes, pattern: str) -> Iterator[tuple[str, byt
         yield path, content
 
 
+def detectors(files: DataFrame, path: str = "path", pattern: str = r"(?i)(SDD[12])[^/]*\.(?:pi|lc)(?:\.gz)?$") -> DataFrame:
+    """Files of a listing with the detector that their path names (null: none) and the folder they stand in: a product's files."""
+    name = F.regexp_extract(path, pattern, 1)
+    return files.select("*", F.when(name != "", F.upper(name)).alias("detector"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("product"))
+
+
+def products(files: DataFrame, path: str = "path") -> DataFrame:
+    """One row a product folder: its light curves and interval files in order of name, and the interval file of each curve."""
+    named = detectors(files, path).withColumn("_gti", F.col(path).rlike(r"(?i)gti"))
+    return named.groupBy("product").agg(
+        F.sort_array(F.collect_set(F.when(~F.col("_gti"), F.col(path)))).alias("curves"), F.sort_array(F.collect_set(F.when(F.col("_gti"), F.col(path)))).alias("intervals"),
+        F.sort_array(F.collect_set("detector")).alias("detectors"),
+    )
+
+
 def read(spark: SparkSession, path: str, extension: str, columns: dict[str, str], pattern: str = ".", header: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the binary table `extension` of each file: path, the header values `header` as text, `columns` (name: Spark type)
     and error."""
@@ -127,10 +142,12 @@ def consistency(counts: DataFrame, curve: DataFrame, first: int = 41) -> DataFra
 
 
 def band_slots(rows: DataFrame, step: float, by: list[str]) -> DataFrame:
-    """Long band rows (band, t, rate, err) on common slots of `step` seconds from each file's first time. A slot was sampled if any
-    band is non-zero; then zeros are genuine, else all are null."""
-    first = rows.groupBy(*by).agg(F.min("t").alias("_t0"))
+    """Long band rows (band, t, rate, err) on common slots of `step` seconds from the first time of each file's longest band (of
+    equal ones the first by name); rows before it go. A slot was sampled if any band is non-zero; then zeros are genuine, else
+    all are null."""
+    each = rows.groupBy(*by, "band").agg(F.count(F.lit(1)).alias("_n"), F.min("t").alias("_t0"))
+    first = each.groupBy(*by).agg(F.min_by("_t0", F.struct(-F.col("_n"), F.col("band"))).alias("_t0"))
     slot = F.rint((F.col("t") - F.col("_t0")) / step).cast("long")
-    placed = rows.join(first, by).withColumn("slot", slot)
+    placed = rows.join(first, by).withColumn("slot", slot).where("slot >= 0")
     live = placed.groupBy(*by, "slot").agg(F.bool_or((F.col("rate") != 0) | (F.col("err") != 0)).alias("live"))
     return placed.join(live, [*by, "slot"]).select(*by, "slot", "band", F.when(F.col("live"), F.col("rate")).alias("rate"), F.when(F.col("live"), F.col("err")).alias("err"), "live")

@@ -61,3 +61,10 @@ def inventory(sources: DataFrame, done: DataFrame, month: Column) -> DataFrame:
     """Per month: sources, those done (by key) and those pending."""
     marked = sources.join(done.select("key").distinct().withColumn("_d", F.lit(1)), "key", "left")
     return marked.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("sources"), F.count("_d").alias("done"), F.count(F.when(F.col("_d").isNull(), 1)).alias("pending"))
+
+
+def export(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", **options: str) -> None:
+    """`df` as csv (with a header), json or parquet files; the committer makes them visible all at once."""
+    if kind not in ("csv", "json", "parquet"):
+        raise ValueError(f"no such kind: {kind}")
+    df.write.mode(mode).options(**({"header": "true"} if kind == "csv" else {}) | options).format(kind).save(path)
