@@ -10,10 +10,8 @@ from . import frames, temporal, windows
 
 def hourly(df: DataFrame, step: int, hours: tuple[int, ...] = (1, 6, 24), t: str = "t", x: str = "x", by: str = "series") -> DataFrame:
     """Per hour with a sample in it: the last value and min, max and mean over (t - h, t] of each span, at the hour's last sample."""
-    out = df
-    for h in hours:
-        for how in ("min", "max", "mean"):
-            out = windows.rolling(out, h * 3600, step, how, f"{how}_{h}h", 0.0, x, t, by)
+    f = {"min": F.min, "max": F.max, "mean": F.avg}
+    out = frames.framed(df, t, max(hours) * 3600, 0, lambda w: {f"{how}_{h}h": f[how](x).over(w.rangeBetween(1 - h * 3600, 0)) for h in hours for how in f}, by)
     hour = F.floor(F.col(t) / 3600)
     names = [f"{how}_{h}h" for h in hours for how in ("min", "max", "mean")]
     last = out.where(F.col(x).isNotNull()).groupBy(by, hour.alias("hour")).agg(F.max_by(F.struct(x, *names), t).alias("_l"))

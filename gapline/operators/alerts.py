@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import detect, temporal, windows
+from . import detect, frames, temporal, windows
 from .metrics import ratio
 
 
 def windows_before(events: DataFrame, steps: DataFrame, early: int = 30, least: float = 0.8, by: str = "series") -> DataFrame:
     """The window in which an alert of each event counts: from `early` minutes before the start, but after the previous peak, to
     the peak; with the share of its minutes observed, at least `least`. `events` has event, start, peak (minutes)."""
-    before = F.max("peak").over(W.partitionBy(by).orderBy("peak", "event").rowsBetween(W.unboundedPreceding, -1))
-    spans = events.withColumn("_s", F.greatest(F.col("start") - early, F.coalesce(before + 1, F.col("start") - early)))
+    rows = frames.running(events, [F.col("peak"), F.col("event")], F.col("peak"), "_before", F.floor(F.col("peak") / 4096), by, "max", strict=True)
+    spans = rows.withColumn("_s", F.greatest(F.col("start") - early, F.coalesce(F.col("_before") + 1, F.col("start") - early)))
     spans = spans.select(by, "event", F.col("_s").alias("start"), F.col("peak").alias("stop")).where("start <= stop")
     return temporal.coverage(spans, steps, 1, by=by).where(F.col("fraction") >= least)
 

@@ -43,11 +43,11 @@ def carried(df: DataFrame, order: list[Column], value: Column, name: str, chunk:
     return rows.withColumn("_in", inside).join(before, [by, "_c"]).withColumn(name, F.coalesce("_in", "_carry")).drop("_v", "_c", "_in", "_carry")
 
 
-def running(df: DataFrame, order: list[Column], value: Column, name: str, chunk: Column, by: str = "series", how: str = "sum") -> DataFrame:
-    """`df` with the running sum or max of `value` up to and including each row, in two levels."""
+def running(df: DataFrame, order: list[Column], value: Column, name: str, chunk: Column, by: str = "series", how: str = "sum", strict: bool = False) -> DataFrame:
+    """`df` with the running sum or max of `value` up to and including each row (`strict`: before it), in two levels."""
     f = {"sum": F.sum, "max": F.max}[how]
     rows = df.withColumn("_v", value).withColumn("_c", chunk)
-    inside = f("_v").over(W.partitionBy(by, "_c").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    inside = f("_v").over(W.partitionBy(by, "_c").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if strict else 0))
     totals = rows.groupBy(by, "_c").agg(f("_v").alias("_t"))
     before = totals.select(by, "_c", f("_t").over(W.partitionBy(by).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
     both = F.coalesce(F.col("_in"), F.lit(0)) + F.coalesce("_carry", F.lit(0)) if how == "sum" else F.greatest("_in", "_carry")

@@ -66,18 +66,24 @@ def uncovered(df: DataFrame, covered: Column, least: int, k: str = "k", by: str
     return frames.runs(df, k, ~covered, by=by).groupBy(by, "run").agg(F.min(k).alias("first"), F.max(k).alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("run")
 
 
-def sessions(files: DataFrame, gap: int, layout: str | None = None, by: str = "series") -> DataFrame:
+def sessions(files: DataFrame, gap: int, layout: str | None = None, by: str = "series", width: int = 1 << 18) -> DataFrame:
     """`files` (start, stop) with `segment`: a new one where a file starts more than `gap` after the furthest stop so far.
 
     With `layout`, a change of layout from one file to the next opens a segment as well.
     """
-    keys = [F.col("start"), F.col("stop")]
-    w = W.partitionBy(by).orderBy(*keys)
-    far = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    opens = far.isNull() | (F.col("start") > far + gap)
-    if layout:
-        opens = opens | ~F.col(layout).eqNullSafe(F.lag(layout).over(w))
-    return files.withColumn("_o", opens.cast("int")).withColumn("segment", F.sum("_o").over(w)).drop("_o")
+    keys, chunk = [F.col("start"), F.col("stop")], F.floor(F.col("start") / width)
+    rows = frames.running(files, keys, F.col("stop"), "_far", chunk, by, "max", strict=True)
+    opens = F.col("_far").isNull() | (F.col("start") > F.col("_far") + gap)
+    if layout:  # the layout of the file before: within the chunk, else the last of the chunks before
+        w = W.partitionBy(by, "_c").orderBy(*keys)
+        rows = rows.withColumn("_c", chunk)
+        ends = rows.groupBy(by, "_c").agg(F.max_by(F.struct(layout), F.struct(*keys)).alias("_e"))
+        before = ends.select(by, "_c", F.lag("_e").over(W.partitionBy(by).orderBy("_c")).alias("_p"))
+        rows = rows.withColumn("_i", F.lag(F.struct(layout)).over(w)).join(before, [by, "_c"])
+        last = F.coalesce("_i", "_p")
+        opens = opens | (last.isNotNull() & ~F.col(layout).eqNullSafe(last[layout]))
+    numbered = frames.running(rows.withColumn("_o", opens.cast("int")), keys, F.col("_o"), "segment", chunk, by)
+    return numbered.select(*files.columns, "segment")
 
 
 def stitch(rows: DataFrame, values: list[str], by: str = "series") -> DataFrame:

@@ -97,6 +97,25 @@ def attach_latest(points: DataFrame, events: DataFrame, width: int, early: int =
     return points.join(hits, points.columns, "left")
 
 
+def attach_bands(primary: DataFrame, bands: list[tuple[str, DataFrame, bool]], width: int, early: int = 300, by: str = "series") -> DataFrame:
+    """Events from the bursts of several bands. `primary` has event, start, peak, stop, alert and band; each further band is
+    (name, bursts with the same columns, whether a burst may stand alone). A burst joins the event of the latest start whose
+    [start - early, stop] holds its peak: the event's alert is the earliest, its bands are listed in order, once each. A burst
+    that joins none becomes an event after its round if it may stand alone. Columns: event, start, peak, stop, alert, bands.
+    """
+    out = primary.select(by, "event", "start", "peak", "stop", "alert", F.col("band").alias("bands"))
+    for name, bursts, alone in bands:
+        points = bursts.select(by, F.col("event").alias("_burst"), F.col("peak").alias("t"), F.col("alert").alias("_alert"))
+        joined = attach_latest(points, out.select(by, "event", "start", "stop"), width, early, by=by)
+        took = joined.where("event IS NOT NULL").groupBy(by, "event").agg(F.min("_alert").alias("_alert"))
+        grown = out.join(took, [by, "event"], "left").select(by, "event", "start", "peak", "stop", F.least("alert", "_alert").alias("alert"), F.when(F.col("_alert").isNotNull(), F.concat_ws("+", "bands", F.lit(name))).otherwise(F.col("bands")).alias("bands"))
+        if alone:
+            rest = bursts.join(joined.where("event IS NULL").select(by, F.col("_burst").alias("event")), [by, "event"], "left_semi")
+            grown = grown.union(rest.select(by, "event", "start", "peak", "stop", "alert", F.lit(name).alias("bands")))
+        out = grown
+    return out
+
+
 def merge_catalogues(soft: DataFrame, hard: DataFrame, width: int, early: int = 300, by: str = "series") -> DataFrame:
     """Full outer merge with consumption: each hard event goes to the first soft event that can hold its peak.
 

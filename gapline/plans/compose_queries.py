@@ -301,3 +301,24 @@ def band_slots(spark, sf_dir):
     rows = e.select(F.col("user_id").alias("file"), F.col("event_type").alias("band"), F.floor(F.col("event_id") / 100).alias("t"), F.when(F.col("event_id") % 4 == 0, F.col("value")).otherwise(0.0).alias("rate"), F.lit(0.0).alias("err"))
     out = fits.band_slots(rows, 5.0, ["file"]).groupBy("file", "slot", "band").agg(F.count("rate").alias("n"), (F.round(F.sum("rate"), 6) + 0.0).alias("total"))
     return out.select("file", "slot", "band", "n", "total")
+
+
+@query(f"""WITH {E_SQL}, p AS (SELECT "user" AS series, id AS event, t AS start, t + 3000 AS peak, t + 60000 AS stop, t + 600 AS alert FROM e WHERE series = 'click'),
+v AS (SELECT "user" AS series, id AS event, t AS start, t + 3000 AS peak, t + 60000 AS stop, t + 600 AS alert FROM e WHERE series = 'view'), w AS (SELECT "user" AS series, id AS event, t + 3000 AS peak, t + 600 AS alert FROM e WHERE series = 'error'),
+j1 AS (SELECT v.event AS b, v.alert, p.series, p.event, row_number() OVER (PARTITION BY v.event ORDER BY p.start DESC, p.event DESC) AS q FROM v JOIN p ON p.series = v.series AND v.peak BETWEEN p.start - 300 AND p.stop),
+k1 AS (SELECT series, event, min(alert) AS alert FROM j1 WHERE q = 1 GROUP BY ALL),
+r1 AS (SELECT p.series, p.event, p.start, p.peak, p.stop, least(p.alert, k1.alert) AS alert, CASE WHEN k1.event IS NULL THEN 'click' ELSE 'click+view' END AS bands FROM p LEFT JOIN k1 USING (series, event) UNION ALL SELECT series, event, start, peak, stop, alert, 'view' FROM v WHERE event NOT IN (SELECT b FROM j1)),
+j2 AS (SELECT w.event AS b, w.alert, r1.series, r1.event, row_number() OVER (PARTITION BY w.event ORDER BY r1.start DESC, r1.event DESC) AS q FROM w JOIN r1 ON r1.series = w.series AND w.peak BETWEEN r1.start - 300 AND r1.stop), k2 AS (SELECT series, event, min(alert) AS alert FROM j2 WHERE q = 1 GROUP BY ALL)
+SELECT r1.series, r1.event, start, peak, stop, least(r1.alert, k2.alert) AS alert, CASE WHEN k2.event IS NULL THEN bands ELSE bands || '+error' END AS bands FROM r1 LEFT JOIN k2 ON k2.series = r1.series AND k2.event = r1.event""")
+def attach_bands(spark, sf_dir):
+    e = samples(spark, sf_dir).withColumn("kind", F.col("series")).withColumn("series", F.col("user"))
+    one = lambda kind: e.where(F.col("kind") == kind).select("series", F.col("id").alias("event"), F.col("t").alias("start"), (F.col("t") + 3000).alias("peak"), (F.col("t") + 60000).alias("stop"), (F.col("t") + 600).alias("alert"), F.lit(kind).alias("band"))
+    return temporal.attach_bands(one("click"), [("view", one("view"), True), ("error", one("error"), False)], 1 << 16)
+
+
+@query(f"""WITH {b_sql(3600, 'h')}, d AS (SELECT series, k, x, x * 0.5 AS bg, CASE WHEN n > 1 THEN sqrt(x) END AS sd, n FROM h), f AS (SELECT *, greatest(sd, sqrt(greatest(bg, 0) / (1.0 * greatest(n, 1e-3)))) AS s FROM d), o AS (SELECT *, n > 0 AND x IS NOT NULL AND s > 0 AS o FROM f)
+SELECT 0 AS series, k, round(sum(x) FILTER (o), 6) + 0.0 AS x, round(sum(bg) FILTER (o), 6) + 0.0 AS background, round(sqrt(sum(s * s) FILTER (o)), 6) + 0.0 AS noise, coalesce(bool_and(round(x - bg - 2.0 * s, 9) >= 0) FILTER (o), false) AS together, coalesce(string_agg(DISTINCT CASE WHEN o THEN series END, '+' ORDER BY CASE WHEN o THEN series END), '') AS detectors FROM o GROUP BY k""")
+def coincident_bands(spark, sf_dir):
+    h = binned(spark, sf_dir, 3600).select(F.col("series").alias("detector"), F.lit(0).alias("series"), "k", "x", (F.col("x") * 0.5).alias("background"), F.when(F.col("n") > 1, F.sqrt("x")).alias("noise"), F.col("n").cast("double").alias("coverage"))
+    out = detect.coincident(h)
+    return out.select("series", "k", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x", "background", "noise")], "together", "detectors")
