@@ -76,15 +76,23 @@ def overlapping(left: DataFrame, right: DataFrame, width: int, by: str = "series
     return got.withColumn("overlaps", F.coalesce(F.col("_o_far") >= F.col("start"), F.lit(False))).drop("_t", "_o__t", "_o_far")
 
 
+def _at_ends(rows: DataFrame, ends: dict[str, Column], counts: DataFrame, chunk: int, t: str, by: str) -> DataFrame:
+    """`rows` with _u_<name>: the running count `upto` of `counts` (series, t) at or before each of the ends, all in one as-of pass."""
+    one = lambda n, c: F.struct(F.lit(n).alias("_end"), c.cast("long").alias(t))
+    held = rows.withColumn("_row", F.struct(*rows.columns)).groupBy(by, "_row").agg(F.count(F.lit(1)).alias("_copies"))
+    each = held.select(by, "_row", "_copies", F.struct("_row.*").alias("_x")).select("_x.*", "_row", "_copies")
+    asked = each.select(by, "_row", "_copies", F.explode(F.array(*[one(n, c) for n, c in ends.items()])).alias("_e")).select(by, "_row", "_copies", "_e._end", F.col(f"_e.{t}").alias(t))
+    got = asof(asked, counts.select(by, t, "upto"), ["upto"], chunk, t=t, by=by, names="_")
+    wide = got.groupBy(by, "_row").agg(F.max("_copies").alias("_copies"), *[F.coalesce(F.max(F.when(F.col("_end") == n, F.col("_upto"))), F.lit(0)).alias(f"_u_{n}") for n in ends])
+    return wide.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*", *[f"_u_{n}" for n in ends])
+
+
 def coverage(intervals: DataFrame, steps: DataFrame, width: int, chunk: int = 4096, k: str = "k", by: str = "series") -> DataFrame:
     """`intervals` with `fraction`: observed steps (rows of `steps`, distinct) in [floor(start), floor(stop)] over all of them."""
     numbered = frames.running(steps.select(by, k).distinct(), [F.col(k)], F.lit(1), "upto", F.floor(F.col(k) / chunk), by)
     a, z = F.floor(F.col("start") / width), F.floor(F.col("stop") / width)
-    at = intervals.withColumn("_a", a - 1).withColumn("_z", z)
-    first = asof(at, numbered.select(by, F.col(k).alias("_z"), "upto"), ["upto"], chunk, t="_z", by=by, names="_hi_")
-    both = asof(first, numbered.select(by, F.col(k).alias("_a"), "upto"), ["upto"], chunk, t="_a", by=by, names="_lo_")
-    n = F.coalesce("_hi_upto", F.lit(0)) - F.coalesce("_lo_upto", F.lit(0))
-    return both.withColumn("fraction", n / (F.col("_z") - F.col("_a"))).select(*intervals.columns, "fraction")
+    both = _at_ends(intervals, {"a": a - 1, "z": z}, numbered.withColumnRenamed(k, "_k"), chunk, "_k", by)
+    return both.select(*intervals.columns, ((F.col("_u_z") - F.col("_u_a")) / (z - a + 1)).alias("fraction"))
 
 
 def attach_latest(points: DataFrame, events: DataFrame, width: int, early: int = 300, t: str = "t", by: str = "series") -> DataFrame:
@@ -173,14 +181,11 @@ def slices(events: DataFrame, samples: DataFrame, before: int, after: int, width
 
 
 def trailing_counts(origins: DataFrame, events: DataFrame, spans: list[int], chunk: int, t: str = "t", by: str = "series") -> DataFrame:
-    """`origins` with n_<span>: events in (t - span, t], from running counts taken as-of at both ends, all in one pass."""
-    times = events.groupBy(by, t).agg(F.count(F.lit(1)).alias("_n"))
-    ends = frames.running(times, [F.col(t)], F.col("_n"), "upto", F.floor(F.col(t) / chunk), by).select(by, t, "upto")
-    rows = origins.withColumn("_row", F.struct(*origins.columns)).groupBy(by, t, "_row").agg(F.count(F.lit(1)).alias("_copies"))
-    asked = rows.withColumn("_span", F.explode(F.array(*map(F.lit, [0, *spans])))).withColumn("_at", F.col(t)).withColumn(t, F.col(t) - F.col("_span"))
-    got = asof(asked, ends, ["upto"], chunk, t=t, by=by, names="_").groupBy(by, "_at", "_row").agg(F.max("_copies").alias("_copies"), *[F.coalesce(F.max(F.when(F.col("_span") == s, F.col("_upto"))), F.lit(0)).alias(f"_u{s}") for s in [0, *spans]])
-    out = got.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return out.select("_row.*", *[(F.col("_u0") - F.col(f"_u{s}")).alias(f"n_{s}") for s in spans])
+    """`origins` with n_<span>: events in (t - span, t], from running counts taken as-of at all ends in one pass."""
+    times = events.groupBy(by, F.col(t).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = frames.running(times, [F.col("_k")], F.col("_n"), "upto", F.floor(F.col("_k") / chunk), by)
+    out = _at_ends(origins, {str(s): F.col(t) - s for s in [0, *spans]}, ends, chunk, "_k", by)
+    return out.select(*origins.columns, *[(F.col("_u_0") - F.col(f"_u_{s}")).alias(f"n_{s}") for s in spans])
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
