@@ -116,29 +116,35 @@ def _distance() -> Column:
     return reduce(add, [F.col(f"p{i}{j}") * away[i] * away[j] * (1 if i == j else 2) for i, j in _PAIRS])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """`df`, a written table of groups, broadcast while it is small; beyond that a plain join, of which skewed parts are split."""
-    return F.broadcast(df) if df.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else df
+def _small(df: DataFrame, groups: int) -> DataFrame:
+    """`df`, a table of a few rows for each of `groups`, broadcast while these are few; beyond that a plain join, of which skewed
+    parts are split."""
+    return F.broadcast(df) if groups <= BROADCAST_GROUPS else df
 
 
-def _histogram(fit: DataFrame, params: DataFrame) -> DataFrame:
+def _written(df: DataFrame, groups: int, name: str) -> DataFrame:
+    """A table of a few rows for each of `groups`, in few files."""
+    return staged(df.repartition(1 + groups // BROADCAST_GROUPS), name)
+
+
+def _histogram(fit: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     """Number and sums of the vectors in each bucket of distance, with the share of the bucket that is among the nearest."""
     bucket = F.floor(F.log(F.greatest(_distance(), F.lit(1e-9))) * FINE).cast("int")
     s = [F.sum(F.col("_w") * F.col(f"x{i}")).alias(f"s{i}") for i in range(DIMS)]
     q = [F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]
-    at = fit.join(_small(params), "_group").withColumn("_bucket", bucket).groupBy("_group", "_start", "_bucket").agg(F.sum("_w").alias("_n"), *s, *q)
+    at = fit.join(_small(params, groups), "_group").withColumn("_bucket", bucket).groupBy("_group", "_start", "_bucket").agg(F.sum("_w").alias("_n"), *s, *q)
     w = W.partitionBy("_group", "_start")
     run = at.withColumn("_before", F.sum("_n").over(w.orderBy("_bucket")) - F.col("_n")).withColumn("_half", F.ceil(F.sum("_n").over(w) * SUPPORT))
     return run.withColumn("_share", F.least(F.greatest((F.col("_half") - F.col("_before")) / F.col("_n"), F.lit(0.0)), F.lit(1.0)))
 
 
-def _step(fit: DataFrame, params: DataFrame) -> DataFrame:
+def _step(fit: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     """The estimates from the nearest vectors under `params`."""
     part = (F.col("_share") > 0) & (F.col("_share") < 1)
     # whole buckets as whole numbers and the one at the boundary by itself: the order of summation does not matter
     total = lambda c: F.coalesce(F.sum(F.when(F.col("_share") == 1, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(part, F.col("_share") * F.col(c))), F.lit(0.0))
     names = [*[f"s{i}" for i in range(DIMS)], *[f"q{i}{j}" for i, j in _PAIRS]]
-    sums = _histogram(fit, params).groupBy("_group", "_start").agg(F.max("_half").alias("_half"), *[total(c).alias(c) for c in names])
+    sums = _histogram(fit, params, groups).groupBy("_group", "_start").agg(F.max("_half").alias("_half"), *[total(c).alias(c) for c in names])
     return _estimates(_moments(sums, "_half"))
 
 
@@ -147,39 +153,40 @@ def _moments(sums: DataFrame, n: str) -> DataFrame:
     return sums.select("_group", "_start", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(F.col(f"q{i}{j}") / F.col(n) - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in _PAIRS])
 
 
-def _starts(fit: DataFrame) -> DataFrame:
+def _starts(fit: DataFrame, groups: int) -> DataFrame:
     """The three first estimates of each group."""
     long = fit.select("_group", "_w", F.posexplode(F.array(*[f"x{i}" for i in range(DIMS)])).alias("_i", "_v")).groupBy("_group", "_i", "_v").agg(F.sum("_w").alias("_n"))
     w = W.partitionBy("_group", "_i")
     run = long.withColumn("_run", F.sum("_n").over(w.orderBy("_v"))).withColumn("_all", F.sum("_n").over(w))
     medians = run.where(2 * F.col("_run") >= F.col("_all")).groupBy("_group").agg(*[F.min(F.when(F.col("_i") == i, F.col("_v"))).cast("double").alias(f"m{i}") for i in range(DIMS)])
-    medians = staged(medians, "medians")
+    medians = _written(medians, groups, "medians")
     zero = [F.lit(0.0).alias(f"c{i}{j}") for i, j in _PAIRS]
     first = medians.select("_group", F.lit(0).alias("_start"), *[f"m{i}" for i in range(DIMS)], *zero)
     whole = fit.groupBy("_group").agg(F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * F.col(f"x{i}")).alias(f"s{i}") for i in range(DIMS)], *[F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
     second = _moments(whole.withColumn("_start", F.lit(1)), "_n")
     away = [(F.col(f"x{i}") - F.col(f"m{i}")) / (FLOORS[i] * SCALE) for i in range(DIMS)]
     square = F.greatest(reduce(add, [x * x for x in away]), F.lit(1e-9))
-    signs = fit.join(_small(medians), "_group").groupBy("_group").agg(F.sum("_w").alias("_n"), *[F.max(f"m{i}").alias(f"m{i}") for i in range(DIMS)], *[F.sum(F.col("_w") * F.round(1e6 * away[i] * away[j] / square).cast("long")).alias(f"q{i}{j}") for i, j in _PAIRS])
+    signs = fit.join(_small(medians, groups), "_group").groupBy("_group").agg(F.sum("_w").alias("_n"), *[F.max(f"m{i}").alias(f"m{i}") for i in range(DIMS)], *[F.sum(F.col("_w") * F.round(1e6 * away[i] * away[j] / square).cast("long")).alias(f"q{i}{j}") for i, j in _PAIRS])
     third = signs.select("_group", F.lit(2).alias("_start"), *[f"m{i}" for i in range(DIMS)], *[(F.col(f"q{i}{j}") / F.col("_n") * (DIMS * 1e-6 * FLOORS[i] * FLOORS[j] * SCALE**2)).alias(f"c{i}{j}") for i, j in _PAIRS])
     return _estimates(first.unionByName(second).unionByName(third)).withColumn("_det", F.lit(1e300))
 
 
 def estimates(fit: DataFrame) -> DataFrame:
     """The estimate of least determinant of each group, from rows of _group, x0.. and their number _w; staged."""
-    now, ended = staged(_starts(fit), "mcd"), None
+    groups = fit.select("_group").distinct().count()
+    now, ended = _written(_starts(fit, groups), groups, "mcd"), None
     while True:
-        new = _step(fit, now).select("_group", "_start", *[F.col(c).alias(f"_new_{c}") for c in _ESTIMATE[2:]])
+        new = _step(fit, now, groups).select("_group", "_start", *[F.col(c).alias(f"_new_{c}") for c in _ESTIMATE[2:]])
         both = now.join(new, ["_group", "_start"])
         falls = F.col("_new__det") < F.col("_det") - LEAST_FALL
-        both = staged(both.select("_group", "_start", *[F.when(falls, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in _ESTIMATE[2:]], falls.alias("_falls")), "mcd")
+        both = _written(both.select("_group", "_start", *[F.when(falls, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in _ESTIMATE[2:]], falls.alias("_falls")), groups, "mcd")
         over = both.where("NOT _falls").select(*_ESTIMATE)
         ended = over if ended is None else ended.union(over)
         now = both.where("_falls").select(*_ESTIMATE)
         if now.isEmpty():
             break
     best = ended.groupBy("_group").agg(F.min(F.struct("_det", "_start", *_ESTIMATE[2:-1])).alias("e"))
-    return staged(best.select("_group", *[F.col(f"e.{c}").alias(c) for c in _ESTIMATE[1:]]), "mcd")
+    return _written(best.select("_group", *[F.col(f"e.{c}").alias(c) for c in _ESTIMATE[1:]]), groups, "mcd")
 
 
 def mcd_filter(counts: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_group: int = 50, cutoff: float = CUTOFF) -> DataFrame:
@@ -197,13 +204,15 @@ def mcd_filter(counts: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_
     xs = [f"x{i}" for i in range(DIMS)]
     once = stats.where(~F.col("base_failed")).groupBy(*levels, *xs).agg(F.count(F.lit(1)).alias("_w"))
     fit = once.select(F.explode(F.array(*levels)).alias("_group"), *xs, "_w").groupBy("_group", *xs).agg(F.sum("_w").alias("_w"))
-    fit = staged(fit.join(_small(staged(groups.select("_group").distinct(), "groups")), "_group", "left_semi"), "vectors")
+    used = groups.select("_group").distinct()
+    n, every = used.count(), groups.count()
+    fit = staged(fit.join(_small(used, n), "_group", "left_semi"), "vectors")
     best = estimates(fit)
-    cut = _histogram(fit, best).where("_share > 0").groupBy("_group").agg(F.max("_bucket").alias("_cut"))
+    cut = _histogram(fit, best, n).where("_share > 0").groupBy("_group").agg(F.max("_bucket").alias("_cut"))
     scale = F.lit(CHI2_SUPPORT) / F.greatest(F.exp((F.col("_cut") + 1) / float(FINE)), F.lit(CHI2_SUPPORT / MOST_SCALE))
-    last = staged(best.join(cut, "_group").withColumn("_scale", scale), "mcd")
+    last = _written(best.join(cut, "_group").withColumn("_scale", scale), n, "mcd")
     # every document, those that fail the base rule included
-    judged = stats.join(_small(groups), levels[0]).join(_small(last), "_group", "left")
+    judged = stats.join(_small(groups, every), levels[0]).join(_small(last, n), "_group", "left")
     judged = judged.withColumn("distance2", F.round(_distance() * F.col("_scale"), 6)).drop(*last.columns, *xs, *levels)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff))
 
