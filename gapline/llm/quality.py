@@ -51,7 +51,7 @@ SCALE = 1000
 #: Buckets of squared distance for each natural logarithm.
 FINE = 64
 #: A step that lowers the logarithm of the determinant by less than this is the last.
-LEAST_FALL = 1e-6
+LEAST_FALL = 1e-3
 #: Estimates are broadcast while there are no more of them than this (about 200 bytes each).
 BROADCAST_GROUPS = 20_000
 

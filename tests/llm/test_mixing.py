@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -8,9 +9,28 @@ from gapline.llm.mixing import mix, mixed_documents, targets
 from .data import documents, rows
 
 
-def test_targets():
-    assert targets({"va": 100, "vb": 100, "vc": 100}) == {"va": 200.0, "vb": pytest.approx(250 / 3), "vc": pytest.approx(500 / 3)}
-    assert targets({"n": 0, "va": 0}) == {"va": 0.0, "n": 0.0}
+def plain_targets(totals, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0):
+    """Target of each source by filling up in rounds."""
+    names = sorted(totals, key=lambda s: (s[0] == "n", s))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, left, free = {}, share * sum(totals.values()), list(names)
+    while free:
+        each = left / sum(weight[s] for s in free)
+        full = [s for s in free if each * weight[s] > most * totals[s]]
+        if not full:
+            out |= {s: each * weight[s] for s in free}
+            break
+        out |= {s: most * totals[s] for s in full}
+        left, free = max(left - sum(out[s] for s in full), 0.0), [s for s in free if s not in out]
+    return out
+
+
+def test_targets(spark):
+    rng = random.Random(2)
+    cases = [{"va": 100, "vb": 100, "vc": 100}, {"n": 0, "va": 0}, {"n": 7, "v": 5}, {f"v{i}": rng.randrange(10 ** rng.randrange(1, 6)) for i in range(300)} | {"n": 40}]
+    for totals in cases:
+        got = {r["_s"]: r.target for r in targets(spark.createDataFrame(list(totals.items()), "_s string, total long")).collect()}
+        assert got == {k: pytest.approx(v) for k, v in plain_targets(totals).items()}
 
 
 def test_mix(spark):

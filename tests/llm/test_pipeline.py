@@ -12,8 +12,8 @@ import pytest
 
 from gapline.llm import secrets
 from gapline.llm.langid import LEAST_SCORE, TOP
-from gapline.llm.mixing import targets
 
+from .test_mixing import plain_targets as targets
 from .data import documents, rows
 from .test_langid import grams, profile
 from .test_neardup import brute, chains, shingle_set
