@@ -232,7 +232,7 @@ def labelled(docs: DataFrame, words: int = 4, percent: int = 80) -> tuple[DataFr
     keyed_docs = _slim(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("k"), "th", "text").where(F.col("text").isNotNull())
     # grouped by the join's keys too, so that texts are dealt once
     texts = staged(keyed_docs.join(wanted, ["k", "th"]).groupBy("k", "th", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts", compression="zstd")
-    size = near.groupBy("a").agg(F.count(F.lit(1)).alias("_count"), F.sum("nb").alias("_size"))
+    size = staged(near.groupBy("a").agg(F.count(F.lit(1)).alias("_count"), F.sum("nb").alias("_size")), "sizes")
     spread = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("_count") / MEMBERS), F.ceil(F.col("_size") / SHINGLES)))
     star_cells = near.join(size, "a").select(F.concat_ws(":", F.hex("a"), spread.cast("string")).alias("cell"), "a", "b")
     first = staged(_confirmed(star_cells, texts, words, percent), "first")

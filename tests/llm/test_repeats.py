@@ -62,3 +62,12 @@ def test_real_documents_against_brute_force(spark):
 
 def test_empty(spark):
     assert repeats.without_repeats(documents(spark, empty=True)).count() == 0
+
+
+def test_documents_against_brute_force(spark):
+    """The whole smallest table against every window of 400 bytes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = repeats.without_repeats(docs).collect()
+    want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert sum(x[2] > 0 for x in want) > 10
