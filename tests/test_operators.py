@@ -144,15 +144,8 @@ def test_single_flare(spark):
     assert detect.rise_events(series(spark, flat)).count() == 0
 
 
-def test_rise_walk_against_a_plain_one(spark):
-    """The rule read minute by minute over the whole grid, gaps counted as they come."""
-    rng = random.Random(4)
-    x, v = [], 10.0
-    for _ in range(900):
-        v = max(1.0, v + rng.choice([-3, -1, 1, 2, 3]) + (6 if rng.random() < 0.05 else 0))
-        x.append(None if rng.random() < 0.1 else v)
-    for i in range(300, 330):
-        x[i] = None
+def plain_rises(x, fits=lambda s, q: True):
+    """The rule read minute by minute over the whole grid, gaps counted as they come; `fits` guards a confirmation."""
     ok = lambda i: i < len(x) and x[i] is not None
     rise = lambda i: all(ok(i + j) for j in range(3)) and all(x[i + j] < x[i + j + 1] for j in range(2))
     out, i = [], 0
@@ -181,7 +174,7 @@ def test_rise_walk_against_a_plain_one(spark):
             j += 1
         end = j if reason in ("decay", "next_flare") else max(p, max(q for q in range(s, min(j, len(x))) if ok(q)))
         usable = [q for q in range(s, end + 1) if ok(q)]
-        hits = [q for q in usable[2:] if x[q] >= 1.4 * x[s]]
+        hits = [q for q in usable[2:] if x[q] >= 1.4 * x[s] and fits(s, end, q)]
         if hits:
             out.append([s, p, end, hits[0] + 1, reason])
         elif out and s - out[-1][2] <= 1:
@@ -189,8 +182,137 @@ def test_rise_walk_against_a_plain_one(spark):
             if x[p] > x[out[-1][1]]:
                 out[-1][1] = p
         i = max(j, i + 1)
-    got = detect.rise_events(series(spark, x), 3, 1.4, 4)
-    assert sorted((r.start, r.peak, r.stop, r.alert, r.reason) for r in got.collect()) == sorted(map(tuple, out))
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize("guard", ["none", "counts", "noise", "both"])
+def test_rise_walk_against_a_plain_one(spark, guard):
+    rng = random.Random(4)
+    x, v = [], 10.0
+    for _ in range(900):
+        v = max(1.0, v + rng.choice([-3, -1, 1, 2, 3]) + (6 if rng.random() < 0.05 else 0))
+        x.append(None if rng.random() < 0.1 else v)
+    for i in range(300, 330):
+        x[i] = None
+    counts = [None if v is None else 4.0 * v for v in x]
+    noise = [None if rng.random() < 0.2 else rng.uniform(0.2, 1.2) for _ in x]
+
+    def fits(s, end, q):
+        fine = guard not in ("counts", "both") or counts[q] - counts[s] >= 3 * math.sqrt(max(counts[q] + counts[s], 1))
+        if guard in ("noise", "both"):
+            known = [noise[i] for i in range(s, end + 1) if noise[i] is not None and x[i] is not None]
+            sd = noise[s] if noise[s] is not None else max(known) if known else None
+            fine = fine and sd is not None and x[q] - x[s] >= 3 * math.sqrt(2) * sd
+        return fine
+
+    rows = [("a", i, *v) for i, v in enumerate(zip(x, counts, noise, strict=True))]
+    df = spark.createDataFrame(rows, "series string, k long, x double, counts double, noise double")
+    use = {c: c for c in ("counts", "noise") if guard in (c, "both")}
+    got = detect.rise_events(df, 3, 1.4, 4, **use)
+    want = plain_rises(x, fits)
+    assert sorted((r.start, r.peak, r.stop, r.alert, r.reason) for r in got.collect()) == want and want
+
+
+def plain_threshold_events(x, bg, dt, factor, sigma, least, share, merge):
+    """Threshold events step by step over the whole grid."""
+    n = len(x)
+    low = [max(b, 1e-9) for b in bg]
+    above = [v is not None and v >= factor * b and v - b >= sigma * math.sqrt(b / dt) for v, b in zip(x, low, strict=True)]
+
+    def built(i, j):
+        seen = [q for q in range(i, j) if x[q] is not None]
+        if not seen:
+            return None
+        p = max(seen, key=lambda q: (x[q] - low[q], -q))
+        top = x[p] - low[p]
+        if top <= 0:
+            return None
+        s, e = i, j
+        while s > 0 and x[s - 1] is not None and x[s - 1] > low[p] + 0.1 * top:
+            s -= 1
+        while e < n - 1 and x[e] is not None and x[e] > low[p] + share * top:
+            e += 1
+        return s, p, e
+
+    found, i = [], 0
+    while i < n:
+        j = i
+        while j < n and above[j]:
+            j += 1
+        if j - i >= max(least, 1) and (e := built(i, j)):
+            found.append(e)
+        i = max(j, i + 1)
+    out = []
+    for e in found:
+        if out and e[0] - out[-1][2] <= merge:
+            out[-1] = built(out[-1][0], max(out[-1][2], e[2])) or out[-1]
+        else:
+            out.append(e)
+    return out
+
+
+def test_threshold_events_against_a_plain_walk(spark):
+    rng = random.Random(11)
+    x = [20 + rng.gauss(0, 2) for _ in range(700)]
+    for at in rng.sample(range(20, 650), 14):
+        for i in range(25):
+            x[at + i] += 60 * math.exp(-i / rng.uniform(2, 9))
+    x = [None if rng.random() < 0.06 or 200 <= i < 212 else v for i, v in enumerate(x)]
+    bg = [20.0 + 3 * math.sin(i / 90) for i in range(700)]
+    df = spark.createDataFrame([("a", i, v, b) for i, (v, b) in enumerate(zip(x, bg, strict=True))], "series string, k long, x double, background double")
+    for merge in (1, 4):
+        got = detect.threshold_events(df, 20.0, 1.4, 4.0, 2, 0.5, merge).orderBy("start").collect()
+        want = plain_threshold_events(x, bg, 20.0, 1.4, 4.0, 2, 0.5, merge)
+        assert [(r.start, r.peak, r.stop) for r in got] == want and len(want) > 5
+        assert all(r.stop_t == min(r.stop, 699) * 20 and r.duration_s == (r.stop - r.start) * 20 for r in got)
+
+
+def test_fits_with_a_background(spark):
+    edges = physics.energy_edges(20, 150, 14)
+    rows = [("a", lo, hi, round(1e5 * (lo**-2.5 - hi**-2.5) * 40 + 300), 300.0) for lo, hi in zip(edges, edges[1:], strict=False)]
+    kind = "series string, bin_lo double, bin_hi double, n long, bkg double"
+    r = physics.power_law(spark.createDataFrame(rows, kind)).first()
+    assert r["index"] == pytest.approx(3.5, abs=0.15)
+    assert physics.power_law(spark.createDataFrame(rows, kind).drop("bkg")).first()["index"] < r["index"] - 0.2
+    shape = lambda lo, hi: math.exp(-(lo + hi) / 2 / 12) * ((lo + hi) / 2) ** -1.5 * (hi - lo)
+    rows = [("a", lo, hi, round(1e6 * shape(lo, hi) * 0.5) + 50, 50.0, 0.5) for lo, hi in zip(edges, edges[1:], strict=False)]
+    t = physics.temperature(spark.createDataFrame(rows, kind + ", eff double"), slope=1.5).first()
+    assert t.kt == pytest.approx(12, abs=0.3) and t.error > 0
+    e = spark.range(1).select(physics.silicon_efficiency(F.lit(10.0)).alias("e")).first().e
+    assert e == pytest.approx(1 - math.exp(-33.9 * 2.33 * 450e-4))
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    for kind in ("csv", "json", "parquet"):
+        tables.export(df, f"file://{tmp_path}/{kind}", kind)
+        back = spark.read.options(header="true", inferSchema="true").format(kind).load(f"file://{tmp_path}/{kind}")
+        assert sorted((r.k, r.v) for r in back.collect()) == [(1, "a"), (2, None)]
+        with pytest.raises(Exception, match="exists"):
+            tables.export(df, f"file://{tmp_path}/{kind}", kind)
+    assert tables.csv(spark, f"file://{tmp_path}/csv", "k long, v string").count() == 2
+    with pytest.raises(ValueError):
+        tables.export(df, "x", "xlsx")
+
+
+def test_outside_lists_and_light_curves(spark):
+    rows = [("2024-01-01 00:00:00", "2024-01-01 00:10:00", None, "M2.5/1N"), ("2024-01-02 00:00:00", None, None, "C1")]
+    got = resolve.outside_events(spark.createDataFrame(rows, "Begin_Time string, max_time string, end_time string, goes_class string")).collect()
+    assert len(got) == 1 and got[0].stop == got[0].peak == 1704067800 and got[0].flux == pytest.approx(2.5e-5)
+    counts = spark.createDataFrame([("p", float(i), [0.0] * 41 + [1.0, float(i)]) for i in range(5)], "path string, TSTART double, COUNTS array<double>")
+    curve = spark.createDataFrame([(float(i), 1.0 + i) for i in range(5)], "TIME double, COUNTS double")
+    r = fits.consistency(counts, curve).first()
+    assert (r.most, r.exact, r.n) == (0.0, True, 5)
+    assert not fits.consistency(counts, curve.withColumn("COUNTS", F.col("COUNTS") + 1)).first().exact
+
+
+def test_closed_streams_hold_late_rows_and_all_windows(spark, tmp_path):
+    from gapline.streaming import events as stream
+
+    rows = spark.createDataFrame([("a", t * 1_000_000, float(t)) for t in (3, 1, 700, 650, 1300, 40)], "series string, us long, x double")
+    s = stream.closed(spark, rows, f"file://{tmp_path}/in").withColumn("ts", F.timestamp_micros("us"))
+    out = stream.drained(stream.tumbling(s), f"file://{tmp_path}/w").where("series IS NOT NULL")
+    assert sorted((r.start.timestamp() % 86400 // 600, r.n) for r in out.collect()) == [(0, 3), (1, 2), (2, 1)]
 
 
 def test_bursts_and_fits(spark):
@@ -222,7 +344,7 @@ def test_isotonic_against_pooling(spark):
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             s, n, _, hi = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], hi]
-    for p, y in knots:
+    for p, y in knots.collect():
         assert y == pytest.approx(next(s / n for s, n, lo, hi in blocks if lo <= p <= hi), abs=1e-6)
 
 
