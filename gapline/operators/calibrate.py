@@ -56,6 +56,11 @@ def peak_correction(events: DataFrame, truth: DataFrame, width: int, most: int =
     return piecewise_fit(logs, "x", "y", bins, least)
 
 
+def line(df: DataFrame, x: str, y: str, by: str = "series") -> DataFrame:
+    """Straight line through all rows of each series: n, slope and intercept of y on x."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+
+
 def anchor(df: DataFrame, x: str, y: str, least: int = 1000) -> DataFrame:
     """Least squares of log10 y on log10 x over positive rows: slope, intercept, scatter, n; null below `least` rows."""
     rows = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(F.log10(x).alias("lx"), F.log10(y).alias("ly"))

@@ -44,6 +44,21 @@ def lagged_correlation(df: DataFrame, x: str, y: str, most: int, least: int = 5,
     return top.select(by, "b.lag", "b.r", "b.n")
 
 
+def lag_covariance(df: DataFrame, lags: list[int], x: str = "n", k: str = "k", by: str = "series") -> DataFrame:
+    """Per series and lag the covariance of the counts of steps `lag` apart, over pairs of steps that are both there, its ratio
+    to the mean count (what counting alone would give at lag 0), and the number of pairs."""
+    left = df.select(by, k, F.col(x).cast("double").alias("_a")).withColumn("lag", F.explode(F.array(*map(F.lit, lags))))
+    right = df.select(by, (F.col(k)).alias("_k2"), F.col(x).cast("double").alias("_b"))
+    both = left.withColumn("_k2", F.col(k) + F.col("lag")).join(right, [by, "_k2"])
+    out = both.groupBy(by, "lag").agg(F.count(F.lit(1)).alias("pairs"), F.covar_pop("_a", "_b").alias("covariance"), F.avg("_a").alias("_m"))
+    return out.select(by, "lag", "pairs", "covariance", F.when(F.col("_m") > 0, F.col("covariance") / F.col("_m")).alias("over_mean"))
+
+
+def occupancy(ticks: DataFrame, per: int, x: str = "n", k: str = "k", by: str = "series") -> DataFrame:
+    """Per `per` ticks the share of ticks with a count and the counts: where the share is low, dead ticks spoil the timing."""
+    return ticks.groupBy(by, F.floor(F.col(k) / per).alias("second")).agg((F.count(F.when(F.col(x) > 0, 1)) / per).alias("share"), F.sum(x).alias("counts"))
+
+
 def refined_lag(df: DataFrame, by: str = "series") -> DataFrame:
     """Per series the vertex of the parabola through the best lag and its neighbours; `df` has lag and r of all lags."""
     best = df.groupBy(by).agg(F.max_by("lag", F.struct("r", -F.col("lag"))).alias("_l"))

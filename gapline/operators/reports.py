@@ -86,3 +86,40 @@ def repeated_runs(runs: DataFrame, gain: str = "gain", relative: str = "relative
     n, above = F.count(F.lit(1)), F.count(F.when(F.col(low) > 0, 1))
     verdict = F.when((above == n) & (n >= 3), "holds").when(F.count(F.when(F.col(gain) > 0, 1)) > n / 2, "mixed").otherwise("does not hold")
     return runs.agg(n.alias("runs"), F.avg(gain).alias("gain"), F.avg(relative).alias("relative"), F.when(n > 1, F.stddev_samp(relative)).alias("relative_sd"), above.alias("above_zero"), verdict.alias("verdict"))
+
+
+def references(rows: DataFrame, y: str, forecasts: dict[str, str]) -> DataFrame:
+    """Root mean square and bias of several forecasts on the rows where all of them and the truth are known."""
+    every = rows.dropna(subset=[y, *forecasts.values()])
+    one = lambda name, c: F.struct(F.lit(name).alias("forecast"), (F.col(c) - F.col(y)).cast("double").alias("e"))
+    long = every.select(F.explode(F.array(*[one(n, c) for n, c in forecasts.items()])).alias("v")).select("v.*")
+    return long.groupBy("forecast").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"))
+
+
+def calibration_report(rows: DataFrame, y: str, before: str, after: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Brier score before and after calibration, and its skill over the base rate."""
+    known = rows.where(F.col(y).isNotNull() & F.col(before).isNotNull() & F.col(after).isNotNull())
+    score = lambda c: F.avg(F.pow(F.col(c) - F.col(y), F.lit(2)))
+    out = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), score(before).alias("before"), score(after).alias("after"), F.avg(F.col(y).cast("double")).alias("_base"))
+    spread = F.col("_base") * (1 - F.col("_base"))
+    return out.select(*by, "n", "before", "after", metrics.ratio(spread - F.col("after"), spread).alias("skill"))
+
+
+def binned_medians(rows: DataFrame, x: str, y: str, width: float, least: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Median of y in bins of x with at least `least` rows, and its quartiles."""
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    q = lambda v: F.percentile(y, F.lit(v))
+    return known.groupBy(*by, F.floor(F.col(x) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75")).where(F.col("n") >= least)
+
+
+def weighted_mean(rows: DataFrame, value: str, error: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean weighted by the inverse square of the errors, its own error, and the number of values."""
+    w = 1 / (F.col(error) * F.col(error))
+    known = rows.where(F.col(value).isNotNull() & (F.col(error) > 0))
+    return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.sum(w * F.col(value)) / F.sum(w)).alias("mean"), F.sqrt(1 / F.sum(w)).alias("error"))
+
+
+def frozen(rows: DataFrame, thresholds: DataFrame, y: str, p: str, by: str) -> DataFrame:
+    """Skill with thresholds fixed beforehand (`by`, threshold), a row for each of them that was used."""
+    known = rows.join(F.broadcast(thresholds), by) if thresholds.limit(10_001).count() <= 10_000 else rows.join(thresholds, by)
+    return metrics.contingency(known, F.col(y) == 1, F.col(p) >= F.col("threshold"), [by, "threshold"]).select(by, "threshold", "tp", "fp", "fn", "tn", "tss", "hss")

@@ -100,3 +100,16 @@ def first_seen(flares: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The union of several flare lists with each flare once, as it stands in the first of them (`order`)."""
     w = W.partitionBy(key).orderBy(*order)
     return flares.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def clipped(events: DataFrame, spans: DataFrame, dt: int, width: int = 1 << 20, by: str = "series") -> DataFrame:
+    """Events (event, start, peak, stop in seconds) on the grids of the segments they meet (segment, first, last in seconds):
+    first, peak and last step of each within the segment, and the event's own times."""
+    from .temporal import _bucketed
+
+    e = _bucketed(events.where("start <= stop"), width, F.col("start"), F.col("stop"))
+    s = _bucketed(spans.withColumnsRenamed({"first": "_f", "last": "_l"}), width, F.col("_f"), F.col("_l"))
+    met = e.join(s, [by, "_bucket"]).where((F.col("start") <= F.col("_l")) & (F.col("stop") >= F.col("_f"))).drop("_bucket").distinct()
+    n = F.floor((F.col("_l") - F.col("_f")) / dt)
+    at = lambda c, f: F.least(F.greatest(f((F.col(c) - F.col("_f")) / dt).cast("long"), F.lit(0)), n)
+    return met.select(by, "segment", "event", "start", "peak", "stop", at("start", F.floor).alias("first"), at("peak", F.floor).alias("top"), at("stop", F.ceil).alias("last"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gapline.functions import scalars, spectra
-from gapline.operators import activity, calibrate, detect, labels, reports, scoring, segments, temporal, windows
+from gapline.operators import activity, calibrate, detect, labels, physics, reports, scoring, segments, temporal, windows
 from gapline.sources import fits
 from gapline.sources.tables import table
 
@@ -322,3 +322,80 @@ def coincident_bands(spark, sf_dir):
     h = binned(spark, sf_dir, 3600).select(F.col("series").alias("detector"), F.lit(0).alias("series"), "k", "x", (F.col("x") * 0.5).alias("background"), F.when(F.col("n") > 1, F.sqrt("x")).alias("noise"), F.col("n").cast("double").alias("coverage"))
     out = detect.coincident(h)
     return out.select("series", "k", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x", "background", "noise")], "together", "detectors")
+
+
+@query(f"""WITH {b_sql(600, 'm')}, l AS (SELECT unnest([0, 1, 3, 6]) AS lag), p AS (SELECT a.series, lag, a.n::DOUBLE AS a, b.n::DOUBLE AS b FROM m a, l, m b WHERE b.series = a.series AND b.k = a.k + lag)
+SELECT series, lag, count(*) AS pairs, round(covar_pop(a, b), 9) + 0.0 AS covariance, round(CASE WHEN avg(a) > 0 THEN covar_pop(a, b) / avg(a) END, 9) + 0.0 AS over_mean FROM p GROUP BY ALL""")
+def lag_covariance(spark, sf_dir):
+    return rounded(physics.lag_covariance(binned(spark, sf_dir), [0, 1, 3, 6]))
+
+
+@query(f"WITH {b_sql(600, 'm')} SELECT series, k // 24 AS second, round(count(*) FILTER (n > 0) / 24, 9) + 0.0 AS share, sum(n)::BIGINT AS counts FROM m GROUP BY ALL")
+def tick_occupancy(spark, sf_dir):
+    return rounded(physics.occupancy(binned(spark, sf_dir), 24))
+
+
+@query(f"""WITH {b_sql(3600, 'h')}, r AS (SELECT series, k, x, lag(x) OVER w AS p, avg(x) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 23 PRECEDING AND 1 PRECEDING) AS c FROM h WINDOW w AS (PARTITION BY series ORDER BY k)),
+v AS (SELECT unnest([{{'f': 'persistence', 'e': p - x}}, {{'f': 'mean', 'e': c - x}}]) AS v FROM r WHERE x IS NOT NULL AND p IS NOT NULL AND c IS NOT NULL)
+SELECT v.f AS forecast, count(*) AS n, round(sqrt(avg(v.e * v.e)), 9) + 0.0 AS rmse, round(avg(v.e), 9) + 0.0 AS bias FROM v GROUP BY 1""")
+def reference_forecasts(spark, sf_dir):
+    from gapline.operators import frames
+
+    h = binned(spark, sf_dir, 3600)
+    rows = frames.framed(h, "k", 24, 0, lambda w: {"p": F.first("x").over(w.rangeBetween(-1, -1)), "c": F.avg("x").over(w.rangeBetween(-23, -1))})
+    return rounded(reports.references(rows, "x", {"persistence": "p", "mean": "c"}))
+
+
+@query(f"""WITH {S_SQL}, b AS (SELECT source, y, p, p / 2 + 0.25 AS q FROM s WHERE y IS NOT NULL AND p IS NOT NULL), z AS (SELECT source, count(*) AS n, avg((p - y) ** 2) AS before, avg((q - y) ** 2) AS after, avg(y) AS b FROM b GROUP BY 1)
+SELECT source, n, round(before, 9) + 0.0 AS before, round(after, 9) + 0.0 AS after, round(coalesce((b * (1 - b) - after) / nullif(b * (1 - b), 0), 0), 9) + 0.0 AS skill FROM z""")
+def calibration_report(spark, sf_dir):
+    s = scores(spark, sf_dir).withColumn("q", F.col("p") / 2 + 0.25)
+    return rounded(reports.calibration_report(s, "y", "p", "q", ("source",)))
+
+
+@query("""SELECT l_returnflag, floor(l_quantity / 5)::BIGINT AS bin, count(*) AS n, round(quantile_cont(l_extendedprice, 0.25), 6) + 0.0 AS q25, round(quantile_cont(l_extendedprice, 0.5), 6) + 0.0 AS q50, round(quantile_cont(l_extendedprice, 0.75), 6) + 0.0 AS q75 FROM lineitem GROUP BY ALL HAVING count(*) >= 100""")
+def binned_medians(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    out = reports.binned_medians(li, "x", "y", 5.0, 100, ("l_returnflag",))
+    return out.select("l_returnflag", "bin", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("q25", "q50", "q75")])
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_extendedprice::DOUBLE AS v, l_quantity::DOUBLE AS e FROM lineitem WHERE l_quantity > 0) SELECT l_returnflag, count(*) AS n, round(sum(v / (e * e)) / sum(1 / (e * e)), 6) + 0.0 AS mean, round(sqrt(1 / sum(1 / (e * e))), 9) + 0.0 AS error FROM r GROUP BY 1""")
+def weighted_means(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"), F.col("l_quantity").cast("double").alias("e"))
+    out = reports.weighted_mean(li, "v", "e", ("l_returnflag",))
+    return out.select("l_returnflag", "n", (F.round("mean", 6) + 0.0).alias("mean"), (F.round("error", 9) + 0.0).alias("error"))
+
+
+@query(f"""WITH {S_SQL}, t AS (SELECT source, round(avg(p), 3) AS threshold FROM s GROUP BY 1), z AS (SELECT source, threshold, count(*) FILTER (p >= threshold AND y = 1) AS tp, count(*) FILTER (p >= threshold AND y <> 1) AS fp, count(*) FILTER (p < threshold AND y = 1) AS fn, count(*) FILTER (p < threshold AND y <> 1) AS tn FROM s JOIN t USING (source) GROUP BY ALL)
+SELECT source, threshold, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fn, 0), 0) - coalesce(fp / nullif(fp + tn, 0), 0), 9) + 0.0 AS tss, round(coalesce(2 * (tp * tn - fp * fn) / nullif((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn), 0), 0), 9) + 0.0 AS hss FROM z""")
+def frozen_thresholds(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    t = s.groupBy("source").agg(F.round(F.avg("p"), 3).alias("threshold"))
+    return rounded(reports.frozen(s, t, "y", "p", "source"), "threshold")
+
+
+@query(f"""WITH {_P}, g AS (SELECT unnest(range((SELECT min(t) // 600 FROM l), (SELECT max(t) // 600 FROM l) + 1)) * 600 AS t), m AS (SELECT t, max(x) AS x FROM r GROUP BY t)
+SELECT g.t, CASE WHEN g.t - m.t < 3600 THEN m.x END AS flux FROM g ASOF LEFT JOIN m ON g.t >= m.t""")
+def flux_on_grid(spark, sf_dir):
+    a, b = _pair(spark, sf_dir)
+    ends = a.agg(F.floor(F.min("t") / 600).alias("a"), F.floor(F.max("t") / 600).alias("z"))
+    steps = ends.select(F.lit(0).alias("series"), F.explode(F.sequence("a", "z")).alias("k")).select("series", (F.col("k") * 600).alias("t"))
+    return temporal.asof(steps, b.select("series", "t", "x"), ["x"], 1 << 17, 3600, True, names="f_").select("t", F.col("f_x").alias("flux"))
+
+
+@query(f"""WITH {E_SQL}, v AS (SELECT "user" AS series, id AS event, t AS start, t + 5000 AS peak, t + 60000 AS stop FROM e WHERE series = 'click'), s AS (SELECT "user" AS series, id AS segment, t AS first, t + 90000 AS last FROM e WHERE series = 'view')
+SELECT v.series, segment, event, start, peak, stop, least(greatest(floor((start - first) / 600)::BIGINT, 0), 150) AS first, least(greatest(floor((peak - first) / 600)::BIGINT, 0), 150) AS top, least(greatest(ceil((stop - first) / 600)::BIGINT, 0), 150) AS last
+FROM v JOIN s ON s.series = v.series AND v.start <= s.last AND v.stop >= s.first""")
+def events_on_grids(spark, sf_dir):
+    e = samples(spark, sf_dir).withColumn("kind", F.col("series")).withColumn("series", F.col("user"))
+    v = e.where("kind = 'click'").select("series", F.col("id").alias("event"), F.col("t").alias("start"), (F.col("t") + 5000).alias("peak"), (F.col("t") + 60000).alias("stop"))
+    s = e.where("kind = 'view'").select("series", F.col("id").alias("segment"), F.col("t").alias("first"), (F.col("t") + 90000).alias("last"))
+    return segments.clipped(v, s, 600, 1 << 17)
+
+
+@query("""WITH p AS (SELECT l_returnflag AS series, log10(l_quantity) AS x, log10(l_extendedprice) AS y FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0)
+SELECT series, count(*) AS n, round(regr_slope(y, x), 9) + 0.0 AS slope, round(regr_intercept(y, x), 9) + 0.0 AS intercept FROM p GROUP BY 1""")
+def reference_calibration(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").where("l_quantity > 0 AND l_extendedprice > 0").select(F.col("l_returnflag").alias("series"), F.log10("l_quantity").alias("x"), F.log10("l_extendedprice").alias("y"))
+    return rounded(calibrate.line(li, "x", "y"))
