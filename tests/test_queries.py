@@ -20,10 +20,11 @@ def test_against_sql(spark, name):
 def test_runs(spark, name):
     """Those without SQL give rows, the same ones twice, and no key twice; their rules are held against plain walks in test_operators."""
     key = {"rise_rule_events": ["series", "start"], "hard_bursts": ["series", "start"], "adaptive_bins": ["event", "start"], "power_law_fits": ["series"], "temperature_fits": ["series"]}
-    rows = [sorted(map(str, catalog.queries()[name](spark, SF).collect())) for _ in range(2)]
+    sf = "/root/testdata/sf0.01" if name == "hard_bursts" else SF  # the smallest table has none
+    rows = [sorted(map(str, catalog.queries()[name](spark, sf).collect())) for _ in range(2)]
     assert rows[0] == rows[1] and rows[0]
     if name in key:
-        df = catalog.queries()[name](spark, SF)
+        df = catalog.queries()[name](spark, sf)
         assert df.groupBy(*key[name]).count().where("count > 1").isEmpty()
 
 
