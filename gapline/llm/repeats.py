@@ -4,9 +4,10 @@ A full suffix array over a corpus would deal out a row for each byte. Here the s
 loss: each possible start of a string has an anchor, the place of the least q-gram hash within the string, so equal strings
 have their anchor at the same offset. The starts of one anchor form a cell, a range of offsets before the anchor.
 
-Buckets are then refined as in bucket-pointer refinement. The initial buckets are those of the anchors' q-grams. A bucket
-identifier of a longer stretch is made from the identifiers of its parts (hashes of prefixes, in place of ranks, so that a
-bucket's identifier needs no global sort), and only buckets with several members are refined further. For an open cell two
+Buckets are then refined in the manner of bucket-pointer refinement. The initial buckets are those of the anchors' q-grams.
+The identifier of a bucket of longer stretches is the hash of a stretch, taken from prefix sums of the text in each of the
+three rounds, where the method proper puts it together from the ranks of later offsets: a hash needs no global sort of
+suffixes. Only buckets with several members are refined further. For an open cell two
 identifiers are compared: that of the stretch which all its strings share (the core: alone in its bucket, none of the
 strings repeats) and that of the stretch which covers them all (the cover: in company, all of them repeat). Where a core
 has several covers, one cell of each cover is split, from the anchor's whole range to 16 offsets to single ones, where
@@ -17,7 +18,9 @@ and a count, and every other one is in company. So buckets of any size are pre-a
 are made.
 
 Null text is empty. Rows are told apart by id and text; rows equal in both are copies of each other, and are counted
-as such. Texts under 400 bytes lose nothing. An empty table gives an empty result. Other columns are not read.
+as such. Texts under 400 bytes lose nothing. Very long texts are handled whole, in parts that overlap by a string; of equal
+q-gram hashes the leftmost is the anchor. An empty table gives an empty result. Other columns are not read, so none can
+clash.
 """
 
 from __future__ import annotations

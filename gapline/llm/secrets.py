@@ -7,8 +7,10 @@ Positions come from splitting a text at the matches: a match starts after the le
 The interval join is a range frame of `scope` code points about each part within its document, so a part meets only what
 can lie in its scope, and no pairs are made.
 
-Null text counts as empty: no spans. Every row is scanned by itself, repeated rows and null ids too. An empty table gives
-an empty result.
+Null text counts as empty: no spans. Every row is scanned by itself, repeated rows and null ids too. Very long texts are
+scanned whole; parts that start at one place are ordered by kind. Carried columns go through as one struct, so their names
+clash with none. Distances in a scope are those of starts: a part right behind a longer one than the scope stays unlinked.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
