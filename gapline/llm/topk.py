@@ -51,14 +51,14 @@ def _cell(k: int):
         empty = schema.empty_table()
         if not queries.num_rows or not candidates.num_rows:
             return empty
-        ids = candidates["vec_id"].to_pandas().astype("Int64")
+        ids = candidates["c_vec_id"].to_pandas().astype("Int64")
         last = ids.isna().to_numpy()
         ids = ids.fillna(0).to_numpy(dtype=np.int64)
-        uids = candidates["uid"].to_numpy()
+        uids = candidates["c_uid"].to_numpy()
         order = np.lexsort((uids, ids, last))  # ascending ids: among equal scores an earlier place wins
         ids, last, uids = ids[order], last[order], uids[order]
-        dims = max(int(np.diff(np.asarray(t["v"].combine_chunks().offsets)).max(initial=0)) for t in (queries, candidates))
-        c, q = _dense(candidates["v"], dims)[order], _dense(queries["v"], dims)
+        dims = max(int(np.diff(np.asarray(t.combine_chunks().offsets)).max(initial=0)) for t in (queries["v"], candidates["c_v"]))
+        c, q = _dense(candidates["c_v"], dims)[order], _dense(queries["v"], dims)
         if dims * int(np.abs(c.astype(float)).max(initial=0)) * int(np.abs(q.astype(float)).max(initial=0)) >= 2**62:
             c, q = c.astype(object), q.astype(object)
         postings = []
@@ -94,7 +94,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     block = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("uid", "vec_id", "v", block(q_blocks).alias("qb")).withColumn("cb", all_of(c_blocks))
-    right = vectors.select("uid", "vec_id", "v", block(c_blocks).alias("cb")).withColumn("qb", all_of(q_blocks))
-    cells = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(_cell(k), "uid long, query_id long, vec_id long, score long")
+    # names of their own: the sides stem from one table, and pruning would mix up equal ones
+    right = vectors.select(F.col("uid").alias("c_uid"), F.col("vec_id").alias("c_vec_id"), F.col("v").alias("c_v"), block(c_blocks).alias("c_cb")).withColumn("c_qb", all_of(q_blocks))
+    cells = left.groupBy("qb", "cb").cogroup(right.groupBy("c_qb", "c_cb")).applyInArrow(_cell(k), "uid long, query_id long, vec_id long, score long")
     w = W.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

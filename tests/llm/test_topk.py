@@ -23,6 +23,7 @@ def test_against_brute_force(spark, monkeypatch):
             best = sorted(((-sum(a * b for a, b in zip(v, w)), math.inf if j is None else j) for j, m, w in good if m != n))[:5]
             want += [(i, r + 1, -1 if j == math.inf else j, -s) for r, (s, j) in enumerate(best)]
     assert got == sorted(want)
+    assert topk.top_k(topk.quantised(df), F.col("vec_id") % 10 == 0, 5).count() == len(want)  # columns are pruned
 
 
 def test_empty(spark):
