@@ -73,7 +73,7 @@ FROM tokens JOIN vocabulary v USING (id) GROUP BY text
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, pieces: int = PIECES, block: int = BLOCK):
         import duckdb
         import regex
 
@@ -89,7 +89,7 @@ class Codec:
         self.db.execute("""
             CREATE TABLE merges AS SELECT a, b, id, id IN (SELECT t FROM (SELECT a AS t, id FROM splits UNION ALL SELECT b, id FROM splits) WHERE id < t) AS lower FROM splits;
             CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, hex FROM vocabulary""")
-        self.pieces = PieceCoder(self._pieces, PIECES, most=BLOCK)
+        self.pieces = PieceCoder(self._pieces, pieces, most=block)
 
     def _contracted(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word."""
@@ -131,13 +131,13 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def _codec(path: str) -> Codec:
-    return Codec(path)
+def _codec(path: str, pieces: int = PIECES, block: int = BLOCK) -> Codec:
+    return Codec(path, pieces=pieces, block=block)
 
 
-def _encode(path: str, with_ids: bool):
+def _encode(path: str, with_ids: bool, pieces: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
+        codec = _codec(path, pieces, block)
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
         for x in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             doc_ids, rows, held = x["doc_id"].to_pylist(), [], 0
@@ -165,11 +165,14 @@ def _encode(path: str, with_ids: bool):
     return run
 
 
-def encoded(docs: DataFrame, ranks: str = RANKS, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, the digests of ids and decoded bytes and, with `with_ids`, the ids of each document."""
+def encoded(docs: DataFrame, ranks: str = RANKS, with_ids: bool = True, pieces: int = PIECES, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_tokens, the digests of ids and decoded bytes and, with `with_ids`, the ids of each document.
+
+    `pieces` and `block` bound what a worker holds (pieces remembered, bytes of text at once); they change no result.
+    """
     bounded_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.mapInArrow(_encode(public_tokenizers.path(ranks), with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return text.mapInArrow(_encode(public_tokenizers.path(ranks), with_ids, pieces, block), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decoded(tokens: DataFrame, ranks: str = RANKS) -> DataFrame:
