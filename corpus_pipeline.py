@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them. Null and empty texts have no ids."""
-    return bpe.encoded(docs)
+    return bpe.encoded(docs, pieces=200_000, block=1 << 19)  # beside what earlier stages left in the workers
 
 
 STAGES = [
