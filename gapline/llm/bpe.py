@@ -33,8 +33,8 @@ from .pieces import PieceCoder
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words of one recursive query.
 WORDS = 5_000
-#: Pieces remembered by a worker (about 30 MB), beyond which it starts anew, and bytes of text handled at once.
-PIECES, BLOCK = 400_000, 1 << 20
+#: Pieces remembered by a worker (about 70 MB), beyond which it starts anew, and bytes of text handled at once.
+PIECES, BLOCK = 1_000_000, 1 << 20
 #: Documents of a batch that are unpacked at once.
 ROWS = 1_000
 
