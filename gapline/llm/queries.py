@@ -71,6 +71,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -134,5 +146,67 @@ FROM s JOIN r ON r.a = s.u JOIN s t ON t.u = r.b GROUP BY s.u, s.doc_id, s.sh
 """
 
 
+_AUDIT_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copied
+  FROM documents
+), l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN copied THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), h AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a JOIN x b ON b.c <> a.c JOIN x c ON c.c NOT IN (a.c, b.c)
+    JOIN x d ON d.c NOT IN (a.c, b.c, c.c) JOIN x e ON e.c NOT IN (a.c, b.c, c.c, d.c)
+), s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS me, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, me, coalesce(sum(n) FILTER (translate(fails, before || me, '') = fails), 0) AS kept,
+    coalesce(sum(n) FILTER (contains(fails, me) AND translate(fails, before, '') = fails), 0) AS removed,
+    coalesce(sum(n) FILTER (contains(fails, me) AND translate(fails, before, '') <> fails), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = me), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (contains(fails, me) AND translate(fails, before, '') = fails), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (contains(fails, me) AND translate(fails, before, '') = fails), 0) AS toxic_lost
+  FROM h, s GROUP BY part, filter_order, step, me
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, me))::BIGINT AS shapley
+FROM r
+"""
+
+
+_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS u, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), o AS (SELECT u, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term FROM (SELECT DISTINCT u, lang, term FROM o) GROUP BY lang, term HAVING count(*) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (
+  SELECT lang, source, coalesce(n, 0)::HUGEINT AS total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) USING (lang, source) LEFT JOIN v USING (lang)
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)) AS q
+  FROM c JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM g GROUP BY lang) USING (lang) GROUP BY lang, term
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source AS one, y.source AS other, sum(abs(x.p - y.p)) AS s FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL
+  ) t ON t.lang = a.lang AND t.one = a.source AND t.other = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM f)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_neardup": _NEAR_SQL, "op2_exact_topk": _TOPK_SQL, "op4_source_mixing": _MIX_SQL}
+    return {"op5_minhash_neardup": _NEAR_SQL, "op2_exact_topk": _TOPK_SQL, "op4_source_mixing": _MIX_SQL, "op11_filter_audit": _AUDIT_SQL, "op13_source_divergence": _DIVERGENCE_SQL}
