@@ -1,9 +1,9 @@
 """Texts to token ids through distinct pieces.
 
 A text is cut where every match of the byte-level pre-tokenizer must end: before a single space or line break between two
-known characters, and between letters, digits and punctuation. Known are ASCII and the letters of U+00C0 to U+017F;
-apostrophes (contractions) and all else are never cut at. Whatever lies between two cuts is a piece, coded by itself by the
-caller's tokenizer; a distinct piece is coded once and its ids are gathered for every place it stands at. Pieces are told
+known characters, and between letters, digits and punctuation. Known are ASCII and the letters of U+00C0 to U+017F, but for
+U+0130 (two characters in lower case); apostrophes (contractions) and all else are never cut at. Whatever lies between two
+cuts is a piece, coded by itself by the caller's tokenizer; a distinct piece is coded once and its ids are gathered for every place it stands at. Pieces are told
 apart by 64 bits of a hash within one block of text, and by 128 bits across blocks.
 """
 
@@ -90,6 +90,7 @@ def cut_places(buf: np.ndarray) -> np.ndarray:
     """Places in UTF-8 bytes at which pre-tokenizer matches end for certain."""
     c = _CLASS[buf]
     latin = np.flatnonzero((buf[:-1] >= 0xC3) & (buf[:-1] <= 0xC5) & (buf[1:] != 0x97) & (buf[1:] != 0xB7) | (buf[:-1] >= 0xC4) & (buf[:-1] <= 0xC5))
+    latin = latin[(buf[latin] != 0xC4) | (buf[latin + 1] != 0xB0)]
     c[latin] = 1
     c[latin + 1] = 1
     known = (c >= 1) & (c <= 3)

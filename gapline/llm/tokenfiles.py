@@ -37,7 +37,7 @@ SCHEMA = "doc_id long, shard int, place long, n_tokens long, ids array<int>"
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str) -> PieceCoder:
+def coder(path: str) -> PieceCoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -53,7 +53,7 @@ def _coder(path: str) -> PieceCoder:
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, place, shard = _coder(path), 0, TaskContext.get().partitionId()
+        code, place, shard = coder(path), 0, TaskContext.get().partitionId()
         tail = np.array([end], dtype=np.uint32)
 
         def batch(doc_ids, values, sizes, places):
@@ -64,7 +64,7 @@ def _encode(path: str, end: int):
 
         for x in batches:
             doc_ids, kept, values, sizes, places, held = x["doc_id"].to_pylist(), [], [], [], [], 0
-            for i, ids, _ in coder.encode(x["text"].to_pylist()):
+            for i, ids, _ in code.encode(x["text"].to_pylist()):
                 values += [*ids, tail]
                 size = sum(map(len, ids)) + 1
                 kept.append(doc_ids[i])
