@@ -2,8 +2,8 @@
 
 First scan: documents give rows of (lang, term, source, document), summed up within blocks of documents on the side that reads
 them (a block's row stands under its first document and says how many documents it is of). They are dealt by (lang, term) and
-sorted by (lang, term, source, document); a run-length scan gives each term its document frequency and its counts by source,
-and keeps the terms in enough documents. What is carried over a batch's end is one row a source, so a term of any frequency
+sorted within by term, lang, source and document (the term first: a sort compares a prefix of its first column); a run-length
+scan gives each term its document frequency and its counts by source, and keeps the terms in enough documents. What is carried over a batch's end is one row a source, so a term of any frequency
 takes no memory.
 
 Second scan: the kept terms, with the smoothed shares p of each source that has them, in the same order. Each run of a term
@@ -36,10 +36,8 @@ from .common import bounded_batches, staged
 
 #: Documents a kept term is in at least, what is added to each count, and the unit of shares.
 LEAST, SMOOTH, UNIT = 30, 5, 1_000_000_000
-#: Rows that a block holds before they are emitted, and bytes of a text at once.
-ROWS, PART = 200_000, 4 << 20
-#: Sources of a language whose pairs are summed up in a matrix within a task.
-SIDE = 512
+#: Rows that a block holds before they are emitted, bytes of a text at once, pairs of sources summed up at once.
+ROWS, PART, PAIRS = 400_000, 4 << 20, 1_000_000
 
 _IS_TERM = [chr(b).isalpha() if b < 128 else True for b in range(256)]
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if _IS_TERM[b] else 32 for b in range(256))
@@ -154,7 +152,7 @@ def kept_terms(docs: DataFrame, least: int = LEAST, block: int = ROWS, most: int
     """
     bounded_batches(docs.sparkSession)
     found = docs.select("lang", "source", "text").mapInArrow(_occurrences(block, most), "lang string, term string, source string, document long, docs long, count long")
-    dealt = found.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    dealt = found.repartition("lang", "term").sortWithinPartitions("term", "lang", "source", "document")
     return dealt.mapInArrow(_kept(least), "lang string, term string, docs long, sources array<string>, counts array<long>")
 
 
@@ -168,67 +166,56 @@ def _share(count: Column, total: Column, terms: Column) -> Column:
 _EMITTED = "lang string, source string, other string, term string, value long"
 
 
-def _pairs_and_terms(side: int):
-    """Second scan, over rows in the order (lang, term, source): partial pairs (other; a < b) and terms (term) of each run."""
+def _pairs_and_terms(most: int):
+    """Second scan, over runs of (lang, term) in the order of their sources: partial pairs (other; a < b) and terms (term)."""
+
+    def emitted(lang, source, other, term, value):
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip((lang, source, other, term, value), (*[pa.string()] * 4, pa.int64()), strict=True)], names=["lang", "source", "other", "term", "value"])
+
+    def partial(lang: pa.Array, term: pa.Array, source: pa.Array, p: np.ndarray, z: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sums of whole runs by pair, about `most` pairs at a time, made of each row and the later ones of its run."""
+        n = len(lang)
+        at = np.append(_starts(lang, term), n)
+        later = np.repeat(at[1:], np.diff(at)) - np.arange(n) - 1
+        langs, sources = (c.dictionary_encode() for c in (lang, source))
+        lang_of, source_of = (c.indices.to_numpy().astype(np.int64) for c in (langs, sources))
+        lang_names, names = langs.dictionary.to_pylist(), sources.dictionary.to_pylist()
+        upto = np.cumsum(later)
+        row = 0
+        while row < n:
+            done = upto[row - 1] if row else 0
+            to = max(row + 1, int(np.searchsorted(upto, done + most, side="right")))
+            a = np.repeat(np.arange(row, to), later[row:to])
+            b = np.arange(len(a)) - np.repeat(upto[row:to] - later[row:to] - done, later[row:to]) + a + 1
+            row = to
+            if not len(a):
+                continue
+            d = np.abs(p[a] - p[b]) - np.abs(p[a] - z[b]) - np.abs(p[b] - z[a]) + np.abs(z[a] - z[b])
+            code = (lang_of[a] * len(names) + source_of[a]) * len(names) + source_of[b]
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            sums, code = np.add.reduceat(d[order], first), code[first]
+            pair, other = code // len(names), code % len(names)
+            yield emitted([lang_names[i] for i in (pair // len(names)).tolist()], [names[i] for i in (pair % len(names)).tolist()], [names[i] for i in other.tolist()], [None] * len(code), sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[dict[str, int], np.ndarray]] = {}
-
-        def emitted(lang, source, other, term, value):
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip((lang, source, other, term, value), (*[pa.string()] * 4, pa.int64()), strict=True)], names=["lang", "source", "other", "term", "value"])
-
-        def block(lang: str) -> pa.RecordBatch:
-            index, m = sums.pop(lang)
-            names = np.array(list(index), dtype=object)
-            a, b = np.nonzero(np.triu(m[: len(names), : len(names)] != 0, 1))
-            a_names, b_names = names[a], names[b]
-            return emitted([lang] * len(a), np.where(a_names < b_names, a_names, b_names), np.where(a_names < b_names, b_names, a_names), [None] * len(a), m[a, b])
-
-        def shared(p, z, rows=slice(None)):
-            p1, z1 = p[rows, None], z[rows, None]
-            return np.abs(p1 - p) - np.abs(p1 - z) - np.abs(p - z1) + np.abs(z1 - z)
-
-        def run_of(lang: str, sources: list[str], p: np.ndarray, z: np.ndarray) -> Iterator[pa.RecordBatch]:
-            n = len(sources)
-            if n > side:  # rows of a block of sources at a time, no matrix of all
-                names = np.array(sources, dtype=object)
-                for i in range(0, n, side):
-                    d = shared(p, z, slice(i, i + side))
-                    for k in range(len(d)):
-                        yield emitted([lang] * (n - i - k - 1), [sources[i + k]] * (n - i - k - 1), names[i + k + 1 :], [None] * (n - i - k - 1), d[k, i + k + 1 :])
-                return
-            if lang in sums and len(sums[lang][0].keys() | sources) > 2 * side:
-                yield block(lang)
-            index, m = sums.setdefault(lang, ({}, np.zeros((2 * side, 2 * side), dtype=np.int64)))
-            at = np.array([index.setdefault(s, len(index)) for s in sources])
-            m[np.ix_(at, at)] += shared(p, z)
-
-        def whole(lang, term, source, p, z) -> Iterator[pa.RecordBatch]:
-            at = np.append(_starts(lang, term), len(lang)) if len(lang) else np.zeros(1, dtype=np.int64)
-            langs, sources = lang.to_pylist(), source.to_pylist()
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if b - a > 1:
-                    yield from run_of(langs[a], sources[a:b], p[a:b], z[a:b])
-                    while len(sums) > 8:  # languages come one after the other
-                        yield block(next(iter(sums)))
-
-        rest = None
+        held, rows = [], 0
         for x in batches:
             p, q = x["p"].to_numpy(), x["q"].to_numpy()
             up = pa.array(np.flatnonzero(p > q))
             yield emitted(x["lang"].take(up), x["source"].take(up), [None] * len(up), x["term"].take(up), (p - q)[p > q])
-            cols = [x[c] for c in ("lang", "term", "source", "p", "zero")]
-            if rest is not None:
-                cols = [pa.concat_arrays([a, b]) for a, b in zip(rest, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            last = int(_starts(*cols[:2])[-1])
-            yield from whole(*(c[:last] for c in cols[:3]), *(c[:last].to_numpy() for c in cols[3:]))
-            rest = [c[last:] for c in cols]
-        if rest is not None:
-            yield from whole(*rest[:3], *(c.to_numpy() for c in rest[3:]))
-        for lang in list(sums):
-            yield block(lang)
+            held.append([x[c] for c in ("lang", "term", "source", "p", "zero")])
+            rows += len(p)
+            if rows >= most // 20:
+                cols = [pa.concat_arrays(c) for c in zip(*held, strict=True)]
+                last = int(_starts(*cols[:2])[-1])  # the last run may go on
+                if last:
+                    yield from partial(*(c[:last] for c in cols[:3]), *(c[:last].to_numpy() for c in cols[3:]))
+                held, rows = [[c[last:] for c in cols]], len(cols[0]) - last
+        if rows:
+            cols = [pa.concat_arrays(c) for c in zip(*held, strict=True)]
+            yield from partial(*cols[:3], *(c.to_numpy() for c in cols[3:]))
 
     return run
 
@@ -250,11 +237,11 @@ def _lone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "source": names, "other": source, "value": apart})
 
 
-def divergence(docs: DataFrame, least: int = LEAST, top: int = 50, side: int = SIDE, block: int = ROWS, most: int = PART) -> DataFrame:
+def divergence(docs: DataFrame, least: int = LEAST, top: int = 50, block: int = ROWS, most: int = PART, pairs: int = PAIRS) -> DataFrame:
     """lang, source, part, item, value and rank: `pair` has the distance of a source from each other one of its language,
     `term` the `top` terms whose share of a source is most above that of the language.
 
-    `side`, `block` and `most` bound what a task holds (sources of a matrix, rows of a block, bytes of a text); they change no
+    `block`, `most` and `pairs` bound what a task holds (rows of a block, bytes of a text, pairs of sources); they change no
     result. The histogram of a source's shares has at most as many values as it has different counts (the root of twice its words).
     """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
@@ -273,7 +260,7 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = 50, side: int = S
         "lang", "term", "source", _share(F.col("count"), F.col("total"), F.col("terms")).alias("p"), "zero", _share(F.col("_all"), F.col("lang_total"), F.col("terms")).alias("q")
     )
     shares = staged(shares, "shares")
-    scanned = staged(shares.repartition("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(_pairs_and_terms(side), _EMITTED), "runs")
+    scanned = staged(shares.repartition("lang", "term").sortWithinPartitions("term", "lang", "source").mapInArrow(_pairs_and_terms(pairs), _EMITTED), "runs")
 
     histogram = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("m")).groupBy("lang", "source").agg(F.collect_list(F.struct("p", "m")).alias("_h"))
     beside = groups.groupBy("lang").agg(F.collect_list(F.struct("source", "zero")).alias("_o"))
@@ -283,8 +270,8 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = 50, side: int = S
     lone = sides.mapInPandas(_lone, "lang string, source string, other string, value long")
     common = scanned.where(F.col("other").isNotNull())
     both = common.select("lang", "source", "other", "value").union(common.select("lang", F.col("other").alias("source"), F.col("source").alias("other"), "value")).union(lone)
-    pairs = both.groupBy("lang", "source", "other").agg(F.sum("value").alias("value")).select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value")
+    sums_of = both.groupBy("lang", "source", "other").agg(F.sum("value").alias("value")).select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value")
     found = scanned.where(F.col("term").isNotNull()).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     order = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
-    return ranked(pairs).union(ranked(found).where(F.col("rank") <= top))
+    return ranked(sums_of).union(ranked(found).where(F.col("rank") <= top))

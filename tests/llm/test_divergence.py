@@ -55,7 +55,7 @@ def many(n=40):
     return [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd", "e" + str(i % 7)]) for _ in range(rng.randrange(0, 9))), ("en", "de")[i % 2], f"s{rng.randrange(n)}") for i in range(300)]
 
 
-@pytest.mark.parametrize("size", [{}, {"side": 3}, {"side": 15}, {"block": 5, "most": 10}])
+@pytest.mark.parametrize("size", [{}, {"pairs": 1}, {"pairs": 400}, {"block": 5, "most": 10}])
 def test_many_sources_small_blocks_and_batches(spark, size):
     """Whatever is held at once, the sums are the same; short batches cut runs in the middle."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
