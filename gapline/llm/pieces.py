@@ -3,8 +3,8 @@
 A text is cut where every match of the byte-level pre-tokenizer must end: before a single space or line break between two
 known characters, and between letters, digits and punctuation. Known are ASCII and the letters of U+00C0 to U+017F, but for
 U+0130 (two characters in lower case); apostrophes (contractions) and all else are never cut at. Whatever lies between two
-cuts is a piece, coded by itself by the caller's tokenizer; a distinct piece is coded once and its ids are gathered for every place it stands at. Pieces are told
-apart by 64 bits of a hash within one block of text, and by 128 bits across blocks.
+cuts is a piece, coded by itself by the caller's tokenizer; a distinct piece is coded once and its ids are gathered for every place it stands at. Equal pieces are found by a hash, and
+their bytes are compared before one takes the ids of another.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 
+from .hashes import Stretches
+
 #: Texts are handled in blocks of about so many bytes; longer texts are cut at a space between ASCII letters.
 BLOCK = 1 << 20
 #: Distinct pieces remembered by a worker; beyond that it starts anew.
 REMEMBERED = 1_500_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 unknown, 1 letter, 2 digit, 3 punctuation, 4 space, 5 line break
@@ -30,36 +31,6 @@ _CLASS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] =
 _CLASS[32], _CLASS[10] = 4, 5
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, as far as needed."""
-
-    def __init__(self, base: np.uint64 = _BASE):
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def need(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                x = np.full(n, b, dtype=np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-
-
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each run values[start:end], its length included."""
-    powers.need(len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers.up[: len(values)], out=total[1:])
-    h = (total[ends] - total[starts]) * powers.down[starts]
-    return mixed(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def parts(text: str, most: int = BLOCK) -> Iterator[str]:
     """`text` in parts of about `most` characters, cut at single spaces between ASCII letters."""
     at = 0
@@ -103,51 +74,66 @@ def cut_places(buf: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut | before | after) + 1
 
 
+def gathered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all stretches, one stretch after the other."""
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - (upto - size), size)
+
+
 class _Store:
     """Numbers of known pieces by hash, in sorted arrays, and their values end to end."""
 
+    KINDS = (("piece", np.uint8), ("ids", np.uint32), ("bytes", np.uint8))
+
     def __init__(self):
-        self.h1 = self.h2 = np.zeros(0, dtype=np.uint64)
+        self.hashes = np.zeros(0, dtype=np.uint64)
         self.entry = np.zeros(0, dtype=np.int32)
-        self.begin, self.size, self.flat = {}, {}, {}
-        for kind, dtype in (("ids", np.uint32), ("bytes", np.uint8)):
-            self.begin[kind], self.size[kind], self.flat[kind] = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=dtype)
-        self.used = {"ids": 0, "bytes": 0}
-
-    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Numbers of known pieces, -1 for others."""
-        if not len(self.h1):
-            return np.full(len(h1), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
-        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), self.entry[at], -1)
-
-    def add(self, h1: np.ndarray, h2: np.ndarray, values: list[tuple[bytes, bytes]]) -> np.ndarray:
+        self.begin = {k: np.zeros(0, dtype=np.int64) for k, _ in self.KINDS}
+        self.size = {k: np.zeros(0, dtype=np.int32) for k, _ in self.KINDS}
+        self.flat = {k: np.zeros(0, dtype=dtype) for k, dtype in self.KINDS}
+        self.used = dict.fromkeys(self.flat, 0)
+
+    def find(self, h: np.ndarray, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of known pieces, -1 for others: those whose hash is known and whose bytes are the same."""
+        if not len(self.hashes):
+            return np.full(len(h), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        entry = np.where(self.hashes[at] == h, self.entry[at], -1).astype(np.int64)
+        entry[(entry >= 0) & (self.size["piece"][entry] != size)] = -1
+        met = np.flatnonzero(entry >= 0)
+        n = size[met]
+        same = buf[gathered(start[met], n)] == self.flat["piece"][gathered(self.begin["piece"][entry[met]], n)]
+        if not same.all():
+            entry[met[np.repeat(np.arange(len(met)), n)[~same]]] = -1
+        return entry
+
+    def add(self, h: np.ndarray, values: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """`values`: of each kind all values end to end and their number for each piece."""
         n = len(self.entry)
-        number = np.arange(n, n + len(h1), dtype=np.int32)
-        order = np.argsort(h1)
-        at = np.searchsorted(self.h1, h1[order])
-        self.h1, self.h2, self.entry = (np.insert(x, at, y[order]) for x, y in ((self.h1, h1), (self.h2, h2), (self.entry, number)))
-        for k, kind in enumerate(("ids", "bytes")):
-            new = np.frombuffer(b"".join(v[k] for v in values), dtype=self.flat[kind].dtype)
-            size = np.array([len(v[k]) for v in values], dtype=np.int32) // new.itemsize
+        number = np.arange(n, n + len(h), dtype=np.int32)
+        order = np.argsort(h)
+        at = np.searchsorted(self.hashes, h[order])
+        self.hashes, self.entry = np.insert(self.hashes, at, h[order]), np.insert(self.entry, at, number[order])
+        for kind, dtype in self.KINDS:
+            new, size = values[kind]
             used = self.used[kind]
             if used + len(new) > len(self.flat[kind]):
-                self.flat[kind] = np.concatenate([self.flat[kind][:used], np.zeros(max(used // 2, len(new), 1 << 16), dtype=new.dtype)])
+                self.flat[kind] = np.concatenate([self.flat[kind][:used], np.zeros(max(used // 2, len(new), 1 << 16), dtype=dtype)])
             self.flat[kind][used : used + len(new)] = new
             self.begin[kind] = np.concatenate([self.begin[kind], used + np.cumsum(size) - size])
-            self.size[kind] = np.concatenate([self.size[kind], size])
+            self.size[kind] = np.concatenate([self.size[kind], size.astype(np.int32)])
             self.used[kind] = used + len(new)
         return number.astype(np.int64)
 
 
 class PieceCoder:
-    """encode_pieces: distinct pieces as bytes to (ids as little-endian unsigned 32-bit bytes, decoded bytes)."""
+    """encode_pieces: distinct pieces as bytes to their `ids` and, where they are asked for, decoded `bytes`: of each kind all
+    values end to end and their number for each piece."""
 
-    def __init__(self, encode_pieces: Callable[[list[bytes]], list[tuple[bytes, bytes]]], remembered: int = REMEMBERED, whole: Iterable[bytes] = (), most: int = BLOCK):
+    def __init__(self, encode_pieces: Callable[[list[bytes]], dict[str, tuple[np.ndarray, np.ndarray]]], remembered: int = REMEMBERED, whole: Iterable[bytes] = (), most: int = BLOCK):
         """`whole`: literals that are never cut; `most`: bytes of text at once."""
         self.most = most
         self.encode_pieces, self.remembered, self.known, self.whole = encode_pieces, remembered, _Store(), tuple(whole)
-        self.powers, self.other = Powers(), Powers(np.uint64(0xD1342543DE82EF95))
 
     def block(self, held: list[bytes], decode: bool = False) -> tuple[list[np.ndarray], list[bytes]]:
         """The ids of each text and, with `decode`, the bytes they stand for."""
@@ -167,25 +153,37 @@ class PieceCoder:
         starts = starts[np.concatenate([[True], starts[1:] != starts[:-1]])] if len(starts) else starts
         text_of = np.searchsorted(first, starts, side="right") - 1
         ends = np.minimum(np.concatenate([starts[1:], [len(buf)]]), (first + lengths)[text_of]) if len(starts) else starts
-        h = run_hashes(buf, starts, ends, self.powers)
-        codes, _ = pd.factorize(h.view(np.int64))
-        new = np.concatenate([[True], codes[1:] > np.maximum.accumulate(codes)[:-1]]) if len(codes) else np.zeros(0, dtype=bool)
-        h1, h2 = h[new], run_hashes(buf, starts[new], ends[new], self.other)
+        size = ends - starts
+        h = Stretches(buf).of(starts, ends)
+        codes, first_of = self._equal(h, buf, starts, size)
         if len(self.known.entry) > self.remembered:
             self.known = _Store()
-        entry = self.known.find(h1, h2)
+        entry = self.known.find(h[first_of], buf, starts[first_of], size[first_of])
         missing = np.flatnonzero(entry < 0)
         if len(missing):
-            pieces = [joined[s:e] for s, e in zip(starts[new][missing].tolist(), ends[new][missing].tolist(), strict=True)]
-            entry[missing] = self.known.add(h1[missing], h2[missing], self.encode_pieces(pieces))
+            at = first_of[missing]
+            pieces = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            values = self.encode_pieces(pieces)
+            entry[missing] = self.known.add(h[at], {"bytes": (buf[:0], np.zeros(len(at), dtype=np.int64))} | values | {"piece": (buf[gathered(starts[at], size[at])], size[at])})
         entry = entry[codes]
         return self._gather("ids", entry, text_of, len(held)), [x.tobytes() for x in self._gather("bytes", entry, text_of, len(held))] if decode else []
 
+    @staticmethod
+    def _equal(h: np.ndarray, buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each piece, the same for equal ones, and the first piece of each number."""
+        if not len(h):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        codes, _ = pd.factorize(h.view(np.int64))
+        first_of = np.flatnonzero(np.concatenate([[True], codes[1:] > np.maximum.accumulate(codes)[:-1]]))
+        like = first_of[codes]
+        if (size == size[like]).all() and (buf[gathered(starts, size)] == buf[gathered(starts[like], size)]).all():
+            return codes, first_of
+        codes, _ = pd.factorize(np.array([buf[s : s + n].tobytes() for s, n in zip(starts.tolist(), size.tolist(), strict=True)], dtype=object))
+        return codes, np.flatnonzero(np.concatenate([[True], codes[1:] > np.maximum.accumulate(codes)[:-1]]))
+
     def _gather(self, kind: str, entry: np.ndarray, text_of: np.ndarray, n: int) -> list[np.ndarray]:
         each = self.known.size[kind][entry].astype(np.int64)
-        upto = np.cumsum(each)
-        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.known.begin[kind][entry] - (upto - each), each)
-        values = self.known.flat[kind][at]
+        values = self.known.flat[kind][gathered(self.known.begin[kind][entry], each)]
         ends = np.cumsum(np.bincount(text_of, weights=each, minlength=n).astype(np.int64)) if n else np.zeros(0, dtype=np.int64)
         return np.split(values, ends[:-1]) if n else []
 

@@ -34,46 +34,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .pieces import Powers, mixed
+from .hashes import SECOND, Stretches
 from .words import window_least
 
 LENGTH, GRAM = 400, 100
 FAN = 16
 ALONE, COMPANY, CLOSED = 0, 1, 2
-_POWERS, _OTHER = Powers(), Powers(np.uint64(0xD1342543DE82EF95))
 #: Bytes of a text handled at once; parts overlap by a string.
 PART = 1 << 22
 _ITEMS = "core long, cover long, cover2 long, cell int, k long, th long, p long, low int, high int"
 
 
-class _Hashes:
-    """Identifiers of stretches of UTF-8 bytes from prefix sums."""
-
-    def __init__(self, buf: np.ndarray):
-        v, n = buf.astype(np.uint64) + np.uint64(1), len(buf)
-        self.sums = []
-        for p in (_POWERS, _OTHER):
-            p.need(n + 1)
-            s = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(v * p.up[:n], out=s[1:])
-            self.sums.append(s)
-
-    def of(self, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
-        """64 bits of each stretch, its length included; `second` gives 64 independent ones."""
-        p, s = (_OTHER, self.sums[1]) if second else (_POWERS, self.sums[0])
-        h = (s[end] - s[start]) * p.down[start]
-        return mixed(h ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-
-
 def cells(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors p in order, the least and greatest offset (p - start) of the strings that each one anchors, and its q-gram's identifier."""
     out, at = [], 0
     while at + LENGTH <= len(buf):
         part = buf[at : at + PART + LENGTH - 1]
-        v = part.astype(np.uint64) + np.uint64(1)
-        _POWERS.need(len(part) + 1)
-        s = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(v * _POWERS.up[: len(part)])])
-        h = mixed((s[GRAM:] - s[:-GRAM]) * _POWERS.down[: len(part) - GRAM + 1])
+        at_gram = np.arange(len(part) - GRAM + 1)
+        h = Stretches(part).of(at_gram, at_gram + GRAM)
         # 40 bits of the hash, then the place, so that the leftmost of equal ones is the least
         ranked = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
         p = (window_least(ranked, LENGTH - GRAM + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
@@ -163,14 +141,14 @@ def _refined(width: int):
                 if not len(p):
                     continue
                 buf, low, high = _text(text), low.astype(np.int64), high.astype(np.int64)
-                h = _Hashes(buf)
+                h, other = Stretches(buf), Stretches(buf, SECOND)
                 # the core is that of the full cell, whatever part of it this anchor has
                 lo, hi = (low // width * width, low // width * width + width - 1) if width else (low, high)
                 core = h.of(p - lo, p - np.minimum(hi, LENGTH - GRAM) + LENGTH) if width else h.of(p, p + GRAM)
                 a, b = p - high, p - low + LENGTH
                 cell = lo // width if width else np.zeros(len(p), dtype=np.int64)
                 n = len(p)
-                held.append((core, h.of(a, b), h.of(a, b, True), cell.astype(np.int32), np.full(n, k), np.full(n, th), p, low.astype(np.int32), high.astype(np.int32)))
+                held.append((core.view(np.int64), h.of(a, b).view(np.int64), other.of(a, b).view(np.int64), cell.astype(np.int32), np.full(n, k), np.full(n, th), p, low.astype(np.int32), high.astype(np.int32)))
                 size += n
                 if size > 100_000:
                     yield batch(held)

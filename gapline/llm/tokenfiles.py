@@ -44,9 +44,12 @@ def coder(path: str) -> PieceCoder:
     tokenizer = Tokenizer.from_file(path)
     literals = [str(t.content).encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def encode(pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        got = tokenizer.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in pieces], add_special_tokens=False)
-        return [(array("I", x.ids).tobytes(), b"") for x in got]
+    def encode(pieces: list[bytes]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        ids, sizes = array("I"), []
+        for x in tokenizer.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in pieces], add_special_tokens=False):
+            ids.extend(found := x.ids)
+            sizes.append(len(found))
+        return {"ids": (np.frombuffer(ids, dtype=np.uint32), np.array(sizes, dtype=np.int64))}
 
     return PieceCoder(encode, whole=literals)
 

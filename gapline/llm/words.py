@@ -1,4 +1,4 @@
-"""Words of whole texts as 64-bit hashes, for many texts at a time."""
+"""Words of whole texts as hashes of 62 bits in 64, for many texts at a time."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .pieces import Powers, mixed, run_hashes
+from .hashes import Stretches, mixed
 
 #: Texts are hashed in blocks of about so many bytes; a longer text in parts cut at white space.
 BLOCK = 1 << 20
@@ -14,7 +14,6 @@ BLOCK = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_POWERS = Powers()
 
 
 def _hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -23,7 +22,7 @@ def _hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate([[False], ~_SPACE[buf], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    return starts, run_hashes(buf, starts, ends, _POWERS) if len(starts) else np.zeros(0, dtype=np.uint64)
+    return starts, Stretches(buf).of(starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
 
 
 def _long(data: bytes) -> np.ndarray:

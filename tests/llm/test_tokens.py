@@ -59,13 +59,61 @@ def test_decoding_gives_the_text_back(spark):
     assert back == {r.doc_id: (r.text or "").encode() for r in docs.collect()}
 
 
-def test_long_words(tiktoken_ids):
-    """Words of thousands of bytes, runs of one letter among them, by the same recursion."""
+def contracted(codec, words):
+    flat, sizes = codec._contracted([w.encode() for w in words])
+    return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+
+def test_long_words(tiktoken_ids, monkeypatch):
+    """Words of thousands of bytes, runs and periods among them, by both recursions."""
     codec = bpe.Codec(public_tokenizers.path(bpe.RANKS))
     rng = random.Random(2)
     words = ["".join(rng.choice("abeinrst") for _ in range(rng.randrange(2, 40))) for _ in range(200)]
     words += ["a" * n for n in (3, 4, 5, 6, 7, 257, 5000)] + ["ab" * 700, "日本語" * 400, "".join(rng.choice("abcdefgh") for _ in range(2000))]
-    assert [x.tolist() for x in codec._contracted([w.encode() for w in words])] == [tiktoken_ids(w) for w in words]
+    want = [tiktoken_ids(w) for w in words]
+    assert contracted(codec, words) == want
+    monkeypatch.setattr(bpe, "LONG", 1)
+    assert contracted(codec, words) == want
+    more = ["".join(rng.choice(a) for _ in range(rng.randrange(2, 300))) for a in ("ab", "abc", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "日本語é") for _ in range(60)]
+    more += [rng.choice("abcde") * rng.randrange(1, 20) + (rng.choice(["ab", "in", "ere"]) * rng.randrange(1, 60)) for _ in range(60)]
+    assert contracted(codec, more) == [tiktoken_ids(w) for w in more]
+
+
+def test_a_word_of_a_hundred_thousand_letters(tiktoken_ids):
+    rng = random.Random(3)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    assert contracted(bpe.Codec(public_tokenizers.path(bpe.RANKS)), ["x", word, "y"])[1] == tiktoken_ids(word)
+
+
+def doubled(n, a="a", b="b"):
+    """A word of n letters, each half of it the other's complement, and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_words_that_collide_modulo_powers_of_two(spark, tiktoken_ids, n):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = doubled(n)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.encoded(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].ids == tiktoken_ids(t) and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    for r in tokenfiles.write_tokens(docs).collect():
+        assert r.ids == [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+
+
+def test_equal_hashes_give_no_other_pieces_ids(monkeypatch):
+    """Were all hashes equal, the bytes would still tell pieces apart, within a block and across blocks."""
+    from gapline.llm import pieces
+
+    monkeypatch.setattr(pieces.Stretches, "of", lambda self, start, end: np.zeros(len(start), dtype=np.uint64))
+    codec = bpe.Codec(public_tokenizers.path(bpe.RANKS))
+    for texts in (["the rest is", "is the rest of it"], ["of it", "the", "unwordedly"]):
+        got = {i: b"".join(back) for i, _, back in codec.pieces.encode(texts, decode=True)}
+        assert got == {i: t.encode() for i, t in enumerate(texts)}
 
 
 def test_a_wrong_id_shows_in_the_decoded_bytes():
