@@ -208,9 +208,10 @@ def test_rise_walk_against_a_plain_one(spark, guard):
     rows = [("a", i, *v) for i, v in enumerate(zip(x, counts, noise, strict=True))]
     df = spark.createDataFrame(rows, "series string, k long, x double, counts double, noise double")
     use = {c: c for c in ("counts", "noise") if guard in (c, "both")}
-    got = detect.rise_events(df, 3, 1.4, 4, **use)
     want = plain_rises(x, fits)
-    assert sorted((r.start, r.peak, r.stop, r.alert, r.reason) for r in got.collect()) == want and want
+    for width in (4096, 7):  # chunks far shorter than a flare
+        got = detect.rise_events(df, 3, 1.4, 4, width=width, **use)
+        assert sorted((r.start, r.peak, r.stop, r.alert, r.reason) for r in got.collect()) == want and want
 
 
 def plain_threshold_events(x, bg, dt, factor, sigma, least, share, merge):
@@ -267,6 +268,74 @@ def test_threshold_events_against_a_plain_walk(spark):
         assert all(r.stop_t == min(r.stop, 699) * 20 and r.duration_s == (r.stop - r.start) * 20 for r in got)
 
 
+def plain_bursts(detectors, n, dt, need, least, end, merge, longest, each):
+    """The rule read step by step: `detectors` are lists of (rate, background, noise), None where nothing is known."""
+    on = lambda d, j: d[j] is not None and None not in d[j] and d[j][2] > 0
+    live = [[d for d in detectors if on(d, j)] for j in range(n)]
+    total = lambda j: sum(d[j][0] - d[j][1] for d in live[j]) / math.sqrt(sum(d[j][2] ** 2 for d in live[j])) if live[j] else -1e9
+    hot = [bool(live[j]) and total(j) >= least and all(d[j][0] - d[j][1] >= each * d[j][2] for d in live[j]) for j in range(n)]
+    out, i = [], 0
+    while i < n:
+        if i < need - 1 or not all(hot[i - q] for q in range(need)):
+            i += 1
+            continue
+        s = i
+        while s > 0 and live[s - 1] and total(s - 1) >= end:
+            s -= 1
+        best, fluence, low, off, j = None, 0.0, 0, 0, i
+        while j < n and j - s < longest:
+            if not live[j]:
+                off += 1
+                if off == 2:
+                    break
+            else:
+                off = 0
+                base = [d[s] if d[s] is not None else d[j] for d in live[j]]
+                ex = sum(d[j][0] - b[1] for d, b in zip(live[j], base, strict=True))
+                z = ex / math.sqrt(sum(b[2] ** 2 for b in base))
+                fluence += ex * dt
+                if best is None or ex > best[0]:
+                    best = (ex, z, j)
+                low = low + 1 if z < end else 0
+                if low == 2:
+                    break
+            j += 1
+        best, stop = best or (-math.inf, 0.0, i), min(j, n - 1)
+        if out and (s - out[-1][2]) * dt <= merge:
+            a = out[-1]
+            peak, ex, z = (a[1], a[4], a[5]) if a[4] >= best[0] else (best[2], *best[:2])
+            out[-1] = (a[0], peak, stop, a[3], ex, z, a[6] + fluence)
+        else:
+            out.append((s, best[2], stop, i + 1, *best[:2], fluence))
+        i = stop + 1
+    return out
+
+
+def test_bursts_of_two_detectors_against_a_plain_walk(spark):
+    """One detector that stops inside a burst leaves the other one's background alone; chunks are shorter than bursts."""
+    rng = random.Random(8)
+    n = 400
+    detectors = [[(10 + rng.gauss(0, 1), 10 + math.sin(j / 40), 1.0) for j in range(n)] for _ in range(2)]
+    for at, size, length in ((20, 6, 20), (90, 4, 12), (104, 9, 6), (200, 8, 90), (330, 12, 5), (380, 7, 20)):
+        for d in detectors:
+            for j in range(at, min(n, at + length)):
+                d[j] = (d[j][0] + size, *d[j][1:])
+    for j in [*range(28, 60), *(j for j in range(60, n) if rng.random() < 0.1)]:
+        detectors[1][j] = None
+    for j in (205, 240, 241, 300):
+        detectors[0][j] = detectors[1][j] = None
+    rows = [("a", str(i), j, *v) for i, d in enumerate(detectors) for j, v in enumerate(d) if v is not None]
+    df = spark.createDataFrame(rows, "series string, detector string, k long, x double, background double, noise double")
+    want = plain_bursts(detectors, n, 2.0, 3, 5.0, 1.0, 20, 30, 2.0)
+    assert len(want) >= 4 and any(r[2] - r[0] >= 30 for r in want)
+    first = want[0]
+    assert first[0] == 20 and first[2] >= 40  # not ended by the detector that stopped at 28
+    for width in (4096, 5):
+        got = detect.bursts(df, 2.0, merge=20, longest=60, detector="detector", width=width).orderBy("start").collect()
+        assert [(r.start, r.peak, r.stop, r.alert) for r in got] == [r[:4] for r in want]
+        assert [(r.excess, r.sigma, r.fluence) for r in got] == [pytest.approx(r[4:]) for r in want]
+
+
 def test_fits_with_a_background(spark):
     edges = physics.energy_edges(20, 150, 14)
     rows = [("a", lo, hi, round(1e5 * (lo**-2.5 - hi**-2.5) * 40 + 300), 300.0) for lo, hi in zip(edges, edges[1:], strict=False)]
