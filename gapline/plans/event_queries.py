@@ -325,18 +325,98 @@ def peak_interval(spark, sf_dir):
     return physics.peak_interval(binned(spark, sf_dir), 16)
 
 
-@query(None)
+_RISE_SQL = f"""WITH RECURSIVE {b_sql(7200)}, g AS (
+  SELECT series, k, round(x, 9) AS x, row_number() OVER w AS i, coalesce(lead(k) OVER w = k + 1 AND lead(round(x, 9)) OVER w > round(x, 9), false) AS rising FROM b WHERE x > 0 WINDOW w AS (PARTITION BY series ORDER BY k)
+), walk AS (
+  SELECT series, i, k, CASE WHEN rising THEN k END AS s, CASE WHEN rising THEN x END AS low, CASE WHEN rising THEN k END AS p, CASE WHEN rising THEN x END AS top,
+    NULL::BIGINT AS start, NULL::BIGINT AS peak, NULL::BIGINT AS stop, NULL::DOUBLE AS start_value, NULL::DOUBLE AS peak_value, NULL::VARCHAR AS reason FROM g WHERE i = 1
+  UNION ALL
+  SELECT series, gi, gk, CASE WHEN s IS NOT NULL AND why IS NULL THEN s WHEN rising THEN gk END, CASE WHEN s IS NOT NULL AND why IS NULL THEN low WHEN rising THEN gx END,
+    CASE WHEN s IS NOT NULL AND why IS NULL THEN CASE WHEN gx > top THEN gk ELSE p END WHEN rising THEN gk END, CASE WHEN s IS NOT NULL AND why IS NULL THEN greatest(top, gx) WHEN rising THEN gx END,
+    CASE WHEN why IS NOT NULL THEN s END, CASE WHEN why IS NOT NULL THEN p END, CASE why WHEN 'gap' THEN k ELSE gk END, low, top, why
+  FROM (SELECT w.series, w.k, w.s, w.low, w.p, w.top, g.i AS gi, g.k AS gk, g.x AS gx, g.rising,
+      CASE WHEN w.s IS NULL THEN NULL WHEN g.k - w.k - 1 > 3 THEN 'gap' WHEN g.x > w.top THEN NULL WHEN g.rising THEN 'next_flare' WHEN w.top - g.x >= 0.5 * (w.top - w.low) THEN 'decay' END AS why
+    FROM walk w JOIN g ON g.series = w.series AND g.i = w.i + 1)
+), z AS (SELECT series, max(k) AS z FROM b GROUP BY series),
+c AS (
+  SELECT series, start, peak, stop, start_value, peak_value, reason FROM walk WHERE reason IS NOT NULL
+  UNION ALL SELECT series, s, p, k, low, top, CASE WHEN z - k > 3 THEN 'gap' ELSE 'data_end' END FROM walk JOIN z USING (series) WHERE s IS NOT NULL AND (series, i) IN (SELECT series, max(i) FROM g GROUP BY series)
+), h AS (SELECT c.*, (SELECT min(g.k) + 1 FROM g WHERE g.series = c.series AND g.k BETWEEN c.start + 1 AND c.stop AND g.x >= 1.2 * c.start_value) AS alert FROM c),
+r AS (SELECT *, sum((alert IS NOT NULL OR coalesce(start - before > 1, true))::INT) OVER (PARTITION BY series ORDER BY start) AS run FROM (SELECT *, lag(stop) OVER (PARTITION BY series ORDER BY start) AS before FROM h))
+SELECT series, min(start) AS start, arg_max(peak, (peak_value, -start)) AS peak, arg_max(stop, start) AS stop, min(alert) AS alert, arg_min(start_value, start) AS start_value, max(peak_value) AS peak_value, arg_max(reason, start) AS reason
+FROM r GROUP BY series, run HAVING min(alert) IS NOT NULL"""
+
+
+@query(_RISE_SQL)
 def rise_rule_events(spark, sf_dir):
-    m = binned(spark, sf_dir, 7200).where("x IS NOT NULL")
+    m = binned(spark, sf_dir, 7200).withColumn("x", F.round("x", 9))
     return detect.rise_events(m, 2, 1.2, 3)
 
 
-@query(None)
+_BURST_SQL = f"""WITH RECURSIVE {b_sql()}, d AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY series ORDER BY k)) AS d, row_number() OVER (PARTITION BY series ORDER BY k) AS i FROM b),
+n AS (
+  SELECT series, k, i, round(x, 9) AS x, round(CASE WHEN i > 2 AND count(x) OVER w >= 10 THEN quantile_cont(x, 0.5) OVER w END, 9) AS base,
+    round(CASE WHEN i > 2 AND count(d) OVER w >= 10 THEN quantile_cont(d, 0.5) OVER w * (1.4826 / sqrt(2.0)) END, 9) AS sd FROM d WINDOW w AS (PARTITION BY series ORDER BY k ROWS BETWEEN 59 PRECEDING AND 2 PRECEDING)
+), o AS (SELECT *, coalesce(x IS NOT NULL AND base IS NOT NULL AND sd > 0, false) AS seen FROM n),
+q AS (SELECT *, seen AND (x - base) / sd >= 0.5 AS warm, seen AND (x - base) / sd >= 2 AND x - base >= 2 * sd AS hot FROM o),
+v AS (SELECT *, CASE WHEN warm THEN max(CASE WHEN NOT warm THEN i ELSE 0 END) OVER (PARTITION BY series ORDER BY i) + 1 END AS f FROM q),
+g AS (SELECT v.*, u.k AS s, u.base AS base0, u.sd AS sd0 FROM v LEFT JOIN v u ON v.hot AND u.series = v.series AND u.i = v.f),
+walk AS (
+  SELECT series, 0::BIGINT AS i, NULL::BIGINT AS s, NULL::DOUBLE AS base, NULL::DOUBLE AS sd, NULL::BIGINT AS alert, NULL::BIGINT AS peak, NULL::DOUBLE AS excess, NULL::DOUBLE AS sigma, NULL::DOUBLE AS fluence, 0 AS below, 0 AS off, NULL::BIGINT AS stop FROM g GROUP BY series
+  UNION ALL
+  SELECT series, i, s, base, sd, alert, CASE WHEN grows AND (excess IS NULL OR x - base > excess) THEN k ELSE peak END,
+    CASE WHEN grows AND (excess IS NULL OR x - base > excess) THEN x - base ELSE excess END, CASE WHEN grows AND (excess IS NULL OR x - base > excess) THEN (x - base) / sd ELSE sigma END,
+    CASE WHEN grows THEN fluence + (x - base) * 600.0 ELSE fluence END, CASE WHEN NOT grows THEN below WHEN (x - base) / sd < 0.5 THEN below + 1 ELSE 0 END, CASE WHEN seen THEN 0 ELSE off + 1 END,
+    CASE WHEN s IS NULL THEN NULL WHEN k - s >= 60 THEN k WHEN NOT seen AND off >= 1 THEN k WHEN grows AND (x - base) / sd < 0.5 AND below >= 1 THEN k END
+  FROM (SELECT *, coalesce(s IS NOT NULL AND k - s < 60 AND seen, false) AS grows FROM (
+    SELECT g.series, g.i, g.k, g.x, g.seen,
+      CASE WHEN w.opened THEN w.s ELSE g.s END AS s, CASE WHEN w.opened THEN w.base ELSE g.base0 END AS base, CASE WHEN w.opened THEN w.sd ELSE g.sd0 END AS sd,
+      CASE WHEN w.opened THEN w.alert ELSE g.k + 1 END AS alert, CASE WHEN w.opened THEN w.peak ELSE g.k END AS peak, CASE WHEN w.opened THEN w.excess WHEN g.k - g.s >= 60 THEN '-inf'::DOUBLE END AS excess,
+      CASE WHEN w.opened THEN w.sigma ELSE 0 END AS sigma, CASE WHEN w.opened THEN w.fluence ELSE 0 END AS fluence, CASE WHEN w.opened THEN w.below ELSE 0 END AS below, CASE WHEN w.opened THEN w.off ELSE 0 END AS off
+    FROM (SELECT *, s IS NOT NULL AND stop IS NULL AS opened FROM walk) w JOIN g ON g.series = w.series AND g.i = w.i + 1))
+), ev AS (
+  SELECT series, s AS start, peak, stop, alert, excess, sigma, fluence FROM walk WHERE stop IS NOT NULL
+  UNION ALL SELECT series, s, peak, l.k, alert, excess, sigma, fluence FROM walk JOIN (SELECT series, max(i) AS i, max(k) AS k FROM g GROUP BY series) l USING (series, i) WHERE s IS NOT NULL AND stop IS NULL
+), r AS (SELECT *, sum(coalesce((start - before) * 600 > 1200, true)::INT) OVER (PARTITION BY series ORDER BY stop) AS run FROM (SELECT *, lag(stop) OVER (PARTITION BY series ORDER BY stop) AS before FROM ev))
+SELECT series, arg_min(start, stop) AS start, arg_max(peak, (excess, -stop)) AS peak, max(stop) AS stop, arg_min(alert, stop) AS alert, round(max(excess), 6) + 0.0 AS excess, round(arg_max(sigma, (excess, -stop)), 6) + 0.0 AS sigma, round(sum(fluence), 6) + 0.0 AS fluence
+FROM r GROUP BY series, run"""
+
+
+@query(_BURST_SQL)
 def hard_bursts(spark, sf_dir):
     from gapline.operators.windows import background_noise
 
-    g = background_noise(binned(spark, sf_dir), 600, 36000, 1200)
-    return detect.bursts(g, 600.0, need=1, least=2.0, end=0.5, merge=1200, longest=36000)
+    g = rounded(background_noise(binned(spark, sf_dir), 600, 36000, 1200))
+    out = detect.bursts(g, 600.0, need=1, least=2.0, end=0.5, merge=1200, longest=36000)
+    return out.select("series", "start", "peak", "stop", "alert", *[(F.round(c, 6) + 0.0).alias(c) for c in ("excess", "sigma", "fluence")])
+
+
+_BUILT = """SELECT c.series, c.n, c.lo, c.hi, c.p, g.x AS px, g.low AS pl FROM (SELECT c.series, c.n, c.lo, c.hi, arg_max(g.k, (g.x - g.low, -g.k)) AS p FROM {0} c JOIN g ON g.series = c.series AND g.k BETWEEN c.lo AND c.hi - 1 AND g.x IS NOT NULL GROUP BY ALL) c JOIN g ON g.series = c.series AND g.k = c.p"""
+_ENDS = """SELECT f.series, f.n, coalesce(max(g.k) FILTER (g.k < f.lo) + 1, any_value(z.a)) AS start, f.p AS peak, greatest(f.hi, least(coalesce(min(g.k) FILTER (g.k >= f.hi), any_value(z.z)), any_value(z.z))) AS stop, f.px, f.pl
+  FROM {0} f JOIN z ON z.series = f.series LEFT JOIN g ON g.series = f.series AND ((g.k < f.lo AND NOT coalesce(g.x > f.pl + 0.1 * (f.px - f.pl), false)) OR (g.k >= f.hi AND NOT coalesce(g.x > f.pl + 0.5 * (f.px - f.pl), false)))
+  GROUP BY f.series, f.n, f.lo, f.hi, f.p, f.px, f.pl"""
+_THRESHOLD_SQL = f"""WITH RECURSIVE {b_sql()}, g AS (
+  SELECT series, k, round(x, 9) AS x, greatest(round(avg(x) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 35 PRECEDING AND CURRENT ROW), 9), 1e-9) AS low FROM b
+), z AS (SELECT series, min(k) AS a, max(k) AS z FROM g GROUP BY series),
+h AS (SELECT *, k - row_number() OVER (PARTITION BY series ORDER BY k) AS run FROM g WHERE x >= 1.4 * low AND x - low >= 4 * sqrt(low / 2.0)),
+i AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY min(k)) AS n, min(k) AS lo, max(k) + 1 AS hi FROM h GROUP BY series, run),
+j AS ({_BUILT.format("i")}), ev AS ({_ENDS.format("j")}),
+walk AS (
+  SELECT series, n, start, peak, stop, px, pl, false AS joined FROM ev WHERE n = 1
+  UNION ALL
+  (WITH y AS (SELECT ev.*, w.start AS ws, w.stop AS we, ev.start - w.stop <= 2 AS joins FROM walk w JOIN ev ON ev.series = w.series AND ev.n = w.n + 1),
+    m AS (SELECT series, n, ws AS lo, greatest(we, stop) AS hi FROM y WHERE joins), f AS ({_BUILT.format("m")}), t AS ({_ENDS.format("f")})
+   SELECT series, n, start, peak, stop, px, pl, false FROM y WHERE NOT joins UNION ALL SELECT series, n, start, peak, stop, px, pl, true FROM t)
+), r AS (SELECT *, lead(joined, 1, false) OVER (PARTITION BY series ORDER BY n) AS goes FROM walk)
+SELECT series, start, peak, stop, round(px, 9) + 0.0 AS peak_value, round(pl, 9) + 0.0 AS background, round(px - pl, 9) + 0.0 AS excess, ((peak - start) * 2.0)::DOUBLE AS rise_s, ((stop - start) * 2.0)::DOUBLE AS duration_s FROM r WHERE NOT goes"""
+
+
+@query(_THRESHOLD_SQL)
+def threshold_events(spark, sf_dir):
+    from gapline.operators.windows import causal_mean
+
+    g = rounded(causal_mean(binned(spark, sf_dir), 36, "background"))
+    return rounded(detect.threshold_events(g, 2.0, merge=2).select("series", "start", "peak", "stop", "peak_value", "background", "excess", "rise_s", "duration_s"))
 
 
 @query(None)
