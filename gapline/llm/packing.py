@@ -113,18 +113,21 @@ class Shard:
         t, tf = np.unique(ids[self.idf[ids] > 0], return_counts=True)
         return t[np.argsort(-self.idf[t] * tf / (tf + K1), kind="stable")[: self.terms]]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces with a score, from the best on."""
+    def neighbours(self, seed: int, unused: np.ndarray, first: int = 32) -> Iterator[np.ndarray]:
+        """Unused pieces with a score, from the best on: about the `first` ones, then the others."""
         terms = self.query(self.pieces[seed])
         if not len(terms):
-            return terms.astype(np.int64)
+            return
         spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms.tolist()]
         found = np.concatenate([self.piece[s] for s in spans])
         value = np.concatenate([self.weight[s] * self.idf[t] for s, t in zip(spans, terms, strict=True)])
         score = np.bincount(found, weights=value, minlength=len(self.pieces))
         score[~unused] = 0
         at = np.flatnonzero(score)
-        return at[np.argsort(-score[at], kind="stable")]
+        best = score[at]
+        least = np.partition(best, len(best) - first)[len(best) - first] if len(best) > first else 0
+        for part in (at[best >= least], at[best < least]):
+            yield part[np.argsort(-score[part], kind="stable")]
 
 
 def fill(shard: Shard, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
@@ -152,11 +155,12 @@ def fill(shard: Shard, window: int = WINDOW) -> Iterator[list[tuple[int, int, in
             if part < lengths[i]:
                 rest = (i, part, lengths[i] - part)
 
-        if room:
-            for i in shard.neighbours(seed, unused).tolist():
-                take(i)
-                if not room:
-                    break
+        for part in shard.neighbours(seed, unused) if room else ():
+            for i in part.tolist():
+                if room:
+                    take(i)
+            if not room:
+                break
         while room and after < n:
             if unused[after]:
                 take(after)

@@ -130,9 +130,10 @@ class PieceCoder:
     """encode_pieces: distinct pieces as bytes to their `ids` and, where they are asked for, decoded `bytes`: of each kind all
     values end to end and their number for each piece."""
 
-    def __init__(self, encode_pieces: Callable[[list[bytes]], dict[str, tuple[np.ndarray, np.ndarray]]], remembered: int = REMEMBERED, whole: Iterable[bytes] = (), most: int = BLOCK):
-        """`whole`: literals that are never cut; `most`: bytes of text at once."""
-        self.most = most
+    def __init__(self, encode_pieces: Callable[[list[bytes]], dict[str, tuple[np.ndarray, np.ndarray]]], remembered: int = REMEMBERED, whole: Iterable[bytes] = (), most: int = BLOCK, loose: bool = False):
+        """`whole`: literals that are never cut; `most`: bytes of text at once; `loose`: spaces and the case of letters are
+        nothing to the tokenizer, so pieces that differ in them are one."""
+        self.most, self.loose = most, loose
         self.encode_pieces, self.remembered, self.known, self.whole = encode_pieces, remembered, _Store(), tuple(whole)
 
     def block(self, held: list[bytes], decode: bool = False) -> tuple[list[np.ndarray], list[bytes]]:
@@ -153,6 +154,12 @@ class PieceCoder:
         starts = starts[np.concatenate([[True], starts[1:] != starts[:-1]])] if len(starts) else starts
         text_of = np.searchsorted(first, starts, side="right") - 1
         ends = np.minimum(np.concatenate([starts[1:], [len(buf)]]), (first + lengths)[text_of]) if len(starts) else starts
+        if self.loose:  # a letter before ASCII: one before a combining character may be another letter in lower case
+            upper = np.flatnonzero((buf[:-1] >= 65) & (buf[:-1] <= 90) & (buf[1:] < 0x80))
+            buf = buf.copy()
+            buf[upper] += 32
+            joined = buf.tobytes()
+            starts = starts + ((buf[starts] == 32) & (ends - starts > 1))
         size = ends - starts
         h = Stretches(buf).of(starts, ends)
         codes, first_of = self._equal(h, buf, starts, size)

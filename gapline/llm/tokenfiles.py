@@ -51,7 +51,8 @@ def coder(path: str) -> PieceCoder:
             sizes.append(len(found))
         return {"ids": (np.frombuffer(ids, dtype=np.uint32), np.array(sizes, dtype=np.int64))}
 
-    return PieceCoder(encode, whole=literals)
+    same = [tokenizer.encode(x, add_special_tokens=False).ids for x in (" Ab. X", "ab. x")]
+    return PieceCoder(encode, whole=literals, loose=same[0] == same[1])
 
 
 def _encode(path: str, end: int):
