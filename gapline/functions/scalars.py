@@ -55,8 +55,8 @@ def hardness(high: list[Column], low: list[Column], least: float = 1.0) -> Colum
 
 
 def version_priority(text: Column) -> Column:
-    """V212 is 212.0; without a number: -1."""
-    return F.coalesce(F.regexp_extract(text, r"\d+(?:\.\d+)?", 0).try_cast("double"), F.lit(-1.0))
+    """V212 is 212.0; null or without a number: 0."""
+    return F.coalesce(F.regexp_extract(text, r"\d+(?:\.\d+)?", 0).try_cast("double"), F.lit(0.0))
 
 
 def version_parts(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from . import detect, frames, temporal, windows
 from .metrics import ratio
+from .quantiles import quantiles
 
 
 def windows_before(events: DataFrame, steps: DataFrame, early: int = 30, least: float = 0.8, by: str = "series") -> DataFrame:
@@ -46,7 +47,8 @@ def lead_times(df: DataFrame, on: Column, spans: DataFrame, k: str = "k", by: st
 def lead_summary(leads: DataFrame, by: str = "series") -> DataFrame:
     """Share warned, quartiles of the lead, shares of leads of at least 5 and 10 minutes."""
     share = lambda m: F.avg(F.coalesce((F.col("lead") >= m).cast("double"), F.lit(0.0)))
-    return leads.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("warned").cast("double")).alias("tpr"), *[F.percentile("lead", F.lit(q)).alias(f"lead_q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], share(5).alias("lead_5"), share(10).alias("lead_10"))
+    asked = {f"lead_q{int(q * 100)}": (F.col("lead"), q) for q in (0.25, 0.5, 0.75)}
+    return quantiles(leads, [by], asked, [F.count(F.lit(1)).alias("n"), F.avg(F.col("warned").cast("double")).alias("tpr"), share(5).alias("lead_5"), share(10).alias("lead_10")])
 
 
 def operating_points(df: DataFrame, score: str, thresholds: list[float], events: DataFrame, spans: DataFrame, most: float, k: str = "k", by: str = "series") -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import frames
+from .quantiles import quantiles
 
 
 def piecewise_fit(df: DataFrame, x: str, y: str, width: float, least: int) -> DataFrame:
     """Knots (x, y): medians in bins of x aligned to multiples of `width` with `least` rows or more; y never falls."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    bins = rows.groupBy(F.floor(F.col(x) / width).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.percentile(x, F.lit(0.5)).alias("kx"), F.percentile(y, F.lit(0.5)).alias("ky"))
+    bins = quantiles(rows.withColumn("b", F.floor(F.col(x) / width)), ["b"], {"kx": (F.col(x), 0.5), "ky": (F.col(y), 0.5)}, [F.count(F.lit(1)).alias("n")])
     fine = bins.where(F.col("n") >= least)
     return fine.select(F.col("kx").alias("x"), F.max("ky").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)).alias("y"), "n")  # one row a bin
 

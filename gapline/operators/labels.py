@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import frames, temporal
+from .quantiles import quantiles
 
 QUIET, RISE, PEAK, DECAY = 0, 1, 2, 3
 
@@ -49,7 +50,7 @@ def peak_targets(grid: DataFrame, events: DataFrame, dt: float, width: int = 409
 def rise_samples(events: DataFrame, lead: int, stride: int, share: float, q: float = 0.75, by: str = "series") -> DataFrame:
     """Samples along each rise: from start + lead every `stride` steps, at most `share` of the rise; with whether the peak's
     value reaches the percentile q of all peaks. Events whose rise is too short give none."""
-    bar = events.agg(F.percentile("peak_value", F.lit(q)).alias("_bar"))
+    bar = quantiles(events, [], {"_bar": (F.col("peak_value"), q)})
     last = F.floor(F.col("start") + (F.col("peak") - F.col("start")) * share)
     rows = events.where(F.col("start") + lead <= last).withColumn("at", F.explode(F.sequence(F.col("start") + lead, last, F.lit(stride).cast("long"))))
     out = rows.join(F.broadcast(bar))  # one row
@@ -101,9 +102,9 @@ def thin_quiet(windows: DataFrame, events: DataFrame, length: int, horizon: int,
 def normalizer(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: centre (median) and scale (interquartile range / 1.349; the deviation where that is 0, else 1)."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
-    q = long.groupBy("column").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop("x").alias("sd"))
-    iqr = (F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 1.349
-    return q.select("column", F.get("q", F.lit(1)).alias("centre"), F.when(iqr > 0, iqr).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("scale"))
+    q = quantiles(long, ["column"], {"q1": (F.col("x"), 0.25), "centre": (F.col("x"), 0.5), "q3": (F.col("x"), 0.75)}, [F.stddev_pop("x").alias("sd")])
+    iqr = (F.col("q3") - F.col("q1")) / 1.349
+    return q.select("column", "centre", F.when(iqr > 0, iqr).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("scale"))
 
 
 def window_summary(grid: DataFrame, length: int, x: str = "x", k: str = "k", by: str = "series") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import alerts, metrics
+from .quantiles import quantiles
 
 
 def recall(found: DataFrame, cls: str = "cls", by: tuple[str, ...] = ("shift",)) -> DataFrame:
@@ -30,7 +31,8 @@ def precision(events: DataFrame, matched: Column, floors: dict[str, Column], day
 def agreement(pairs: DataFrame, mine: str, truth: str, letter: Column) -> DataFrame:
     """By the truth's class letter: matched, share of equal letters, median bias and median size of the error, in decades."""
     dex = F.log10(mine) - F.log10(truth)
-    return pairs.where((F.col(mine) > 0) & (F.col(truth) > 0)).groupBy(letter.alias("cls")).agg(F.count(F.lit(1)).alias("n"), F.percentile(dex, F.lit(0.5)).alias("bias"), F.percentile(F.abs(dex), F.lit(0.5)).alias("error"))
+    known = pairs.where((F.col(mine) > 0) & (F.col(truth) > 0)).select(letter.alias("cls"), dex.alias("_dex"))
+    return quantiles(known, ["cls"], {"bias": (F.col("_dex"), 0.5), "error": (F.abs("_dex"), 0.5)}, [F.count(F.lit(1)).alias("n")])
 
 
 def evaluation(rows: DataFrame, y: str, p: str, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -66,19 +68,16 @@ def onset_statistics(records: DataFrame, cls: str = "cls") -> DataFrame:
     """Per class: how hard the onset is against the peak and the background. Missing values are left out of each number."""
     on, top, bg = F.col("hardness_onset"), F.col("hardness_peak"), F.col("hardness_background")
     both = on.isNotNull() & top.isNotNull()
-    med = lambda c: F.percentile(c, F.lit(0.5))
-    return records.groupBy(cls).agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(both, 1)).alias("n_with_onset"), med(F.col("hardness_background")).alias("background"),
-        med(F.when(both, on)).alias("onset"), med(F.when(both, top)).alias("peak"), med(F.when(both & (top != 0), on / top)).alias("onset_over_peak"),
-        _share(on >= 0.8 * top, both).alias("share_near_peak"), _share(F.coalesce(on > bg, F.lit(False)), both).alias("share_over_background"), med(F.col("onset_to_peak")).alias("onset_to_peak"),
-    )
+    medians = {"background": bg, "onset": F.when(both, on), "peak": F.when(both, top), "onset_over_peak": F.when(both & (top != 0), on / top), "onset_to_peak": F.col("onset_to_peak")}
+    counts = [F.count(F.lit(1)).alias("n"), F.count(F.when(both, 1)).alias("n_with_onset"), _share(on >= 0.8 * top, both).alias("share_near_peak"), _share(F.coalesce(on > bg, F.lit(False)), both).alias("share_over_background")]
+    return quantiles(records, [cls], {n: (c, 0.5) for n, c in medians.items()}, counts)
 
 
 def neupert_statistics(records: DataFrame, least: float = 5.0) -> DataFrame:
     """Over records with a significant burst: how well the burst follows the slope, the quartiles of its lag, and how many."""
     rows = records.where(F.col("sigma") >= least)
-    q = lambda c, x: F.percentile(c, F.lit(x))
-    return rows.agg(F.count(F.lit(1)).alias("n"), q("r", 0.5).alias("r"), F.avg((F.col("r") > 0.5).cast("double")).alias("share_above_half"), q("lag", 0.25).alias("lag_q25"), q("lag", 0.5).alias("lag_q50"), q("lag", 0.75).alias("lag_q75"))
+    asked = {"r": (F.col("r"), 0.5)} | {f"lag_q{int(q * 100)}": (F.col("lag"), q) for q in (0.25, 0.5, 0.75)}
+    return quantiles(rows, [], asked, [F.count(F.lit(1)).alias("n"), F.avg((F.col("r") > 0.5).cast("double")).alias("share_above_half")])
 
 
 def repeated_runs(runs: DataFrame, gain: str = "gain", relative: str = "relative", low: str = "low") -> DataFrame:
@@ -108,8 +107,8 @@ def calibration_report(rows: DataFrame, y: str, before: str, after: str, by: tup
 def binned_medians(rows: DataFrame, x: str, y: str, width: float, least: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Median of y in bins of x with at least `least` rows, and its quartiles."""
     known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    q = lambda v: F.percentile(y, F.lit(v))
-    return known.groupBy(*by, F.floor(F.col(x) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75")).where(F.col("n") >= least)
+    asked = {f"q{int(q * 100)}": (F.col(y), q) for q in (0.25, 0.5, 0.75)}
+    return quantiles(known.withColumn("bin", F.floor(F.col(x) / width)), [*by, "bin"], asked, [F.count(F.lit(1)).alias("n")]).where(F.col("n") >= least)
 
 
 def weighted_mean(rows: DataFrame, value: str, error: str, by: tuple[str, ...] = ()) -> DataFrame:

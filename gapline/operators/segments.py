@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import frames, labels, windows
+from .quantiles import quantiles
 
 
 def _stretched(df: DataFrame, gap: int, name: str, by: str) -> DataFrame:
@@ -71,7 +72,8 @@ def summary(samples: DataFrame, lead: str = "lead", exceeds: str = "exceeds", ev
     """One row on a set of rise samples: samples, events, median and greatest lead, share that exceeds, samples of an event."""
     per = samples.groupBy(event).agg(F.count(F.lit(1)).alias("_n"))
     counts = per.agg(F.count(F.lit(1)).alias("events"), F.min("_n").alias("fewest"), F.max("_n").alias("most")).withColumn("_one", F.lit(1))
-    whole = samples.agg(F.count(F.lit(1)).alias("samples"), F.percentile(lead, F.lit(0.5)).alias("lead_median"), F.max(lead).alias("lead_max"), F.avg(F.col(exceeds).cast("double")).alias("positive")).withColumn("_one", F.lit(1))
+    also = [F.count(F.lit(1)).alias("samples"), F.max(lead).alias("lead_max"), F.avg(F.col(exceeds).cast("double")).alias("positive")]
+    whole = quantiles(samples, [], {"lead_median": (F.col(lead), 0.5)}, also).withColumn("_one", F.lit(1))
     return whole.join(counts, "_one").drop("_one")
 
 

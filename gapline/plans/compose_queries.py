@@ -264,7 +264,7 @@ def steepest_step(spark, sf_dir):
 
 
 @query("""SELECT event_id, round(value / ((user_id % 7) + 1e-9), 3) + 0.0 AS ratio, round(ln(1 + greatest(value - 20, 0)), 9) + 0.0 AS log1p_x, round(log10(greatest(value - 20, 1e-9)), 9) + 0.0 AS log10_x,
-CASE WHEN user_id % 5 = 0 THEN -1.0 ELSE (user_id % 300)::DOUBLE END AS version, CASE WHEN user_id % 4 <> 0 THEN value END AS known FROM events""")
+CASE WHEN user_id % 5 = 0 THEN 0.0 ELSE (user_id % 300)::DOUBLE END AS version, CASE WHEN user_id % 4 <> 0 THEN value END AS known FROM events""")
 def scalar_functions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     text = F.when(F.col("user_id") % 5 == 0, F.lit("none")).otherwise(F.concat(F.lit("V"), (F.col("user_id") % 300).cast("string")))
