@@ -79,7 +79,7 @@ def chronological_split(rows: DataFrame, embargo: int, train: float = 0.6, valid
     return rows.join(ends, by).withColumn("part", part).where(F.col("part").isNotNull()).drop("_ta", "_tb")
 
 
-def _ranked(events: DataFrame, t: str, by: str, chunk: int) -> DataFrame:
+def ranked(events: DataFrame, t: str, by: str, chunk: int) -> DataFrame:
     """`events` with _r, the place in order of time (then event) within the series, and _n, how many it has."""
     rows = frames.running(events, [F.col(t), F.col("event")], F.lit(1), "_r", F.floor(F.col(t) / chunk), by)
     return rows.join(events.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), by)
@@ -89,7 +89,7 @@ def event_split(events: DataFrame, train: float = 0.6, valid: float = 0.2, t: st
     """`events` with part by rank in time (then event): round(n * train) train, round(n * valid) valid, the rest test."""
     r, n = F.col("_r"), F.col("_n")
     part = F.when(r <= F.rint(n * train), "train").when(r <= F.rint(n * train) + F.rint(n * valid), "valid").otherwise("test")
-    return _ranked(events, t, by, chunk).withColumn("part", part).drop("_r", "_n")
+    return ranked(events, t, by, chunk).withColumn("part", part).drop("_r", "_n")
 
 
 def thin_quiet(windows: DataFrame, events: DataFrame, length: int, horizon: int, stride: int, keep: int, width: int = 4096, by: str = "series") -> DataFrame:
@@ -121,7 +121,7 @@ def window_summary(grid: DataFrame, length: int, x: str = "x", k: str = "k", by:
 def folds(events: DataFrame, n: int, t: str = "peak", by: str = "series", chunk: int = 4096) -> DataFrame:
     """Rolling-origin folds: events in order of time in blocks of floor(n / (folds + 1)); fold f tests block f and trains before it."""
     size = F.greatest(F.lit(1), F.floor(F.col("_n") / (n + 1)))
-    return _ranked(events, t, by, chunk).withColumn("block", F.least(F.lit(n), F.floor((F.col("_r") - 1) / size))).drop("_r", "_n")
+    return ranked(events, t, by, chunk).withColumn("block", F.least(F.lit(n), F.floor((F.col("_r") - 1) / size))).drop("_r", "_n")
 
 
 def _portable(key: Column) -> Column:

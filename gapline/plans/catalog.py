@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compose_queries, event_queries, grid_queries, more_queries, score_queries, stream_queries, window_queries  # noqa: F401  they register themselves
+from . import compose_queries, event_queries, grid_queries, more_queries, rolling_queries, score_queries, stream_queries, window_queries  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL, Query
 
 
