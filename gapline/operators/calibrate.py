@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import frames
+from . import frames, walks
 from .quantiles import quantiles
 
 
@@ -71,33 +70,44 @@ def anchor(df: DataFrame, x: str, y: str, least: int = 1000) -> DataFrame:
     return fit.select("n", *[F.when(ok, c).alias(a) for a, c in (("slope", F.col("slope")), ("intercept", F.col("intercept")), ("scatter", scatter))])
 
 
-def isotonic(df: DataFrame, p: str, y: str, least: int = 50, digits: int = 4) -> DataFrame:
-    """Knots (x, y) of the isotonic fit of outcomes on scores (rounded to `digits` places), values to 6 places; the identity
-    below `least` rows or with one class. One row a distinct score at most, and none of them pass through the driver."""
-    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(F.round(F.col(p).cast("double"), digits).alias("x"), F.col(y).cast("double").alias("v"))
-    pooled = rows.groupBy("x").agg(F.sum("v").alias("s"), F.count(F.lit(1)).cast("double").alias("w"), F.min("v").alias("a"), F.max("v").alias("z"))
-    # the fit at a score is the greatest of the least means over intervals that hold it: slopes of the greatest convex minorant
-    w = W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)  # bounded by the number of rounded scores
-    points = pooled.select("x", "a", "z", F.sum("s").over(w).alias("cs"), F.sum("w").over(w).alias("cw"))
-    hull = points.groupBy().agg(F.sort_array(F.collect_list(F.struct("cw", "cs", "x"))).alias("pts"), F.min("a").alias("a"), F.max("z").alias("z"))
-
-    def minorant(t: pd.DataFrame) -> pd.DataFrame:
-        pts = t["pts"].iloc[0]
-        if not len(pts) or pts[-1]["cw"] < least or t["a"].iloc[0] == t["z"].iloc[0]:
-            return pd.DataFrame({"x": [0.0, 1.0], "y": [0.0, 1.0]})
-        stack = [(0.0, 0.0)]
-        for q in pts:
-            c = (q["cw"], q["cs"])
-            while len(stack) > 1 and (stack[-1][1] - stack[-2][1]) * (c[0] - stack[-1][0]) >= (c[1] - stack[-1][1]) * (stack[-1][0] - stack[-2][0]):
-                stack.pop()
-            stack.append(c)
-        edges = np.array([c[0] for c in stack])
-        slopes = np.diff([c[1] for c in stack]) / np.diff(edges)
-        block = np.searchsorted(edges, [q["cw"] for q in pts]) - 1
-        out = pd.DataFrame({"x": [q["x"] for q in pts], "y": [round(float(slopes[i]), 6) for i in block], "block": block})
-        return out[(out["block"] != out["block"].shift()) | (out["block"] != out["block"].shift(-1))][["x", "y"]]
-
-    return hull.mapInPandas(lambda batches: (minorant(t) for t in batches if len(t)), "x double, y double")
+def _minorant(t: pd.DataFrame) -> pd.DataFrame:
+    """Corners of the greatest convex minorant of points (cw, cs) in the order of cw."""
+    t = t.sort_values("cw")
+    kept: list[int] = []
+    w, s = t["cw"].to_numpy(), t["cs"].to_numpy()
+    for i in range(len(t)):
+        while len(kept) > 1 and (s[kept[-1]] - s[kept[-2]]) * (w[i] - w[kept[-1]]) >= (s[i] - s[kept[-1]]) * (w[kept[-1]] - w[kept[-2]]):
+            kept.pop()
+        kept.append(i)
+    return t.iloc[kept][["cw", "cs", "x"]]
+
+
+def isotonic(df: DataFrame, p: str, y: str, least: int = 50, width: int = 1 << 14) -> DataFrame:
+    """Knots (x, y) of the isotonic fit of outcomes on scores, values to 6 places; the identity below `least` rows or with one class.
+
+    The fit is the slopes of the greatest convex minorant of the running sums. A minorant of a range has the corners that count
+    for any range around it, so those of ranges of `width` rows are merged 64 at a time, until one is left; it has no more than
+    about n^(2/3) corners for n rows. No other step has a range of unbounded size.
+    """
+    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(F.lit(0).alias("series"), F.col(p).cast("double").alias("x"), F.col(y).cast("double").alias("v"))
+    pooled = rows.groupBy("series", "x").agg(F.sum("v").alias("s"), F.count(F.lit(1)).cast("double").alias("w"), F.min("v").alias("a"), F.max("v").alias("z"))
+    n, low, high = pooled.agg(F.sum("w"), F.min("a"), F.max("z")).first()
+    if (n or 0) < least or low == high:
+        return df.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "x double, y double")
+    chunk = F.floor(F.col("x") * 65_536)
+    sums = frames.running(frames.running(pooled, [F.col("x")], F.col("s"), "cs", chunk), [F.col("x")], F.col("w"), "cw", chunk)
+    points = walks.written(sums.select("x", "w", F.col("cs").cast("double").alias("cs"), F.col("cw").cast("double").alias("cw")), "points")
+    hull = points.select("cw", "cs", "x").union(df.sparkSession.createDataFrame([(0.0, 0.0, None)], "cw double, cs double, x double"))
+    while True:
+        hull = hull.groupBy(F.floor(F.col("cw") / width).alias("part")).applyInPandas(lambda key, t: _minorant(t), "cw double, cs double, x double")
+        if width > n:
+            break
+        width *= 64
+    ahead = W.orderBy("cw")  # corners alone
+    edges = hull.select("cw", "cs", F.lead("cw").over(ahead).alias("cw1"), F.lead("cs").over(ahead).alias("cs1"), F.lead("x").over(ahead).alias("x1")).where("cw1 IS NOT NULL")
+    level = edges.select("cw", "x1", F.round((F.col("cs1") - F.col("cs")) / (F.col("cw1") - F.col("cw")), 6).alias("y"))
+    first = points.select((F.col("cw") - F.col("w")).alias("cw"), F.col("x").alias("x0"))
+    return level.join(first, "cw").select(F.explode(F.array_distinct(F.array("x0", "x1"))).alias("x"), "y")
 
 
 def probability(df: DataFrame, knots: DataFrame, p: str, name: str = "calibrated") -> DataFrame:

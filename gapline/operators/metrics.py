@@ -32,19 +32,19 @@ def contingency(df: DataFrame, y: Column, hit: Column, by: list[str] = ()) -> Da
     return four.withColumns(skill(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))))
 
 
-def _by_threshold(df: DataFrame, y: str, p: str, digits: int) -> DataFrame:
-    """tp, fp, fn, tn at each threshold among the scores rounded to `digits` (scores at or above it are hits)."""
-    counts = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.round(p, digits).alias("threshold")).agg(F.sum(F.col(y).cast("int")).alias("_1"), F.count(F.lit(1)).alias("_n"))
-    w = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)  # at most 10^digits + 1 rows
-    run = counts.withColumn("tp", F.sum("_1").over(w)).withColumn("_upto", F.sum("_n").over(w))
-    total = run.withColumn("_p", F.sum("_1").over(W.partitionBy())).withColumn("_all", F.sum("_n").over(W.partitionBy()))
-    fp = F.col("_upto") - F.col("tp")
-    return total.select("threshold", "tp", fp.alias("fp"), (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_all") - F.col("_p") - fp).alias("tn"))
+def _by_threshold(df: DataFrame, y: str, p: str) -> DataFrame:
+    """tp, fp, fn, tn at each threshold among the scores (scores at or above it are hits)."""
+    counts = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.lit(0).alias("series"), F.col(p).cast("double").alias("threshold")).agg(F.sum(F.col(y).cast("int")).alias("_1"), F.count(F.lit(1)).alias("_n"))
+    chunk = F.floor(F.col("threshold") * 65_536)
+    below = frames.running(counts, [F.col("threshold")], F.col("_1"), "fn", chunk, strict=True)
+    below = frames.running(below, [F.col("threshold")], F.col("_n") - F.col("_1"), "tn", chunk, strict=True)
+    total = counts.groupBy("series").agg(F.sum("_1").alias("_p"), F.sum(F.col("_n") - F.col("_1")).alias("_q"))
+    return below.join(total, "series").select("threshold", (F.col("_p") - F.col("fn")).alias("tp"), (F.col("_q") - F.col("tn")).alias("fp"), "fn", "tn")
 
 
-def best_threshold(df: DataFrame, y: str, p: str, metric: str = "tss", digits: int = 3) -> DataFrame:
+def best_threshold(df: DataFrame, y: str, p: str, metric: str = "tss") -> DataFrame:
     """The threshold with the greatest `metric` (ties to the least threshold), with all its scores."""
-    scored = _by_threshold(df, y, p, digits).withColumns(skill(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))))
+    scored = _by_threshold(df, y, p).withColumns(skill(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))))
     return scored.orderBy(F.desc(F.round(metric, 12)), "threshold").limit(1)
 
 

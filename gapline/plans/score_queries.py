@@ -22,7 +22,7 @@ def contingency_scores(spark, sf_dir):
     return rounded(out.select("source", "tp", "fp", "fn", "tn", "tss", "hss", "f1"))
 
 
-@query(f"""WITH {S_SQL}, c AS (SELECT round(p, 3) AS threshold, sum(y) AS a, count(*) AS n FROM s GROUP BY 1), r AS (SELECT threshold, sum(a) OVER w AS tp, sum(n) OVER w - sum(a) OVER w AS fp, sum(a) OVER () - sum(a) OVER w AS fn, sum(n) OVER () - sum(a) OVER () - sum(n) OVER w + sum(a) OVER w AS tn FROM c WINDOW w AS (ORDER BY threshold DESC))
+@query(f"""WITH {S_SQL}, c AS (SELECT p AS threshold, sum(y) AS a, count(*) AS n FROM s GROUP BY 1), r AS (SELECT threshold, sum(a) OVER w AS tp, sum(n) OVER w - sum(a) OVER w AS fp, sum(a) OVER () - sum(a) OVER w AS fn, sum(n) OVER () - sum(a) OVER () - sum(n) OVER w + sum(a) OVER w AS tn FROM c WINDOW w AS (ORDER BY threshold DESC))
 SELECT threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, {_SKILL} FROM r ORDER BY round(tp / (tp + fn) - fp / (fp + tn), 12) DESC, threshold LIMIT 1""")
 def best_threshold(spark, sf_dir):
     return rounded(metrics.best_threshold(scores(spark, sf_dir), "y", "p").select("threshold", "tp", "fp", "fn", "tn", "tss", "hss", "f1"))
@@ -142,12 +142,12 @@ def flux_anchor_ols(spark, sf_dir):
     return rounded(calibrate.anchor(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 100))
 
 
-@query(f"""WITH {S_SQL}, g AS (SELECT round(p, 2) AS x, sum(y) AS s, count(*) AS w FROM s WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY 1), c AS (SELECT x, sum(s) OVER (ORDER BY x) AS cs, sum(s) OVER (ORDER BY x) - s AS bs, sum(w) OVER (ORDER BY x) AS cw, sum(w) OVER (ORDER BY x) - w AS bw FROM g),
+@query(f"""WITH {S_SQL}, g AS (SELECT p AS x, sum(y) AS s, count(*) AS w FROM s WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY 1), c AS (SELECT x, sum(s) OVER (ORDER BY x) AS cs, sum(s) OVER (ORDER BY x) - s AS bs, sum(w) OVER (ORDER BY x) AS cw, sum(w) OVER (ORDER BY x) - w AS bw FROM g),
 m AS (SELECT a.x AS lo, b.x AS hi, (b.cs - a.bs) / (b.cw - a.bw) AS mean FROM c a JOIN c b ON a.x <= b.x), i AS (SELECT x, (SELECT max(v) FROM (SELECT min(mean) AS v FROM m WHERE lo <= c.x AND hi >= c.x GROUP BY lo)) AS v FROM c)
-SELECT doc_id, round(p, 2) AS p, round(least(greatest(round(v, 6), 0), 1), 6) + 0.0 AS calibrated FROM s JOIN i ON i.x = round(s.p, 2)""")
+SELECT doc_id, p, round(least(greatest(round(v, 6), 0), 1), 6) + 0.0 AS calibrated FROM s JOIN i ON i.x = s.p""")
 def isotonic_calibration(spark, sf_dir):
-    s = scores(spark, sf_dir).withColumn("p", F.round("p", 2))
-    out = calibrate.probability(s, calibrate.isotonic(s, "p", "y", digits=2), "p")
+    s = scores(spark, sf_dir)
+    out = calibrate.probability(s, calibrate.isotonic(s, "p", "y"), "p")
     return out.select("doc_id", "p", (F.round("calibrated", 6) + 0.0).alias("calibrated"))
 
 

@@ -402,10 +402,12 @@ def test_bursts_and_fits(spark):
     assert values(physics.adaptive_bins(net), "start", "stop", order="start") == [(0, 6), (6, 12), (12, 18)]
 
 
-def test_isotonic_against_pooling(spark):
+@pytest.mark.parametrize("digits,width", [(2, 1 << 14), (16, 4)])
+def test_isotonic_against_pooling(spark, digits, width):
+    """Rounded scores in one range, and unrounded ones in ranges of a few rows that are merged again and again."""
     rng = random.Random(6)
-    data = [(round(p, 2), int(rng.random() < p)) for p in (rng.random() for _ in range(400))]
-    knots = calibrate.isotonic(spark.createDataFrame(data, "p double, y int"), "p", "y")
+    data = [(round(p, digits), int(rng.random() < p)) for p in (rng.random() for _ in range(400))]
+    knots = calibrate.isotonic(spark.createDataFrame(data, "p double, y int"), "p", "y", width=width)
     blocks = []
     for p in sorted({p for p, _ in data}):
         ys = [y for q, y in data if q == p]
