@@ -51,20 +51,56 @@ def lead_summary(leads: DataFrame, by: str = "series") -> DataFrame:
     return quantiles(leads, [by], asked, [F.count(F.lit(1)).alias("n"), F.avg(F.col("warned").cast("double")).alias("tpr"), share(5).alias("lead_5"), share(10).alias("lead_10")])
 
 
+def alarm_episodes(df: DataFrame, scores: dict[str, str], thresholds: list[float], gap: int = 6, k: str = "k", by: str = "series") -> DataFrame:
+    """arm, threshold, start and stop of the episodes of every score (a column for each arm) at every threshold, in one pass.
+
+    A step's level is how many thresholds its score reaches. It starts an episode at those levels that no step within `gap` before
+    it reaches, and ends one at those that none within `gap` after it does; so a row is made for each episode, not for each step.
+    """
+    steps = sorted(thresholds)
+    reached = lambda c: F.coalesce(sum((F.col(c) >= t).cast("int") for t in steps), F.lit(0))
+    cols = {a: f"_l{i}" for i, a in enumerate(scores)}
+    levels = df.select(by, k, *[reached(c).alias(cols[a]) for a, c in scores.items()])
+
+    def around(w):
+        before, after = w.rangeBetween(-gap, -1), w.rangeBetween(1, gap)
+        return {f"{c}{n}": F.coalesce(F.max(c).over(f), F.lit(0)) for c in cols.values() for n, f in (("b", before), ("a", after))}
+
+    seen = frames.framed(levels, k, gap, gap, around, by)
+    side = lambda c, n, first: F.transform(F.when(F.col(c) > F.col(f"{c}{n}"), F.sequence(F.col(f"{c}{n}") + 1, F.col(c))).otherwise(F.array()), lambda j: F.struct(j.alias("level"), F.lit(first).alias("first")))
+    each = F.flatten(F.array(*[F.transform(F.concat(side(c, "b", True), side(c, "a", False)), lambda e, a=a: F.struct(F.lit(a).alias("arm"), e["level"].alias("level"), e["first"].alias("first"))) for a, c in cols.items()]))
+    edges = seen.select(by, k, F.explode(each).alias("e")).select(F.struct(by, "e.arm", "e.level").alias("_g"), F.col(k).alias("_k"), "e.first")
+    # starts and ends of a level take turns: an episode ends at the first end from its start on
+    ends = frames.carried(edges, [F.col("_k"), F.col("first").cast("int") * -1], F.when(~F.col("first"), F.col("_k")), "_stop", F.floor(F.col("_k") / 4096), "_g", last=False)
+    at = F.get(F.array(*map(F.lit, steps)), F.col("_g.level") - 1)
+    return ends.where("first").select(F.col(f"_g.{by}").alias(by), "_g.arm", at.alias("threshold"), F.col("_k").alias("start"), F.col("_stop").alias("stop"))
+
+
+def operating_curves(df: DataFrame, scores: dict[str, str], thresholds: list[float], events: DataFrame, spans: DataFrame, most: float, early: int = 15, late: int = 30, k: str = "k", by: str = "series", width: int = 4096) -> DataFrame:
+    """Per arm (a column of scores) and threshold: false alarms a day and share of windows warned, over all series; `chosen` is
+    the arm's least threshold with at most `most` false alarms a day.
+
+    The grid is read once for all arms and thresholds: what a window is warned of follows from the greatest score in it.
+    """
+    wide = events.select(by, (F.col("start") - late).alias("start"), (F.col("stop") + early).alias("stop"))
+    judged = temporal.overlapping(alarm_episodes(df, scores, thresholds, 6, k, by), wide, width, by)
+    false = judged.where(~F.col("overlaps")).groupBy("arm", "threshold").agg(F.count(F.lit(1)).alias("false"))
+    inside = temporal.within(df.select(by, F.col(k).alias("t"), *scores.values()), spans.select(by, "event", "start", "stop"), width, "t", by)
+    tops = inside.groupBy(F.col(f"i.{by}").alias(by), F.col("i.event").alias("event")).agg(*[F.max(F.col(f"p.{c}")).alias(f"_t{i}") for i, c in enumerate(scores.values())])
+    windows_of = spans.select(by, "event").join(tops, [by, "event"], "left")
+    points = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(t).alias("threshold"), F.coalesce(F.col(f"_t{i}") >= t, F.lit(False)).alias("warned")) for i, a in enumerate(scores) for t in thresholds]))
+    warned = windows_of.select(points.alias("_p")).groupBy("_p.arm", "_p.threshold").agg(F.avg(F.col("_p.warned").cast("double")).alias("tpr"))
+    days = df.agg((F.count(F.lit(1)) / 1440).alias("_days"))  # one row
+    every = df.sparkSession.createDataFrame([(a, float(t)) for a in scores for t in thresholds], "arm string, threshold double")
+    out = every.join(false, ["arm", "threshold"], "left").join(warned, ["arm", "threshold"], "left").join(F.broadcast(days)).fillna(0, ["false"])
+    out = out.withColumn("false_per_day", ratio(F.col("false").cast("double"), F.col("_days")))
+    fine = F.min(F.when(F.col("false_per_day") <= most, F.col("threshold"))).over(W.partitionBy("arm"))  # a row a threshold
+    return out.withColumn("chosen", F.coalesce(F.col("threshold") == fine, F.lit(False))).drop("_days")
+
+
 def operating_points(df: DataFrame, score: str, thresholds: list[float], events: DataFrame, spans: DataFrame, most: float, k: str = "k", by: str = "series") -> DataFrame:
-    """Per threshold: false alarms a day and share of windows warned, over all series; `chosen` is the least threshold with at most `most`
-    false alarms a day. Every threshold is one group of the same grouped jobs."""
-    each = F.explode(F.array(*map(F.lit, thresholds)))
-    key = lambda d: d.withColumn("threshold", each).withColumn("series2", F.struct(by, "threshold"))
-    grid, ev, sp = (key(d).drop(by).withColumnRenamed("series2", by) for d in (df, events, spans))
-    on = F.col(score) >= F.col(f"{by}.threshold")
-    fa = false_alarms(grid, on, ev, k=k, by=by)
-    lead = lead_times(grid, on, sp, k, by)
-    a = fa.groupBy(F.col(f"{by}.threshold").alias("threshold")).agg(F.sum("false").alias("false"), F.sum("days").alias("days"))
-    b = lead.groupBy(F.col(f"{by}.threshold").alias("threshold")).agg(F.avg(F.col("warned").cast("double")).alias("tpr"))
-    out = a.join(b, "threshold", "left").withColumn("false_per_day", ratio(F.col("false").cast("double"), F.col("days")))
-    fine = F.min(F.when(F.col("false_per_day") <= most, F.col("threshold"))).over(W.partitionBy())  # one row a threshold
-    return out.withColumn("chosen", F.coalesce(F.col("threshold") == fine, F.lit(False))).drop("days")
+    """The operating curve of one score: threshold, false, tpr, false_per_day and chosen."""
+    return operating_curves(df, {"": score}, thresholds, events, spans, most, k=k, by=by).drop("arm")
 
 
 def trend(df: DataFrame, back: int = 5, ahead: int = 15, x: str = "x", k: str = "k", by: str = "series") -> DataFrame:

@@ -53,11 +53,7 @@ def ablation(rows: DataFrame, y: str, arms: dict[str, str], threshold: float) ->
 
 def equal_alarms(grid: DataFrame, arms: dict[str, str], thresholds: list[float], events: DataFrame, spans: DataFrame, most: float) -> DataFrame:
     """Every arm at the least of the thresholds with at most `most` false alarms a day: what an input is worth at equal cost."""
-    out = None
-    for arm, score in arms.items():  # a few columns of scores
-        one = alerts.operating_points(grid, score, thresholds, events, spans, most).where("chosen").select(F.lit(arm).alias("arm"), "threshold", "tpr", "false_per_day")
-        out = one if out is None else out.union(one)
-    return out
+    return alerts.operating_curves(grid, arms, thresholds, events, spans, most).where("chosen").select("arm", "threshold", "tpr", "false_per_day")
 
 
 def _share(of: Column, where: Column) -> Column:
