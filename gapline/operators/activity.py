@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import frames, temporal, windows
+from . import frames, temporal, windows, walks
 
 
 def hourly(df: DataFrame, step: int, hours: tuple[int, ...] = (1, 6, 24), t: str = "t", x: str = "x", by: str = "series") -> DataFrame:
@@ -59,12 +59,15 @@ def forecaster(train: DataFrame, features: list[str], label: str, kind: str = "l
 def importance(scored: DataFrame, model, features: list[str], label: str, seed: int = 1) -> DataFrame:
     """Loss of the rank score when one feature's values are dealt anew among rows (by a hash order): feature, drop."""
     from pyspark.ml.functions import vector_to_array
-    from pyspark.sql import Window as W
 
     from .metrics import roc_auc
 
     score = lambda d: roc_auc(model.transform(d).withColumn("_p", vector_to_array("probability")[1]), label, "_p").select("auc")
-    rows = scored.withColumn("_a", F.row_number().over(W.partitionBy("series").orderBy(F.xxhash64(*features, F.lit(seed))))).withColumn("_b", F.row_number().over(W.partitionBy("series").orderBy(F.xxhash64(*features, F.lit(seed + 1)))))
+    rows = scored
+    for name, s in (("_a", seed), ("_b", seed + 1)):  # places in two hash orders, by ranges of the hash
+        h = F.xxhash64(*features, F.lit(s))
+        rows = frames.running(rows.withColumn("_h", h), [F.col("_h")], F.lit(1), name, F.shiftright("_h", 50)).drop("_h")
+    rows = walks.written(rows, "places")  # equal hashes keep their places
     out = None
     for f in features:
         other = rows.select("series", F.col("_b").alias("_a"), F.col(f).alias("_f"))

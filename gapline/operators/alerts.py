@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import detect, frames, temporal, windows
+from . import detect, frames, temporal
 from .metrics import ratio
 from .quantiles import quantiles
 
@@ -38,7 +38,7 @@ def false_alarms(df: DataFrame, on: Column, events: DataFrame, early: int = 15,
 
 def lead_times(df: DataFrame, on: Column, spans: DataFrame, k: str = "k", by: str = "series", chunk: int = 4096) -> DataFrame:
     """`spans` (event, start, stop) with warned and lead: minutes from the first step on within the window to its end."""
-    first = windows.next_on(df, on, "_on", k, by, chunk).select(by, F.col(k).alias("_k"), "_on")
+    first = df.where(on).select(by, F.col(k).alias("_k"), F.col(k).alias("_on"))  # steps that are on, and no others, meet the windows
     got = temporal.asof(spans.withColumn("_k", F.col("start")), first, ["_on"], chunk, t="_k", by=by, names="_n_", forward=True)
     hit = F.col("_n__on") <= F.col("stop")
     return got.withColumn("warned", F.coalesce(hit, F.lit(False))).withColumn("lead", F.when(hit, F.col("stop") - F.col("_n__on"))).drop("_k", "_n__k", "_n__on")

@@ -191,13 +191,22 @@ def adaptive_bins(counts: DataFrame, least: float = 300.0, shortest: int = 4, gr
     return counts.groupBy(by).applyInPandas(walk, f"{by} {kind}, start long, stop long, net double")
 
 
-def flare_record(events: DataFrame, samples: DataFrame, before: int, after: int, decision: int, width: int, by: str = "series") -> DataFrame:
-    """Per event: samples, median before the start, greatest value and when, rise, and the greatest value known at
-    start + decision (later samples never enter a decision-time column)."""
-    s = temporal.slices(events, samples, before, after, width, by=by)
-    pre, known = F.when(F.col("since") < 0, F.col("x")), F.when(F.col("since") <= decision, F.col("x"))
-    out = s.groupBy("event").agg(
-        F.count("x").alias("n"), F.percentile(pre, F.lit(0.5)).alias("background"), F.max("x").alias("top"),
-        F.max_by("since", F.struct("x", -F.col("since"))).alias("top_at"), F.max(known).alias("top_known"),
-    )
-    return out.withColumn("rise", F.when(F.col("background") > 0, F.col("top") / F.col("background")))
+def flare_record(events: DataFrame, grid: DataFrame, before: int, after: int, decision: int, x: str = "x", k: str = "k", by: str = "series") -> DataFrame:
+    """Per event (by, event, k): observed steps, median before it, greatest value and how many steps from it that is, rise, and
+    the greatest value known `decision` steps on (later ones never enter a decision-time column).
+
+    The numbers of a step are those of its frame [k - before, k + after], taken once for every step of the grid however many
+    events fall on it. Null for an event whose step is not on the grid.
+    """
+
+    def columns(w):
+        whole = w.rangeBetween(-before, after)
+        return {
+            "n": F.count(x).over(whole), "background": F.percentile(x, F.lit(0.5)).over(w.rangeBetween(-before, -1)), "top": F.max(x).over(whole),
+            "top_at": F.max_by(k, F.when(F.col(x).isNotNull(), F.struct(F.col(x), -F.col(k)))).over(whole) - F.col(k), "top_known": F.max(x).over(w.rangeBetween(-before, decision)),
+        }
+
+    known = frames.framed(grid.select(by, k, x), k, before, after, columns, by).drop(x)
+    out = events.select(by, "event", k).join(known, [by, k], "left")
+    return out.drop(k).withColumn("rise", F.when(F.col("background") > 0, F.col("top") / F.col("background")))
+
