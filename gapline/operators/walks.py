@@ -25,9 +25,14 @@ Machine = Callable[[list | None, tuple], tuple[list | None, Iterable[tuple]]]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as Parquet in the shared folder, read back: what outlives lost executors and cuts lineage."""
+    """`df` as Parquet in the shared folder (spark.checkpoint.dir, or where it is unset and Spark runs on one machine one in the
+    warehouse), read back: what outlives lost executors and cuts lineage."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/gapline-shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/gapline-shared"
     path = f"{base}/gapline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
