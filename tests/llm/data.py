@@ -31,3 +31,10 @@ def rows(extra=()):
 
 def documents(spark, extra=(), empty=False):
     return spark.createDataFrame([] if empty else rows(extra), SCHEMA)
+
+
+def doubled(n, a="a", b="b"):
+    """A word of n letters, each half of it the other's complement, and its complement: under sums modulo a power of two they
+    have one hash, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)

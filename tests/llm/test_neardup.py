@@ -89,3 +89,14 @@ def test_estimate_is_corrected():
 def test_empty(spark):
     assert neardup.near_duplicates(documents(spark, empty=True)).count() == 0
     assert neardup.deduplicated(documents(spark, empty=True)).count() == 0
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """A word and its complement, alone and within like texts, are different words."""
+    from .data import doubled
+
+    pairs = [doubled(n) for n in (1024, 2048, 8192)]
+    texts = [w for p in pairs for w in p] + [" ".join([w, "x"] * 3) for w in pairs[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: (i, True) for i in range(len(texts))}

@@ -6,7 +6,7 @@ import numpy as np
 
 from gapline.llm import repeats
 
-from .data import documents, rows
+from .data import documents, doubled, rows
 
 
 def brute(data, length=400):
@@ -34,7 +34,7 @@ def passages():
         a, b = sorted((rng.randrange(len(p)), rng.randrange(len(p))))
         cut = rng.choice([p, p[a:], p[:b], p[a:b], p[:a] + "#" + p[a:]])
         out.append(prose(rng.randrange(300)) + cut + prose(rng.randrange(300)) + (rng.choice(shared) if rng.random() < 0.3 else ""))
-    return out + ["a" * 1000, "ab" * 900, "a" * 399, "a" * 400, prose(500) * 3, "xyz" * 500]
+    return out + ["a" * 1000, "ab" * 900, "a" * 399, "a" * 400, prose(500) * 3, "xyz" * 500, *doubled(1024), *doubled(4096, "c", "d")]
 
 
 def test_cells_of_parts_cover_every_start(monkeypatch):

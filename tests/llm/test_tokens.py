@@ -9,7 +9,7 @@ import pytest
 
 from gapline.llm import bpe, tokenfiles
 
-from .data import documents, rows
+from .data import documents, doubled, rows
 
 
 def awkward(n=300):
@@ -85,12 +85,6 @@ def test_a_word_of_a_hundred_thousand_letters(tiktoken_ids):
     assert contracted(bpe.Codec(public_tokenizers.path(bpe.RANKS)), ["x", word, "y"])[1] == tiktoken_ids(word)
 
 
-def doubled(n, a="a", b="b"):
-    """A word of n letters, each half of it the other's complement, and its complement."""
-    bits = [bin(i).count("1") % 2 for i in range(n)]
-    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
-
-
 @pytest.mark.parametrize("n", [1024, 2048, 8192])
 def test_words_that_collide_modulo_powers_of_two(spark, tiktoken_ids, n):
     from tokenizers import Tokenizer
