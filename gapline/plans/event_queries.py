@@ -113,43 +113,51 @@ def event_slices(spark, sf_dir):
     return temporal.slices(i.withColumnRenamed("id", "event"), e, 1500, 900, 1 << 14).select("event", "id", "since")
 
 
+def _minutes(e):
+    """Means of minutes: an event meets a bounded number of them, however dense the samples are."""
+    return e.groupBy("series", (F.floor(F.col("t") / 60) * 60).alias("t")).agg(F.round(F.avg("x"), 9).alias("x"))
+
+
+_M = f"{E_SQL}, u AS (SELECT t // 60 * 60 AS t, round(avg(x), 9) AS x FROM e GROUP BY 1)"
+
+
 @query(f"""WITH {E_SQL}, g AS (SELECT t // 60 AS k, round(avg(x), 9) AS x FROM e GROUP BY 1), f AS (
   SELECT k, count(x) OVER w AS n, quantile_cont(x, 0.5) OVER (ORDER BY k RANGE BETWEEN 240 PRECEDING AND 1 PRECEDING) AS background, max(x) OVER w AS top, arg_max(k, (x, -k)) OVER w - k AS top_at,
     max(x) OVER (ORDER BY k RANGE BETWEEN 240 PRECEDING AND 30 FOLLOWING) AS top_known FROM g WINDOW w AS (ORDER BY k RANGE BETWEEN 240 PRECEDING AND 120 FOLLOWING))
 SELECT id AS event, n, {r_sql('background')}, top, top_known, top_at, round(CASE WHEN background > 0 THEN top / background END, 9) + 0.0 AS rise FROM e JOIN f ON f.k = e.t // 60 WHERE series = 'purchase'""")
 def flare_records(spark, sf_dir):
     i, e = _purchases(spark, sf_dir)
-    g = e.groupBy("series", F.floor(F.col("t") / 60).alias("k")).agg(F.round(F.avg("x"), 9).alias("x"))
+    g = _minutes(e).withColumn("k", F.floor(F.col("t") / 60))
     events = i.select("series", "event", F.floor(F.col("start") / 60).alias("k"))
     return rounded(physics.flare_record(events, g, 240, 120, 30).select("event", "n", "background", "top", "top_known", "top_at", "rise"), "top", "top_known")
 
 
-@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t - 28800 AND i.t + 7200),
+@query(f"""WITH {_M}, s AS (SELECT i.id AS event, u.x, u.t - i.t AS since FROM e i JOIN u ON i.series = 'purchase' AND u.t BETWEEN i.t - 28800 AND i.t + 7200),
 p AS (SELECT event, count(*) AS n, coalesce(regr_slope(x, since), 0) AS s FROM s WHERE since < 0 GROUP BY 1), q AS (SELECT event, n, CASE WHEN n >= 16 THEN least(s, 0) ELSE 0 END AS slope FROM p),
 r AS (SELECT s.event, q.n, q.slope, x - slope * since AS r FROM s JOIN q USING (event) WHERE since < 0), l AS (SELECT event, n, slope, quantile_cont(r, 0.5) AS level FROM r GROUP BY ALL)
-SELECT event, l.n, round(CASE WHEN l.n >= 8 THEN l.slope END, 6) + 0.0 AS slope, round(CASE WHEN l.n >= 8 THEN level END, 3) + 0.0 AS level, round(CASE WHEN l.n >= 8 THEN (SELECT quantile_cont(abs(r.r - level), 0.5) FROM r WHERE r.event = l.event) * 1.4826 END, 3) + 0.0 AS scatter FROM l""")
+SELECT event, l.n, round(CASE WHEN l.n >= 8 THEN l.slope END, 6) + 0.0 AS slope, round(CASE WHEN l.n >= 8 THEN level END, 7) + 0.0 AS level, round(CASE WHEN l.n >= 8 THEN (SELECT quantile_cont(abs(r.r - level), 0.5) FROM r WHERE r.event = l.event) * 1.4826 END, 7) + 0.0 AS scatter FROM l""")
 def linear_background(spark, sf_dir):
     i, e = _purchases(spark, sf_dir)
-    out = detect.linear_background(temporal.slices(i, e, 28800, 7200, 1 << 16))
-    return out.select("event", "n", (F.round("slope", 6) + 0.0).alias("slope"), (F.round("level", 3) + 0.0).alias("level"), (F.round("scatter", 3) + 0.0).alias("scatter"))
+    out = detect.linear_background(temporal.slices(i, _minutes(e), 28800, 7200, 1 << 16))
+    return out.select("event", "n", (F.round("slope", 6) + 0.0).alias("slope"), (F.round("level", 7) + 0.0).alias("level"), (F.round("scatter", 7) + 0.0).alias("scatter"))
 
 
-@query(f"""WITH {E_SQL}, g AS (SELECT i.id AS event, ((e.t - i.t) // 600)::BIGINT AS k, avg(e.x) AS x FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t AND i.t + 21600 GROUP BY ALL),
+@query(f"""WITH {_M}, g AS (SELECT i.id AS event, ((u.t - i.t) // 600)::BIGINT AS k, avg(u.x) AS x FROM e i JOIN u ON i.series = 'purchase' AND u.t BETWEEN i.t AND i.t + 21600 GROUP BY ALL),
 h AS (SELECT event, k, k - row_number() OVER (PARTITION BY event ORDER BY k) AS run FROM g WHERE x / 20 > 1), r AS (SELECT event, min(k) AS onset FROM h GROUP BY event, run HAVING count(*) >= 3)
 SELECT event, min(onset) AS onset, min(onset) + 2 AS known FROM r GROUP BY event""")
 def causal_onset(spark, sf_dir):
     i, e = _purchases(spark, sf_dir)
-    g = temporal.slices(i, e, 0, 21600, 1 << 15).groupBy("event", F.floor(F.col("since") / 600).alias("k")).agg(F.avg("x").alias("x"))
+    g = temporal.slices(i, _minutes(e), 0, 21600, 1 << 15).groupBy("event", F.floor(F.col("since") / 600).alias("k")).agg(F.avg("x").alias("x"))
     return detect.causal_onset(g, F.col("x") / 20, least=1.0)
 
 
-@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t - 28800 AND i.t + 7200),
+@query(f"""WITH {_M}, s AS (SELECT i.id AS event, u.x, u.t - i.t AS since FROM e i JOIN u ON i.series = 'purchase' AND u.t BETWEEN i.t - 28800 AND i.t + 7200),
 m AS (SELECT event, count(x) FILTER (since BETWEEN -1800 AND -600) AS n, count(x) FILTER (abs(since) <= 120) AS m, quantile_cont(x, 0.5) FILTER (since BETWEEN -1800 AND -600) AS med, max(x) FILTER (abs(since) <= 120) AS top FROM s GROUP BY event),
 d AS (SELECT event, quantile_cont(abs(x - med), 0.5) AS mad FROM s JOIN m USING (event) WHERE since BETWEEN -1800 AND -600 GROUP BY event)
 SELECT event, round(CASE WHEN n >= 10 AND m >= 3 THEN (top - med) / greatest(1.4826 * mad, sqrt(greatest(med, 1))) END, 9) + 0.0 AS significance FROM m LEFT JOIN d USING (event)""")
 def hot_excess(spark, sf_dir):
     i, e = _purchases(spark, sf_dir)
-    return rounded(detect.hot_excess(temporal.slices(i, e, 28800, 7200, 1 << 16)))
+    return rounded(detect.hot_excess(temporal.slices(i, _minutes(e), 28800, 7200, 1 << 16)))
 
 
 @query(f"""WITH {E_SQL}, p AS (SELECT series, floor(x / 5)::BIGINT AS channel, count(*) AS c FROM e GROUP BY ALL), s AS (SELECT g.series, g.channel, coalesce(p.c, 0)::DOUBLE AS counts FROM (SELECT series, unnest(range(min(channel), max(channel) + 1)) AS channel FROM p GROUP BY series) g LEFT JOIN p ON p.series = g.series AND p.channel = g.channel),
