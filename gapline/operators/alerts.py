@@ -67,8 +67,16 @@ def alarm_episodes(df: DataFrame, scores: dict[str, str], thresholds: list[float
         return {f"{c}{n}": F.coalesce(F.max(c).over(f), F.lit(0)) for c in cols.values() for n, f in (("b", before), ("a", after))}
 
     seen = frames.framed(levels, k, gap, gap, around, by)
-    side = lambda c, n, first: F.transform(F.when(F.col(c) > F.col(f"{c}{n}"), F.sequence(F.col(f"{c}{n}") + 1, F.col(c))).otherwise(F.array()), lambda j: F.struct(j.alias("level"), F.lit(first).alias("first")))
-    each = F.flatten(F.array(*[F.transform(F.concat(side(c, "b", True), side(c, "a", False)), lambda e, a=a: F.struct(F.lit(a).alias("arm"), e["level"].alias("level"), e["first"].alias("first"))) for a, c in cols.items()]))
+
+    def edges_of(arm: str, c: str) -> list[Column]:
+        """Arrays of (arm, level, first): the levels that start and those that end at a step."""
+        parts = []
+        for n, first in (("b", True), ("a", False)):
+            levels = F.when(F.col(c) > F.col(f"{c}{n}"), F.sequence(F.col(f"{c}{n}") + 1, F.col(c))).otherwise(F.array().cast("array<int>"))
+            parts.append(F.transform(levels, lambda j: F.struct(F.lit(arm).alias("arm"), j.alias("level"), F.lit(first).alias("first"))))  # noqa: B023
+        return parts
+
+    each = F.concat(*[x for a, c in cols.items() for x in edges_of(a, c)])
     edges = seen.select(by, k, F.explode(each).alias("e")).select(F.struct(by, "e.arm", "e.level").alias("_g"), F.col(k).alias("_k"), "e.first")
     # starts and ends of a level take turns: an episode ends at the first end from its start on
     ends = frames.carried(edges, [F.col("_k"), F.col("first").cast("int") * -1], F.when(~F.col("first"), F.col("_k")), "_stop", F.floor(F.col("_k") / 4096), "_g", last=False)
