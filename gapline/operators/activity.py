@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import frames, temporal, walks, windows
+from . import frames, temporal, walks
 
 
 def hourly(df: DataFrame, step: int, hours: tuple[int, ...] = (1, 6, 24), t: str = "t", x: str = "x", by: str = "series") -> DataFrame:
