@@ -1,16 +1,18 @@
 """Causal, centred and look-ahead features on dense grids (k whole numbers, missing values null).
 
-All frames are ranges of k, dealt by time chunk with halo rows (frames.framed); an even width is centred as width/2 before
+All frames are ranges of k, dealt by time chunk with halo rows (frames.framed), those over samples as dense as they come by tables
+of spans (spans.measured); an even width is centred as width/2 before
 and width/2 - 1 after.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import frames
+from . import frames, spans
 
 
 def trailing_percentile(df: DataFrame, width: int, q: float, name: str = "percentile", x: str = "x", k: str = "k", by: str = "series") -> DataFrame:
@@ -27,11 +29,11 @@ def trailing_percentile(df: DataFrame, width: int, q: float, name: str = "percen
 def trailing_range_percentile(df: DataFrame, before: int, skip: int, q: float, least: int, name: str = "percentile", x: str = "x", t: str = "t", by: str = "series") -> DataFrame:
     """Percentile over (t - before, t - skip] in whole seconds; null with fewer than `least` values."""
 
-    def columns(w):
-        f = w.rangeBetween(1 - before, -skip)
-        return {name: F.when(F.count(x).over(f) >= least, F.percentile(x, F.lit(q)).over(f))}
+    def measure(ts, xs, at):
+        a, z = spans.bounds(ts, at - (before - 1), at - skip)
+        return {name: spans.Ranks(xs).quantile(a, z, q, least)}
 
-    return frames.framed(df, t, before, 0, columns, by)
+    return spans.measured(df, measure, f"{name} double", before, x=x, t=t, by=by)
 
 
 def centred_percentile(df: DataFrame, width: int, q: float, name: str = "percentile", x: str = "x", k: str = "k", by: str = "series") -> DataFrame:
@@ -105,13 +107,16 @@ def background_noise(df: DataFrame, dt: int, before: int = 1800, guard: int = 12
 
 def rolling(df: DataFrame, span: int, step: int, how: str, name: str, least: float = 0.3, x: str = "x", t: str = "t", by: str = "series") -> DataFrame:
     """min, max, mean or median over (t - span, t], null where less than the share `least` of span / step has values."""
-    f = {"min": F.min, "max": F.max, "mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}[how]
-
-    def columns(w):
-        at = w.rangeBetween(1 - span, 0)
-        return {name: F.when(F.count(x).over(at) >= least * span / step, f(x).over(at))}
-
-    return frames.framed(df, t, span, 0, columns, by)
+    def measure(ts, xs, at):
+        a, z = spans.bounds(ts, at - (span - 1), at)
+        n = z - a
+        if how in ("min", "max"):
+            out = spans.extremes(xs, a, z, {"min": np.fmin, "max": np.maximum}[how])
+        else:
+            out = spans.Ranks(xs).quantile(a, z, 0.5) if how == "median" else np.ma.masked_array(spans.sums(xs, a, z) / np.maximum(n, 1), n == 0)
+        return {name: np.ma.masked_array(out, np.ma.getmaskarray(out) | (n < least * span / step))}
+
+    return spans.measured(df, measure, f"{name} double", span, x=x, t=t, by=by)
 
 
 def occurrence(df: DataFrame, horizon: int, on: Column, name: str = "occurs", k: str = "k", by: str = "series") -> DataFrame:
