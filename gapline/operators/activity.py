@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import frames, temporal, walks
+from . import frames, spans, temporal, walks
 
 
 def hourly(df: DataFrame, step: int, hours: tuple[int, ...] = (1, 6, 24), t: str = "t", x: str = "x", by: str = "series") -> DataFrame:
     """Per hour with a sample in it: the last value and min, max and mean over (t - h, t] of each span, at the hour's last sample."""
-    f = {"min": F.min, "max": F.max, "mean": F.avg}
-    out = frames.framed(df, t, max(hours) * 3600, 0, lambda w: {f"{how}_{h}h": f[how](x).over(w.rangeBetween(1 - h * 3600, 0)) for h in hours for how in f}, by)
-    hour = F.floor(F.col(t) / 3600)
+    seen = df.where(F.col(x).isNotNull())
+    last = seen.groupBy(by, F.floor(F.col(t) / 3600).alias("hour")).agg(F.max(t).alias(t), F.max_by(x, F.struct(t, x)).alias("now"))
+    both = seen.select(by, t, x).withColumns({"hour": F.lit(None).cast("long"), "now": F.lit(None).cast(df.schema[x].dataType)}).unionByName(last.withColumn(x, F.lit(None).cast(df.schema[x].dataType)))
     names = [f"{how}_{h}h" for h in hours for how in ("min", "max", "mean")]
-    last = out.where(F.col(x).isNotNull()).groupBy(by, hour.alias("hour")).agg(F.max_by(F.struct(x, *names), t).alias("_l"))
-    return last.select(by, "hour", F.col(f"_l.{x}").alias("now"), *[F.col(f"_l.{n}").alias(n) for n in names])
+
+    def measure(ts, xs, at):
+        out = {}
+        for h in hours:
+            a, z = spans.bounds(ts, at - (h * 3600 - 1), at)
+            out |= {f"min_{h}h": spans.extremes(xs, a, z, np.fmin), f"max_{h}h": spans.extremes(xs, a, z), f"mean_{h}h": spans.sums(xs, a, z) / np.maximum(z - a, 1)}
+        return out
+
+    out = spans.measured(both, measure, ", ".join(f"{n} double" for n in names), max(hours) * 3600, asked=F.col("hour").isNotNull(), x=x, t=t, by=by)
+    return out.select(by, "hour", "now", *names)
 
 
 def event_counts(origins: DataFrame, events: DataFrame, hours: tuple[int, ...] = (6, 24, 72), chunk: int = 1 << 20, t: str = "t", by: str = "series") -> DataFrame:
