@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import frames
+from . import frames, spans
 
 
 def energy_edges(low: float, high: float, bins: int) -> list[float]:
@@ -191,22 +191,21 @@ def adaptive_bins(counts: DataFrame, least: float = 300.0, shortest: int = 4, gr
     return counts.groupBy(by).applyInPandas(walk, f"{by} {kind}, start long, stop long, net double")
 
 
-def flare_record(events: DataFrame, grid: DataFrame, before: int, after: int, decision: int, x: str = "x", k: str = "k", by: str = "series") -> DataFrame:
-    """Per event (by, event, k): observed steps, median before it, greatest value and how many steps from it that is, rise, and
-    the greatest value known `decision` steps on (later ones never enter a decision-time column).
-
-    The numbers of a step are those of its frame [k - before, k + after], taken once for every step of the grid however many
-    events fall on it. Null for an event whose step is not on the grid.
-    """
-
-    def columns(w):
-        whole = w.rangeBetween(-before, after)
-        return {
-            "n": F.count(x).over(whole), "background": F.percentile(x, F.lit(0.5)).over(w.rangeBetween(-before, -1)), "top": F.max(x).over(whole),
-            "top_at": F.max_by(k, F.when(F.col(x).isNotNull(), F.struct(F.col(x), -F.col(k)))).over(whole) - F.col(k), "top_known": F.max(x).over(w.rangeBetween(-before, decision)),
-        }
-
-    known = frames.framed(grid.select(by, k, x), k, before, after, columns, by).drop(x)
-    out = events.select(by, "event", k).join(known, [by, k], "left")
-    return out.drop(k).withColumn("rise", F.when(F.col("background") > 0, F.col("top") / F.col("background")))
-
+def flare_record(events: DataFrame, samples: DataFrame, before: int, after: int, decision: int, x: str = "x", t: str = "t", by: str = "series") -> DataFrame:
+    """Per event (by, event, start): samples in [start - before, start + after], median of those before the start, greatest value and
+    how long after the start its first place is, rise, and the greatest value known at start + decision (later samples never
+    enter a decision-time column). Every sample counts by itself; nulls are left out."""
+
+    def measure(ts, xs, at):
+        a, z = spans.bounds(ts, at - before, at + after)
+        pre, known = spans.bounds(ts, at - before, at - 1), spans.bounds(ts, at - before, at + decision)
+        order = np.lexsort((-ts, xs))  # of equal values the earliest is the last one
+        rank = np.empty(len(xs), dtype=np.int64)
+        rank[order] = np.arange(len(xs))
+        best = spans.extremes(rank, a, z)
+        first = order[best.filled(0)] if len(xs) else np.zeros(len(at), dtype=np.int64)
+        value, time = (np.ma.masked_array(c[first] if len(xs) else np.zeros(len(at)), best.mask) for c in (xs, ts))
+        return {"n": z - a, "background": spans.Ranks(xs).quantile(*pre, 0.5), "top": value, "top_at": time - at, "top_known": spans.extremes(xs, *known)}
+
+    out = spans.around(events, samples, measure, "n long, background double, top double, top_at long, top_known double", before, after, x, t, by, 2 * (before + after + 1))
+    return out.withColumn("rise", F.when(F.col("background") > 0, F.col("top") / F.col("background")))

@@ -121,15 +121,12 @@ def _minutes(e):
 _M = f"{E_SQL}, u AS (SELECT t // 60 * 60 AS t, round(avg(x), 9) AS x FROM e GROUP BY 1)"
 
 
-@query(f"""WITH {E_SQL}, g AS (SELECT t // 60 AS k, round(avg(x), 9) AS x FROM e GROUP BY 1), f AS (
-  SELECT k, count(x) OVER w AS n, quantile_cont(x, 0.5) OVER (ORDER BY k RANGE BETWEEN 240 PRECEDING AND 1 PRECEDING) AS background, max(x) OVER w AS top, arg_max(k, (x, -k)) OVER w - k AS top_at,
-    max(x) OVER (ORDER BY k RANGE BETWEEN 240 PRECEDING AND 30 FOLLOWING) AS top_known FROM g WINDOW w AS (ORDER BY k RANGE BETWEEN 240 PRECEDING AND 120 FOLLOWING))
-SELECT id AS event, n, {r_sql('background')}, top, top_known, top_at, round(CASE WHEN background > 0 THEN top / background END, 9) + 0.0 AS rise FROM e JOIN f ON f.k = e.t // 60 WHERE series = 'purchase'""")
+@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t - 14400 AND i.t + 7200),
+f AS (SELECT event, count(x) AS n, quantile_cont(x, 0.5) FILTER (since < 0) AS background, max(x) AS top, max(x) FILTER (since <= 1800) AS top_known, arg_max(since, (x, -since)) AS top_at FROM s GROUP BY event)
+SELECT event, n, {r_sql('background')}, top, top_known, top_at, round(CASE WHEN background > 0 THEN top / background END, 9) + 0.0 AS rise FROM f""")
 def flare_records(spark, sf_dir):
     i, e = _purchases(spark, sf_dir)
-    g = _minutes(e).withColumn("k", F.floor(F.col("t") / 60))
-    events = i.select("series", "event", F.floor(F.col("start") / 60).alias("k"))
-    return rounded(physics.flare_record(events, g, 240, 120, 30).select("event", "n", "background", "top", "top_known", "top_at", "rise"), "top", "top_known")
+    return rounded(physics.flare_record(i, e, 14400, 7200, 1800).select("event", "n", "background", "top", "top_known", "top_at", "rise"), "top", "top_known")
 
 
 @query(f"""WITH {_M}, s AS (SELECT i.id AS event, u.x, u.t - i.t AS since FROM e i JOIN u ON i.series = 'purchase' AND u.t BETWEEN i.t - 28800 AND i.t + 7200),
