@@ -129,13 +129,13 @@ def flare_records(spark, sf_dir):
     return rounded(physics.flare_record(i, e, 14400, 7200, 1800).select("event", "n", "background", "top", "top_known", "top_at", "rise"), "top", "top_known")
 
 
-@query(f"""WITH {_M}, s AS (SELECT i.id AS event, u.x, u.t - i.t AS since FROM e i JOIN u ON i.series = 'purchase' AND u.t BETWEEN i.t - 28800 AND i.t + 7200),
+@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t - 28800 AND i.t + 7200),
 p AS (SELECT event, count(*) AS n, coalesce(regr_slope(x, since), 0) AS s FROM s WHERE since < 0 GROUP BY 1), q AS (SELECT event, n, CASE WHEN n >= 16 THEN least(s, 0) ELSE 0 END AS slope FROM p),
 r AS (SELECT s.event, q.n, q.slope, x - slope * since AS r FROM s JOIN q USING (event) WHERE since < 0), l AS (SELECT event, n, slope, quantile_cont(r, 0.5) AS level FROM r GROUP BY ALL)
 SELECT event, l.n, round(CASE WHEN l.n >= 8 THEN l.slope END, 6) + 0.0 AS slope, round(CASE WHEN l.n >= 8 THEN level END, 7) + 0.0 AS level, round(CASE WHEN l.n >= 8 THEN (SELECT quantile_cont(abs(r.r - level), 0.5) FROM r WHERE r.event = l.event) * 1.4826 END, 7) + 0.0 AS scatter FROM l""")
 def linear_background(spark, sf_dir):
     i, e = _purchases(spark, sf_dir)
-    out = detect.linear_background(temporal.slices(i, _minutes(e), 28800, 7200, 1 << 16))
+    out = detect.backgrounds(i, e, 28800)
     return out.select("event", "n", (F.round("slope", 6) + 0.0).alias("slope"), (F.round("level", 7) + 0.0).alias("level"), (F.round("scatter", 7) + 0.0).alias("scatter"))
 
 

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gapline.operators import activity, spans, windows
+from gapline.operators import activity, detect, physics, spans, temporal, windows
 
 
 def _dense(spark, n=3000, seed=4):
@@ -65,3 +66,43 @@ def test_nan_is_the_greatest_and_empty_spans_are_null():
     assert spans.Ranks(x).quantile(a, z, 0.5).tolist()[:2] == [2.5, 1.5]
     assert spans.extremes(x, a, z).mask.tolist() == spans.Ranks(x).quantile(a, z, 0.5).mask.tolist() == [False, False, False, True]
     assert spans.sums(np.ones(9), np.array([0, 3, 5]), np.array([9, 3, 8])).tolist() == [9, 0, 3]
+
+
+def _around(spark):
+    df, t, x = _dense(spark)
+    events = df.where("id % 40 = 3").selectExpr("series", "id AS event", "t AS start", "t AS stop")
+    return events, df, t, x, [i for i in range(len(t)) if i % 40 == 3]
+
+
+def test_every_sample_counts_in_flare_records(spark):
+    events, df, t, x, ids = _around(spark)
+    got = {r.event: r for r in physics.flare_record(events, df, 1500, 700, 200).collect()}
+    assert sorted(got) == ids
+    for i in ids:
+        since, there = t - t[i], ~np.isnan(x)
+        whole, pre, known = (there & (since >= -1500) & (since <= z) for z in (700, -1, 200))
+        r = got[i]
+        assert (r.n, r.top, r.top_known) == (whole.sum(), x[whole].max(), x[known].max())
+        assert r.top_at == since[whole & (x == r.top)].min()
+        assert r.background == pytest.approx(np.median(x[pre])) if pre.any() else r.background is None
+
+
+def test_every_sample_counts_in_backgrounds_as_by_pairs(spark):
+    events, df, t, x, ids = _around(spark)
+    got = {r.event: r for r in detect.backgrounds(events, df, 900).collect()}
+    pairs = {r.event: r for r in detect.linear_background(temporal.slices(events, df, 900, 0, 4096)).collect()}
+    assert sorted(got) == sorted(pairs) and max(r.n for r in got.values()) > 200
+    for i, r in pairs.items():
+        assert tuple(got[i])[-4:] == tuple(None if v is None else pytest.approx(v, abs=1e-9) for v in (r.n, r.slope, r.level, r.scatter))
+    assert {bool(r.slope) for r in got.values()} == {True, False}
+
+
+def test_every_sample_counts_in_onsets_and_hot_excess_as_by_pairs(spark):
+    events, df, t, x, ids = _around(spark)
+    near = temporal.slices(events, df, 0, 1700, 4096).groupBy("event", F.floor(F.col("since") / 60).alias("k")).agg(F.round(F.avg("x"), 9).alias("x"))
+    want = detect.causal_onset(near, F.col("x") / 28, least=1.0)
+    got = detect.causal_onsets(events, df, 60, 1700, lambda v: v / 28, least=1.0)
+    assert sorted(map(tuple, got.select("event", "onset", "known").collect())) == sorted(map(tuple, want.select("event", "onset", "known").collect()))
+    want = {r.event: r.significance for r in detect.hot_excess(temporal.slices(events, df, 1800, 120, 4096)).collect()}
+    got = {r.event: r.significance for r in detect.hot_excesses(events, df).collect()}
+    assert got == {k: None if v is None else pytest.approx(v) for k, v in want.items()} and len({v is None for v in got.values()}) == 2
