@@ -139,13 +139,12 @@ def linear_background(spark, sf_dir):
     return out.select("event", "n", (F.round("slope", 6) + 0.0).alias("slope"), (F.round("level", 7) + 0.0).alias("level"), (F.round("scatter", 7) + 0.0).alias("scatter"))
 
 
-@query(f"""WITH {_M}, g AS (SELECT i.id AS event, ((u.t - i.t) // 600)::BIGINT AS k, avg(u.x) AS x FROM e i JOIN u ON i.series = 'purchase' AND u.t BETWEEN i.t AND i.t + 21600 GROUP BY ALL),
+@query(f"""WITH {E_SQL}, g AS (SELECT i.id AS event, ((e.t - i.t) // 600)::BIGINT AS k, round(avg(e.x), 9) AS x FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t AND i.t + 21600 GROUP BY ALL),
 h AS (SELECT event, k, k - row_number() OVER (PARTITION BY event ORDER BY k) AS run FROM g WHERE x / 20 > 1), r AS (SELECT event, min(k) AS onset FROM h GROUP BY event, run HAVING count(*) >= 3)
 SELECT event, min(onset) AS onset, min(onset) + 2 AS known FROM r GROUP BY event""")
 def causal_onset(spark, sf_dir):
     i, e = _purchases(spark, sf_dir)
-    g = temporal.slices(i, _minutes(e), 0, 21600, 1 << 15).groupBy("event", F.floor(F.col("since") / 600).alias("k")).agg(F.avg("x").alias("x"))
-    return detect.causal_onset(g, F.col("x") / 20, least=1.0)
+    return detect.causal_onsets(i, e, 600, 21600, lambda x: x / 20, least=1.0).select("event", "onset", "known")
 
 
 @query(f"""WITH {_M}, s AS (SELECT i.id AS event, u.x, u.t - i.t AS since FROM e i JOIN u ON i.series = 'purchase' AND u.t BETWEEN i.t - 28800 AND i.t + 7200),
