@@ -113,14 +113,6 @@ def event_slices(spark, sf_dir):
     return temporal.slices(i.withColumnRenamed("id", "event"), e, 1500, 900, 1 << 14).select("event", "id", "since")
 
 
-def _minutes(e):
-    """Means of minutes: an event meets a bounded number of them, however dense the samples are."""
-    return e.groupBy("series", (F.floor(F.col("t") / 60) * 60).alias("t")).agg(F.round(F.avg("x"), 9).alias("x"))
-
-
-_M = f"{E_SQL}, u AS (SELECT t // 60 * 60 AS t, round(avg(x), 9) AS x FROM e GROUP BY 1)"
-
-
 @query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t - 14400 AND i.t + 7200),
 f AS (SELECT event, count(x) AS n, quantile_cont(x, 0.5) FILTER (since < 0) AS background, max(x) AS top, max(x) FILTER (since <= 1800) AS top_known, arg_max(since, (x, -since)) AS top_at FROM s GROUP BY event)
 SELECT event, n, {r_sql('background')}, top, top_known, top_at, round(CASE WHEN background > 0 THEN top / background END, 9) + 0.0 AS rise FROM f""")
@@ -147,13 +139,13 @@ def causal_onset(spark, sf_dir):
     return detect.causal_onsets(i, e, 600, 21600, lambda x: x / 20, least=1.0).select("event", "onset", "known")
 
 
-@query(f"""WITH {_M}, s AS (SELECT i.id AS event, u.x, u.t - i.t AS since FROM e i JOIN u ON i.series = 'purchase' AND u.t BETWEEN i.t - 28800 AND i.t + 7200),
+@query(f"""WITH {E_SQL}, s AS (SELECT i.id AS event, e.x, e.t - i.t AS since FROM e i JOIN e ON i.series = 'purchase' AND e.t BETWEEN i.t - 28800 AND i.t + 7200),
 m AS (SELECT event, count(x) FILTER (since BETWEEN -1800 AND -600) AS n, count(x) FILTER (abs(since) <= 120) AS m, quantile_cont(x, 0.5) FILTER (since BETWEEN -1800 AND -600) AS med, max(x) FILTER (abs(since) <= 120) AS top FROM s GROUP BY event),
 d AS (SELECT event, quantile_cont(abs(x - med), 0.5) AS mad FROM s JOIN m USING (event) WHERE since BETWEEN -1800 AND -600 GROUP BY event)
 SELECT event, round(CASE WHEN n >= 10 AND m >= 3 THEN (top - med) / greatest(1.4826 * mad, sqrt(greatest(med, 1))) END, 9) + 0.0 AS significance FROM m LEFT JOIN d USING (event)""")
 def hot_excess(spark, sf_dir):
     i, e = _purchases(spark, sf_dir)
-    return rounded(detect.hot_excess(temporal.slices(i, _minutes(e), 28800, 7200, 1 << 16)))
+    return rounded(detect.hot_excesses(i, e).select("event", "significance"))
 
 
 @query(f"""WITH {E_SQL}, p AS (SELECT series, floor(x / 5)::BIGINT AS channel, count(*) AS c FROM e GROUP BY ALL), s AS (SELECT g.series, g.channel, coalesce(p.c, 0)::DOUBLE AS counts FROM (SELECT series, unnest(range(min(channel), max(channel) + 1)) AS channel FROM p GROUP BY series) g LEFT JOIN p ON p.series = g.series AND p.channel = g.channel),
