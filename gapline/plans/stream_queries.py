@@ -19,10 +19,10 @@ def _folder(spark) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def _events(spark, sf_dir, path):
-    """The events as a stream of arriving files, at the end of which a marker closes all windows."""
+def _events(spark, sf_dir, path, ordered=None):
+    """The events as a stream of arriving files (by time, about `ordered` rows each), at the end of which a marker closes all windows."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("series"), clocks.micros(F.col("ts")).alias("us"), F.col("value").alias("x"))
-    return stream.closed(spark, e, f"{path}/arrivals").withColumn("ts", F.timestamp_micros("us"))
+    return stream.closed(spark, e, f"{path}/arrivals", ordered=ordered).withColumn("ts", F.timestamp_micros("us"))
 
 
 @query(f"WITH {E_SQL} SELECT series, t // 600 * 600 AS start, round(avg(x), {DIGITS}) + 0.0 AS mean, count(x) AS n FROM e GROUP BY ALL")
@@ -52,7 +52,7 @@ r AS (SELECT *, sum((NOT up)::INT) OVER (PARTITION BY series ORDER BY us ROWS UN
 SELECT series, start, us AS stop, low, x AS high FROM n WHERE i = 3""")
 def stream_rise_state(spark, sf_dir):
     path = _folder(spark)
-    return stream.drained(stream.rises(_events(spark, sf_dir, path)), path).where("series IS NOT NULL")
+    return stream.drained(stream.rises(_events(spark, sf_dir, path, 1_000_000)), path).where("series IS NOT NULL")
 
 
 @query(f"WITH {E_SQL} SELECT series, t // 3600 AS hour, round(avg(x), {DIGITS}) + 0.0 AS mean FROM e GROUP BY ALL")

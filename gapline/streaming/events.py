@@ -20,13 +20,29 @@ def read(spark: SparkSession, path: str, schema: str | None = None, files: int =
     return spark.readStream.schema(kind).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def closed(spark: SparkSession, rows: DataFrame, path: str, days: int = 3650) -> DataFrame:
+def _in_order(spark: SparkSession, rows: DataFrame, path: str, most: int) -> None:
+    """Writes `rows` as files of about `most` rows, one after the other in the order of us; equal times stand in one file."""
+    n = max(1, -(-rows.count() // most))
+    cuts = sorted({int(c) for c in rows.stat.approxQuantile("us", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
+    part = F.coalesce(sum(((F.col("us") >= c).cast("int") for c in cuts), F.lit(0)), F.lit(0))
+    dealt = f"{path}-dealt"
+    rows.withColumn("_part", part).repartition(n, "_part").write.partitionBy("_part").parquet(dealt)
+    for (i,) in sorted(spark.read.parquet(dealt).select("_part").distinct().collect()):  # a source takes files by their age
+        spark.read.schema(rows.schema).parquet(f"{dealt}/_part={i}").coalesce(1).write.mode("append").parquet(path)
+
+
+def closed(spark: SparkSession, rows: DataFrame, path: str, days: int = 3650, ordered: int | None = None) -> DataFrame:
     """A stream of `rows` (series, us, x) written under `path`, followed by two markers (null series) far in the future.
 
+    The files of `rows` arrive in any order; with `ordered` they arrive by time, about so many rows at once.
+
     The first marker moves the watermark beyond every window of the rows, and the second gives the batch that puts them out,
     so a drained stream holds all of them and nothing has to be filled in. The markers' own rows have a null series.
     """
-    rows.write.mode("append").parquet(path)
+    if ordered:
+        _in_order(spark, rows, path, ordered)
+    else:
+        rows.write.mode("append").parquet(path)
     last = rows.agg(F.coalesce(F.max("us"), F.lit(0)).alias("us"))
     for n in (1, 2):
         mark = last.select(*[(F.col("us") + n * days * 86_400_000_000 if c == "us" else F.lit(None)).cast(kind).alias(c) for c, kind in rows.dtypes])
@@ -55,7 +71,7 @@ def rises(samples: DataFrame, need: int = 3, late: str = "1 day") -> DataFrame:
     """A row for each run of `need` strictly rising samples of a series: series, start, stop, low, high, emitted when it is known.
 
     The state of a series is its current run: start, last time and value, and its length. Samples of a batch are taken in
-    order of time; one older than the state's last is dropped.
+    order of time; one older than the state's last is dropped, so the stream must arrive in order (`closed` with `ordered`).
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
