@@ -47,12 +47,12 @@ def piecewise_apply(df: DataFrame, knots: DataFrame, x: str, name: str = "calibr
 
 def peak_correction(events: DataFrame, truth: DataFrame, width: int, most: int = 300, bins: float = 0.2, least: int = 20, train: Column | None = None, by: str = "series") -> DataFrame:
     """Knots that map log10 of an event's peak value to that of the peak of `truth` nearest in time (at most `most` seconds away),
-    fitted on the events where `train` holds. Both have t and value."""
+    fitted on the events where `train` holds. Both have t and value; where the nearest has no positive value, the event is left out."""
     from .temporal import nearest
 
     rows = events if train is None else events.where(train)
-    pairs = nearest(rows.where("value > 0"), truth.where("value > 0").select(by, "t", F.col("value").alias("v")), ["v"], width, by=by, most=most)
-    logs = pairs.where(F.col("nearest_v").isNotNull()).select(F.log10("value").alias("x"), F.log10("nearest_v").alias("y"))
+    pairs = nearest(rows.where("value > 0"), truth.select(by, "t", F.col("value").alias("v")), ["v"], width, by=by, most=most)
+    logs = pairs.where(F.col("nearest_v") > 0).select(F.log10("value").alias("x"), F.log10("nearest_v").alias("y"))
     return piecewise_fit(logs, "x", "y", bins, least)
 
 
