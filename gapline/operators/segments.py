@@ -99,8 +99,9 @@ def daily_coverage(steps: DataFrame, dt: float, k: str = "k", by: str = "series"
 
 
 def first_seen(flares: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The union of several flare lists with each flare once, as it stands in the first of them (`order`)."""
-    w = W.partitionBy(key).orderBy(*order)
+    """The union of several flare lists with each flare once, as it stands in the first of them (`order`). Rows that `order` leaves
+    equal stand by their other columns, least first, so that every run takes the same one."""
+    w = W.partitionBy(key).orderBy(*order, *[F.col(c) for c in flares.columns if c != key])
     return flares.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
