@@ -248,7 +248,9 @@ def daily_coverage(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS r FROM lineitem) WHERE r = 1")
 def first_seen(spark, sf_dir):
-    return segments.first_seen(table(spark, sf_dir, "lineitem"), "l_orderkey", [F.col("l_shipdate"), F.col("l_linenumber")]).select("l_orderkey", "l_linenumber", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    # the SQL leaves ties open: of equal rows the one that stands first in the file
+    return segments.first_seen(rows, "l_orderkey", [F.col(c) for c in ("l_shipdate", "l_linenumber", "_file", "_at")]).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query(f"""WITH {b_sql(3600, 'h')} SELECT h.series, h.k, round(h.x - p.x, 9) + 0.0 AS d_x FROM h LEFT JOIN h p ON p.series = h.series AND p.k = h.k - 24""")
