@@ -10,10 +10,10 @@ from gapline.streaming import events as stream
 
 def test_rises_of_files_that_stand_out_of_order(spark, tmp_path):
     rows = [("a", us, float(us % 7)) for us in range(1, 61)]
-    late_first = spark.createDataFrame(rows[30:], "series string, us long, x double").coalesce(1).union(spark.createDataFrame(rows[:30], "series string, us long, x double").coalesce(1))
-    for ordered in (1000, 9):
+    mixed = spark.createDataFrame(rows[1::2], "series string, us long, x double").coalesce(1).union(spark.createDataFrame(rows[::2], "series string, us long, x double").coalesce(1))
+    for ordered in (1000, 25):
         path = f"{tmp_path}/{ordered}"
-        seen = stream.closed(spark, late_first, f"{path}/arrivals", ordered=ordered).withColumn("ts", F.timestamp_micros("us"))
+        seen = stream.closed(spark, mixed, f"{path}/arrivals", ordered=ordered).withColumn("ts", F.timestamp_micros("us"))
         got = stream.drained(stream.rises(seen), path).where("series IS NOT NULL").collect()
         assert sorted(r.start for r in got) == [1, *range(7, 58, 7)]
 
